@@ -49,3 +49,25 @@ def format_percentage(value, total) -> Column:
 def stat_to_int(text, default: int = 0) -> Column:
     """Statistic text as an integer, ``default`` when missing or not an integer."""
     return F.coalesce(_col(text).try_cast("long"), F.lit(default).cast("long"))
+
+
+def utc_wall(ts) -> Column:
+    """A TIMESTAMP as its UTC wall-clock TIMESTAMP_NTZ (independent of the
+    session time zone)."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), _col(ts).cast("timestamp_ntz"))
+
+
+def iso_utc(ts) -> Column:
+    """ISO-8601 text with a '+00:00' offset; fractional seconds only when
+    non-zero (as Python's ``isoformat``)."""
+    w = utc_wall(ts)
+    frac = F.date_format(w, "SSSSSS")
+    return F.when(w.isNull(), F.lit(None)).otherwise(F.concat(
+        F.date_format(w, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(frac != "000000", F.concat(F.lit("."), frac)).otherwise(F.lit("")),
+        F.lit("+00:00")))
+
+
+def display_ts(ts) -> Column:
+    """'YYYY-MM-DD HH:MM:SS' in UTC."""
+    return F.date_format(utc_wall(ts), "yyyy-MM-dd HH:mm:ss")
