@@ -238,3 +238,102 @@ SELECT year, month,
   {thousands_sql('total_size * 1000')} AS bytes_text
 FROM (SELECT year, month, {MEASURES} FROM cat
       WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month)""")
+
+
+# ---------------------------------------------------------------------------
+# Incremental catalog (batch 1 scanned first, then batch 2)
+# ---------------------------------------------------------------------------
+
+RUN1, RUN2 = FX.BATCH_RUN_TS
+
+BATCH_CTES = catalog_ctes() + """,
+b1 AS (SELECT * EXCLUDE (content) FROM files_v WHERE scan_batch = 1),
+b2 AS (SELECT * EXCLUDE (content) FROM files_v WHERE scan_batch = 2),
+b1s AS (SELECT file_size_bytes AS s FROM b1 GROUP BY file_size_bytes HAVING count(*) > 1),
+b1h AS (SELECT b1.*, CASE WHEN b1s.s IS NOT NULL THEN b1.content_fp END AS file_hash
+        FROM b1 LEFT JOIN b1s ON b1.file_size_bytes = b1s.s),
+b1g AS (SELECT file_hash AS gh, min(id) AS m FROM b1h WHERE file_hash IS NOT NULL
+        GROUP BY file_hash HAVING count(*) > 1),
+b1f AS (SELECT b1h.*, (b1g.m IS NOT NULL AND b1h.id <> b1g.m) AS is_dup
+        FROM b1h LEFT JOIN b1g ON b1h.file_hash = b1g.gh),
+b2s AS (SELECT file_size_bytes AS s FROM b2 GROUP BY file_size_bytes HAVING count(*) > 1),
+b2c AS (SELECT * FROM b2 WHERE file_size_bytes IN (SELECT s FROM b2s))"""
+
+
+def _groups_and_flags(src: str, id_col: str = "id") -> str:
+    """CTEs ``g2`` (groups) and ``f2`` (flagged rows) over ``src(id, file_size_bytes, file_hash)``."""
+    return f""",
+g2 AS (
+  SELECT file_hash AS group_hash, CAST(arg_min(file_size_bytes, {id_col}) AS BIGINT) AS file_size_bytes,
+    min({id_col}) AS master_file_id, CAST(count(*) - 1 AS BIGINT) AS duplicate_count,
+    CAST(sum(file_size_bytes) AS BIGINT) AS total_size_bytes,
+    CAST(sum(file_size_bytes) - arg_min(file_size_bytes, {id_col}) AS BIGINT) AS space_saved_bytes
+  FROM {src} WHERE file_hash IS NOT NULL GROUP BY file_hash HAVING count(*) > 1),
+f2 AS (
+  SELECT s.*, (g2.master_file_id IS NOT NULL AND s.{id_col} <> g2.master_file_id) AS is_duplicate,
+    CASE WHEN g2.master_file_id IS NOT NULL AND s.{id_col} <> g2.master_file_id
+         THEN g2.master_file_id END AS master_file_id
+  FROM {src} s LEFT JOIN g2 ON s.file_hash = g2.group_hash)"""
+
+
+ORACLES["incremental_new_files"] = _with(BATCH_CTES, "SELECT id, original_path FROM b2")
+ORACLES["cross_batch_candidates"] = _with(BATCH_CTES, """
+SELECT n.id AS new_id, o.id AS old_id, n.file_size_bytes, o.original_path AS old_path,
+       o.file_hash AS old_hash
+FROM b2c n JOIN b1h o ON n.file_size_bytes = o.file_size_bytes AND lower(n.file_name) = lower(o.file_name)
+WHERE n.id <> o.id""")
+ORACLES["assign_ids"] = _with(BATCH_CTES, """
+SELECT original_path, (SELECT max(id) FROM b1) + row_number() OVER (ORDER BY original_path) AS id FROM b2""")
+ORACLES["catalog_upsert"] = _with(BATCH_CTES + """,
+ids AS (
+  SELECT original_path, file_size_bytes, content_fp, scan_batch,
+    CASE WHEN scan_batch = 1 THEN id ELSE (SELECT max(id) FROM b1) +
+      row_number() OVER (PARTITION BY scan_batch ORDER BY original_path) END AS nid
+  FROM files_v),
+src AS (
+  SELECT nid AS id, original_path, file_size_bytes,
+    CASE WHEN file_size_bytes IN (SELECT file_size_bytes FROM shared) THEN content_fp END AS file_hash
+  FROM ids)""" + _groups_and_flags("src"), f"""
+SELECT id, original_path, file_size_bytes, file_hash, is_duplicate, master_file_id,
+  '{RUN2}' AS scan_timestamp FROM f2""")
+ORACLES["group_upsert"] = _with(BATCH_CTES, f"""
+SELECT grp.group_hash, grp.file_size_bytes, grp.master_file_id, grp.duplicate_count,
+  grp.total_size_bytes, grp.space_saved_bytes,
+  CASE WHEN grp.group_hash IN (SELECT gh FROM b1g) THEN '{RUN1}' ELSE '{RUN2}' END AS created_at
+FROM grp""")
+ORACLES["incremental_groups"] = ORACLES["duplicate_groups"]
+ORACLES["incremental_batch_scope"] = _with(BATCH_CTES + """,
+fin AS (
+  SELECT o.id, o.file_size_bytes,
+    CASE WHEN o.file_hash IS NOT NULL THEN o.file_hash
+         WHEN EXISTS (SELECT 1 FROM b2c n WHERE n.file_size_bytes = o.file_size_bytes
+                      AND lower(n.file_name) = lower(o.file_name)) THEN o.content_fp END AS file_hash
+  FROM b1h o
+  UNION ALL
+  SELECT id, file_size_bytes,
+    CASE WHEN file_size_bytes IN (SELECT s FROM b2s) THEN content_fp END AS file_hash
+  FROM b2)""" + _groups_and_flags("fin"), "SELECT id, file_hash, is_duplicate, master_file_id FROM f2")
+ORACLES["backfill_candidates"] = _with(BATCH_CTES, """
+SELECT id, file_size_bytes FROM (
+  SELECT id, file_size_bytes, file_hash FROM b1h
+  UNION ALL SELECT id, file_size_bytes, NULL FROM b2)
+WHERE file_hash IS NULL AND file_size_bytes IN (SELECT file_size_bytes FROM shared)""")
+ORACLES["stat_upsert"] = _with(BATCH_CTES + _SUMMARY + f""",
+cnt AS (SELECT count(*) AS d, count(*) FILTER (WHERE is_dup) AS s FROM b1f WHERE id % {FX.DONE_EVERY} = 0)""", """
+SELECT stat_name, stat_type, value_num, value_text FROM (
+  SELECT 'total_files' AS stat_name, 'integer' AS stat_type, CAST(total_files AS DOUBLE) AS value_num, NULL AS value_text FROM summ
+  UNION ALL SELECT 'total_size_bytes', 'integer', CAST(total_size_bytes AS DOUBLE), NULL FROM summ
+  UNION ALL SELECT 'unique_files', 'integer', CAST(unique_files AS DOUBLE), NULL FROM summ
+  UNION ALL SELECT 'duplicate_files', 'integer', CAST(duplicate_files AS DOUBLE), NULL FROM summ
+  UNION ALL SELECT 'duplicate_groups', 'integer', CAST(duplicate_groups AS DOUBLE), NULL FROM summ
+  UNION ALL SELECT 'space_saved_bytes', 'integer', CAST(space_saved_bytes AS DOUBLE), NULL FROM summ
+  UNION ALL SELECT 'space_saved_percentage', 'float', space_saved_percentage, NULL FROM summ
+  UNION ALL SELECT 'last_scan_timestamp', 'datetime', NULL,
+    strftime(last_scan_timestamp, '%Y-%m-%dT%H:%M:%S') || '+00:00' FROM summ
+  UNION ALL SELECT 'files_deduplicated', 'integer', CAST(d AS DOUBLE), NULL FROM cnt
+  UNION ALL SELECT 'symlinks_created', 'integer', CAST(s AS DOUBLE), NULL FROM cnt
+  UNION ALL SELECT 'files_consolidated', 'integer', CAST(d - s AS DOUBLE), NULL FROM cnt)""")
+ORACLES["path_insert_ignore"] = _with(BATCH_CTES, f"""
+SELECT id AS file_id, 'original' AS path_type, original_path AS path, '{RUN1}' AS created_at FROM b1
+UNION ALL
+SELECT id, 'original', original_path, '{RUN2}' FROM b2""")

@@ -210,3 +210,159 @@ def q_format_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         fmt.format_bytes(F.col("total_size") * 1048576).alias("size_text_scaled"),
         fmt.format_percentage("duplicate_count", "file_count").alias("dup_pct_text"),
         fmt.thousands(F.col("total_size") * 1000).alias("bytes_text"))
+
+
+# ---------------------------------------------------------------------------
+# Incremental catalog: batch 1, then batch 2
+# ---------------------------------------------------------------------------
+
+from copyledger.operators import ids as I  # noqa: E402
+from copyledger.operators import upserts as U  # noqa: E402
+from copyledger.plans import incremental as INC  # noqa: E402
+from copyledger import schemas  # noqa: E402
+from copyledger.sources import snapshots as SNAP  # noqa: E402
+from copyledger.session import scratch_path  # noqa: E402
+
+RUN1, RUN2 = FX.BATCH_RUN_TS
+SCANNED = ("original_path", "file_name", "file_size_bytes", "created_at",
+           "year", "month", "month_day", "project_name")
+
+
+def _batch_rows(spark, sf_dir, batch: int, with_id: bool = True) -> DataFrame:
+    rows = cat.fixture_rows(spark, sf_dir).filter(F.col("scan_batch") == batch)
+    return rows.select(*(("id",) if with_id else ()), *SCANNED)
+
+
+def _all_rows(spark, sf_dir, with_id: bool = True) -> DataFrame:
+    return cat.fixture_rows(spark, sf_dir).select(*(("id",) if with_id else ()), *SCANNED)
+
+
+def _fixture_hasher(spark, sf_dir, verify: str = "sampled"):
+    col = "content_fp" if verify == "sampled" else "content_fp_full"
+    fps = cat.fixture_rows(spark, sf_dir).select("original_path", F.col(col).alias("file_hash"))
+
+    def hasher(need: DataFrame) -> DataFrame:
+        return need.join(fps, "original_path").select("id", "file_hash")
+    return hasher
+
+
+def _empty(spark, table: str) -> DataFrame:
+    return spark.createDataFrame([], schemas.TABLES[table])
+
+
+def _batch1(spark, sf_dir, scope: str = "catalog"):
+    return INC.scan_increment(_empty(spark, "files"), _empty(spark, "duplicate_groups"),
+                              _batch_rows(spark, sf_dir, 1), RUN1,
+                              _fixture_hasher(spark, sf_dir), scope=scope)
+
+
+@register("incremental_new_files")
+def q_incremental_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files1, _ = _batch1(spark, sf_dir)
+    return INC.new_paths(_all_rows(spark, sf_dir), files1).select("id", "original_path")
+
+
+@register("cross_batch_candidates")
+def q_cross_batch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files1, _ = _batch1(spark, sf_dir)
+    return gate.cross_batch_candidates(_batch_rows(spark, sf_dir, 2), files1)
+
+
+@register("assign_ids")
+def q_assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files1, _ = _batch1(spark, sf_dir)
+    new = INC.new_paths(_all_rows(spark, sf_dir, with_id=False), files1)
+    return INC.with_ids(new, files1).select("original_path", "id")
+
+
+def _ts_text(c: str):
+    return fmt.display_ts(c).alias(c)
+
+
+@register("catalog_upsert")
+def q_catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refresh re-scan of every file over the batch-1 catalog: known paths
+    keep id and hash, new paths get ordered ids, then the catalog-wide gate."""
+    files1, groups1 = _batch1(spark, sf_dir)
+    files, _ = INC.scan_increment(files1, groups1, _all_rows(spark, sf_dir, with_id=False), RUN2,
+                                  _fixture_hasher(spark, sf_dir), scope="catalog", mode="refresh")
+    return files.select("id", "original_path", "file_size_bytes", "file_hash", "is_duplicate",
+                        "master_file_id", _ts_text("scan_timestamp"))
+
+
+def _two_batches(spark, sf_dir, scope: str = "catalog"):
+    files1, groups1 = _batch1(spark, sf_dir, scope)
+    return INC.scan_increment(files1, groups1, _batch_rows(spark, sf_dir, 2), RUN2,
+                              _fixture_hasher(spark, sf_dir), scope=scope)
+
+
+@register("group_upsert")
+def q_group_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, grps = _two_batches(spark, sf_dir)
+    return grps.select(*groups.GROUP_COLS, _ts_text("created_at"))
+
+
+@register("incremental_groups")
+def q_incremental_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scan batches, each committed as a catalog snapshot version; the
+    groups read back from version 2 equal a single scan of everything."""
+    root = scratch_path(spark, "catalog")
+    files1, groups1 = _batch1(spark, sf_dir)
+    SNAP.write_catalog({"files": files1, "duplicate_groups": groups1}, root, 1)
+    prior = SNAP.read_catalog(spark, root)
+    files2, groups2 = INC.scan_increment(prior["files"], prior["duplicate_groups"],
+                                         _batch_rows(spark, sf_dir, 2), RUN2,
+                                         _fixture_hasher(spark, sf_dir))
+    SNAP.write_catalog({"files": files2, "duplicate_groups": groups2}, root, 2)
+    return SNAP.read_table(spark, root, "duplicate_groups").select(*groups.GROUP_COLS)
+
+
+@register("incremental_batch_scope")
+def q_incremental_batch_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = _two_batches(spark, sf_dir, scope="batch")
+    return files.select("id", "file_hash", "is_duplicate", "master_file_id")
+
+
+@register("backfill_candidates")
+def q_backfill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 2 scanned without hashing; rows still unhashed whose size is
+    shared across the catalog are the ones a backfill must fingerprint."""
+    files1, _ = _batch1(spark, sf_dir)
+    skipped = U.new_file_rows(_batch_rows(spark, sf_dir, 2), RUN2).select(*schemas.FILES.fieldNames())
+    catalog = files1.select(*schemas.FILES.fieldNames()).unionByName(skipped)
+    return gate.backfill_candidates(catalog).select("id", "file_size_bytes")
+
+
+def _prior_stats(spark, sf_dir):
+    """Batch-1 statistics with the three counters set from batch 1's processed
+    rows (``id % 11 == 0``)."""
+    files1, groups1 = _batch1(spark, sf_dir)
+    base = stats.statistics_table(files1, groups1, None, RUN1)
+    done = files1.filter(F.col("id") % FX.DONE_EVERY == 0)
+    counts = done.agg(F.count(F.lit(1)).alias("d"), F.count_if(F.col("is_duplicate")).alias("s"))
+    counters = counts.select(F.expr(
+        "stack(3, 'files_deduplicated', cast(d as string), 'symlinks_created', cast(s as string), "
+        "'files_consolidated', cast(d - s as string)) as (stat_name, stat_value)")) \
+        .withColumn("stat_type", F.lit("integer")).withColumn("updated_at", F.lit(RUN1).cast("timestamp"))
+    return stats.upsert_stats(base, counters)
+
+
+@register("stat_upsert")
+def q_stat_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files2, groups2 = _two_batches(spark, sf_dir)
+    table = stats.statistics_table(files2, groups2, _prior_stats(spark, sf_dir), RUN2)
+    numeric = F.col("stat_type") != "datetime"
+    return table.select(
+        "stat_name", "stat_type",
+        F.when(numeric, F.col("stat_value").cast("double")).alias("value_num"),
+        F.when(~numeric, F.col("stat_value")).alias("value_text"))
+
+
+@register("path_insert_ignore")
+def q_path_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files1, _ = _batch1(spark, sf_dir)
+    existing = INC.path_rows(files1, RUN1)
+    files2, _ = _two_batches(spark, sf_dir)
+    candidates = INC.path_rows(files2, RUN2).unionByName(INC.path_rows(files1, RUN2))
+    out = U.insert_paths(existing, candidates, RUN2)
+    return out.select("file_id", "path_type", "path", _ts_text("created_at"))
