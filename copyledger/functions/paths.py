@@ -118,3 +118,59 @@ def dotdot_count(p) -> Column:
 
 def same_name(a, b) -> Column:
     return F.lower(_col(a)) == F.lower(_col(b))
+
+
+# ---------------------------------------------------------------------------
+# DataFrame-level forms: intermediate values become columns, so a value used
+# several times is computed once (Catalyst does not re-inline a non-trivial
+# expression that is referenced more than once) and generated code stays small.
+# ---------------------------------------------------------------------------
+
+def with_sanitized(df, name_col: str, out_col: str):
+    df = df.withColumn("_sz_clean", F.translate(F.col(name_col), C.SANITIZE_CHARS,
+                                                "_" * len(C.SANITIZE_CHARS)))
+    df = df.withColumn("_sz_ext", F.regexp_extract("_sz_clean", r"(?s)^\.*[^.].*?(\.[^.]*)$", 1))
+    df = df.withColumn("_sz_stem", F.col("_sz_clean").substr(
+        F.lit(1), F.length("_sz_clean") - F.length("_sz_ext")))
+    room = F.lit(C.SANITIZED_NAME_MAX) - F.length("_sz_ext")
+    keep = F.when(room >= 0, room).otherwise(F.greatest(F.length("_sz_stem") + room, F.lit(0)))
+    capped = F.concat(F.col("_sz_stem").substr(F.lit(1), keep), F.col("_sz_ext"))
+    df = df.withColumn(out_col, F.when(F.length("_sz_clean") > C.SANITIZED_NAME_MAX, capped)
+                       .otherwise(F.col("_sz_clean")))
+    return df.drop("_sz_clean", "_sz_ext", "_sz_stem")
+
+
+def with_store_location(df, store_root: str, hash_col: str, name_col: str,
+                        dir_col: str = "dir", base_col: str = "base"):
+    """``dir`` = store/files/h1/h2 and ``base`` = {hash|no_hash}_{sanitized}."""
+    df = with_sanitized(df, name_col, "_sl_name")
+    h = F.col(hash_col)
+    part = F.when(h.isNull() | (h == ""), F.lit(C.NO_HASH_PART)).otherwise(h)
+    return (df.withColumn(dir_col, store_dir(store_root, hash_col))
+            .withColumn(base_col, F.concat(part, F.lit("_"), F.col("_sl_name")))
+            .drop("_sl_name"))
+
+
+def with_counter_name(df, base_col: str, counter_col: str, out_col: str):
+    df = df.withColumn("_cn_ext", F.regexp_extract(F.col(base_col), r"(?s)^\.*[^.].*?(\.[^.]*)$", 1))
+    stem = F.col(base_col).substr(F.lit(1), F.length(base_col) - F.length("_cn_ext"))
+    return df.withColumn(out_col, F.when(F.col(counter_col) == 0, F.col(base_col)).otherwise(
+        F.concat(stem, F.lit("_"), F.col(counter_col).cast("string"), F.col("_cn_ext")))).drop("_cn_ext")
+
+
+def with_relpath(df, target_col: str, start_col: str, out_col: str):
+    """``os.path.relpath(target, start)`` for absolute, normalised paths."""
+    df = (df.withColumn("_rp_a", F.filter(F.split(F.col(start_col), "/"), lambda x: x != ""))
+          .withColumn("_rp_b", F.filter(F.split(F.col(target_col), "/"), lambda x: x != "")))
+    df = df.withColumn("_rp_n", F.least(F.size("_rp_a"), F.size("_rp_b")))
+    diffs = F.transform(F.sequence(F.lit(0), F.col("_rp_n") - 1),
+                        lambda i: F.get(F.col("_rp_a"), i) == F.get(F.col("_rp_b"), i))
+    df = df.withColumn("_rp_d", F.when(F.col("_rp_n") > 0, F.array_position(diffs, False)))
+    df = df.withColumn("_rp_k", F.when(F.col("_rp_n") == 0, F.lit(0))
+                       .when(F.col("_rp_d") == 0, F.col("_rp_n"))
+                       .otherwise(F.col("_rp_d") - 1).cast("int"))
+    ups = F.array_repeat(F.lit(".."), (F.size("_rp_a") - F.col("_rp_k")).cast("int"))
+    downs = F.slice("_rp_b", F.col("_rp_k") + 1, (F.size("_rp_b") - F.col("_rp_k")).cast("int"))
+    df = df.withColumn("_rp_j", F.concat_ws("/", F.concat(ups, downs)))
+    df = df.withColumn(out_col, F.when(F.col("_rp_j") == "", F.lit(".")).otherwise(F.col("_rp_j")))
+    return df.drop("_rp_a", "_rp_b", "_rp_n", "_rp_d", "_rp_k", "_rp_j")

@@ -366,3 +366,215 @@ def q_path_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = INC.path_rows(files2, RUN2).unionByName(INC.path_rows(files1, RUN2))
     out = U.insert_paths(existing, candidates, RUN2)
     return out.select("file_id", "path_type", "path", _ts_text("created_at"))
+
+
+# ---------------------------------------------------------------------------
+# Deduplication plan, canonical store and alias tables
+# ---------------------------------------------------------------------------
+
+from copyledger.functions import paths as P  # noqa: E402
+from copyledger.operators.collisions import resolve_counters  # noqa: E402
+from copyledger.plans import dedup_plan as DP  # noqa: E402
+from copyledger.plans import store as ST  # noqa: E402
+
+PLAN_TS = "2025-03-15 00:00:00"
+
+
+def _with_store_path(df: DataFrame, out_col: str) -> DataFrame:
+    located = P.with_store_location(df, FX.FIXTURE_STORE, "file_hash", "file_name", "_sdir", "_sbase")
+    return located.withColumn(out_col, F.concat_ws("/", "_sdir", "_sbase")).drop("_sdir", "_sbase")
+
+
+def _plan_state(spark: SparkSession, sf_dir: str, fresh: bool = False):
+    """(files, groups, paths, present) of the plan fixture.
+
+    Processed rows: ``id % 11 == 0``; a store entry is recorded for processed
+    non-duplicates with ``id % 22 == 0``; files with ``id % 31 == 0`` are gone.
+    ``fresh`` drops all three (a first run over a clean catalog).
+    """
+    files = cat.fixture_catalog(spark, sf_dir, with_state=not fresh)
+    grps = cat.fixture_groups(spark, sf_dir).withColumn("deduplicated_at", F.lit(None).cast("timestamp"))
+    originals = files.select(F.col("id").alias("file_id"), F.lit(C.PATH_ORIGINAL).alias("path_type"),
+                             F.col("original_path").alias("path"),
+                             F.col("scan_timestamp").alias("created_at"))
+    present = cat.fixture_rows(spark, sf_dir).select(F.col("original_path").alias("path"), "id")
+    if fresh:
+        return files, grps, originals, present.select("path")
+    recorded = _with_store_path(
+        files.filter((F.col("id") % FX.CONSOLIDATED_EVERY == 0) & ~F.col("is_duplicate")), "_p").select(
+        F.col("id").alias("file_id"), F.lit(C.PATH_CONSOLIDATED).alias("path_type"),
+        F.col("_p").alias("path"), F.lit(RUN2).cast("timestamp").alias("created_at"))
+    present = present.filter(F.col("id") % FX.MISSING_EVERY != 0).select("path")
+    # The alias table is a stored table in a real catalog: stage it.
+    return files, grps, SNAP.stage(originals.unionByName(recorded), "fixture-paths"), present
+
+
+def _plan(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
+    files, grps, paths, present = _plan_state(spark, sf_dir, fresh)
+    return DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+
+
+@register("pending_files")
+def q_pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cat.fixture_catalog(spark, sf_dir)
+    return files.filter(F.col("deduplication_status") == C.STATUS_PENDING).select(
+        "id", "original_path", "file_name", "file_size_bytes", "file_hash",
+        "is_duplicate", "master_file_id", "deduplication_status")
+
+
+@register("pending_unique")
+def q_pending_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cat.fixture_catalog(spark, sf_dir)
+    return files.filter((F.col("deduplication_status") == C.STATUS_PENDING) & ~F.col("is_duplicate")
+                        & F.col("master_file_id").isNull()).select(
+        "id", "original_path", "file_name", "file_size_bytes", "file_hash", "deduplication_status")
+
+
+@register("missing_files")
+def q_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _, _, present = _plan_state(spark, sf_dir)
+    pending = files.filter(F.col("deduplication_status") == C.STATUS_PENDING)
+    return pending.join(present, pending["original_path"] == present["path"], "left_anti").select(
+        "id", "original_path", "is_duplicate")
+
+
+@register("sanitize_names")
+def q_sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store-safe names for page URLs (every unsafe character occurs) and for
+    a tripled URL (over the length cap)."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    long_name = F.concat_ws("_", "url", "url", "url")
+    df = P.with_sanitized(pages.withColumn("_long", long_name), "url", "sanitized")
+    df = P.with_sanitized(df, "_long", "sanitized_long")
+    stem, ext = P.split_ext(F.col("sanitized"))
+    return df.select("page_id", "sanitized", stem.alias("stem"), ext.alias("ext"), "sanitized_long",
+                     F.length("sanitized_long").alias("long_length"))
+
+
+@register("consolidated_paths")
+def q_consolidated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cat.fixture_catalog(spark, sf_dir, with_state=False)
+    return P.with_store_location(files, FX.FIXTURE_STORE, "file_hash", "file_name").select(
+        "id", "dir", "base")
+
+
+@register("collision_names")
+def q_collision_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters when every catalogued file is placed, in id order, next to
+    the store entries already recorded by the plan fixture."""
+    files, _, paths, _ = _plan_state(spark, sf_dir)
+    cands = P.with_store_location(files, FX.FIXTURE_STORE, "file_hash", "file_name").select(
+        "id", "dir", "base", F.lit(0).alias("ord0"), F.col("id").alias("ord1"))
+    taken = paths.filter(F.col("path_type") == C.PATH_CONSOLIDATED).select(
+        P.parent_dir("path").alias("dir"), P.basename("path").alias("name"))
+    return resolve_counters(cands, taken).select("id", "counter", "name")
+
+
+@register("link_targets")
+def q_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative link from each duplicate's folder to its master's store path."""
+    files = cat.fixture_catalog(spark, sf_dir, with_state=False)
+    masters = _with_store_path(files, "master_dst").select(
+        F.col("id").alias("master_file_id"), "master_dst")
+    dups = files.filter(F.col("is_duplicate")).join(masters, "master_file_id") \
+        .withColumn("_parent", P.parent_dir("original_path"))
+    dups = P.with_relpath(dups, "master_dst", "_parent", "link_target")
+    return dups.select("id", "master_file_id", "link_target",
+                       P.dotdot_count("link_target").alias("dotdots"))
+
+
+@register("dedup_plan")
+def q_dedup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir)
+
+
+@register("plan_outcome")
+def q_plan_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DP.plan_outcome(_plan(spark, sf_dir))
+
+
+@register("plan_errors_top")
+def q_plan_errors_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DP.plan_errors_top(_plan(spark, sf_dir))
+
+
+@register("mark_processed")
+def q_mark_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    files2, _, _ = DP.applied(files, grps, paths, plan, PLAN_TS)
+    return files2.select("id", "deduplication_status", _ts_text("deduplication_timestamp"))
+
+
+@register("group_processed")
+def q_group_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    _, groups2, _ = DP.applied(files, grps, paths, plan, PLAN_TS)
+    return groups2.select("group_hash", _ts_text("deduplicated_at"))
+
+
+@register("idempotent_rerun")
+def q_idempotent_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the plan, plan again: what is left (no keep, no link)."""
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    files2, groups2, paths2 = DP.applied(files, grps, paths, plan, PLAN_TS)
+    again = DP.dedup_plan(files2, groups2, paths2, present, FX.FIXTURE_STORE)
+    return again.groupBy("action", "reason").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("fk_audit")
+def q_fk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths, duplicates and groups pointing at files that do not exist,
+    after a plan is applied (all three must be 0)."""
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    files2, groups2, paths2 = DP.applied(files, grps, paths, plan, PLAN_TS)
+    ids = files2.select(F.col("id").alias("_id"))
+    orphans_p = paths2.join(ids, paths2["file_id"] == ids["_id"], "left_anti")
+    orphans_m = files2.filter(F.col("master_file_id").isNotNull()).join(
+        ids, F.col("master_file_id") == ids["_id"], "left_anti")
+    orphans_g = groups2.join(ids, groups2["master_file_id"] == ids["_id"], "left_anti")
+    tagged = (orphans_p.select(F.lit("p").alias("t")).unionByName(orphans_m.select(F.lit("m").alias("t")))
+              .unionByName(orphans_g.select(F.lit("g").alias("t"))))
+    return tagged.agg(F.count_if(F.col("t") == "p").alias("paths_without_file"),
+                      F.count_if(F.col("t") == "m").alias("duplicates_without_master"),
+                      F.count_if(F.col("t") == "g").alias("groups_without_master"))
+
+
+def _store_rows(spark: SparkSession, sf_dir: str):
+    files, grps, paths, present = _plan_state(spark, sf_dir, fresh=True)
+    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    return files, plan
+
+
+@register("canonical_store")
+def q_canonical_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the canonical store (content of every kept file, once) and read
+    it back."""
+    files, plan = _store_rows(spark, sf_dir)
+    canon = ST.canonical_table(plan, files)
+    content = FX.documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"),
+                                                  fp.as_bytes("text").alias("content"))
+    path = ST.write_store(canon.join(content, "file_id"), scratch_path(spark, "store"))
+    back = spark.read.parquet(path)
+    return back.select("canonical_path", "file_id", "h1", "h2", "file_size_bytes",
+                       fp.full_fingerprint("content").alias("content_md5"))
+
+
+@register("alias_table")
+def q_alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, plan = _store_rows(spark, sf_dir)
+    return ST.alias_table(plan)
+
+
+@register("rebuild_check")
+def q_rebuild_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, plan = _store_rows(spark, sf_dir)
+    docs = FX.documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"),
+                                               fp.full_fingerprint(fp.as_bytes("text")).alias("content_md5"))
+    store = ST.canonical_table(plan, files).join(docs, "file_id")
+    originals = files.select(F.col("original_path").alias("path"), F.col("id").alias("file_id")) \
+        .join(docs, "file_id")
+    return ST.rebuild_check(ST.alias_table(plan), store, originals)
