@@ -337,3 +337,206 @@ ORACLES["path_insert_ignore"] = _with(BATCH_CTES, f"""
 SELECT id AS file_id, 'original' AS path_type, original_path AS path, '{RUN1}' AS created_at FROM b1
 UNION ALL
 SELECT id, 'original', original_path, '{RUN2}' FROM b2""")
+
+
+# ---------------------------------------------------------------------------
+# Deduplication plan, store names, canonical store
+# ---------------------------------------------------------------------------
+
+EXT_RE = r"(?s)^\.*[^.].*?(\.[^.]*)$"
+GEN_RE = r"^(.*)_([1-9][0-9]*)$"
+PLAN_TS = "2025-03-15 00:00:00"
+DONE_TS = "2025-03-01 00:00:00"
+_SAN_FROM = C.SANITIZE_CHARS.replace("'", "''")
+_SAN_TO = "_" * len(C.SANITIZE_CHARS)
+
+
+def sanitize_ctes(src: str, name_col: str, out: str, prefix: str) -> str:
+    """CTEs ``{prefix}1..3`` adding ``{out}`` = sanitized ``{name_col}`` to ``src``."""
+    M = C.SANITIZED_NAME_MAX
+    return f"""
+{prefix}1 AS (SELECT *, translate({name_col}, '{_SAN_FROM}', '{_SAN_TO}') AS {prefix}_clean FROM {src}),
+{prefix}2 AS (SELECT *, regexp_extract({prefix}_clean, '{EXT_RE}', 1) AS {prefix}_ext FROM {prefix}1),
+{prefix}3 AS (SELECT *, CASE WHEN length({prefix}_clean) > {M} THEN
+    left(left({prefix}_clean, length({prefix}_clean) - length({prefix}_ext)),
+         CASE WHEN {M} - length({prefix}_ext) >= 0 THEN {M} - length({prefix}_ext)
+              ELSE greatest(length({prefix}_clean) - length({prefix}_ext) + {M} - length({prefix}_ext), 0) END)
+      || {prefix}_ext
+    ELSE {prefix}_clean END AS {out} FROM {prefix}2)"""
+
+
+def store_dir_sql(h: str) -> str:
+    return (f"'{FX.FIXTURE_STORE}/{C.STORE_SUBDIR}/' || CASE WHEN {h} IS NULL OR {h} = '' THEN "
+            f"'{C.NO_HASH_PREFIX1}/{C.NO_HASH_PREFIX2}' ELSE substr({h}, 1, 2) || '/' || substr({h}, 3, 2) END")
+
+
+def store_base_sql(h: str, sname: str) -> str:
+    return f"CASE WHEN {h} IS NULL OR {h} = '' THEN '{C.NO_HASH_PART}' ELSE {h} END || '_' || {sname}"
+
+
+def counter_name_sql(base: str, counter: str) -> str:
+    ext = f"regexp_extract({base}, '{EXT_RE}', 1)"
+    return (f"CASE WHEN {counter} = 0 THEN {base} ELSE left({base}, length({base}) - length({ext})) "
+            f"|| '_' || CAST({counter} AS VARCHAR) || {ext} END")
+
+
+def counters_ctes(cands: str, taken: str, order: str) -> str:
+    """``kc``: ``cands(id, dir, base, ...)`` with ``counter`` given the taken
+    names ``taken(dir, name)`` (bulk first-fit, families without edges)."""
+    return f""",
+kr AS (SELECT *, row_number() OVER (PARTITION BY dir, base ORDER BY {order}) - 1 AS i FROM {cands}),
+tk1 AS (SELECT DISTINCT dir, name, regexp_extract(name, '{EXT_RE}', 1) AS ext FROM {taken}),
+tk2 AS (SELECT dir, name, ext, left(name, length(name) - length(ext)) AS stem FROM tk1),
+tk AS (SELECT DISTINCT dir, base, t FROM (
+  SELECT dir, name AS base, CAST(0 AS BIGINT) AS t FROM tk2
+  UNION ALL
+  SELECT dir, regexp_extract(stem, '{GEN_RE}', 1) || ext,
+         CAST(regexp_extract(stem, '{GEN_RE}', 2) AS BIGINT)
+  FROM tk2 WHERE regexp_extract(stem, '{GEN_RE}', 1) <> '')),
+tkg AS (SELECT dir, base, t - (row_number() OVER (PARTITION BY dir, base ORDER BY t) - 1) AS g FROM tk),
+kc AS (SELECT kr.*, kr.i + (SELECT count(*) FROM tkg WHERE tkg.dir = kr.dir AND tkg.base = kr.base
+                            AND tkg.g <= kr.i) AS counter FROM kr)"""
+
+
+def relpath_ctes(src: str, target: str, start: str, out: str) -> str:
+    """``rp4``: ``src`` plus ``{out}`` = relpath(target, start)."""
+    return f""",
+rp1 AS (SELECT *, list_filter(string_split({start}, '/'), lambda x: x <> '') AS ra,
+               list_filter(string_split({target}, '/'), lambda x: x <> '') AS rb FROM {src}),
+rp2 AS (SELECT *, least(len(ra), len(rb)) AS rn FROM rp1),
+rp3 AS (SELECT *, CASE WHEN rn = 0 THEN 0 ELSE coalesce(
+          list_position(list_transform(range(1, rn + 1), lambda i: ra[i] = rb[i]), false) - 1, rn) END AS rk
+        FROM rp2),
+rp4 AS (SELECT * EXCLUDE (ra, rb, rn, rk, rj), CASE WHEN rj = '' THEN '.' ELSE rj END AS {out} FROM (
+  SELECT *, array_to_string(list_concat(list_transform(range(len(ra) - rk), lambda x: '..'), rb[rk + 1:]), '/') AS rj
+  FROM rp3))"""
+
+
+def dotdots_sql(x: str) -> str:
+    return f"CAST((length({x}) - length(replace({x}, '..', ''))) // 2 AS INTEGER)"
+
+
+def plan_ctes(fresh: bool) -> str:
+    ex = "TRUE" if fresh else f"(c.id % {FX.MISSING_EVERY} <> 0)"
+    status = f"'{C.STATUS_PENDING}'" if fresh else "c.deduplication_status"
+    rec_filter = "FALSE" if fresh else f"id % {FX.CONSOLIDATED_EVERY} = 0 AND NOT is_duplicate"
+    P_ = C.STATUS_PENDING
+    return catalog_ctes() + f""",
+s0 AS (SELECT c.* EXCLUDE (deduplication_status), {status} AS deduplication_status, {ex} AS ex FROM cat c),""" + \
+        sanitize_ctes("s0", "file_name", "sname", "sz") + f""",
+ps AS (SELECT *, {store_dir_sql('file_hash')} AS sdir, {store_base_sql('file_hash', 'sname')} AS sbase FROM sz3),
+rec AS (SELECT id AS file_id, sdir || '/' || sbase AS recorded FROM ps WHERE {rec_filter}),
+f AS (SELECT ps.*, rec.recorded FROM ps LEFT JOIN rec ON ps.id = rec.file_id),
+p0 AS (SELECT * FROM f WHERE deduplication_status = '{P_}' AND NOT is_duplicate AND master_file_id IS NULL),
+dups AS (SELECT f.*, g.master_file_id AS g_master FROM f JOIN grp g ON f.file_hash = g.group_hash
+         WHERE f.is_duplicate AND coalesce(f.deduplication_status, '{P_}') = '{P_}' AND g.duplicate_count > 0),
+mst AS (SELECT d.g_master, m.original_path AS m_path, m.ex AS m_ex, m.recorded AS m_rec,
+          m.sdir AS m_sdir, m.sbase AS m_sbase,
+          (m.deduplication_status = '{P_}' AND NOT m.is_duplicate AND m.master_file_id IS NULL) AS m_in_p0
+        FROM (SELECT DISTINCT g_master FROM dups) d LEFT JOIN f m ON m.id = d.g_master),
+p1 AS (SELECT * FROM mst WHERE m_path IS NOT NULL AND m_rec IS NULL AND NOT m_in_p0),
+keep AS (SELECT id, original_path, sdir AS dir, sbase AS base, 0 AS phase FROM p0 WHERE ex AND recorded IS NULL
+         UNION ALL SELECT g_master, m_path, m_sdir, m_sbase, 1 FROM p1 WHERE m_ex),
+taken AS (SELECT sdir AS dir, sbase AS name FROM f WHERE recorded IS NOT NULL)""" + \
+        counters_ctes("keep", "taken", "phase, id") + f""",
+kd AS (SELECT id, original_path, phase, dir || '/' || {counter_name_sql('base', 'counter')} AS dst FROM kc),
+loc AS (SELECT mst.g_master, coalesce(mst.m_rec, kd.dst) AS m_loc, mst.m_path IS NULL AS orphan
+        FROM mst LEFT JOIN kd ON kd.id = mst.g_master),
+dd AS (SELECT dups.*, loc.m_loc, loc.orphan FROM dups JOIN loc ON dups.g_master = loc.g_master),
+lk0 AS (SELECT *, regexp_extract(original_path, '(?s)^(.*)/[^/]*$', 1) AS parent FROM dd
+        WHERE NOT orphan AND m_loc IS NOT NULL AND ex)""" + relpath_ctes("lk0", "m_loc", "parent", "link_target") + f""",
+plan AS (
+  SELECT id AS file_id, 'missing' AS action, original_path AS src, CAST(NULL AS VARCHAR) AS dst,
+         CAST(NULL AS VARCHAR) AS link_target, 'file not found' AS reason, 0 AS phase FROM p0 WHERE NOT ex
+  UNION ALL SELECT id, 'already_done', original_path, recorded, NULL, 'already consolidated', 0
+    FROM p0 WHERE ex AND recorded IS NOT NULL
+  UNION ALL SELECT id, 'keep', original_path, dst, NULL, NULL, phase FROM kd
+  UNION ALL SELECT g_master, 'missing', m_path, NULL, NULL, 'master file not found', 1 FROM p1 WHERE NOT m_ex
+  UNION ALL SELECT id, 'orphan_group', original_path, NULL, NULL, 'master not in catalog', 1 FROM dd WHERE orphan
+  UNION ALL SELECT id, 'missing', original_path, m_loc, NULL, 'duplicate already missing', 1
+    FROM dd WHERE NOT orphan AND m_loc IS NOT NULL AND NOT ex
+  UNION ALL SELECT id, CASE WHEN {dotdots_sql('link_target')} >= {C.MAX_LINK_DOTDOTS} THEN 'too_deep' ELSE 'link' END,
+    original_path, m_loc, link_target,
+    CASE WHEN {dotdots_sql('link_target')} >= {C.MAX_LINK_DOTDOTS} THEN 'relative path too deep' END, 1 FROM rp4),
+perr AS (SELECT *, action IN ('missing', 'too_deep', 'orphan_group')
+                   AND NOT (action = 'missing' AND reason = 'duplicate already missing') AS is_error FROM plan)"""
+
+
+PLAN_STATE = plan_ctes(False)
+PLAN_FRESH = plan_ctes(True)
+
+ORACLES["pending_files"] = _with(catalog_ctes(), f"""
+SELECT id, original_path, file_name, file_size_bytes, file_hash, is_duplicate, master_file_id,
+  deduplication_status FROM cat WHERE deduplication_status = '{C.STATUS_PENDING}'""")
+ORACLES["pending_unique"] = _with(catalog_ctes(), f"""
+SELECT id, original_path, file_name, file_size_bytes, file_hash, deduplication_status FROM cat
+WHERE deduplication_status = '{C.STATUS_PENDING}' AND NOT is_duplicate AND master_file_id IS NULL""")
+ORACLES["missing_files"] = _with(catalog_ctes(), f"""
+SELECT id, original_path, is_duplicate FROM cat
+WHERE deduplication_status = '{C.STATUS_PENDING}' AND id % {FX.MISSING_EVERY} = 0""")
+ORACLES["sanitize_names"] = "WITH pg AS (SELECT page_id, url, url || '_' || url || '_' || url AS long_name FROM pages)," + \
+    sanitize_ctes("pg", "url", "sanitized", "sa") + "," + sanitize_ctes("sa3", "long_name", "sanitized_long", "sb") + f"""
+SELECT page_id, sanitized,
+  left(sanitized, length(sanitized) - length(regexp_extract(sanitized, '{EXT_RE}', 1))) AS stem,
+  regexp_extract(sanitized, '{EXT_RE}', 1) AS ext, sanitized_long,
+  CAST(length(sanitized_long) AS INTEGER) AS long_length FROM sb3"""
+ORACLES["consolidated_paths"] = _with(PLAN_FRESH, "SELECT id, sdir AS dir, sbase AS base FROM ps")
+ORACLES["collision_names"] = _with(plan_ctes(False).replace(
+    "taken AS (SELECT sdir", "allc AS (SELECT id, sdir AS dir, sbase AS base FROM f),\ntaken AS (SELECT sdir").replace(
+    "row_number() OVER (PARTITION BY dir, base ORDER BY phase, id) - 1 AS i FROM keep",
+    "row_number() OVER (PARTITION BY dir, base ORDER BY id) - 1 AS i FROM allc"),
+    f"SELECT id, counter, {counter_name_sql('base', 'counter')} AS name FROM kc")
+ORACLES["link_targets"] = _with(PLAN_FRESH + """,
+lt0 AS (SELECT d.id, d.master_file_id, m.sdir || '/' || m.sbase AS master_dst,
+          regexp_extract(d.original_path, '(?s)^(.*)/[^/]*$', 1) AS parent
+        FROM ps d JOIN ps m ON d.master_file_id = m.id WHERE d.is_duplicate)""".replace(",\nlt0", ",\nlt0") +
+    relpath_ctes("lt0", "master_dst", "parent", "link_target").replace("rp", "rq"),
+    f"SELECT id, master_file_id, link_target, {dotdots_sql('link_target')} AS dotdots FROM rq4")
+ORACLES["dedup_plan"] = _with(PLAN_STATE, "SELECT file_id, action, src, dst, link_target, reason, phase FROM plan")
+ORACLES["plan_outcome"] = _with(PLAN_STATE, """
+SELECT count(*) FILTER (WHERE action = 'keep') AS files_consolidated,
+  count(*) FILTER (WHERE action = 'link') AS symlinks_created,
+  count(*) FILTER (WHERE action = 'keep' AND phase = 0) + count(*) FILTER (WHERE action = 'link') AS files_deduplicated,
+  count(*) FILTER (WHERE is_error) AS errors FROM perr""")
+ORACLES["plan_errors_top"] = _with(PLAN_STATE, f"""
+SELECT * FROM (SELECT file_id, action, reason, src, CAST(NULL AS BIGINT) AS remaining FROM perr WHERE is_error
+               ORDER BY phase, file_id LIMIT {C.ERRORS_SHOWN})
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, CAST(greatest(count(*) - {C.ERRORS_SHOWN}, 0) AS BIGINT) FROM perr WHERE is_error""")
+_DONE_IDS = ("(SELECT file_id FROM plan WHERE action IN ('keep', 'link') OR "
+             "(action = 'missing' AND reason = 'duplicate already missing'))")
+ORACLES["mark_processed"] = _with(PLAN_STATE, f"""
+SELECT id,
+  CASE WHEN id IN {_DONE_IDS} THEN '{C.STATUS_DONE}' ELSE deduplication_status END AS deduplication_status,
+  CASE WHEN id IN {_DONE_IDS} THEN '{PLAN_TS}'
+       WHEN id % {FX.DONE_EVERY} = 0 THEN '{DONE_TS}' END AS deduplication_timestamp
+FROM cat""")
+ORACLES["group_processed"] = _with(PLAN_STATE + """,
+pg AS (SELECT c.file_hash, count(*) FILTER (WHERE p.is_error) AS bad FROM perr p JOIN cat c ON p.file_id = c.id
+       WHERE p.phase = 1 GROUP BY c.file_hash)""", f"""
+SELECT group_hash, CASE WHEN group_hash IN (SELECT file_hash FROM pg WHERE bad = 0) THEN '{PLAN_TS}' END
+  AS deduplicated_at FROM grp""")
+ORACLES["idempotent_rerun"] = _with(PLAN_STATE, "SELECT action, reason, count(*) AS count FROM perr "
+                                                "WHERE is_error GROUP BY action, reason")
+ORACLES["fk_audit"] = _with(PLAN_STATE + """,
+paths2 AS (SELECT id AS file_id FROM cat UNION ALL SELECT file_id FROM rec
+           UNION ALL SELECT file_id FROM plan WHERE action IN ('keep', 'link'))""", """
+SELECT (SELECT count(*) FROM paths2 WHERE file_id NOT IN (SELECT id FROM cat)) AS paths_without_file,
+  (SELECT count(*) FROM cat WHERE master_file_id IS NOT NULL AND master_file_id NOT IN (SELECT id FROM cat))
+    AS duplicates_without_master,
+  (SELECT count(*) FROM grp WHERE master_file_id NOT IN (SELECT id FROM cat)) AS groups_without_master""")
+ORACLES["canonical_store"] = _with(PLAN_FRESH, """
+SELECT p.dst AS canonical_path, p.file_id, string_split(p.dst, '/')[-3] AS h1,
+  string_split(p.dst, '/')[-2] AS h2, c.file_size_bytes, c.content_fp_full AS content_md5
+FROM plan p JOIN cat c ON p.file_id = c.id WHERE p.action IN ('keep', 'already_done')""")
+ORACLES["alias_table"] = _with(PLAN_FRESH, """
+SELECT src AS path, dst AS canonical_path, file_id, 'self' AS kind FROM plan WHERE action IN ('keep', 'already_done')
+UNION ALL SELECT src, dst, file_id, 'link' FROM plan WHERE action = 'link'""")
+ORACLES["rebuild_check"] = _with(PLAN_FRESH + """,
+al AS (SELECT src AS path, dst AS canonical_path FROM plan WHERE action IN ('keep', 'already_done', 'link')),
+stq AS (SELECT p.dst AS canonical_path, c.content_fp_full AS stored FROM plan p JOIN cat c ON p.file_id = c.id
+        WHERE p.action IN ('keep', 'already_done')),
+res AS (SELECT al.path, stq.stored, c.content_fp_full AS orig FROM al LEFT JOIN stq USING (canonical_path)
+        LEFT JOIN cat c ON c.original_path = al.path)""", """
+SELECT count(*) AS paths, count(*) FILTER (WHERE stored IS NOT NULL) AS resolved,
+  count(*) FILTER (WHERE stored = orig) AS identical, count(*) FILTER (WHERE stored <> orig) AS mismatched FROM res""")
