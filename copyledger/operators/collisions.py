@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from copyledger.functions import paths as P
 from copyledger.operators.ranking import rank_within
 from copyledger.sources.snapshots import stage
+from copyledger.session import pickle_by_value
+
+pickle_by_value(__name__)
 
 _COUNTER_RE = r"^(.*?)((?:_[0-9]+)+)$"
 

@@ -540,3 +540,22 @@ res AS (SELECT al.path, stq.stored, c.content_fp_full AS orig FROM al LEFT JOIN
         LEFT JOIN cat c ON c.original_path = al.path)""", """
 SELECT count(*) AS paths, count(*) FILTER (WHERE stored IS NOT NULL) AS resolved,
   count(*) FILTER (WHERE stored = orig) AS identical, count(*) FILTER (WHERE stored <> orig) AS mismatched FROM res""")
+
+
+# ---------------------------------------------------------------------------
+# Directory trees written from the documents
+# ---------------------------------------------------------------------------
+
+_REL = f"substr(original_path, {len(FX.FIXTURE_ROOT) + 2})"
+ORACLES["media_listing"] = _with(FIXTURE_CTES, f"""
+SELECT {_REL} AS rel_path, file_name, file_size_bytes, year, month, month_day, project_name FROM files_v""")
+ORACLES["media_subfolder"] = _with(FIXTURE_CTES, f"""
+SELECT {_REL} AS rel_path, file_name, file_size_bytes, year, month, month_day, project_name FROM files_v
+WHERE year = '2024' AND month = 'march'""")
+ORACLES["media_scan_tree"] = _with(FIXTURE_CTES + """,
+tv AS (SELECT row_number() OVER (ORDER BY original_path) AS id, file_size_bytes, content_fp FROM files_v),
+th AS (SELECT id, file_size_bytes, CASE WHEN file_size_bytes IN
+         (SELECT file_size_bytes FROM tv GROUP BY file_size_bytes HAVING count(*) > 1) THEN content_fp END AS file_hash
+       FROM tv)""" + _groups_and_flags("th"), "SELECT * FROM g2")
+ORACLES["media_sampled_hashes"] = _with(FIXTURE_CTES, f"""
+SELECT {_REL} AS rel_path, file_size_bytes, content_fp AS file_hash, CAST(NULL AS VARCHAR) AS hash_error FROM files_v""")

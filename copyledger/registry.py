@@ -7,6 +7,7 @@ column is aliased identically on both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from copyledger.functions import fingerprint as fp
 from copyledger.functions import formatting as fmt
 from copyledger.operators import gate, groups, listing, stats
 from copyledger.plans import catalog as cat
+from copyledger.session import ship_package
 from copyledger.sources import fixture as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +30,11 @@ RUN_TS = "2025-02-01 00:00:00"
 
 def register(name: str):
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        REGISTRY[name] = run
         return fn
     return deco
 
@@ -578,3 +584,67 @@ def q_rebuild_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     originals = files.select(F.col("original_path").alias("path"), F.col("id").alias("file_id")) \
         .join(docs, "file_id")
     return ST.rebuild_check(ST.alias_table(plan), store, originals)
+
+
+# ---------------------------------------------------------------------------
+# Real directory trees: listing source + sampled reads from storage
+# ---------------------------------------------------------------------------
+
+from copyledger.sources import media_files as MF  # noqa: E402
+from copyledger.sources import sampled_read as SR  # noqa: E402
+from copyledger.sources import tree_writer as TW  # noqa: E402
+
+_TREES: dict[tuple[str, str], str] = {}
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents written as a file tree (once per session)."""
+    import os
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    root = _TREES.get(key)
+    if root is None or not os.path.isdir(root):
+        root = TW.write_document_tree(spark, sf_dir)
+        _TREES[key] = root
+    return root
+
+
+def _tree_rows(spark: SparkSession, sf_dir: str, subfolder: str | None = None) -> tuple[DataFrame, str]:
+    root = _tree(spark, sf_dir)
+    return listing.catalog_rows(MF.read_tree(spark, root, subfolder=subfolder), root, subfolder=subfolder), root
+
+
+@register("media_listing")
+def q_media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, root = _tree_rows(spark, sf_dir)
+    return rows.select(F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"),
+                       "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")
+
+
+@register("media_subfolder")
+def q_media_subfolder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, root = _tree_rows(spark, sf_dir, subfolder=SUBFOLDER)
+    return rows.select(F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"),
+                       "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")
+
+
+@register("media_scan_tree")
+def q_media_scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan of the tree: new paths get ordered ids, only same-size
+    candidates are read (at most 5 KiB each, by seek), groups follow."""
+    rows, _ = _tree_rows(spark, sf_dir)
+    files, grps = INC.scan_increment(_empty(spark, "files"), _empty(spark, "duplicate_groups"),
+                                     rows, RUN1, SR.storage_hasher())
+    return grps.select(*groups.GROUP_COLS)
+
+
+@register("media_sampled_hashes")
+def q_media_sampled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled fingerprints read from the files of the tree, for every
+    catalogued file (no gate): equal to the column-computed fingerprints."""
+    rows, root = _tree_rows(spark, sf_dir)
+    rows = rows.withColumn("id", F.monotonically_increasing_id())
+    hashes = SR.read_fingerprints(rows)
+    return rows.join(hashes, "id").select(
+        F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"), "file_size_bytes",
+        "file_hash", "hash_error")

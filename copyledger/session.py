@@ -63,3 +63,41 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``copyledger`` importable by Python workers (data source, pandas
+    functions): zip the package into the shared folder and ``addPyFile`` it,
+    once per application."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg_dir)
+    target = scratch_path(spark, "pyfiles")
+    local = target[len("file:"):] if target.startswith("file:") else target
+    os.makedirs(local, exist_ok=True)
+    zpath = os.path.join(local, "copyledger.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
+
+
+def pickle_by_value(module_name: str) -> None:
+    """Serialise the functions and classes of a module by value, so Python
+    workers run them without importing this package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

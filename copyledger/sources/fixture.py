@@ -44,10 +44,8 @@ def _lpad2(c: Column) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 
 
-def fixture_listing(spark: SparkSession, sf_dir: str, with_content: bool = False) -> DataFrame:
-    """Listing rows ``path, size, mtime, is_link, error`` plus ``id, lang,
-    scan_batch, content_fp, content_fp_full`` (and ``content`` on request)."""
-    docs = documents(spark, sf_dir)
+def fixture_path(root: str = FIXTURE_ROOT) -> Column:
+    """``root/year/month/month_day/project/lang/name`` of a document."""
     k = F.col("doc_id")
     month_idx = (F.floor(k / 3) % 12 + 1).cast("int")
     year = (F.lit(FIRST_YEAR) + k % 3).cast("string")
@@ -57,10 +55,17 @@ def fixture_listing(spark: SparkSession, sf_dir: str, with_content: bool = False
         .otherwise(F.col("source"))
     ext = F.element_at(F.array(*[F.lit(e) for e in FIXTURE_EXTS]), (k % 8 + 1).cast("int"))
     name = F.concat(F.lit("clip_"), (k % NAMES_PER_PROJECT).cast("string"), F.lit("."), ext)
-    path = F.concat_ws("/", F.lit(FIXTURE_ROOT), year, month, month_day, project, F.col("lang"), name)
+    return F.concat_ws("/", F.lit(root), year, month, month_day, project, F.col("lang"), name)
+
+
+def fixture_listing(spark: SparkSession, sf_dir: str, with_content: bool = False) -> DataFrame:
+    """Listing rows ``path, size, mtime, is_link, error`` plus ``id, lang,
+    scan_batch, content_fp, content_fp_full`` (and ``content`` on request)."""
+    docs = documents(spark, sf_dir)
+    k = F.col("doc_id")
     content = fp.as_bytes("text")
     cols = [
-        path.alias("path"),
+        fixture_path().alias("path"),
         fp.byte_length(content).alias("size"),
         F.expr("timestampadd(SECOND, doc_id * 3600, timestamp_ntz'2023-01-01 00:00:00')").alias("mtime"),
         (k % LINK_EVERY == 0).alias("is_link"),
