@@ -559,3 +559,101 @@ th AS (SELECT id, file_size_bytes, CASE WHEN file_size_bytes IN
        FROM tv)""" + _groups_and_flags("th"), "SELECT * FROM g2")
 ORACLES["media_sampled_hashes"] = _with(FIXTURE_CTES, f"""
 SELECT {_REL} AS rel_path, file_size_bytes, content_fp AS file_hash, CAST(NULL AS VARCHAR) AS hash_error FROM files_v""")
+
+
+# ---------------------------------------------------------------------------
+# Markdown report after the plan is applied
+# ---------------------------------------------------------------------------
+
+def _t(x: str) -> str:
+    return thousands_sql(x)
+
+
+def _fb(x: str) -> str:
+    return format_bytes_sql(x)
+
+
+_NL = " || chr(10)"
+
+
+def _report_table(section: int, src: str, title: str, header: tuple[str, str], order: str, cells: list[str]) -> str:
+    body = " || ' | ' || ".join(cells)
+    return f"""
+  UNION ALL SELECT {section}, 0, '{title.rstrip(chr(10))}'{_NL} FROM (SELECT count(*) AS n FROM {src}) WHERE n > 0
+  UNION ALL SELECT {section}, 1, '{header[0]}' FROM (SELECT count(*) AS n FROM {src}) WHERE n > 0
+  UNION ALL SELECT {section}, 2, '{header[1]}' FROM (SELECT count(*) AS n FROM {src}) WHERE n > 0
+  UNION ALL SELECT {section}, CAST(row_number() OVER (ORDER BY {order}) + 2 AS INTEGER), '| ' || {body} || ' |' FROM {src}
+  UNION ALL SELECT {section}, {1 << 30}, '' FROM (SELECT count(*) AS n FROM {src}) WHERE n > 0"""
+
+
+def _report_sql() -> str:
+    from copyledger.plans import report as RP
+
+    cells = lambda *k: list(k) + [_t("file_count"), _fb("total_size"), _t("duplicate_count")]
+    pct = "format('{:.2f}', space_saved_percentage) || '%'"
+    ctes = PLAN_STATE + _SUMMARY + f""",
+cnt AS (SELECT count(*) FILTER (WHERE action = 'keep') AS files_consolidated,
+          count(*) FILTER (WHERE action = 'link') AS symlinks_created,
+          count(*) FILTER (WHERE action = 'keep' AND phase = 0) + count(*) FILTER (WHERE action = 'link')
+            AS files_deduplicated FROM plan),
+one AS (SELECT * FROM summ, cnt),
+fil2 AS (SELECT c.*, CASE WHEN id IN {_DONE_IDS} THEN '{C.STATUS_DONE}' ELSE deduplication_status END AS st2
+         FROM cat c),
+yb AS (SELECT year, {MEASURES} FROM fil2 WHERE year IS NOT NULL GROUP BY year),
+mb AS (SELECT year, month, {MEASURES} FROM fil2 WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month),
+pb AS (SELECT project_name, {MEASURES} FROM fil2 WHERE project_name IS NOT NULL GROUP BY project_name),
+tc AS (SELECT * FROM pb ORDER BY file_count DESC, project_name LIMIT 10),
+ts AS (SELECT * FROM pb ORDER BY total_size DESC, project_name LIMIT 10),
+sb AS (SELECT coalesce(st2, 'None') AS deduplication_status, count(*) AS count FROM fil2 GROUP BY st2)"""
+    dd = "FROM one WHERE files_deduplicated > 0"
+    lines = f"""
+SELECT section, ord, line FROM (
+  SELECT 0 AS section, 0 AS ord, '{RP.TITLE.rstrip(chr(10))}'{_NL} AS line
+  UNION ALL SELECT 0, 1, '*Generated: {PLAN_TS}*'{_NL}
+  UNION ALL SELECT 0, 2, '{RP.RULE.rstrip(chr(10))}'{_NL}
+  UNION ALL SELECT 1, 0, '{RP.SUMMARY_TITLE.rstrip(chr(10))}'{_NL}
+  UNION ALL SELECT 1, 1, '- **Total Projects Scanned**: ' || {_t('total_projects')} FROM one
+  UNION ALL SELECT 1, 2, '- **Total Videos Cataloged**: ' || {_t('total_files')} FROM one
+  UNION ALL SELECT 1, 3, '- **Unique Videos**: ' || {_t('unique_files')} || ' (' || {format_pct_sql('unique_files', 'total_files')} || ')' FROM one
+  UNION ALL SELECT 1, 4, '- **Duplicate Videos**: ' || {_t('duplicate_files')} || ' (' || {format_pct_sql('duplicate_files', 'total_files')} || ')' FROM one
+  UNION ALL SELECT 1, 5, '- **Total Storage**: ' || {_fb('total_size_bytes')} FROM one
+  UNION ALL SELECT 1, 6, '- **Space Saved (Deduplication)**: ' || {_fb('space_saved_bytes')} || ' (' || {pct} || ')' FROM one
+  UNION ALL SELECT 1, 7, '- **Duplicate Groups**: ' || {_t('duplicate_groups')} FROM one
+  UNION ALL SELECT 1, 8, '- **Average File Size**: ' || {_fb('average_file_size')} FROM one
+  UNION ALL SELECT 1, 9, '- **Files Consolidated**: ' || {_t('files_consolidated')} {dd}
+  UNION ALL SELECT 1, 10, '- **Symlinks Created**: ' || {_t('symlinks_created')} {dd}
+  UNION ALL SELECT 1, 11, '- **Files Deduplicated**: ' || {_t('files_deduplicated')} {dd}
+  UNION ALL SELECT 1, 12, ''
+  UNION ALL SELECT 2, 0, '{RP.DETAIL_TITLE.rstrip(chr(10))}'{_NL}
+  UNION ALL SELECT 2, 1, '{RP.OVERVIEW_TITLE.rstrip(chr(10))}'{_NL}
+  UNION ALL SELECT 2, 2, '{RP.METRIC_HEADER[0]}'
+  UNION ALL SELECT 2, 3, '{RP.METRIC_HEADER[1]}'
+  UNION ALL SELECT 2, 4, '| Total Videos | ' || {_t('total_files')} || ' |' FROM one
+  UNION ALL SELECT 2, 5, '| Unique Videos | ' || {_t('unique_files')} || ' (' || {format_pct_sql('unique_files', 'total_files')} || ') |' FROM one
+  UNION ALL SELECT 2, 6, '| Duplicate Videos | ' || {_t('duplicate_files')} || ' (' || {format_pct_sql('duplicate_files', 'total_files')} || ') |' FROM one
+  UNION ALL SELECT 2, 7, '| Total Storage Size | ' || {_fb('total_size_bytes')} || ' |' FROM one
+  UNION ALL SELECT 2, 8, '| Average File Size | ' || {_fb('average_file_size')} || ' |'{_NL} FROM one
+  UNION ALL SELECT 2, 9, '{RP.DEDUP_TITLE.rstrip(chr(10))}'{_NL}
+  UNION ALL SELECT 2, 10, '{RP.METRIC_HEADER[0]}'
+  UNION ALL SELECT 2, 11, '{RP.METRIC_HEADER[1]}'
+  UNION ALL SELECT 2, 12, '| Duplicate Groups | ' || {_t('duplicate_groups')} || ' |' FROM one
+  UNION ALL SELECT 2, 13, '| Space Saved | ' || {_fb('space_saved_bytes')} || ' |' FROM one
+  UNION ALL SELECT 2, 14, '| Space Saved Percentage | ' || {pct} || ' |' FROM one
+  UNION ALL SELECT 2, 15, '| Files Consolidated | ' || {_t('files_consolidated')} || ' |' {dd}
+  UNION ALL SELECT 2, 16, '| Symlinks Created | ' || {_t('symlinks_created')} || ' |' {dd}
+  UNION ALL SELECT 2, 17, '| Files Deduplicated | ' || {_t('files_deduplicated')} || ' |' {dd}
+  UNION ALL SELECT 2, 18, ''""" + \
+        _report_table(3, "yb", RP.YEAR_TITLE, RP.YEAR_HEADER, "year DESC", cells("year")) + \
+        _report_table(4, "mb", RP.MONTH_TITLE, RP.MONTH_HEADER, "year DESC, month DESC", cells("year", "month")) + \
+        _report_table(5, "tc", RP.TOP_COUNT_TITLE, RP.PROJECT_HEADER, "file_count DESC, project_name",
+                      cells("project_name")) + \
+        _report_table(6, "ts", RP.TOP_SIZE_TITLE, RP.PROJECT_HEADER, "total_size DESC, project_name",
+                      cells("project_name")) + \
+        _report_table(7, "sb", RP.STATUS_TITLE, RP.STATUS_HEADER, "count DESC, deduplication_status",
+                      ["deduplication_status", _t("count")]) + ")"
+    return _with(ctes, lines)
+
+
+ORACLES["markdown_report"] = _report_sql()
+ORACLES["report_file"] = ("SELECT string_agg(line || chr(10), '' ORDER BY section, ord) AS report FROM ("
+                          + _report_sql() + ")")

@@ -399,7 +399,9 @@ def _plan_state(spark: SparkSession, sf_dir: str, fresh: bool = False):
     ``fresh`` drops all three (a first run over a clean catalog).
     """
     files = cat.fixture_catalog(spark, sf_dir, with_state=not fresh)
-    grps = cat.fixture_groups(spark, sf_dir).withColumn("deduplicated_at", F.lit(None).cast("timestamp"))
+    grps = (cat.fixture_groups(spark, sf_dir)
+            .withColumn("created_at", F.lit(RUN2).cast("timestamp"))
+            .withColumn("deduplicated_at", F.lit(None).cast("timestamp")))
     originals = files.select(F.col("id").alias("file_id"), F.lit(C.PATH_ORIGINAL).alias("path_type"),
                              F.col("original_path").alias("path"),
                              F.col("scan_timestamp").alias("created_at"))
@@ -648,3 +650,41 @@ def q_media_sampled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(hashes, "id").select(
         F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"), "file_size_bytes",
         "file_hash", "hash_error")
+
+
+# ---------------------------------------------------------------------------
+# Report after a deduplication run (statistics refreshed with the counters)
+# ---------------------------------------------------------------------------
+
+from copyledger.plans import report as RP  # noqa: E402
+
+
+def _after_dedup(spark: SparkSession, sf_dir: str):
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    files2, groups2, _ = DP.applied(files, grps, paths, plan, PLAN_TS)
+    counters = DP.plan_outcome(plan).select(F.expr(
+        "stack(3, 'files_consolidated', cast(files_consolidated as string), "
+        "'symlinks_created', cast(symlinks_created as string), "
+        "'files_deduplicated', cast(files_deduplicated as string)) as (stat_name, stat_value)"))
+    stats2 = stats.statistics_table(files2, groups2, counters, PLAN_TS)
+    # Commit the run as a new catalog version; the report reads the stored
+    # tables (pruned columns), not the plan lineage.
+    root = scratch_path(spark, "catalog")
+    SNAP.write_catalog({"files": files2, "duplicate_groups": groups2, "statistics": stats2}, root, 1)
+    cat_ = SNAP.read_catalog(spark, root)
+    return cat_["files"], cat_["duplicate_groups"], cat_["statistics"]
+
+
+@register("markdown_report")
+def q_markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files2, groups2, stats2 = _after_dedup(spark, sf_dir)
+    return RP.report_lines(files2, groups2, stats2, PLAN_TS)
+
+
+@register("report_file")
+def q_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report written as one markdown file and read back line by line."""
+    files2, groups2, stats2 = _after_dedup(spark, sf_dir)
+    path = RP.write_report(RP.report_lines(files2, groups2, stats2, PLAN_TS), scratch_path(spark, "report"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("report"))
