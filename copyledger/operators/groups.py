@@ -96,3 +96,16 @@ def group_members(groups: DataFrame, files: DataFrame) -> DataFrame:
     """Group -> member files on the hash (the per-group file list, as a join)."""
     g = groups.select(F.col("group_hash"), F.col("master_file_id").alias("group_master_id"))
     return files.join(g, files["file_hash"] == g["group_hash"], "inner")
+
+
+def verify_full(files: DataFrame, full_hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``verify='full'``: members of sampled-hash groups get their full-content
+    hash (``full_hashes``: id, full_hash -- read for those members only) and
+    groups are rebuilt on it, splitting sampled collisions.  Returns
+    (files with ``file_hash`` replaced for re-hashed members, groups)."""
+    sampled = groups_from_hashed(files)
+    members = group_members(sampled, files).select("id")
+    full = full_hashes.join(members, "id", "left_semi").select("id", F.col("full_hash").alias("_full"))
+    refined = (files.join(full, "id", "left")
+               .withColumn("file_hash", F.coalesce("_full", "file_hash")).drop("_full"))
+    return refined, groups_from_hashed(refined)

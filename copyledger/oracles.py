@@ -657,3 +657,11 @@ SELECT section, ord, line FROM (
 ORACLES["markdown_report"] = _report_sql()
 ORACLES["report_file"] = ("SELECT string_agg(line || chr(10), '' ORDER BY section, ord) AS report FROM ("
                           + _report_sql() + ")")
+
+ORACLES["stream_ingest"] = ORACLES["duplicate_groups"]
+ORACLES["group_members"] = _with(catalog_ctes(), """
+SELECT g.group_hash, h.id, h.id = g.master_file_id AS is_master FROM hashed h JOIN grp g ON h.file_hash = g.group_hash""")
+ORACLES["verify_full_groups"] = _with(catalog_ctes() + """,
+mem AS (SELECT h.id FROM hashed h JOIN grp g ON h.file_hash = g.group_hash),
+ref AS (SELECT id, file_size_bytes, CASE WHEN id IN (SELECT id FROM mem) THEN content_fp_full ELSE file_hash END
+          AS file_hash FROM hashed)""" + _groups_and_flags("ref"), "SELECT * FROM g2")

@@ -688,3 +688,43 @@ def q_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     files2, groups2, stats2 = _after_dedup(spark, sf_dir)
     path = RP.write_report(RP.report_lines(files2, groups2, stats2, PLAN_TS), scratch_path(spark, "report"))
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("report"))
+
+
+# ---------------------------------------------------------------------------
+# Structured Streaming ingest
+# ---------------------------------------------------------------------------
+
+from copyledger.streaming import ingest as STR  # noqa: E402
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing files of scan batch 1, then of batch 2, land in a folder; a
+    streaming query (availableNow, same checkpoint) ingests each arrival as
+    micro-batches committed as catalog versions.  The final groups equal one
+    batch scan of everything."""
+    base = scratch_path(spark, "stream")
+    listing_dir, root = f"{base}/in", f"{base}/catalog"
+    fx = FX.fixture_listing(spark, sf_dir)
+    for b in (1, 2):
+        fx.filter(F.col("scan_batch") == b).select(*STR.LISTING_STREAM.fieldNames()) \
+            .write.mode("append").parquet(listing_dir)
+        STR.run_ingest(spark, listing_dir, root, f"{base}/checkpoint", FX.FIXTURE_ROOT,
+                       _fixture_hasher(spark, sf_dir), RUN1)
+    return SNAP.read_table(spark, root, "duplicate_groups").select(*groups.GROUP_COLS)
+
+
+@register("group_members")
+def q_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cat.fixture_catalog(spark, sf_dir, with_state=False)
+    members = groups.group_members(cat.fixture_groups(spark, sf_dir), files)
+    return members.select("group_hash", "id", (F.col("id") == F.col("group_master_id")).alias("is_master"))
+
+
+@register("verify_full_groups")
+def q_verify_full_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled groups re-checked with full-content hashes of their members."""
+    files = cat.fixture_catalog(spark, sf_dir, with_state=False)
+    full = cat.fixture_rows(spark, sf_dir).select("id", F.col("content_fp_full").alias("full_hash"))
+    _, refined = groups.verify_full(files, full)
+    return refined
