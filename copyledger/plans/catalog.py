@@ -45,6 +45,17 @@ FIXTURE_KEEP = ("id", "lang", "scan_batch", "content_fp", "content_fp_full")
 DONE_TS = "2025-03-01 00:00:00"
 
 
+def staged_once(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """Stage ``build()`` once per session and input folder; later calls read
+    the staged table (rebuilt if the folder was removed)."""
+    key = (spark.sparkContext.applicationId, scratch_root(spark), f"{name}:{sf_dir}")
+    path = _STAGED.get(key)
+    if path is None or not _exists(spark, path):
+        path = stage_path(build(), name)
+        _STAGED[key] = path
+    return spark.read.parquet(path)
+
+
 def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible video rows of the fixture listing, staged once per session in
     the shared folder (the documents' text is read once; later readers get

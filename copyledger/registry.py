@@ -413,13 +413,30 @@ def _plan_state(spark: SparkSession, sf_dir: str, fresh: bool = False):
         F.col("id").alias("file_id"), F.lit(C.PATH_CONSOLIDATED).alias("path_type"),
         F.col("_p").alias("path"), F.lit(RUN2).cast("timestamp").alias("created_at"))
     present = present.filter(F.col("id") % FX.MISSING_EVERY != 0).select("path")
-    # The alias table is a stored table in a real catalog: stage it.
-    return files, grps, SNAP.stage(originals.unionByName(recorded), "fixture-paths"), present
+    # The alias table is a stored table in a real catalog: stage it (once).
+    paths = cat.staged_once(spark, "fixture-paths", sf_dir, lambda: originals.unionByName(recorded))
+    return files, grps, paths, present
 
 
 def _plan(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
-    files, grps, paths, present = _plan_state(spark, sf_dir, fresh)
-    return DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    """The plan of the fixture state, written once per session (a plan is a
+    pure function of the catalog it reads)."""
+    def build():
+        files, grps, paths, present = _plan_state(spark, sf_dir, fresh)
+        return DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
+    return cat.staged_once(spark, "plan-fresh" if fresh else "plan-state", sf_dir, build)
+
+
+def _applied(spark: SparkSession, sf_dir: str):
+    """(files, groups, paths, present, plan) after the plan is applied and
+    committed as a new catalog version (later readers see stored tables)."""
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    plan = _plan(spark, sf_dir)
+    files2, groups2, paths2 = DP.applied(files, grps, paths, plan, PLAN_TS)
+    root = scratch_path(spark, "catalog")
+    SNAP.write_catalog({"files": files2, "duplicate_groups": groups2, "paths": paths2}, root, 1)
+    c = SNAP.read_catalog(spark, root)
+    return c["files"], c["duplicate_groups"], c["paths"], present, plan
 
 
 @register("pending_files")
@@ -508,26 +525,22 @@ def q_plan_errors_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("mark_processed")
 def q_mark_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, grps, paths, present = _plan_state(spark, sf_dir)
-    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
-    files2, _, _ = DP.applied(files, grps, paths, plan, PLAN_TS)
+    files, grps, paths, _ = _plan_state(spark, sf_dir)
+    files2, _, _ = DP.applied(files, grps, paths, _plan(spark, sf_dir), PLAN_TS)
     return files2.select("id", "deduplication_status", _ts_text("deduplication_timestamp"))
 
 
 @register("group_processed")
 def q_group_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, grps, paths, present = _plan_state(spark, sf_dir)
-    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
-    _, groups2, _ = DP.applied(files, grps, paths, plan, PLAN_TS)
+    files, grps, paths, _ = _plan_state(spark, sf_dir)
+    _, groups2, _ = DP.applied(files, grps, paths, _plan(spark, sf_dir), PLAN_TS)
     return groups2.select("group_hash", _ts_text("deduplicated_at"))
 
 
 @register("idempotent_rerun")
 def q_idempotent_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the plan, plan again: what is left (no keep, no link)."""
-    files, grps, paths, present = _plan_state(spark, sf_dir)
-    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
-    files2, groups2, paths2 = DP.applied(files, grps, paths, plan, PLAN_TS)
+    files2, groups2, paths2, present, _ = _applied(spark, sf_dir)
     again = DP.dedup_plan(files2, groups2, paths2, present, FX.FIXTURE_STORE)
     return again.groupBy("action", "reason").agg(F.count(F.lit(1)).alias("count"))
 
@@ -536,9 +549,7 @@ def q_idempotent_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_fk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths, duplicates and groups pointing at files that do not exist,
     after a plan is applied (all three must be 0)."""
-    files, grps, paths, present = _plan_state(spark, sf_dir)
-    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
-    files2, groups2, paths2 = DP.applied(files, grps, paths, plan, PLAN_TS)
+    files2, groups2, paths2, _, _ = _applied(spark, sf_dir)
     ids = files2.select(F.col("id").alias("_id"))
     orphans_p = paths2.join(ids, paths2["file_id"] == ids["_id"], "left_anti")
     orphans_m = files2.filter(F.col("master_file_id").isNotNull()).join(
@@ -552,9 +563,8 @@ def q_fk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store_rows(spark: SparkSession, sf_dir: str):
-    files, grps, paths, present = _plan_state(spark, sf_dir, fresh=True)
-    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
-    return files, plan
+    files, _, _, _ = _plan_state(spark, sf_dir, fresh=True)
+    return files, _plan(spark, sf_dir, fresh=True)
 
 
 @register("canonical_store")
@@ -660,9 +670,7 @@ from copyledger.plans import report as RP  # noqa: E402
 
 
 def _after_dedup(spark: SparkSession, sf_dir: str):
-    files, grps, paths, present = _plan_state(spark, sf_dir)
-    plan = DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE)
-    files2, groups2, _ = DP.applied(files, grps, paths, plan, PLAN_TS)
+    files2, groups2, _, _, plan = _applied(spark, sf_dir)
     counters = DP.plan_outcome(plan).select(F.expr(
         "stack(3, 'files_consolidated', cast(files_consolidated as string), "
         "'symlinks_created', cast(symlinks_created as string), "
