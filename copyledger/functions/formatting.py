@@ -71,3 +71,9 @@ def iso_utc(ts) -> Column:
 def display_ts(ts) -> Column:
     """'YYYY-MM-DD HH:MM:SS' in UTC."""
     return F.date_format(utc_wall(ts), "yyyy-MM-dd HH:mm:ss")
+
+
+def utc_ts(text: str) -> Column:
+    """A run time given as 'YYYY-MM-DD HH:MM:SS' in UTC, as a TIMESTAMP
+    (independent of the session time zone)."""
+    return F.lit(f"{text}+00:00").cast("timestamp")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
-from copyledger.functions.formatting import iso_utc, ratio_pct, stat_to_int
+from copyledger.functions.formatting import iso_utc, ratio_pct, stat_to_int, utc_ts
 
 _MEASURES = ("file_count", "total_size", "duplicate_count")
 
@@ -66,7 +66,7 @@ def statistics_table(files: DataFrame, groups: DataFrame, prior_stats: DataFrame
     are carried over from the prior table (0 when absent or not an integer)."""
     s = summary(files, groups)
     spark = files.sparkSession
-    ts = F.lit(updated_at).cast("timestamp")
+    ts = utc_ts(updated_at)
     fresh = s.withColumn("last_scan_iso", iso_utc("last_scan_timestamp")).select(F.expr(
         "stack(8, "
         "'total_files', cast(total_files as string), 'integer', "

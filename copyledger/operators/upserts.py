@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from copyledger import constants as C
 from copyledger import schemas
+from copyledger.functions.formatting import utc_ts
 
 METADATA_COLS = ("file_name", "file_size_bytes", "created_at", "year", "month",
                  "month_day", "project_name")
@@ -21,7 +22,7 @@ KEPT_COLS = ("id", "file_hash", "is_duplicate", "master_file_id",
 def new_file_rows(rows: DataFrame, run_ts: str) -> DataFrame:
     """Catalog rows for freshly listed files (with ids)."""
     return (rows.withColumn("file_hash", F.lit(None).cast("string"))
-            .withColumn("scan_timestamp", F.lit(run_ts).cast("timestamp"))
+            .withColumn("scan_timestamp", utc_ts(run_ts))
             .withColumn("is_duplicate", F.lit(False))
             .withColumn("master_file_id", F.lit(None).cast("long"))
             .withColumn("deduplication_status", F.lit(C.STATUS_PENDING))
@@ -48,7 +49,7 @@ def upsert_files(prior: DataFrame, scanned: DataFrame, run_ts: str) -> DataFrame
         elif c in METADATA_COLS:
             out.append(F.when(seen, F.col("n_" + c)).otherwise(F.col("o_" + c)).alias(c))
         elif c == "scan_timestamp":
-            out.append(F.when(seen, F.lit(run_ts).cast("timestamp")).otherwise(F.col("o_" + c)).alias(c))
+            out.append(F.when(seen, utc_ts(run_ts)).otherwise(F.col("o_" + c)).alias(c))
         elif c == "is_duplicate":
             out.append(F.when(known, F.col("o_" + c)).otherwise(F.lit(False)).alias(c))
         elif c == "deduplication_status":
@@ -66,7 +67,7 @@ def set_hashes(files: DataFrame, hashes: DataFrame, run_ts: str) -> DataFrame:
     j = files.join(h, F.col("id") == F.col("_hid"), "left")
     got = F.col("_new_hash").isNotNull()
     return (j.withColumn("file_hash", F.coalesce("_new_hash", "file_hash"))
-            .withColumn("scan_timestamp", F.when(got, F.lit(run_ts).cast("timestamp"))
+            .withColumn("scan_timestamp", F.when(got, utc_ts(run_ts))
                         .otherwise(F.col("scan_timestamp")))
             .drop("_hid", "_new_hash"))
 
@@ -78,7 +79,7 @@ def upsert_groups(prior_groups: DataFrame, fresh: DataFrame, run_ts: str) -> Dat
                               F.col("created_at").alias("_created"),
                               F.col("deduplicated_at").alias("_done"))
     j = fresh.join(old, F.col("group_hash") == F.col("_g"), "left")
-    return (j.withColumn("created_at", F.coalesce("_created", F.lit(run_ts).cast("timestamp")))
+    return (j.withColumn("created_at", F.coalesce("_created", utc_ts(run_ts)))
             .withColumn("deduplicated_at", F.col("_done"))
             .select(*schemas.GROUPS.fieldNames()))
 
@@ -91,7 +92,7 @@ def mark_processed(files: DataFrame, done_ids: DataFrame, run_ts: str,
     hit = F.col("_done_id").isNotNull()
     return (j.withColumn("deduplication_status", F.when(hit, F.lit(status))
                          .otherwise(F.col("deduplication_status")))
-            .withColumn("deduplication_timestamp", F.when(hit, F.lit(run_ts).cast("timestamp"))
+            .withColumn("deduplication_timestamp", F.when(hit, utc_ts(run_ts))
                         .otherwise(F.col("deduplication_timestamp")))
             .drop("_done_id"))
 
@@ -103,7 +104,7 @@ def mark_groups(groups: DataFrame, done_hashes: DataFrame, run_ts: str) -> DataF
     j = groups.join(d, F.col("group_hash") == F.col("_dh"), "left")
     return (j.withColumn("deduplicated_at", F.when(
         F.col("_dh").isNotNull() & F.col("deduplicated_at").isNull(),
-        F.lit(run_ts).cast("timestamp")).otherwise(F.col("deduplicated_at")))
+        utc_ts(run_ts)).otherwise(F.col("deduplicated_at")))
             .drop("_dh"))
 
 
@@ -112,6 +113,6 @@ def insert_paths(existing: DataFrame, candidates: DataFrame, run_ts: str | None
     key = ["file_id", "path_type", "path"]
     fresh = (candidates.select(*key).dropDuplicates(key)
              .join(existing.select(*key), key, "left_anti"))
-    ts = F.lit(run_ts).cast("timestamp") if run_ts else F.lit(None).cast("timestamp")
+    ts = utc_ts(run_ts) if run_ts else F.lit(None).cast("timestamp")
     return existing.select(*schemas.PATHS.fieldNames()).unionByName(
         fresh.withColumn("created_at", ts).select(*schemas.PATHS.fieldNames()))

@@ -18,6 +18,7 @@ from copyledger.operators.listing import catalog_rows
 from copyledger.session import scratch_root
 from copyledger.sources import fixture as FX
 from copyledger.sources.snapshots import _exists, stage_path
+from copyledger.functions.formatting import utc_ts
 
 
 def build_files(rows: DataFrame, fp_col: str, scan_ts: Column, key: str = "hash",
@@ -86,7 +87,7 @@ def fixture_catalog(spark: SparkSession, sf_dir: str, verify: str = "sampled",
         files = (files.withColumn("deduplication_status",
                                   F.when(done, F.lit(C.STATUS_DONE)).otherwise(F.lit(C.STATUS_PENDING)))
                  .withColumn("deduplication_timestamp",
-                             F.when(done, F.lit(DONE_TS).cast("timestamp"))))
+                             F.when(done, utc_ts(DONE_TS))))
     return files
 
 

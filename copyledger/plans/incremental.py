@@ -21,6 +21,7 @@ from copyledger.operators import gate as G
 from copyledger.operators import upserts as U
 from copyledger.operators.groups import apply_flags, groups_from_hashed
 from copyledger.operators.ids import assign_ids, max_id
+from copyledger.functions.formatting import utc_ts
 
 Hasher = Callable[[DataFrame], DataFrame]
 
@@ -78,4 +79,4 @@ def path_rows(files: DataFrame, run_ts: str) -> DataFrame:
     """The 'original' alias row of every catalog file."""
     return files.select(F.col("id").alias("file_id"), F.lit("original").alias("path_type"),
                         F.col("original_path").alias("path"),
-                        F.lit(run_ts).cast("timestamp").alias("created_at"))
+                        utc_ts(run_ts).alias("created_at"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from copyledger import constants as C
 from copyledger.functions import fingerprint as fp
 from copyledger.functions import formatting as fmt
+from copyledger.functions.formatting import utc_ts
 from copyledger.operators import gate, groups, listing, stats
 from copyledger.plans import catalog as cat
 from copyledger.session import ship_package
@@ -349,7 +350,7 @@ def _prior_stats(spark, sf_dir):
     counters = counts.select(F.expr(
         "stack(3, 'files_deduplicated', cast(d as string), 'symlinks_created', cast(s as string), "
         "'files_consolidated', cast(d - s as string)) as (stat_name, stat_value)")) \
-        .withColumn("stat_type", F.lit("integer")).withColumn("updated_at", F.lit(RUN1).cast("timestamp"))
+        .withColumn("stat_type", F.lit("integer")).withColumn("updated_at", utc_ts(RUN1))
     return stats.upsert_stats(base, counters)
 
 
@@ -400,7 +401,7 @@ def _plan_state(spark: SparkSession, sf_dir: str, fresh: bool = False):
     """
     files = cat.fixture_catalog(spark, sf_dir, with_state=not fresh)
     grps = (cat.fixture_groups(spark, sf_dir)
-            .withColumn("created_at", F.lit(RUN2).cast("timestamp"))
+            .withColumn("created_at", utc_ts(RUN2))
             .withColumn("deduplicated_at", F.lit(None).cast("timestamp")))
     originals = files.select(F.col("id").alias("file_id"), F.lit(C.PATH_ORIGINAL).alias("path_type"),
                              F.col("original_path").alias("path"),
@@ -411,7 +412,7 @@ def _plan_state(spark: SparkSession, sf_dir: str, fresh: bool = False):
     recorded = _with_store_path(
         files.filter((F.col("id") % FX.CONSOLIDATED_EVERY == 0) & ~F.col("is_duplicate")), "_p").select(
         F.col("id").alias("file_id"), F.lit(C.PATH_CONSOLIDATED).alias("path_type"),
-        F.col("_p").alias("path"), F.lit(RUN2).cast("timestamp").alias("created_at"))
+        F.col("_p").alias("path"), utc_ts(RUN2).alias("created_at"))
     present = present.filter(F.col("id") % FX.MISSING_EVERY != 0).select("path")
     # The alias table is a stored table in a real catalog: stage it (once).
     paths = cat.staged_once(spark, "fixture-paths", sf_dir, lambda: originals.unionByName(recorded))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger.functions import fingerprint as fp
+from copyledger.functions.formatting import utc_ts
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES of the fixture layout (see FIXTURES.md section 2)
@@ -82,5 +83,5 @@ def fixture_listing(spark: SparkSession, sf_dir: str, with_content: bool = False
 
 
 def batch_run_ts(batch_col: Column) -> Column:
-    return F.when(batch_col == 1, F.lit(BATCH_RUN_TS[0]).cast("timestamp")) \
-        .otherwise(F.lit(BATCH_RUN_TS[1]).cast("timestamp"))
+    return F.when(batch_col == 1, utc_ts(BATCH_RUN_TS[0])) \
+        .otherwise(utc_ts(BATCH_RUN_TS[1]))
