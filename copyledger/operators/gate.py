@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copyledger.functions import paths as P
 
 
 def size_classes(files: DataFrame, min_members: int = 2) -> DataFrame:
@@ -42,27 +41,22 @@ def apply_gate(files: DataFrame, fp_col: str, scope: DataFrame | None = None) ->
 
 
 def cross_batch_candidates(new_rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Batch-scope gate of the original tool: for sizes held by >= 2 new rows,
-    the catalog rows of equal size and case-insensitively equal name (not the
-    new row itself)."""
+    """Batch-scope gate of the original tool: catalog rows of equal size and
+    case-insensitively equal name to a new row whose size is held by >= 2 new
+    rows.  The new side is first reduced to one row per (size, name) with its
+    match count, so a hot key never yields all new x old pairs."""
     batch_sizes = size_classes(new_rows).select("file_size_bytes")
-    new_c = new_rows.join(batch_sizes, "file_size_bytes", "left_semi").select(
-        F.col("id").alias("new_id"), "file_size_bytes",
-        F.lower("file_name").alias("name_key"))
+    keys = (new_rows.join(batch_sizes, "file_size_bytes", "left_semi")
+            .groupBy("file_size_bytes", F.lower("file_name").alias("name_key"))
+            .agg(F.count(F.lit(1)).alias("new_matches")))
     old_c = catalog.select(
         F.col("id").alias("old_id"), "file_size_bytes",
         F.lower("file_name").alias("name_key"),
         F.col("original_path").alias("old_path"),
         F.col("file_hash").alias("old_hash"))
-    return (new_c.join(old_c, ["file_size_bytes", "name_key"], "inner")
-            .filter(F.col("new_id") != F.col("old_id"))
-            .select("new_id", "old_id", "file_size_bytes", "old_path", "old_hash"))
-
-
-def same_name_matches(new_rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Equality helper exposed for tests: ``lower(a) = lower(b)``."""
-    return new_rows.alias("n").join(
-        catalog.alias("o"), P.same_name(F.col("n.file_name"), F.col("o.file_name")), "inner")
+    # New and catalog rows are disjoint path sets, so a match is never the row itself.
+    return (old_c.join(keys, ["file_size_bytes", "name_key"], "inner")
+            .select("old_id", "file_size_bytes", "old_path", "old_hash", "new_matches"))
 
 
 def backfill_candidates(catalog: DataFrame) -> DataFrame:

@@ -278,10 +278,10 @@ f2 AS (
 
 ORACLES["incremental_new_files"] = _with(BATCH_CTES, "SELECT id, original_path FROM b2")
 ORACLES["cross_batch_candidates"] = _with(BATCH_CTES, """
-SELECT n.id AS new_id, o.id AS old_id, n.file_size_bytes, o.original_path AS old_path,
-       o.file_hash AS old_hash
+SELECT o.id AS old_id, o.file_size_bytes, o.original_path AS old_path, o.file_hash AS old_hash,
+       count(*) AS new_matches
 FROM b2c n JOIN b1h o ON n.file_size_bytes = o.file_size_bytes AND lower(n.file_name) = lower(o.file_name)
-WHERE n.id <> o.id""")
+GROUP BY o.id, o.file_size_bytes, o.original_path, o.file_hash""")
 ORACLES["assign_ids"] = _with(BATCH_CTES, """
 SELECT original_path, (SELECT max(id) FROM b1) + row_number() OVER (ORDER BY original_path) AS id FROM b2""")
 ORACLES["catalog_upsert"] = _with(BATCH_CTES + """,

@@ -46,7 +46,7 @@ def hash_candidates(files: DataFrame, new_rows: DataFrame, prior_files: DataFram
     if scope == "batch":
         in_batch = G.size_candidates(new_rows).select("id", "original_path", "file_size_bytes")
         partners = G.cross_batch_candidates(new_rows, prior_files) \
-            .filter(F.col("old_hash").isNull()).select(F.col("old_id").alias("id")).distinct()
+            .filter(F.col("old_hash").isNull()).select(F.col("old_id").alias("id"))
         old = partners.join(prior_files.select("id", "original_path", "file_size_bytes"), "id")
         return in_batch.unionByName(old).dropDuplicates(["id"])
     raise ValueError(f"unknown candidate scope {scope!r}")

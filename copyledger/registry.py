@@ -656,9 +656,8 @@ def q_media_sampled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled fingerprints read from the files of the tree, for every
     catalogued file (no gate): equal to the column-computed fingerprints."""
     rows, root = _tree_rows(spark, sf_dir)
-    rows = rows.withColumn("id", F.monotonically_increasing_id())
-    hashes = SR.read_fingerprints(rows)
-    return rows.join(hashes, "id").select(
+    hashes = SR.read_fingerprints(rows.withColumn("id", F.lit(0).cast("long")))
+    return rows.join(hashes, rows["original_path"] == hashes["path"]).select(
         F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"), "file_size_bytes",
         "file_hash", "hash_error")
 

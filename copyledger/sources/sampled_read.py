@@ -20,7 +20,7 @@ from copyledger.session import pickle_by_value
 
 pickle_by_value(__name__)
 
-OUT_SCHEMA = "id long, file_hash string, hash_error string"
+OUT_SCHEMA = "id long, path string, file_hash string, hash_error string"
 
 
 def _open(path: str):
@@ -69,13 +69,14 @@ def _hash_batches(verify: str):
                 except OSError as e:
                     hashes.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"id": pdf["id"].astype("int64"), "file_hash": hashes, "hash_error": errors})
+            yield pd.DataFrame({"id": pdf["id"].astype("int64"), "path": pdf["path"],
+                                "file_hash": hashes, "hash_error": errors})
     return fn
 
 
 def read_fingerprints(candidates: DataFrame, verify: str = "sampled",
                       path_col: str = "original_path") -> DataFrame:
-    """(id, file_hash, hash_error) for the candidate rows."""
+    """(id, path, file_hash, hash_error) for the candidate rows."""
     rows = candidates.select("id", candidates[path_col].alias("path"))
     return rows.mapInPandas(_hash_batches(verify), OUT_SCHEMA)
 

@@ -55,5 +55,5 @@ def test_cross_batch_candidates(spark):
                                  (3, 5, "solo.mp4", "/o/3", None)],
                                 "id long, file_size_bytes long, file_name string, original_path string, "
                                 "file_hash string")
-    got = sorted((r.new_id, r.old_id) for r in gate.cross_batch_candidates(new, old).collect())
-    assert got == [(10, 1)]      # size 5 has one new row only; names compare case-insensitively
+    got = sorted((r.old_id, r.new_matches) for r in gate.cross_batch_candidates(new, old).collect())
+    assert got == [(1, 1)]      # size 5 has one new row only; names compare case-insensitively
