@@ -665,3 +665,6 @@ ORACLES["verify_full_groups"] = _with(catalog_ctes() + """,
 mem AS (SELECT h.id FROM hashed h JOIN grp g ON h.file_hash = g.group_hash),
 ref AS (SELECT id, file_size_bytes, CASE WHEN id IN (SELECT id FROM mem) THEN content_fp_full ELSE file_hash END
           AS file_hash FROM hashed)""" + _groups_and_flags("ref"), "SELECT * FROM g2")
+ORACLES["snapshot_roundtrip"] = _with(catalog_ctes(), """
+SELECT id, original_path, file_hash, is_duplicate, master_file_id, deduplication_status FROM cat
+WHERE year = '2024' AND month = 'march'""")

@@ -736,3 +736,18 @@ def q_verify_full_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = cat.fixture_rows(spark, sf_dir).select("id", F.col("content_fp_full").alias("full_hash"))
     _, refined = groups.verify_full(files, full)
     return refined
+
+
+@register("snapshot_roundtrip")
+def q_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit the catalog (all four tables) as version 1 of a fresh store,
+    then read one month back (partition pruning on year, pushed month filter)."""
+    root = scratch_path(spark, "catalog")
+    files = cat.fixture_catalog(spark, sf_dir)
+    grps = cat.fixture_groups(spark, sf_dir).withColumn("created_at", utc_ts(RUN2)) \
+        .withColumn("deduplicated_at", F.lit(None).cast("timestamp"))
+    st = stats.statistics_table(files, grps, None, RUN2)
+    SNAP.write_catalog({"files": files, "duplicate_groups": grps, "statistics": st,
+                        "paths": INC.path_rows(files, RUN2)}, root)
+    return SNAP.read_files_scoped(spark, root, SUBFOLDER, (
+        "id", "original_path", "file_hash", "is_duplicate", "master_file_id", "deduplication_status"))

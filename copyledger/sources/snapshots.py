@@ -109,3 +109,18 @@ def local_dir(path: str) -> str:
 def is_local(path: str) -> bool:
     return path.startswith("/") or path.startswith("file:")
 
+
+
+def read_files_scoped(spark: SparkSession, root: str, subfolder: str | None = None,
+                      columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The latest ``files`` table, optionally scoped to ``year/month``: the
+    year prunes partitions, the month becomes a pushed parquet filter."""
+    from pyspark.sql import functions as F
+
+    files = read_table(spark, root, "files")
+    if subfolder:
+        parts = [p for p in subfolder.strip("/").split("/") if p]
+        if len(parts) != 2:
+            raise ValueError("subfolder must be exactly 'year/month'")
+        files = files.filter((F.col("year") == parts[0]) & (F.col("month") == parts[1]))
+    return files.select(*columns) if columns else files
