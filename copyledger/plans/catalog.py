@@ -95,3 +95,18 @@ def fixture_groups(spark: SparkSession, sf_dir: str, verify: str = "sampled") ->
     rows = fixture_rows(spark, sf_dir)
     fp_col = "content_fp" if verify == "sampled" else "content_fp_full"
     return groups_from_hashed(apply_gate(rows, fp_col))
+
+
+def committed_once(spark: SparkSession, name: str, sf_dir: str, build) -> dict[str, DataFrame]:
+    """Commit ``build()`` (a dict of catalog tables) as version 1 of a catalog
+    in the shared folder, once per session; return the stored tables."""
+    from copyledger.session import scratch_path
+    from copyledger.sources import snapshots as SNAP
+
+    key = (spark.sparkContext.applicationId, scratch_root(spark), f"{name}:{sf_dir}")
+    root = _STAGED.get(key)
+    if root is None or not SNAP.published_versions(spark, root, "files"):
+        root = scratch_path(spark, name)
+        SNAP.write_catalog(build(), root, 1)
+        _STAGED[key] = root
+    return SNAP.read_catalog(spark, root)

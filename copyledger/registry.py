@@ -258,9 +258,15 @@ def _empty(spark, table: str) -> DataFrame:
 
 
 def _batch1(spark, sf_dir, scope: str = "catalog"):
-    return INC.scan_increment(_empty(spark, "files"), _empty(spark, "duplicate_groups"),
-                              _batch_rows(spark, sf_dir, 1), RUN1,
-                              _fixture_hasher(spark, sf_dir), scope=scope)
+    """The catalog after scan batch 1, committed once per session (a prior
+    catalog is always a stored snapshot)."""
+    def build():
+        files, grps = INC.scan_increment(_empty(spark, "files"), _empty(spark, "duplicate_groups"),
+                                         _batch_rows(spark, sf_dir, 1), RUN1,
+                                         _fixture_hasher(spark, sf_dir), scope=scope)
+        return {"files": files, "duplicate_groups": grps}
+    c = cat.committed_once(spark, f"batch1-{scope}", sf_dir, build)
+    return c["files"], c["duplicate_groups"]
 
 
 @register("incremental_new_files")
