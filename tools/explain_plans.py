@@ -20,7 +20,7 @@ def main() -> None:
     spark = build_session(app_name="copyledger-explain")
     for name in sys.argv[2:]:
         df = REGISTRY[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        df.collect()   # same QueryExecution: explain shows the final AQE plan
         print(f"===== {name} =====")
         df.explain("formatted")
 
