@@ -54,8 +54,17 @@ def hash_candidates(files: DataFrame, new_rows: DataFrame, prior_files: DataFram
 
 def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: DataFrame,
                    run_ts: str, hasher: Hasher, scope: str = "catalog",
-                   mode: str = "skip_known") -> tuple[DataFrame, DataFrame]:
-    """(files, groups) after one scan batch."""
+                   mode: str = "skip_known", recompute: str = "affected") -> tuple[DataFrame, DataFrame]:
+    """(files, groups) after one scan batch.
+
+    ``recompute="affected"`` (catalog scope, skip_known) touches only what the
+    batch can change: the gate runs over rows whose size occurs in the batch,
+    and groups and flags are rebuilt only for the hashes fingerprinted now.
+    That relies on the prior catalog being gate-complete (every row whose size
+    is shared carries a hash), which every catalog-scope run leaves behind; a
+    catalog scanned otherwise is completed by ``backfill_candidates``.
+    ``recompute="full"`` rebuilds the gate and all groups from the whole catalog.
+    """
     fresh = with_ids(new_paths(scanned, prior_files), prior_files)
     if mode == "skip_known":
         files = prior_files.select(*schemas.FILES.fieldNames()).unionByName(
@@ -66,6 +75,8 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
         files = U.upsert_files(prior_files, rows, run_ts)
     else:
         raise ValueError(f"unknown scan mode {mode!r}")
+    if recompute == "affected" and scope == "catalog" and mode == "skip_known":
+        return _affected_update(files, prior_groups, fresh, run_ts, hasher)
     need = hash_candidates(files, fresh, prior_files, scope)
     hashes = hasher(need)
     files = U.set_hashes(files, hashes, run_ts)
@@ -75,6 +86,32 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
     return files, groups
 
 
+def _affected_update(files: DataFrame, prior_groups: DataFrame, fresh: DataFrame, run_ts: str,
+                     hasher: Hasher) -> tuple[DataFrame, DataFrame]:
+    # Sizes of this batch: only they can change the gate.
+    sizes = fresh.filter(F.col("file_size_bytes").isNotNull()).select("file_size_bytes").distinct()
+    touched = files.join(sizes, "file_size_bytes", "left_semi")
+    need = G.backfill_candidates(touched).select("id", "original_path", "file_size_bytes")
+    hashes = hasher(need).filter(F.col("file_hash").isNotNull() & (F.col("file_hash") != ""))
+    files = U.set_hashes(files, hashes, run_ts)
+    # Hashes fingerprinted now: only their groups can change.
+    affected = hashes.select(F.col("file_hash").alias("group_hash")).distinct()
+    members = files.join(affected, files["file_hash"] == affected["group_hash"], "left_semi")
+    regrouped = groups_from_hashed(members)
+    marks = affected.select(F.col("group_hash").alias("_aff"))
+    reflagged = apply_flags(members, regrouped).select(
+        F.col("id").alias("_rid"), F.col("is_duplicate").alias("_dup"), F.col("master_file_id").alias("_m"))
+    hit = F.col("_rid").isNotNull()
+    files = (files.join(reflagged, F.col("id") == F.col("_rid"), "left")
+             .withColumn("is_duplicate", F.when(hit, F.col("_dup")).otherwise(F.col("is_duplicate")))
+             .withColumn("master_file_id", F.when(hit, F.col("_m")).otherwise(F.col("master_file_id")))
+             .select(*schemas.FILES.fieldNames()))
+    kept = prior_groups.join(marks, prior_groups["group_hash"] == marks["_aff"], "left_anti")
+    renewed = U.upsert_groups(prior_groups.join(marks, prior_groups["group_hash"] == marks["_aff"],
+                                                "left_semi"), regrouped, run_ts)
+    return files, kept.select(*schemas.GROUPS.fieldNames()).unionByName(renewed)
+
+
 def path_rows(files: DataFrame, run_ts: str) -> DataFrame:
     """The 'original' alias row of every catalog file."""
     return files.select(F.col("id").alias("file_id"), F.lit("original").alias("path_type"),

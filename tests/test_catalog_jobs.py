@@ -59,3 +59,19 @@ def test_layout_filters(spark):
                           "/r/2025/october/10_01/_projB/c.mp4", "/r/2025/october/10_01/pr oj=C/é f.mp4"])
     sub = listing.catalog_rows(df, "/r", subfolder="2025/october").count()
     assert sub == 6
+
+
+def test_affected_update_equals_full_recompute(spark):
+    from copyledger.plans import incremental as INC
+    from copyledger import registry as R
+
+    sf = "/root/testdata/sf0.01"         # 14 groups span both batches here (none at sf0.001)
+    b1f, b1g = R._batch1(spark, sf)
+    rows2 = R._batch_rows(spark, sf, 2)
+    h = R._fixture_hasher(spark, sf)
+    f_aff, g_aff = INC.scan_increment(b1f, b1g, rows2, R.RUN2, h, recompute="affected")
+    f_full, g_full = INC.scan_increment(b1f, b1g, rows2, R.RUN2, h, recompute="full")
+    cols = ["id", "file_hash", "is_duplicate", "master_file_id", "scan_timestamp"]
+    assert _set(f_aff, *cols) == _set(f_full, *cols)
+    gcols = ["group_hash", "master_file_id", "duplicate_count", "total_size_bytes", "created_at"]
+    assert _set(g_aff, *gcols) == _set(g_full, *gcols)

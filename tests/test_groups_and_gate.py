@@ -57,3 +57,24 @@ def test_cross_batch_candidates(spark):
                                 "file_hash string")
     got = sorted((r.old_id, r.new_matches) for r in gate.cross_batch_candidates(new, old).collect())
     assert got == [(1, 1)]      # size 5 has one new row only; names compare case-insensitively
+
+
+def test_verify_full_splits_sampled_collision(spark):
+    # ids 1, 2: equal sampled hash, different content; 3: a true copy of 1.
+    files = spark.createDataFrame(
+        [(1, 20000, "s"), (2, 20000, "s"), (3, 20000, "s"), (4, 10, None)],
+        "id long, file_size_bytes long, file_hash string")
+    full = spark.createDataFrame([(1, "fa"), (2, "fb"), (3, "fa"), (4, "fx")], "id long, full_hash string")
+    refined, g = groups.verify_full(files, full)
+    assert [(r.group_hash, r.master_file_id, r.duplicate_count) for r in g.collect()] == [("fa", 1, 1)]
+    hashes = {r.id: r.file_hash for r in refined.collect()}
+    assert hashes == {1: "fa", 2: "fb", 3: "fa", 4: None}     # non-members keep their value
+
+
+def test_legacy_group_skip(spark):
+    g = spark.createDataFrame([("a", 1, 1, None), ("b", 2, 1, "2025-01-01 00:00:00"), ("c", 3, 0, None)],
+                              "group_hash string, master_file_id long, duplicate_count long, "
+                              "deduplicated_at string").withColumn("deduplicated_at",
+                                                                   F.col("deduplicated_at").cast("timestamp"))
+    assert sorted(r.group_hash for r in groups.groups_for_processing(g).collect()) == ["a", "b"]
+    assert [r.group_hash for r in groups.groups_for_processing(g, legacy_group_skip=True).collect()] == ["a"]
