@@ -87,7 +87,9 @@ def _entry_row(entry: os.DirEntry):
     try:
         is_link = entry.is_symlink()
         st = entry.stat(follow_symlinks=False)
-        mtime = _dt.datetime.fromtimestamp(st.st_mtime)
+        # Creation time: birth time where the platform reports it, else mtime
+        # (local wall clock, as the catalog stores it).
+        mtime = _dt.datetime.fromtimestamp(getattr(st, "st_birthtime", st.st_mtime))
         return (entry.path, int(st.st_size), mtime, is_link, None)
     except OSError as e:
         return (entry.path, None, None, False, f"{type(e).__name__}: {e}")
