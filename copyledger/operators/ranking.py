@@ -25,10 +25,20 @@ _LOW_BITS = 33
 SMALL_INPUT_ROWS = 1_000_000
 
 
+def is_small(df: DataFrame, small_rows: int = SMALL_INPUT_ROWS) -> bool:
+    return bool(small_rows) and df.limit(small_rows + 1).count() <= small_rows
+
+
 def rank_within(df: DataFrame, key_cols: list[str], order_cols: list[str],
-                out_col: str = "rank0", small_rows: int = SMALL_INPUT_ROWS) -> DataFrame:
-    """0-based position of each row within ``key_cols`` in ``order_cols`` order."""
-    if small_rows and df.limit(small_rows + 1).count() <= small_rows:
+                out_col: str = "rank0", small_rows: int = SMALL_INPUT_ROWS,
+                small: bool | None = None) -> DataFrame:
+    """0-based position of each row within ``key_cols`` in ``order_cols`` order.
+
+    ``small``: the caller already knows the input is at most ``small_rows``
+    rows (True) or may be larger (False); None checks with a count."""
+    if small is None:
+        small = is_small(df, small_rows)
+    if small:
         w = Window.partitionBy(*key_cols).orderBy(*order_cols)
         return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("long"))
     n = max(shuffle_partitions(df.sparkSession), 1)

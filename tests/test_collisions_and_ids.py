@@ -29,8 +29,10 @@ def _check(spark, cands, taken):
     cdf = spark.createDataFrame([(i, d, b, 0, i) for i, d, b in cands],
                                 "id long, dir string, base string, ord0 int, ord1 long")
     tdf = spark.createDataFrame(taken or [("/none", "none")], "dir string, name string")
-    got = {r.id: r.name for r in resolve_counters(cdf, tdf).collect()}
-    assert got == sequential(cands, taken)
+    want = sequential(cands, taken)
+    for small_rows in (0, 1_000_000):      # skew-safe ranks, then the size-checked window path
+        got = {r.id: r.name for r in resolve_counters(cdf, tdf, small_rows=small_rows).collect()}
+        assert got == want, small_rows
 
 
 def test_counters_simple_and_taken_gaps(spark):
