@@ -668,3 +668,6 @@ ref AS (SELECT id, file_size_bytes, CASE WHEN id IN (SELECT id FROM mem) THEN co
 ORACLES["snapshot_roundtrip"] = _with(catalog_ctes(), """
 SELECT id, original_path, file_hash, is_duplicate, master_file_id, deduplication_status FROM cat
 WHERE year = '2024' AND month = 'march'""")
+
+ORACLES["incremental_paths"] = ORACLES["path_insert_ignore"]
+ORACLES["incremental_statistics"] = ORACLES["statistics_table"]

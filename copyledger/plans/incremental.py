@@ -54,7 +54,8 @@ def hash_candidates(files: DataFrame, new_rows: DataFrame, prior_files: DataFram
 
 def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: DataFrame,
                    run_ts: str, hasher: Hasher, scope: str = "catalog",
-                   mode: str = "skip_known", recompute: str = "affected") -> tuple[DataFrame, DataFrame]:
+                   mode: str = "skip_known", recompute: str = "affected",
+                   skip_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """(files, groups) after one scan batch.
 
     ``recompute="affected"`` (catalog scope, skip_known) touches only what the
@@ -64,7 +65,14 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
     is shared carries a hash), which every catalog-scope run leaves behind; a
     catalog scanned otherwise is completed by ``backfill_candidates``.
     ``recompute="full"`` rebuilds the gate and all groups from the whole catalog.
+    ``skip_hash`` records the new rows only (no gate, groups unchanged).
     """
+    files, groups, _ = _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode,
+                             recompute, skip_hash)
+    return files, groups
+
+
+def _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode, recompute, skip_hash):
     fresh = with_ids(new_paths(scanned, prior_files), prior_files)
     if mode == "skip_known":
         files = prior_files.select(*schemas.FILES.fieldNames()).unionByName(
@@ -75,15 +83,17 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
         files = U.upsert_files(prior_files, rows, run_ts)
     else:
         raise ValueError(f"unknown scan mode {mode!r}")
+    if skip_hash:
+        return files, prior_groups.select(*schemas.GROUPS.fieldNames()), fresh
     if recompute == "affected" and scope == "catalog" and mode == "skip_known":
-        return _affected_update(files, prior_groups, fresh, run_ts, hasher)
+        return (*_affected_update(files, prior_groups, fresh, run_ts, hasher), fresh)
     need = hash_candidates(files, fresh, prior_files, scope)
     hashes = hasher(need)
     files = U.set_hashes(files, hashes, run_ts)
     groups_now = groups_from_hashed(files)
     files = apply_flags(files, groups_now).select(*schemas.FILES.fieldNames())
     groups = U.upsert_groups(prior_groups, groups_now, run_ts)
-    return files, groups
+    return files, groups, fresh
 
 
 def _affected_update(files: DataFrame, prior_groups: DataFrame, fresh: DataFrame, run_ts: str,
@@ -117,3 +127,19 @@ def path_rows(files: DataFrame, run_ts: str) -> DataFrame:
     return files.select(F.col("id").alias("file_id"), F.lit("original").alias("path_type"),
                         F.col("original_path").alias("path"),
                         utc_ts(run_ts).alias("created_at"))
+
+
+def scan_batch(catalog: dict[str, DataFrame], scanned: DataFrame, run_ts: str, hasher: Hasher,
+               scope: str = "catalog", mode: str = "skip_known", skip_hash: bool = False,
+               recompute: str = "affected") -> dict[str, DataFrame]:
+    """One complete scan run over a stored catalog: files and groups, the
+    'original' alias row of every new file (insert-or-ignore), and the
+    statistics refreshed with the deduplication counters carried over."""
+    from copyledger.operators import stats as S
+
+    files, groups, fresh = _scan(catalog["files"], catalog["duplicate_groups"], scanned, run_ts,
+                                 hasher, scope, mode, recompute, skip_hash)
+    paths = U.insert_paths(catalog["paths"], path_rows(fresh, run_ts), run_ts)
+    fresh_stats = S.statistics_table(files, groups, catalog["statistics"], run_ts)
+    stats = S.upsert_stats(catalog["statistics"], fresh_stats)
+    return {"files": files, "duplicate_groups": groups, "paths": paths, "statistics": stats}

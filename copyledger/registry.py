@@ -315,19 +315,42 @@ def q_group_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grps.select(*groups.GROUP_COLS, _ts_text("created_at"))
 
 
+def _two_scan_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two complete scan runs (batch 1, then batch 2), each committed as a
+    catalog version of all four tables; returns the stored version 2."""
+    def build():
+        root = scratch_path(spark, "catalog")
+        empty = SNAP.read_catalog(spark, root)
+        SNAP.write_catalog(INC.scan_batch(empty, _batch_rows(spark, sf_dir, 1), RUN1,
+                                          _fixture_hasher(spark, sf_dir)), root, 1)
+        v1 = SNAP.read_catalog(spark, root)
+        return INC.scan_batch(v1, _batch_rows(spark, sf_dir, 2), RUN2, _fixture_hasher(spark, sf_dir))
+    return cat.committed_once(spark, "two-scan-runs", sf_dir, build)
+
+
 @register("incremental_groups")
 def q_incremental_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two scan batches, each committed as a catalog snapshot version; the
+    """Two scan runs, each committed as a catalog snapshot version; the
     groups read back from version 2 equal a single scan of everything."""
-    root = scratch_path(spark, "catalog")
-    files1, groups1 = _batch1(spark, sf_dir)
-    SNAP.write_catalog({"files": files1, "duplicate_groups": groups1}, root, 1)
-    prior = SNAP.read_catalog(spark, root)
-    files2, groups2 = INC.scan_increment(prior["files"], prior["duplicate_groups"],
-                                         _batch_rows(spark, sf_dir, 2), RUN2,
-                                         _fixture_hasher(spark, sf_dir))
-    SNAP.write_catalog({"files": files2, "duplicate_groups": groups2}, root, 2)
-    return SNAP.read_table(spark, root, "duplicate_groups").select(*groups.GROUP_COLS)
+    return _two_scan_runs(spark, sf_dir)["duplicate_groups"].select(*groups.GROUP_COLS)
+
+
+@register("incremental_paths")
+def q_incremental_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alias table after the two runs: one 'original' row per file."""
+    p = _two_scan_runs(spark, sf_dir)["paths"]
+    return p.select("file_id", "path_type", "path", _ts_text("created_at"))
+
+
+@register("incremental_statistics")
+def q_incremental_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics refreshed by the second run (counters carried, still 0)."""
+    table = _two_scan_runs(spark, sf_dir)["statistics"]
+    numeric = F.col("stat_type") != "datetime"
+    return table.select(
+        "stat_name", "stat_type",
+        F.when(numeric, F.col("stat_value").cast("double")).alias("value_num"),
+        F.when(~numeric, F.col("stat_value")).alias("value_text"))
 
 
 @register("incremental_batch_scope")
@@ -340,9 +363,9 @@ def q_incremental_batch_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_backfill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch 2 scanned without hashing; rows still unhashed whose size is
     shared across the catalog are the ones a backfill must fingerprint."""
-    files1, _ = _batch1(spark, sf_dir)
-    skipped = U.new_file_rows(_batch_rows(spark, sf_dir, 2), RUN2).select(*schemas.FILES.fieldNames())
-    catalog = files1.select(*schemas.FILES.fieldNames()).unionByName(skipped)
+    files1, groups1 = _batch1(spark, sf_dir)
+    catalog, _ = INC.scan_increment(files1, groups1, _batch_rows(spark, sf_dir, 2), RUN2,
+                                    _fixture_hasher(spark, sf_dir), skip_hash=True)
     return gate.backfill_candidates(catalog).select("id", "file_size_bytes")
 
 

@@ -42,9 +42,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_root: str, root: str,
     rows = catalog_rows(batch, root, keep=keep)
     if keep:
         rows = rows.filter(F.col("id").isNotNull())
-    files, groups = INC.scan_increment(prior["files"], prior["duplicate_groups"], rows,
-                                       batch_run_ts(base_ts, batch_id), hasher, scope=scope)
-    SNAP.write_catalog({"files": files, "duplicate_groups": groups}, catalog_root, version)
+    tables = INC.scan_batch(prior, rows, batch_run_ts(base_ts, batch_id), hasher, scope=scope)
+    SNAP.write_catalog(tables, catalog_root, version)
 
 
 def run_ingest(spark: SparkSession, listing_dir: str, catalog_root: str, checkpoint: str, root: str,
