@@ -489,7 +489,7 @@ ORACLES["collision_names"] = _with(plan_ctes(False).replace(
 ORACLES["link_targets"] = _with(PLAN_FRESH + """,
 lt0 AS (SELECT d.id, d.master_file_id, m.sdir || '/' || m.sbase AS master_dst,
           regexp_extract(d.original_path, '(?s)^(.*)/[^/]*$', 1) AS parent
-        FROM ps d JOIN ps m ON d.master_file_id = m.id WHERE d.is_duplicate)""".replace(",\nlt0", ",\nlt0") +
+        FROM ps d JOIN ps m ON d.master_file_id = m.id WHERE d.is_duplicate)""" +
     relpath_ctes("lt0", "master_dst", "parent", "link_target").replace("rp", "rq"),
     f"SELECT id, master_file_id, link_target, {dotdots_sql('link_target')} AS dotdots FROM rq4")
 ORACLES["dedup_plan"] = _with(PLAN_STATE, "SELECT file_id, action, src, dst, link_target, reason, phase FROM plan")

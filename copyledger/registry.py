@@ -14,13 +14,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
+from copyledger import schemas
 from copyledger.functions import fingerprint as fp
 from copyledger.functions import formatting as fmt
+from copyledger.functions import paths as P
 from copyledger.functions.formatting import utc_ts
 from copyledger.operators import gate, groups, listing, stats
+from copyledger.operators import upserts as U
+from copyledger.operators.collisions import resolve_counters
 from copyledger.plans import catalog as cat
-from copyledger.session import ship_package
+from copyledger.plans import dedup_plan as DP
+from copyledger.plans import incremental as INC
+from copyledger.plans import report as RP
+from copyledger.plans import store as ST
+from copyledger.session import scratch_path, ship_package
 from copyledger.sources import fixture as FX
+from copyledger.sources import media_files as MF
+from copyledger.sources import sampled_read as SR
+from copyledger.sources import snapshots as SNAP
+from copyledger.sources import tree_writer as TW
+from copyledger.streaming import ingest as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -223,12 +236,6 @@ def q_format_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Incremental catalog: batch 1, then batch 2
 # ---------------------------------------------------------------------------
 
-from copyledger.operators import ids as I  # noqa: E402
-from copyledger.operators import upserts as U  # noqa: E402
-from copyledger.plans import incremental as INC  # noqa: E402
-from copyledger import schemas  # noqa: E402
-from copyledger.sources import snapshots as SNAP  # noqa: E402
-from copyledger.session import scratch_path  # noqa: E402
 
 RUN1, RUN2 = FX.BATCH_RUN_TS
 SCANNED = ("original_path", "file_name", "file_size_bytes", "created_at",
@@ -408,10 +415,6 @@ def q_path_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Deduplication plan, canonical store and alias tables
 # ---------------------------------------------------------------------------
 
-from copyledger.functions import paths as P  # noqa: E402
-from copyledger.operators.collisions import resolve_counters  # noqa: E402
-from copyledger.plans import dedup_plan as DP  # noqa: E402
-from copyledger.plans import store as ST  # noqa: E402
 
 PLAN_TS = "2025-03-15 00:00:00"
 
@@ -632,9 +635,6 @@ def q_rebuild_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Real directory trees: listing source + sampled reads from storage
 # ---------------------------------------------------------------------------
 
-from copyledger.sources import media_files as MF  # noqa: E402
-from copyledger.sources import sampled_read as SR  # noqa: E402
-from copyledger.sources import tree_writer as TW  # noqa: E402
 
 _TREES: dict[tuple[str, str], str] = {}
 
@@ -695,8 +695,6 @@ def q_media_sampled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Report after a deduplication run (statistics refreshed with the counters)
 # ---------------------------------------------------------------------------
 
-from copyledger.plans import report as RP  # noqa: E402
-
 
 def _after_dedup(spark: SparkSession, sf_dir: str):
     files2, groups2, _, _, plan = _applied(spark, sf_dir)
@@ -731,8 +729,6 @@ def q_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Structured Streaming ingest
 # ---------------------------------------------------------------------------
 
-from copyledger.streaming import ingest as STR  # noqa: E402
-
 
 @register("stream_ingest")
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
