@@ -105,7 +105,7 @@ def committed_once(spark: SparkSession, name: str, sf_dir: str, build) -> dict[s
 
     key = (spark.sparkContext.applicationId, scratch_root(spark), f"{name}:{sf_dir}")
     root = _STAGED.get(key)
-    if root is None or not SNAP.published_versions(spark, root, "files"):
+    if root is None or not SNAP.committed_versions(spark, root):
         root = scratch_path(spark, name)
         SNAP.write_catalog(build(), root, 1)
         _STAGED[key] = root

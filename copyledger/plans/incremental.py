@@ -21,6 +21,7 @@ from copyledger.operators import gate as G
 from copyledger.operators import upserts as U
 from copyledger.operators.groups import apply_flags, groups_from_hashed
 from copyledger.operators.ids import assign_ids, max_id
+from copyledger.sources.snapshots import stage
 from copyledger.functions.formatting import utc_ts
 
 Hasher = Callable[[DataFrame], DataFrame]
@@ -88,7 +89,7 @@ def _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode, recom
     if recompute == "affected" and scope == "catalog" and mode == "skip_known":
         return (*_affected_update(files, prior_groups, fresh, run_ts, hasher), fresh)
     need = hash_candidates(files, fresh, prior_files, scope)
-    hashes = hasher(need)
+    hashes = _fingerprints(hasher, need)
     files = U.set_hashes(files, hashes, run_ts)
     groups_now = groups_from_hashed(files)
     files = apply_flags(files, groups_now).select(*schemas.FILES.fieldNames())
@@ -96,13 +97,20 @@ def _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode, recom
     return files, groups, fresh
 
 
+def _fingerprints(hasher: Hasher, need: DataFrame) -> DataFrame:
+    """Fingerprints of this run's candidates, staged in the shared folder:
+    reading bytes is the expensive step and every table written by the run
+    (files, groups, statistics) depends on it, so it happens exactly once."""
+    return stage(hasher(need).select("id", "file_hash"), "fingerprints")
+
+
 def _affected_update(files: DataFrame, prior_groups: DataFrame, fresh: DataFrame, run_ts: str,
                      hasher: Hasher) -> tuple[DataFrame, DataFrame]:
     # Sizes of this batch: only they can change the gate.
     sizes = fresh.filter(F.col("file_size_bytes").isNotNull()).select("file_size_bytes").distinct()
     touched = files.join(sizes, "file_size_bytes", "left_semi")
     need = G.backfill_candidates(touched).select("id", "original_path", "file_size_bytes")
-    hashes = hasher(need).filter(F.col("file_hash").isNotNull() & (F.col("file_hash") != ""))
+    hashes = _fingerprints(hasher, need).filter(F.col("file_hash").isNotNull() & (F.col("file_hash") != ""))
     files = U.set_hashes(files, hashes, run_ts)
     # Hashes fingerprinted now: only their groups can change.
     affected = hashes.select(F.col("file_hash").alias("group_hash")).distinct()
@@ -143,3 +151,31 @@ def scan_batch(catalog: dict[str, DataFrame], scanned: DataFrame, run_ts: str, h
     fresh_stats = S.statistics_table(files, groups, catalog["statistics"], run_ts)
     stats = S.upsert_stats(catalog["statistics"], fresh_stats)
     return {"files": files, "duplicate_groups": groups, "paths": paths, "statistics": stats}
+
+
+def commit_scan(root: str, scanned: DataFrame, run_ts: str, hasher: Hasher,
+                scope: str = "catalog", mode: str = "skip_known", skip_hash: bool = False,
+                recompute: str = "affected", version: int | None = None) -> int:
+    """One scan run over the catalog stored at ``root``, committed as the next
+    version.  ``files`` and ``groups`` are written first; the alias rows and
+    statistics are then derived from the stored tables, so the scan itself
+    (fingerprint reads included) runs once."""
+    from copyledger.operators import stats as S
+    from copyledger.sources import snapshots as SNAP
+
+    spark = scanned.sparkSession
+    version = version or SNAP.next_version(spark, root)
+    prior = SNAP.read_catalog(spark, root, version - 1)
+    files, groups, fresh = _scan(prior["files"], prior["duplicate_groups"], scanned, run_ts, hasher,
+                                 scope, mode, recompute, skip_hash)
+    fresh_ids = fresh.select("id", "original_path")
+    SNAP.write_table(files, root, "files", version)
+    SNAP.write_table(groups, root, "duplicate_groups", version)
+    files_s = spark.read.schema(schemas.FILES).parquet(f"{root}/files/v={version}")
+    groups_s = spark.read.schema(schemas.GROUPS).parquet(f"{root}/duplicate_groups/v={version}")
+    new_rows = files_s.join(fresh_ids.select("original_path"), "original_path", "left_semi")
+    SNAP.write_table(U.insert_paths(prior["paths"], path_rows(new_rows, run_ts), run_ts), root, "paths", version)
+    stats = S.upsert_stats(prior["statistics"], S.statistics_table(files_s, groups_s, prior["statistics"], run_ts))
+    SNAP.write_table(stats, root, "statistics", version)
+    SNAP.commit(spark, root, version)
+    return version

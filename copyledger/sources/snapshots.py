@@ -1,9 +1,10 @@
 """Catalog storage as versioned parquet snapshots, plus staging helpers.
 
 A catalog lives under ``<root>/<table>/v=<N>/``.  A run never overwrites the
-version it read: it writes ``v=N+1`` and publishes it by writing a
-``_PUBLISHED`` marker last, so readers always take the highest complete
-version.  ``files`` snapshots are partitioned by ``year`` so a subfolder scope
+version it read: it writes its tables as ``v=N+1`` and then one commit
+marker ``<root>/_commits/v=N+1``, so readers see all tables of a version or
+none of them (a failed run leaves an uncommitted version that the retry
+rewrites).  ``files`` snapshots are partitioned by ``year`` so a subfolder scope
 prunes partitions.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from copyledger import schemas
 from copyledger.session import scratch_path
 
-MARKER = "_PUBLISHED"
+COMMITS = "_commits"
 PARTITION_COLS = {"files": ("year",)}
 
 
@@ -30,62 +31,68 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def published_versions(spark: SparkSession, root: str, table: str) -> list[int]:
-    fs, jpath = _fs(spark, f"{root}/{table}")
+def committed_versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions whose commit marker exists (written after all their tables)."""
+    fs, jpath = _fs(spark, f"{root}/{COMMITS}")
     if not fs.exists(jpath):
         return []
-    out = []
-    for status in fs.listStatus(jpath):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(status.getPath().suffix("/" + MARKER)):
-            out.append(int(name[2:]))
-    return sorted(out)
+    return sorted(int(st.getPath().getName()[2:]) for st in fs.listStatus(jpath)
+                  if st.getPath().getName().startswith("v="))
+
+
+def published_versions(spark: SparkSession, root: str, table: str) -> list[int]:
+    """Committed versions that contain ``table``."""
+    return [v for v in committed_versions(spark, root) if _exists(spark, f"{root}/{table}/v={v}")]
 
 
 def read_table(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
-    """Latest published version of a table; an empty typed DataFrame if none."""
+    """The table as of the latest committed version (or as of ``version``):
+    its newest data at or below that version; empty and typed if none."""
     schema = schemas.TABLES[table]
-    versions = published_versions(spark, root, table)
-    if version is None and versions:
-        version = versions[-1]
-    if version is None:
+    versions = [v for v in published_versions(spark, root, table) if version is None or v <= version]
+    if not versions:
         return spark.createDataFrame([], schema)
-    df = spark.read.schema(schema).parquet(f"{root}/{table}/v={version}")
+    df = spark.read.schema(schema).parquet(f"{root}/{table}/v={versions[-1]}")
     return df.select(*schema.fieldNames())
 
 
 def write_table(df: DataFrame, root: str, table: str, version: int) -> str:
-    """Write one version and publish it (marker last)."""
+    """Write one table of an uncommitted version (a retried job rewrites it)."""
     spark = df.sparkSession
+    if version in committed_versions(spark, root):
+        raise FileExistsError(f"version {version} of {root} is already committed")
     path = f"{root}/{table}/v={version}"
-    if _exists(spark, f"{path}/{MARKER}"):
-        raise FileExistsError(f"{path} is already published")
     writer = df.select(*schemas.TABLES[table].fieldNames()).write.mode("overwrite")
     parts = PARTITION_COLS.get(table)
     if parts:
         writer = writer.partitionBy(*parts)
     writer.parquet(path)
-    fs, jpath = _fs(spark, f"{path}/{MARKER}")
-    fs.create(jpath, True).close()
     return path
 
 
+def commit(spark: SparkSession, root: str, version: int) -> None:
+    """Publish a version: readers see all its tables at once, or none."""
+    fs, jpath = _fs(spark, f"{root}/{COMMITS}/v={version}")
+    fs.create(jpath, True).close()
+
+
 def next_version(spark: SparkSession, root: str) -> int:
-    seen = [v for t in schemas.TABLES for v in published_versions(spark, root, t)]
-    return (max(seen) + 1) if seen else 1
+    seen = committed_versions(spark, root)
+    return (seen[-1] + 1) if seen else 1
 
 
 def write_catalog(tables: dict[str, DataFrame], root: str, version: int | None = None) -> int:
-    """Write every table of a catalog as one new version."""
+    """Write every table of a catalog version, then commit it."""
     spark = next(iter(tables.values())).sparkSession
     version = version or next_version(spark, root)
     for name, df in tables.items():
         write_table(df, root, name, version)
+    commit(spark, root, version)
     return version
 
 
-def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {t: read_table(spark, root, t) for t in schemas.TABLES}
+def read_catalog(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    return {t: read_table(spark, root, t, version) for t in schemas.TABLES}
 
 
 def stage_path(df: DataFrame, kind: str = "stage") -> str:

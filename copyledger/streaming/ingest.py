@@ -2,10 +2,11 @@
 micro-batch is one incremental scan committed as one catalog version.
 
 ``readStream`` over the listing folder (parquet, fixed schema) feeds
-``foreachBatch``; the batch id names the catalog version it produces, so a
+``foreachBatch``; micro-batch ``b`` produces catalog version ``b + 1``, so a
 replayed batch (after a failure between the catalog commit and the stream
-checkpoint) finds its version published and does nothing -- exactly-once
-catalog updates.  The state is the catalog itself, so no watermark is
+checkpoint) finds its version committed and does nothing, and a batch that
+failed before its commit marker is simply rewritten -- exactly-once catalog
+updates.  The state is the catalog itself, so no watermark is
 needed: every path is seen once and groups are recomputed per batch.
 """
 
@@ -34,16 +35,14 @@ def batch_run_ts(base_ts: str, batch_id: int) -> str:
 def ingest_batch(batch: DataFrame, batch_id: int, catalog_root: str, root: str, hasher,
                  base_ts: str, scope: str = "catalog") -> None:
     spark = batch.sparkSession
-    version = batch_id + 1
-    if version in SNAP.published_versions(spark, catalog_root, "files"):
+    if batch_id + 1 in SNAP.committed_versions(spark, catalog_root):
         return
-    prior = SNAP.read_catalog(spark, catalog_root)
     keep = ("id",) if "id" in batch.columns else ()
     rows = catalog_rows(batch, root, keep=keep)
     if keep:
         rows = rows.filter(F.col("id").isNotNull())
-    tables = INC.scan_batch(prior, rows, batch_run_ts(base_ts, batch_id), hasher, scope=scope)
-    SNAP.write_catalog(tables, catalog_root, version)
+    INC.commit_scan(catalog_root, rows, batch_run_ts(base_ts, batch_id), hasher, scope=scope,
+                    version=batch_id + 1)
 
 
 def run_ingest(spark: SparkSession, listing_dir: str, catalog_root: str, checkpoint: str, root: str,
