@@ -73,14 +73,23 @@ def groups_from_fingerprints(files: DataFrame, fp_col: str = "content_fp",
 
 def apply_flags(files: DataFrame, groups: DataFrame) -> DataFrame:
     """Sets ``is_duplicate`` and ``master_file_id`` from the groups (W2);
-    rows outside a group are unique (flag false, master NULL)."""
+    rows outside a group are unique (flag false, master NULL).
+
+    Only hashed rows take part in the join: unhashed rows (most files -- every
+    unique size) would all share the NULL key and land on one reducer of a
+    shuffle join, so they are unioned back with unique flags instead."""
+    base = files.drop("is_duplicate", "master_file_id")
+    hashed = base.filter(F.col("file_hash").isNotNull())
+    unhashed = (base.filter(F.col("file_hash").isNull())
+                .withColumn("is_duplicate", F.lit(False))
+                .withColumn("master_file_id", F.lit(None).cast("long")))
     masters = groups.select(F.col("group_hash").alias("_gh"), F.col("master_file_id").alias("_master"))
-    joined = files.drop("is_duplicate", "master_file_id").join(
-        masters, F.col("file_hash") == F.col("_gh"), "left")
+    joined = hashed.join(masters, F.col("file_hash") == F.col("_gh"), "left")
     is_dup = F.col("_master").isNotNull() & (F.col("id") != F.col("_master"))
-    return (joined.withColumn("is_duplicate", is_dup)
-            .withColumn("master_file_id", F.when(is_dup, F.col("_master")).cast("long"))
-            .drop("_gh", "_master"))
+    flagged = (joined.withColumn("is_duplicate", is_dup)
+               .withColumn("master_file_id", F.when(is_dup, F.col("_master")).cast("long"))
+               .drop("_gh", "_master"))
+    return flagged.unionByName(unhashed)
 
 
 def groups_for_processing(groups: DataFrame, legacy_group_skip: bool = False) -> DataFrame:
