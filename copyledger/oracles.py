@@ -671,3 +671,4 @@ WHERE year = '2024' AND month = 'march'""")
 
 ORACLES["incremental_paths"] = ORACLES["path_insert_ignore"]
 ORACLES["incremental_statistics"] = ORACLES["statistics_table"]
+ORACLES["media_listing_distributed"] = ORACLES["media_listing"]

@@ -779,3 +779,13 @@ def q_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "paths": INC.path_rows(files, RUN2)}, root)
     return SNAP.read_files_scoped(spark, root, SUBFOLDER, (
         "id", "original_path", "file_hash", "is_duplicate", "master_file_id", "deduplication_status"))
+
+
+@register("media_listing_distributed")
+def q_media_listing_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree listed with executor-side project discovery (no per-project
+    driver listing), then the same scan filters."""
+    root = _tree(spark, sf_dir)
+    rows = listing.catalog_rows(MF.list_tree_distributed(spark, root), root)
+    return rows.select(F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"),
+                       "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")

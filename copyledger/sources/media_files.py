@@ -162,3 +162,79 @@ def read_tree(spark, root: str, subfolder: str | None = None, **options):
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
+
+
+# ---------------------------------------------------------------------------
+# Distributed listing: the driver lists only year/month/day; executors expand
+# each day into project work units, the units are spread by a repartition
+# (a day holding a third of all projects becomes many tasks), then walked.
+# ---------------------------------------------------------------------------
+
+UNIT_SCHEMA = "unit string, recursive boolean"
+
+
+def _day_dirs(root: str, subfolder: str | None) -> list[str]:
+    root = root.rstrip("/") or "/"
+    if subfolder:
+        parts = [p for p in subfolder.strip("/").split("/") if p]
+        if len(parts) != 2:
+            raise ValueError("subfolder must be exactly 'year/month'")
+        base = os.path.join(root, *parts)
+        if not os.path.isdir(base) or any(p.startswith(".") for p in parts):
+            return []
+        level, depth = [base], 1
+    else:
+        level, depth = [root], 3
+    for _ in range(depth):
+        level = [d for parent in level for d in _visible_dirs(parent)]
+    return level
+
+
+def _expand_days(expand_levels: int):
+    import pandas as pd
+
+    def fn(batches):
+        for pdf in batches:
+            units, rec = [], []
+            for day in pdf["day"]:
+                for project in _visible_dirs(day):
+                    frontier = [project]
+                    for _ in range(expand_levels):
+                        nxt = []
+                        for d in frontier:
+                            units.append(d)
+                            rec.append(False)
+                            try:
+                                with os.scandir(d) as it:
+                                    nxt.extend(sorted(e.path for e in it if e.is_dir(follow_symlinks=False)))
+                            except OSError:
+                                pass
+                        frontier = nxt
+                    units.extend(frontier)
+                    rec.extend([True] * len(frontier))
+            yield pd.DataFrame({"unit": units, "recursive": pd.Series(rec, dtype=bool)})
+    return fn
+
+
+def _walk_units(batches):
+    import pandas as pd
+
+    cols = ("path", "size", "mtime", "is_link", "error")
+    for pdf in batches:
+        rows = [r for u, rec in zip(pdf["unit"], pdf["recursive"]) for r in walk_unit(Unit(u, bool(rec)))]
+        out = pd.DataFrame(rows, columns=list(cols))
+        out["size"] = out["size"].astype("Int64")
+        out["mtime"] = pd.to_datetime(out["mtime"])
+        out["is_link"] = out["is_link"].astype(bool)
+        yield out
+
+
+def list_tree_distributed(spark, root: str, subfolder: str | None = None, expand_levels: int = 1,
+                          num_partitions: int | None = None):
+    """Same rows as the ``media_files`` source, with project discovery and the
+    walk both running on executors."""
+    days = _day_dirs(root, subfolder)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    day_df = spark.createDataFrame([(d,) for d in days], "day string")
+    units = day_df.repartition(max(1, min(len(days), n))).mapInPandas(_expand_days(expand_levels), UNIT_SCHEMA)
+    return units.repartition(n).mapInPandas(_walk_units, SCHEMA)

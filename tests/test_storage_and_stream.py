@@ -66,6 +66,12 @@ def test_media_source_on_tree(spark):
     assert hashes["2025/october/10_01/projA/empty.mp4"] == "d41d8cd98f00b204e9800998ecf8427e"
     sub = listing.catalog_rows(MF.read_tree(spark, root, subfolder="2025/october"), root, "2025/october")
     assert sub.count() == 8
+    # Executor-side discovery lists exactly the same entries as the data source.
+    raw = {(r.path, r.size, r.is_link) for r in MF.read_tree(spark, root).collect()}
+    dist = {(r.path, r.size, r.is_link) for r in MF.list_tree_distributed(spark, root).collect()}
+    assert raw == dist and len(raw) >= 10
+    dsub = MF.list_tree_distributed(spark, root, subfolder="2025/october")
+    assert listing.catalog_rows(dsub, root, "2025/october").count() == 8
 
 
 def test_stream_equals_batch(spark):
