@@ -75,3 +75,14 @@ def test_affected_update_equals_full_recompute(spark):
     assert _set(f_aff, *cols) == _set(f_full, *cols)
     gcols = ["group_hash", "master_file_id", "duplicate_count", "total_size_bytes", "created_at"]
     assert _set(g_aff, *gcols) == _set(g_full, *gcols)
+
+
+def test_flagship_plan_scans_documents_once(spark):
+    """The flagship reads the documents once: both branches of the gate share
+    the aggregated cells' exchange (final AQE plan)."""
+    df = REGISTRY["duplicate_groups"](spark, SMALL)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 1
+    assert "ReusedExchange" in final
+    assert "SortAggregate" not in final          # min + min_by keep hash aggregation
