@@ -416,7 +416,7 @@ def dotdots_sql(x: str) -> str:
     return f"CAST((length({x}) - length(replace({x}, '..', ''))) // 2 AS INTEGER)"
 
 
-def plan_ctes(fresh: bool) -> str:
+def plan_ctes(fresh: bool, name_hash: str = "file_hash") -> str:
     ex = "TRUE" if fresh else f"(c.id % {FX.MISSING_EVERY} <> 0)"
     status = f"'{C.STATUS_PENDING}'" if fresh else "c.deduplication_status"
     rec_filter = "FALSE" if fresh else f"id % {FX.CONSOLIDATED_EVERY} = 0 AND NOT is_duplicate"
@@ -424,18 +424,19 @@ def plan_ctes(fresh: bool) -> str:
     return catalog_ctes() + f""",
 s0 AS (SELECT c.* EXCLUDE (deduplication_status), {status} AS deduplication_status, {ex} AS ex FROM cat c),""" + \
         sanitize_ctes("s0", "file_name", "sname", "sz") + f""",
-ps AS (SELECT *, {store_dir_sql('file_hash')} AS sdir, {store_base_sql('file_hash', 'sname')} AS sbase FROM sz3),
+ps AS (SELECT *, {store_dir_sql('file_hash')} AS sdir, {store_base_sql('file_hash', 'sname')} AS sbase,
+             {store_dir_sql(name_hash)} AS ksdir, {store_base_sql(name_hash, 'sname')} AS ksbase FROM sz3),
 rec AS (SELECT id AS file_id, sdir || '/' || sbase AS recorded FROM ps WHERE {rec_filter}),
 f AS (SELECT ps.*, rec.recorded FROM ps LEFT JOIN rec ON ps.id = rec.file_id),
 p0 AS (SELECT * FROM f WHERE deduplication_status = '{P_}' AND NOT is_duplicate AND master_file_id IS NULL),
 dups AS (SELECT f.*, g.master_file_id AS g_master FROM f JOIN grp g ON f.file_hash = g.group_hash
          WHERE f.is_duplicate AND coalesce(f.deduplication_status, '{P_}') = '{P_}' AND g.duplicate_count > 0),
 mst AS (SELECT d.g_master, m.original_path AS m_path, m.ex AS m_ex, m.recorded AS m_rec,
-          m.sdir AS m_sdir, m.sbase AS m_sbase,
+          m.ksdir AS m_sdir, m.ksbase AS m_sbase,
           (m.deduplication_status = '{P_}' AND NOT m.is_duplicate AND m.master_file_id IS NULL) AS m_in_p0
         FROM (SELECT DISTINCT g_master FROM dups) d LEFT JOIN f m ON m.id = d.g_master),
 p1 AS (SELECT * FROM mst WHERE m_path IS NOT NULL AND m_rec IS NULL AND NOT m_in_p0),
-keep AS (SELECT id, original_path, sdir AS dir, sbase AS base, 0 AS phase FROM p0 WHERE ex AND recorded IS NULL
+keep AS (SELECT id, original_path, ksdir AS dir, ksbase AS base, 0 AS phase FROM p0 WHERE ex AND recorded IS NULL
          UNION ALL SELECT g_master, m_path, m_sdir, m_sbase, 1 FROM p1 WHERE m_ex),
 taken AS (SELECT sdir AS dir, sbase AS name FROM f WHERE recorded IS NOT NULL)""" + \
         counters_ctes("keep", "taken", "phase, id") + f""",
@@ -672,3 +673,6 @@ WHERE year = '2024' AND month = 'march'""")
 ORACLES["incremental_paths"] = ORACLES["path_insert_ignore"]
 ORACLES["incremental_statistics"] = ORACLES["statistics_table"]
 ORACLES["media_listing_distributed"] = ORACLES["media_listing"]
+
+ORACLES["dedup_plan_hash_all"] = _with(plan_ctes(False, "coalesce(file_hash, content_fp)"),
+                                       "SELECT file_id, action, src, dst, link_target, reason, phase FROM plan")

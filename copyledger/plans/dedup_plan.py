@@ -56,7 +56,12 @@ def _row(action, src, dst, link, reason, phase, file_id="id"):
 
 
 def dedup_plan(files: DataFrame, groups: DataFrame, paths: DataFrame, present: DataFrame,
-               store_root: str, legacy_group_skip: bool = False) -> DataFrame:
+               store_root: str, legacy_group_skip: bool = False,
+               store_hashes: DataFrame | None = None) -> DataFrame:
+    """The plan.  ``store_hashes`` (``id, store_hash``) names kept files that
+    have no gate hash (``hash_scope='all'``: every stored file sits under its
+    own hash prefix, nothing in the shared ``00/00/no_hash_*`` bucket); without
+    it the parity layout is used."""
     rec = recorded_store_paths(paths)
     f = with_presence(files, present).join(rec, F.col("id") == F.col("file_id"), "left").drop("file_id")
     # The plan reads the annotated catalog from several branches: stage it
@@ -98,6 +103,11 @@ def dedup_plan(files: DataFrame, groups: DataFrame, paths: DataFrame, present: D
 
     # Canonical names for every kept file (collision counters in (phase, id) order).
     keep = p0_keep.unionByName(p1_keep)
+    if store_hashes is not None:
+        sh = store_hashes.select(F.col("id").alias("_sid"), "store_hash")
+        keep = (keep.join(sh, F.col("id") == F.col("_sid"), "left")
+                .withColumn("file_hash", F.coalesce("file_hash", "store_hash"))
+                .drop("_sid", "store_hash"))
     cands = P.with_store_location(keep, store_root, "file_hash", "file_name").select(
         "id", "dir", "base", F.col("phase").alias("ord0"), F.col("id").alias("ord1"))
     rec_all = paths.filter(F.col("path_type") == C.PATH_CONSOLIDATED).select(

@@ -789,3 +789,12 @@ def q_media_listing_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listing.catalog_rows(MF.list_tree_distributed(spark, root), root)
     return rows.select(F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"),
                        "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")
+
+
+@register("dedup_plan_hash_all")
+def q_dedup_plan_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan with ``hash_scope='all'``: kept files without a gate hash are
+    named by their own fingerprint (nothing in the shared no_hash bucket)."""
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    store_hashes = cat.fixture_rows(spark, sf_dir).select("id", F.col("content_fp").alias("store_hash"))
+    return DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE, store_hashes=store_hashes)
