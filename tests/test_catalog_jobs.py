@@ -86,3 +86,12 @@ def test_flagship_plan_scans_documents_once(spark):
     assert final.count("Scan parquet") == 1
     assert "ReusedExchange" in final
     assert "SortAggregate" not in final          # min + min_by keep hash aggregation
+
+
+def test_hash_all_plan_has_no_shared_bucket(spark):
+    plan = REGISTRY["dedup_plan_hash_all"](spark, SMALL)
+    keep = plan.filter(F.col("action") == "keep")
+    assert keep.filter(F.col("dst").contains("/no_hash_")).count() == 0
+    assert keep.select("dst").distinct().count() == keep.count() > 0
+    parity = REGISTRY["dedup_plan"](spark, SMALL)
+    assert _set(plan, "file_id", "action") == _set(parity, "file_id", "action")   # same decisions
