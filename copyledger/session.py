@@ -79,10 +79,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(pkg_dir)
-    target = scratch_path(spark, "pyfiles")
-    local = target[len("file:"):] if target.startswith("file:") else target
-    os.makedirs(local, exist_ok=True)
-    zpath = os.path.join(local, "copyledger.zip")
+    # Only the driver reads this file: addPyFile serves it to the executors.
+    zpath = os.path.join(tempfile.mkdtemp(prefix="copyledger-py-"), "copyledger.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _dirs, files in os.walk(pkg_dir):
             for name in files:
