@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copyledger.llm import decontam, line_dedup, mixing, simhash, toxicity
-from copyledger.llm.common import table
+from copyledger.llm import (
+    chunk_dedup,
+    decontam,
+    license_scan,
+    line_dedup,
+    mixing,
+    secret_scan,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+)
+from copyledger.llm.common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +34,47 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stage(topk.quantised(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+
+    def of_kind(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", *[of_kind(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+    def total(name):
+        return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[name])
+
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_chunks", "n_repeated", F.size("spans").cast("long").alias("n_spans"),
+                        total("words").alias("repeated_words"),
+                        total("removed").alias("removed_words"), spans.alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -39,7 +91,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_simhash, op8_line_dedup, op9_toxicity, op10_decontam)}
+    op1_mixing, op2_simhash, op3_topk, op4_secrets, op5_tokens, op6_licenses, op7_chunk_dedup, op8_line_dedup,
+    op9_toxicity, op10_decontam)}
 
 SQL: dict[str, str] = {}
 
@@ -91,3 +144,16 @@ SELECT doc_id, size, source_size, target,
        (size * least(2, epochs + CASE WHEN before + size / 2.0::DOUBLE <= part THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ahead
 """
+
+SQL["op3_topk"] = r"""
+WITH vectors AS (
+  SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
