@@ -11,9 +11,10 @@ the margin is calibrated on folds it was not fitted on, for the true shares.
 Scoring covers every row and whole texts; its model is a few thousand numbers.
 
 Defined results: null and empty texts have no features and get the score of
-the calibrated bias; without labels of both classes every score is the share
-of toxic training labels (0 if there are none); repeated labels count again;
-label rows with a null id or class are left out.
+the calibrated bias; without labels of both classes nothing is learned and
+every score is the share of toxic training labels, 0.5 at most, so that
+nothing is rejected; repeated labels count again; label rows with a null id or
+class are left out.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ SAMPLE_CHARS = 20_000
 FEATURES = 1 << 13
 LEAST_DOCS = 5
 THRESHOLD = 0.7
-CHUNK_CHARS = 1 << 20
+FOLDS = 5
+CHUNK_CHARS = 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +111,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     """Fit on the sample; ``share``: the toxic share the score is calibrated for."""
     toxic = np.asarray(toxic, float)
     if not 0 < toxic.sum() < len(toxic):
-        edge = min(max(share, 1e-6), 1 - 1e-6)
+        edge = min(max(share, 1e-6), 0.5)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(edge / (1 - edge))))
     n = len(toxic)
     count = np.zeros((2, 1 << BITS), np.int32)
@@ -135,13 +137,16 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     doc, feat = np.concatenate(docs), np.concatenate(feats)
     weight = np.where(toxic == 1, share / pos, (1 - share) / neg)
     even = np.where(toxic == 1, 0.5 / pos, 0.5 / neg)
-    margin, fold = np.zeros(n), np.arange(n) % 2
-    for f in (0, 1):
+    margin, fold = np.zeros(n), np.zeros(n, int)
+    for c in (0, 1):  # every fold has its share of both classes
+        fold[toxic == c] = np.arange(int((toxic == c).sum())) % FOLDS
+    for f in range(FOLDS):
         use = fold[doc] != f
         w, c = logistic(doc[use], feat[use], ratio[feat[use]], toxic, np.where(fold != f, even, 0), len(chosen))
         out = ~use
         margin += np.where(fold == f, np.bincount(doc[out], (ratio * w)[feat[out]], n) + c, 0)
-    scale, shift = logistic(np.arange(n), np.zeros(n, np.int64), margin, toxic, weight, 1,
+    goal = np.where(toxic == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))  # Platt's smoothed labels
+    scale, shift = logistic(np.arange(n), np.zeros(n, np.int64), margin, goal, weight, 1,
                             ridge=1e-4, rounds=1500)
     w, c = logistic(doc, feat, ratio[feat], toxic, even, len(chosen))
     slope = max(float(scale[0]), 1e-3)
