@@ -47,20 +47,6 @@ PATH_ORIGINAL = "original"
 PATH_CONSOLIDATED = "consolidated"
 PATH_SYMLINK = "symlink"
 
-# Statistic keys, in the order they are written, with their type tags.
-STAT_KEYS = (
-    ("total_files", "integer"),
-    ("total_size_bytes", "integer"),
-    ("unique_files", "integer"),
-    ("duplicate_files", "integer"),
-    ("duplicate_groups", "integer"),
-    ("space_saved_bytes", "integer"),
-    ("space_saved_percentage", "float"),
-    ("files_deduplicated", "integer"),
-    ("symlinks_created", "integer"),
-    ("files_consolidated", "integer"),
-    ("last_scan_timestamp", "datetime"),
-)
 DEDUP_COUNTER_KEYS = ("files_deduplicated", "symlinks_created", "files_consolidated")
 
 # Byte-size units for human-readable sizes (divide by 1024 per step).
@@ -80,4 +66,6 @@ ACTION_ALREADY_DONE = "already_done"
 ACTION_MISSING = "missing"
 ACTION_TOO_DEEP = "too_deep"
 ACTION_ORPHAN_GROUP = "orphan_group"
-ERROR_ACTIONS = (ACTION_MISSING, ACTION_TOO_DEEP, ACTION_ORPHAN_GROUP)
+ACTION_NO_COPY = "no_master_copy"
+ACTION_UNREADABLE = "unreadable"
+ERROR_ACTIONS = (ACTION_MISSING, ACTION_TOO_DEEP, ACTION_ORPHAN_GROUP, ACTION_NO_COPY, ACTION_UNREADABLE)

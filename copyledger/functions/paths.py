@@ -73,12 +73,6 @@ def sanitize_name(name) -> Column:
     return F.when(F.length(cleaned) > C.SANITIZED_NAME_MAX, capped).otherwise(cleaned)
 
 
-def store_base_name(file_hash, name) -> Column:
-    """``{hash}_{sanitized}`` or ``no_hash_{sanitized}``."""
-    file_hash = _col(file_hash)
-    part = F.when(file_hash.isNull() | (file_hash == ""), F.lit(C.NO_HASH_PART)).otherwise(file_hash)
-    return F.concat(part, F.lit("_"), sanitize_name(name))
-
 
 def store_dir(store_root: str, file_hash) -> Column:
     """``{store}/files/{h[0:2]}/{h[2:4]}`` (``00/00`` without a hash)."""
@@ -89,12 +83,6 @@ def store_dir(store_root: str, file_hash) -> Column:
     return F.concat_ws("/", F.lit(store_root.rstrip("/") + "/" + C.STORE_SUBDIR), p1, p2)
 
 
-def counter_name(base, counter) -> Column:
-    """Collision variant ``{stem}_{k}{ext}`` of a base name; k = 0 keeps the base."""
-    base, counter = _col(base), _col(counter)
-    stem, ext = split_ext(base)
-    return F.when(counter == 0, base).otherwise(F.concat(stem, F.lit("_"), counter.cast("string"), ext))
-
 
 def relpath(target, start) -> Column:
     """``os.path.relpath(target, start)`` for absolute, normalised paths."""
@@ -116,9 +104,6 @@ def dotdot_count(p) -> Column:
     return ((F.length(p) - F.length(F.replace(p, F.lit(".."), F.lit("")))) / 2).cast("int")
 
 
-def same_name(a, b) -> Column:
-    return F.lower(_col(a)) == F.lower(_col(b))
-
 
 # ---------------------------------------------------------------------------
 # DataFrame-level forms: intermediate values become columns, so a value used

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths as P
-from copyledger.operators.ranking import SMALL_INPUT_ROWS, rank_within
+from copyledger.operators.ranking import rank_within
 from copyledger.sources.snapshots import stage
 from copyledger.session import pickle_by_value
 
@@ -56,8 +56,10 @@ def taken_counters(taken: DataFrame) -> DataFrame:
          .withColumn("_m", F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 1))
          .withColumn("_k", F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 2)))
     plain = t.select("dir", F.col("name").alias("base"), F.lit(0).cast("long").alias("t"))
+    # A number too long for a counter can never be generated: no reading.
     gen = (t.filter(F.col("_m") != "")
-           .select("dir", F.concat("_m", "_ext").alias("base"), F.col("_k").cast("long").alias("t")))
+           .select("dir", F.concat("_m", "_ext").alias("base"), F.expr("try_cast(_k AS BIGINT)").alias("t"))
+           .filter(F.col("t").isNotNull()))
     return plain.unionByName(gen).distinct()
 
 
@@ -82,8 +84,7 @@ def _sequential_first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def resolve_counters(cands: DataFrame, taken: DataFrame,
-                     order_cols: tuple[str, str] = ("ord0", "ord1"),
-                     small_rows: int = SMALL_INPUT_ROWS) -> DataFrame:
+                     order_cols: tuple[str, str] = ("ord0", "ord1")) -> DataFrame:
     """(id, dir, base, counter, name) for every candidate.
 
     ``cands``: id, dir, base, and the two order columns; ``taken``: dir, name
@@ -104,22 +105,19 @@ def resolve_counters(cands: DataFrame, taken: DataFrame,
                  .join(bases, ["dir", "_parent"], "left_semi").select("family").distinct())
     simple = c.join(edge_fams, "family", "left_anti")
     mixed = c.join(edge_fams, "family", "left_semi")
-    # One size check for all ranks below: candidates (staged, so counting is
-    # cheap) plus taken entries bound every ranked input.
-    small = c.count() + taken.count() <= small_rows
 
     # --- bulk exact path -------------------------------------------------
     ranked = rank_within(simple.select("id", "dir", "base", "ord0", "ord1"),
-                         ["dir", "base"], ["ord0", "ord1", "id"], "i", small=small)
+                         ["dir", "base"], ["ord0", "ord1", "id"], "i")
     t = taken_counters(taken).join(simple.select("dir", "base").distinct(), ["dir", "base"], "left_semi")
-    t = rank_within(t, ["dir", "base"], ["t"], "j", small=small).withColumn("g", F.col("t") - F.col("j"))
+    t = rank_within(t, ["dir", "base"], ["t"], "j").withColumn("g", F.col("t") - F.col("j"))
     # i + #{g_j <= i} is the position of candidate i in the merged order of
     # candidates (key i) and taken entries (key g, first on ties): one more
     # rank, no candidate x taken pairs.
     merged = (ranked.select("dir", "base", "id", F.col("i").alias("key"), F.lit(1).alias("kind"))
               .unionByName(t.select("dir", "base", F.lit(None).cast("long").alias("id"),
                                     F.col("g").alias("key"), F.lit(0).alias("kind"))))
-    pos = rank_within(merged, ["dir", "base"], ["key", "kind", "id"], "counter", small=small)
+    pos = rank_within(merged, ["dir", "base"], ["key", "kind", "id"], "counter")
     bulk = pos.filter(F.col("kind") == 1).select("id", "dir", "base", "counter")
 
     # --- sequential residue ----------------------------------------------

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyledger.session import shuffle_partitions
 from copyledger.sources.snapshots import stage
 
 _LOW_BITS = 33
@@ -22,8 +21,7 @@ def assign_ids(rows: DataFrame, order_cols: list[str], base_id: int = 0,
                id_col: str = "id") -> DataFrame:
     """``id_col`` = base_id + 1, 2, ... in ``order_cols`` order (ties broken by
     the key itself, so the key should be unique)."""
-    n = max(shuffle_partitions(rows.sparkSession), 1)
-    tagged = (rows.repartitionByRange(n, *order_cols)
+    tagged = (rows.repartitionByRange(*order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = stage(tagged, "ids")
@@ -32,7 +30,7 @@ def assign_ids(rows: DataFrame, order_cols: list[str], base_id: int = 0,
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    # ``offsets`` has one row per range partition: bounded by ``n``.
+    # ``offsets`` has one row per range partition: bounded by their number.
     out = tagged.join(F.broadcast(offsets), "_part")
     return (out.withColumn(id_col, (F.lit(base_id) + F.col("_offset") + F.col("_local") + 1).cast("long"))
             .drop("_mid", "_part", "_local", "_offset"))

@@ -59,6 +59,17 @@ def catalog_rows(listing: DataFrame, root: str, subfolder: str | None = None,
     )
 
 
+def scan_errors(listing: DataFrame, root: str, subfolder: str | None = None) -> DataFrame:
+    """Entries below ``root`` that could not be read (``path, error``): files
+    and whole directories, whatever their extension."""
+    out = listing.filter(F.col("error").isNotNull()
+                         & (F.concat("path", F.lit("/")).startswith(root.rstrip("/") + "/")))
+    scope = validate_subfolder(subfolder)
+    if scope is not None:
+        out = out.filter(F.concat("path", F.lit("/")).startswith("/".join((root.rstrip("/"), *scope)) + "/"))
+    return out.select("path", "error")
+
+
 def files_per_project(rows: DataFrame) -> DataFrame:
     """Files found per project directory of a scan."""
     return rows.groupBy("year", "month", "month_day", "project_name").agg(

@@ -15,34 +15,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyledger.session import shuffle_partitions
 from copyledger.sources.snapshots import stage
 
 _LOW_BITS = 33
-# Inputs at most this many rows take a plain window: no key can then exceed
-# it, so no task gets an unbounded group.  Larger inputs take the skew-safe
-# path.  (A size-checked choice, like a checked broadcast.)
-SMALL_INPUT_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, small_rows: int = SMALL_INPUT_ROWS) -> bool:
-    return bool(small_rows) and df.limit(small_rows + 1).count() <= small_rows
 
 
 def rank_within(df: DataFrame, key_cols: list[str], order_cols: list[str],
-                out_col: str = "rank0", small_rows: int = SMALL_INPUT_ROWS,
-                small: bool | None = None) -> DataFrame:
+                out_col: str = "rank0") -> DataFrame:
     """0-based position of each row within ``key_cols`` in ``order_cols`` order.
 
-    ``small``: the caller already knows the input is at most ``small_rows``
-    rows (True) or may be larger (False); None checks with a count."""
-    if small is None:
-        small = is_small(df, small_rows)
-    if small:
-        w = Window.partitionBy(*key_cols).orderBy(*order_cols)
-        return df.withColumn(out_col, (F.row_number().over(w) - 1).cast("long"))
-    n = max(shuffle_partitions(df.sparkSession), 1)
-    tagged = (df.repartitionByRange(n, *key_cols, *order_cols)
+    The same path at every size; AQE sizes the ranges."""
+    tagged = (df.repartitionByRange(*key_cols, *order_cols)
               .sortWithinPartitions(*key_cols, *order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = stage(tagged, "rank").withColumn("_part", F.shiftright("_mid", _LOW_BITS))

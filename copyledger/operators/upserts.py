@@ -32,7 +32,9 @@ def new_file_rows(rows: DataFrame, run_ts: str) -> DataFrame:
 def upsert_files(prior: DataFrame, scanned: DataFrame, run_ts: str) -> DataFrame:
     """Upsert by path: rows of ``scanned`` (carrying ``id`` for new paths)
     overwrite the metadata columns and the scan time of known paths; hash,
-    flags, status and id of known paths are kept.  Unseen known rows stay."""
+    flags, status and id of known paths are kept, unless the size or the time
+    changed: then the content did, so the hash, the flags and the status are
+    cleared and the row is gated and grouped again.  Unseen known rows stay."""
     cols = schemas.FILES.fieldNames()
     old = prior.select(*[F.col(c).alias("o_" + c) for c in cols])
     new = scanned.select("original_path", "id", *METADATA_COLS).select(
@@ -40,6 +42,8 @@ def upsert_files(prior: DataFrame, scanned: DataFrame, run_ts: str) -> DataFrame
     j = old.join(new, F.col("o_original_path") == F.col("n_original_path"), "full_outer")
     seen = F.col("n_original_path").isNotNull()
     known = F.col("o_original_path").isNotNull()
+    changed = seen & known & ~(F.col("o_file_size_bytes").eqNullSafe(F.col("n_file_size_bytes"))
+                               & F.col("o_created_at").eqNullSafe(F.col("n_created_at")))
     out = []
     for c in cols:
         if c == "original_path":
@@ -51,9 +55,11 @@ def upsert_files(prior: DataFrame, scanned: DataFrame, run_ts: str) -> DataFrame
         elif c == "scan_timestamp":
             out.append(F.when(seen, utc_ts(run_ts)).otherwise(F.col("o_" + c)).alias(c))
         elif c == "is_duplicate":
-            out.append(F.when(known, F.col("o_" + c)).otherwise(F.lit(False)).alias(c))
+            out.append(F.when(known & ~changed, F.col("o_" + c)).otherwise(F.lit(False)).alias(c))
         elif c == "deduplication_status":
-            out.append(F.when(known, F.col("o_" + c)).otherwise(F.lit(C.STATUS_PENDING)).alias(c))
+            out.append(F.when(known & ~changed, F.col("o_" + c)).otherwise(F.lit(C.STATUS_PENDING)).alias(c))
+        elif c in ("file_hash", "master_file_id", "deduplication_timestamp"):
+            out.append(F.when(~changed, F.col("o_" + c)).alias(c))
         else:
             out.append(F.col("o_" + c).alias(c))
     return j.select(*out)
@@ -109,10 +115,13 @@ def mark_groups(groups: DataFrame, done_hashes: DataFrame, run_ts: str) -> DataF
 
 
 def insert_paths(existing: DataFrame, candidates: DataFrame, run_ts: str | None = None) -> DataFrame:
-    """Insert-or-ignore on (file_id, path_type, path)."""
+    """Insert-or-ignore on (file_id, path_type, path).
+
+    The stored rows that a candidate repeats are found first, with the
+    candidates as the build side: a small batch never shuffles the table."""
     key = ["file_id", "path_type", "path"]
-    fresh = (candidates.select(*key).dropDuplicates(key)
-             .join(existing.select(*key), key, "left_anti"))
+    wanted = candidates.select(*key).dropDuplicates(key)
+    fresh = wanted.join(existing.select(*key).join(wanted, key, "left_semi"), key, "left_anti")
     ts = utc_ts(run_ts) if run_ts else F.lit(None).cast("timestamp")
     return existing.select(*schemas.PATHS.fieldNames()).unionByName(
         fresh.withColumn("created_at", ts).select(*schemas.PATHS.fieldNames()))

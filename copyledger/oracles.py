@@ -41,7 +41,9 @@ fx AS (
   FROM documents),
 fl AS (
   SELECT *, '{FX.FIXTURE_ROOT}/' || year || '/' || month || '/' || month_day || '/' ||
-      project_name || '/' || lang || '/' || file_name AS original_path,
+      project_name || '/' || lang || '/' ||
+      CASE WHEN id >= {FX.PATHS_REPEAT} THEN 'b' || CAST(id // {FX.PATHS_REPEAT} AS VARCHAR) || '/' ELSE '' END ||
+      file_name AS original_path,
     CAST(octet_length(content) AS BIGINT) AS file_size_bytes,
     md5(content) AS content_fp_full,
     {sampled_fp_sql('content')} AS content_fp
@@ -454,12 +456,14 @@ plan AS (
   UNION ALL SELECT id, 'keep', original_path, dst, NULL, NULL, phase FROM kd
   UNION ALL SELECT g_master, 'missing', m_path, NULL, NULL, 'master file not found', 1 FROM p1 WHERE NOT m_ex
   UNION ALL SELECT id, 'orphan_group', original_path, NULL, NULL, 'master not in catalog', 1 FROM dd WHERE orphan
+  UNION ALL SELECT id, 'no_master_copy', original_path, NULL, NULL, 'master has no stored copy', 1
+    FROM dd WHERE NOT orphan AND m_loc IS NULL
   UNION ALL SELECT id, 'missing', original_path, m_loc, NULL, 'duplicate already missing', 1
     FROM dd WHERE NOT orphan AND m_loc IS NOT NULL AND NOT ex
   UNION ALL SELECT id, CASE WHEN {dotdots_sql('link_target')} >= {C.MAX_LINK_DOTDOTS} THEN 'too_deep' ELSE 'link' END,
     original_path, m_loc, link_target,
     CASE WHEN {dotdots_sql('link_target')} >= {C.MAX_LINK_DOTDOTS} THEN 'relative path too deep' END, 1 FROM rp4),
-perr AS (SELECT *, action IN ('missing', 'too_deep', 'orphan_group')
+perr AS (SELECT *, action IN ('missing', 'too_deep', 'orphan_group', 'no_master_copy')
                    AND NOT (action = 'missing' AND reason = 'duplicate already missing') AS is_error FROM plan)"""
 
 
@@ -494,6 +498,9 @@ lt0 AS (SELECT d.id, d.master_file_id, m.sdir || '/' || m.sbase AS master_dst,
     relpath_ctes("lt0", "master_dst", "parent", "link_target").replace("rp", "rq"),
     f"SELECT id, master_file_id, link_target, {dotdots_sql('link_target')} AS dotdots FROM rq4")
 ORACLES["dedup_plan"] = _with(PLAN_STATE, "SELECT file_id, action, src, dst, link_target, reason, phase FROM plan")
+ORACLES["plan_coverage"] = _with(PLAN_STATE, f"""
+SELECT count(*) AS pending, count(*) FILTER (WHERE id NOT IN (SELECT file_id FROM plan)) AS uncovered
+FROM cat WHERE deduplication_status = '{C.STATUS_PENDING}'""")
 ORACLES["plan_outcome"] = _with(PLAN_STATE, """
 SELECT count(*) FILTER (WHERE action = 'keep') AS files_consolidated,
   count(*) FILTER (WHERE action = 'link') AS symlinks_created,
@@ -517,6 +524,11 @@ pg AS (SELECT c.file_hash, count(*) FILTER (WHERE p.is_error) AS bad FROM perr p
        WHERE p.phase = 1 GROUP BY c.file_hash)""", f"""
 SELECT group_hash, CASE WHEN group_hash IN (SELECT file_hash FROM pg WHERE bad = 0) THEN '{PLAN_TS}' END
   AS deduplicated_at FROM grp""")
+ORACLES["legacy_group_skip"] = _with(PLAN_STATE + """,
+pg AS (SELECT c.file_hash, count(*) FILTER (WHERE p.is_error) AS bad FROM perr p JOIN cat c ON p.file_id = c.id
+       WHERE p.phase = 1 GROUP BY c.file_hash)""", """
+SELECT group_hash, duplicate_count FROM grp
+WHERE duplicate_count > 0 AND group_hash NOT IN (SELECT file_hash FROM pg WHERE bad = 0)""")
 ORACLES["idempotent_rerun"] = _with(PLAN_STATE, "SELECT action, reason, count(*) AS count FROM perr "
                                                 "WHERE is_error GROUP BY action, reason")
 ORACLES["fk_audit"] = _with(PLAN_STATE + """,
@@ -660,6 +672,13 @@ ORACLES["report_file"] = ("SELECT string_agg(line || chr(10), '' ORDER BY sectio
                           + _report_sql() + ")")
 
 ORACLES["stream_ingest"] = ORACLES["duplicate_groups"]
+ORACLES["stream_ingest_listing"] = _with(catalog_ctes(), """
+SELECT group_hash, duplicate_count, total_size_bytes FROM grp""")
+ORACLES["listing_times"] = _with(FIXTURE_CTES, """
+SELECT id, original_path,
+  strftime(TIMESTAMP '2023-01-01 00:00:00' + to_seconds(id * 3600), '%Y-%m-%d %H:%M:%S') AS created_at FROM files_v""")
+ORACLES["scan_errors"] = _with(FIXTURE_CTES, """
+SELECT original_path AS path, 'PermissionError: not readable' AS error FROM fl WHERE id % 41 = 0""")
 ORACLES["group_members"] = _with(catalog_ctes(), """
 SELECT g.group_hash, h.id, h.id = g.master_file_id AS is_master FROM hashed h JOIN grp g ON h.file_hash = g.group_hash""")
 ORACLES["verify_full_groups"] = _with(catalog_ctes() + """,

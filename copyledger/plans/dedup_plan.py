@@ -2,8 +2,9 @@
 
 The plan is computed, never simulated: it says which file is kept (moved to
 the canonical store), which becomes a link to its master's canonical copy,
-and which cannot be handled (missing file, link too deep, group without its
-master).  Applying a plan is a set of upserts (processed marks, alias rows,
+and which cannot be handled (missing file, directory not listed, link too
+deep, group without its master, master without a copy).  Every pending file of
+a group or of its own has a row.  Applying a plan is a set of upserts (processed marks, alias rows,
 group stamps, counters); a second plan over the applied catalog holds no
 ``keep`` or ``link`` rows.
 
@@ -30,20 +31,39 @@ REASON_DUP_MISSING = "duplicate already missing"
 REASON_TOO_DEEP = "relative path too deep"
 REASON_ORPHAN = "master not in catalog"
 REASON_RECORDED = "already consolidated"
+REASON_NO_COPY = "master has no stored copy"
+REASON_UNREADABLE = "directory could not be listed"
 PLAN_COLS = ("file_id", "action", "src", "dst", "link_target", "reason", "phase")
 
 
-def recorded_store_paths(paths: DataFrame) -> DataFrame:
-    """First recorded consolidated path per file (``file_id, recorded``)."""
-    return (paths.filter(F.col("path_type") == C.PATH_CONSOLIDATED)
-            .groupBy("file_id").agg(F.min("path").alias("recorded")))
+def recorded_store_paths(paths: DataFrame, store_listing: DataFrame | None = None) -> DataFrame:
+    """First recorded consolidated path per file (``file_id, recorded``); with
+    ``store_listing`` (``path``) only paths that still exist count."""
+    kept = paths.filter(F.col("path_type") == C.PATH_CONSOLIDATED)
+    if store_listing is not None:
+        kept = kept.join(store_listing.select("path").distinct(), "path", "left_semi")
+    return kept.groupBy("file_id").agg(F.min("path").alias("recorded"))
 
 
 def with_presence(files: DataFrame, present: DataFrame) -> DataFrame:
-    """Adds ``exists``: the original path is in the current listing."""
+    """Adds ``exists``: the original path is in the current listing, and
+    ``unknown``: it is not, but it or a directory above it could not be read
+    (a row of ``present`` with an ``error``), so nothing says it is gone."""
+    failed = None
+    if "error" in present.columns:
+        failed = present.filter(F.col("error").isNotNull()).select(F.col("path").alias("_above")).distinct()
+        present = present.filter(F.col("error").isNull())
     p = present.select(F.col("path").alias("_p")).distinct().withColumn("_hit", F.lit(True))
-    return (files.join(p, F.col("original_path") == F.col("_p"), "left")
-            .withColumn("exists", F.coalesce("_hit", F.lit(False))).drop("_p", "_hit"))
+    out = (files.join(p, F.col("original_path") == F.col("_p"), "left")
+           .withColumn("exists", F.coalesce("_hit", F.lit(False))).drop("_p", "_hit"))
+    if failed is None:
+        return out.withColumn("unknown", F.lit(False))
+    parts = F.split("original_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    below = (out.filter(~F.col("exists")).select(F.col("id").alias("_uid"), F.explode(above).alias("_above"))
+             .join(failed, "_above", "left_semi").select("_uid").distinct())
+    return (out.join(below, F.col("id") == F.col("_uid"), "left")
+            .withColumn("unknown", F.col("_uid").isNotNull()).drop("_uid"))
 
 
 def _row(action, src, dst, link, reason, phase, file_id="id"):
@@ -57,24 +77,28 @@ def _row(action, src, dst, link, reason, phase, file_id="id"):
 
 def dedup_plan(files: DataFrame, groups: DataFrame, paths: DataFrame, present: DataFrame,
                store_root: str, legacy_group_skip: bool = False,
-               store_hashes: DataFrame | None = None) -> DataFrame:
+               store_hashes: DataFrame | None = None,
+               store_listing: DataFrame | None = None) -> DataFrame:
     """The plan.  ``store_hashes`` (``id, store_hash``) names kept files that
     have no gate hash (``hash_scope='all'``: every stored file sits under its
     own hash prefix, nothing in the shared ``00/00/no_hash_*`` bucket); without
-    it the parity layout is used."""
-    rec = recorded_store_paths(paths)
+    it the parity layout is used.  ``present`` may carry the listing's
+    ``error`` column; ``store_listing`` says which recorded copies still exist."""
+    rec = recorded_store_paths(paths, store_listing)
     f = with_presence(files, present).join(rec, F.col("id") == F.col("file_id"), "left").drop("file_id")
     # The plan reads the annotated catalog from several branches: stage it
     # once (narrow columns only) instead of recomputing the joins per branch.
     f = stage(f.select("id", "original_path", "file_name", "file_hash", "is_duplicate",
-                       "master_file_id", "deduplication_status", "exists", "recorded"), "plan-input")
+                       "master_file_id", "deduplication_status", "exists", "unknown", "recorded"), "plan-input")
     pending_strict = F.col("deduplication_status") == C.STATUS_PENDING
     pending_loose = F.coalesce(F.col("deduplication_status"), F.lit(C.STATUS_PENDING)) == C.STATUS_PENDING
     non_dup = ~F.col("is_duplicate") & F.col("master_file_id").isNull()
 
     # Phase 0: pending uniques and masters.
     p0 = f.filter(pending_strict & non_dup)
-    p0_missing = p0.filter(~F.col("exists")).select(
+    p0_unread = p0.filter(F.col("unknown")).select(
+        *_row(C.ACTION_UNREADABLE, F.col("original_path"), None, None, REASON_UNREADABLE, 0))
+    p0_missing = p0.filter(~F.col("exists") & ~F.col("unknown")).select(
         *_row(C.ACTION_MISSING, F.col("original_path"), None, None, REASON_NOT_FOUND, 0))
     p0_done = p0.filter(F.col("exists") & F.col("recorded").isNotNull()).select(
         *_row(C.ACTION_ALREADY_DONE, F.col("original_path"), F.col("recorded"), None, REASON_RECORDED, 0))
@@ -89,16 +113,18 @@ def dedup_plan(files: DataFrame, groups: DataFrame, paths: DataFrame, present: D
     masters_needed = dups.select("g_master").distinct()
     m = f.select(F.col("id").alias("g_master"), F.col("original_path").alias("m_path"),
                  F.col("file_hash").alias("m_hash"), F.col("file_name").alias("m_name"),
-                 F.col("exists").alias("m_exists"), F.col("recorded").alias("m_recorded"),
+                 F.col("exists").alias("m_exists"), F.col("unknown").alias("m_unknown"),
+                 F.col("recorded").alias("m_recorded"),
                  (pending_strict & non_dup).alias("m_in_p0"))
     mstate = masters_needed.join(m, "g_master", "left")
-    orphan_masters = mstate.filter(F.col("m_path").isNull()).select("g_master")
     # Phase 1: processed masters with no store entry are consolidated again.
     p1 = mstate.filter(F.col("m_path").isNotNull() & F.col("m_recorded").isNull() & ~F.col("m_in_p0"))
     p1_keep = p1.filter(F.col("m_exists")).select(
         F.col("g_master").alias("id"), F.col("m_path").alias("original_path"),
         F.col("m_hash").alias("file_hash"), F.col("m_name").alias("file_name"), F.lit(1).alias("phase"))
-    p1_missing = p1.filter(~F.col("m_exists")).select(
+    p1_unread = p1.filter(F.col("m_unknown")).select(
+        *_row(C.ACTION_UNREADABLE, F.col("m_path"), None, None, REASON_UNREADABLE, 1, "g_master"))
+    p1_missing = p1.filter(~F.col("m_exists") & ~F.col("m_unknown")).select(
         *_row(C.ACTION_MISSING, F.col("m_path"), None, None, REASON_MASTER_NOT_FOUND, 1, "g_master"))
 
     # Canonical names for every kept file (collision counters in (phase, id) order).
@@ -117,17 +143,23 @@ def dedup_plan(files: DataFrame, groups: DataFrame, paths: DataFrame, present: D
     keep_out = keep_rows.select(*_row(C.ACTION_KEEP, F.col("original_path"), F.col("dst"), None, None,
                                       F.col("phase")))
 
-    # Where each needed master lives after the plan.
-    loc = (mstate.select("g_master", "m_recorded")
-           .join(keep_rows.select(F.col("id").alias("g_master"), F.col("dst").alias("m_planned")),
-                 "g_master", "left")
-           .select("g_master", F.coalesce("m_recorded", "m_planned").alias("m_loc")))
-    d = dups.join(loc, "g_master", "left").join(
-        orphan_masters.withColumn("_orphan", F.lit(True)), "g_master", "left")
+    # Where each needed master lives after the plan: one row per master, staged,
+    # so the one join with the duplicates has plain inputs and AQE can split a
+    # master that many files share.
+    loc = stage(mstate.select("g_master", "m_path", "m_recorded")
+                .join(keep_rows.select(F.col("id").alias("g_master"), F.col("dst").alias("m_planned")),
+                      "g_master", "left")
+                .select("g_master", F.coalesce("m_recorded", "m_planned").alias("m_loc"),
+                        F.col("m_path").isNull().alias("_orphan")), "plan-masters")
+    d = dups.join(loc, "g_master")
     orphan = d.filter(F.col("_orphan")).select(
         *_row(C.ACTION_ORPHAN_GROUP, F.col("original_path"), None, None, REASON_ORPHAN, 1))
-    live = d.filter(F.col("_orphan").isNull() & F.col("m_loc").isNotNull())
-    gone = live.filter(~F.col("exists")).select(
+    no_copy = d.filter(~F.col("_orphan") & F.col("m_loc").isNull()).select(
+        *_row(C.ACTION_NO_COPY, F.col("original_path"), None, None, REASON_NO_COPY, 1))
+    live = d.filter(~F.col("_orphan") & F.col("m_loc").isNotNull())
+    unread = live.filter(F.col("unknown")).select(
+        *_row(C.ACTION_UNREADABLE, F.col("original_path"), F.col("m_loc"), None, REASON_UNREADABLE, 1))
+    gone = live.filter(~F.col("exists") & ~F.col("unknown")).select(
         *_row(C.ACTION_MISSING, F.col("original_path"), F.col("m_loc"), None, REASON_DUP_MISSING, 1))
     linkable = P.with_relpath(live.filter(F.col("exists")).withColumn("_parent", P.parent_dir("original_path")),
                               "m_loc", "_parent", "_target")
@@ -137,7 +169,8 @@ def dedup_plan(files: DataFrame, groups: DataFrame, paths: DataFrame, present: D
         *_row(C.ACTION_LINK, F.col("original_path"), F.col("m_loc"), F.col("_target"), None, 1))
 
     out = p0_missing
-    for part in (p0_done, keep_out, p1_missing, orphan, gone, too_deep, links):
+    for part in (p0_unread, p0_done, keep_out, p1_unread, p1_missing, orphan, no_copy, unread, gone,
+                 too_deep, links):
         out = out.unionByName(part)
     return out.select(*PLAN_COLS)
 
@@ -147,6 +180,14 @@ def is_error():
         ~((F.col("action") == C.ACTION_MISSING) & (F.col("reason") == REASON_DUP_MISSING))
 
 
+def plan_coverage(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """Pending files, and those of them that the plan has no row for (one row)."""
+    pending = files.filter(F.col("deduplication_status") == C.STATUS_PENDING).select(F.col("id").alias("_id"))
+    rows = plan.select("file_id").distinct()
+    return pending.join(rows, F.col("_id") == F.col("file_id"), "left").agg(
+        F.count("_id").alias("pending"), F.count_if(F.col("file_id").isNull()).alias("uncovered"))
+
+
 def plan_outcome(plan: DataFrame) -> DataFrame:
     """Run counters: consolidated, linked, processed, errors (one row)."""
     return plan.agg(

@@ -30,13 +30,17 @@ Hasher = Callable[[DataFrame], DataFrame]
 
 
 def new_paths(scanned: DataFrame, prior_files: DataFrame) -> DataFrame:
-    """Listed rows whose path is not in the catalog yet."""
-    return scanned.join(prior_files.select("original_path"), "original_path", "left_anti")
+    """Listed rows whose path is not in the catalog yet.
+
+    The known paths among them are found with the batch as the build side, so
+    a small batch never shuffles the catalog."""
+    known = prior_files.select("original_path").join(scanned.select("original_path"), "original_path", "left_semi")
+    return scanned.join(known, "original_path", "left_anti")
 
 
 def with_ids(new_rows: DataFrame, prior_files: DataFrame) -> DataFrame:
     if "id" in new_rows.columns:
-        return new_rows
+        return stage(new_rows, "fresh")  # several tables are derived from it
     return assign_ids(new_rows, ["original_path"], base_id=max_id(prior_files))
 
 
@@ -155,13 +159,14 @@ def scan_batch(catalog: dict[str, DataFrame], scanned: DataFrame, run_ts: str, h
 
 def commit_scan(root: str, scanned: DataFrame, run_ts: str, hasher: Hasher,
                 scope: str = "catalog", mode: str = "skip_known", skip_hash: bool = False,
-                recompute: str = "affected", version: int | None = None) -> int:
+                recompute: str = "affected", source: str | None = None) -> int:
     """One scan run over the catalog stored at ``root``, committed as the next
-    version.  ``files`` and ``groups`` are written first; the alias rows and
+    version; ``source`` is noted in its commit marker.  ``files`` and
+    ``groups`` are written first; the alias rows and
     statistics are then derived from the stored tables, so the scan itself
     (fingerprint reads included) runs once."""
     spark = scanned.sparkSession
-    version = version or SNAP.next_version(spark, root)
+    version = SNAP.next_version(spark, root)
     prior = SNAP.read_catalog(spark, root, version - 1)
     files, groups, fresh = _scan(prior["files"], prior["duplicate_groups"], scanned, run_ts, hasher,
                                  scope, mode, recompute, skip_hash)
@@ -174,5 +179,5 @@ def commit_scan(root: str, scanned: DataFrame, run_ts: str, hasher: Hasher,
     SNAP.write_table(U.insert_paths(prior["paths"], path_rows(new_rows, run_ts), run_ts), root, "paths", version)
     stats = S.upsert_stats(prior["statistics"], S.statistics_table(files_s, groups_s, prior["statistics"], run_ts))
     SNAP.write_table(stats, root, "statistics", version)
-    SNAP.commit(spark, root, version)
+    SNAP.commit(spark, root, version, source)
     return version

@@ -2,10 +2,9 @@
 content-addressed layout and replacing copies by links).
 
 * canonical: one row per kept file (``canonical_path, file_id, file_hash,
-  file_size_bytes, h1, h2``), written range-partitioned on (h1, h2, path)
-  and partitioned by ``h1`` on disk; ``h2`` stays a column (256 x 256
-  directories would be tiny files).  The ``00`` bucket of unhashed files is
-  split across tasks by the range partitioner instead of landing in one.
+  file_size_bytes, h1, h2``), written where the join leaves them.  ``h1`` and
+  ``h2`` are columns, not folders, so the ``00`` bucket of unhashed files is no
+  hot folder and no task writes 256 small files.
 * alias: every catalogued path -> its canonical path (kept files map to
   themselves, duplicates to their master's copy).
 """
@@ -16,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
-from copyledger.session import shuffle_partitions
 
 
 def _h(path_col: str, level: int):
@@ -44,10 +42,9 @@ def alias_table(plan: DataFrame) -> DataFrame:
 
 
 def write_store(canonical_with_content: DataFrame, path: str) -> str:
-    """Write the canonical rows (with their content) as the store table."""
-    n = max(shuffle_partitions(canonical_with_content.sparkSession), 1)
-    (canonical_with_content.repartitionByRange(n, "h1", "h2", "canonical_path")
-     .write.mode("overwrite").partitionBy("h1").parquet(path))
+    """Write the canonical rows (with their content) as the store table, as
+    they come from the join: content moves once at most, and never to sort it."""
+    canonical_with_content.write.mode("overwrite").parquet(path)
     return path
 
 

@@ -559,6 +559,19 @@ def q_plan_errors_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DP.plan_errors_top(_plan(spark, sf_dir))
 
 
+@register("plan_coverage")
+def q_plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _, _, _ = _plan_state(spark, sf_dir)
+    return DP.plan_coverage(files, _plan(spark, sf_dir))
+
+
+@register("legacy_group_skip")
+def q_legacy_group_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups a next run would still handle when stamped groups are skipped."""
+    _, groups2, _, _, _ = _applied(spark, sf_dir)
+    return groups.groups_for_processing(groups2, legacy_group_skip=True).select("group_hash", "duplicate_count")
+
+
 @register("mark_processed")
 def q_mark_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, grps, paths, _ = _plan_state(spark, sf_dir)
@@ -750,6 +763,35 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SNAP.read_table(spark, root, "duplicate_groups").select(*groups.GROUP_COLS)
 
 
+@register("stream_ingest_listing")
+def q_stream_ingest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch scan commits batch 1; a stream of ordinary listings (no ids) of
+    batch 2 then starts over that catalog.  The groups equal one scan of all."""
+    base = scratch_path(spark, "stream")
+    listing_dir, root = f"{base}/in", f"{base}/catalog"
+    INC.commit_scan(root, _batch_rows(spark, sf_dir, 1, with_id=False), RUN1, _fixture_hasher(spark, sf_dir))
+    FX.fixture_listing(spark, sf_dir).filter(F.col("scan_batch") == 2) \
+        .select(*schemas.LISTING.fieldNames()).write.parquet(listing_dir)
+    for _ in range(2):      # the second run finds nothing new
+        STR.run_ingest(spark, listing_dir, root, f"{base}/checkpoint", FX.FIXTURE_ROOT,
+                       _fixture_hasher(spark, sf_dir), RUN1)
+    return SNAP.read_table(spark, root, "duplicate_groups").select(
+        "group_hash", "duplicate_count", "total_size_bytes")
+
+
+@register("listing_times")
+def q_listing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.fixture_rows(spark, sf_dir).select(
+        "id", "original_path", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@register("scan_errors")
+def q_scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 41st entry of the listing cannot be read."""
+    failed = F.when(F.col("id") % 41 == 0, F.lit("PermissionError: not readable"))
+    return listing.scan_errors(FX.fixture_listing(spark, sf_dir).withColumn("error", failed), FX.FIXTURE_ROOT)
+
+
 @register("group_members")
 def q_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = cat.fixture_catalog(spark, sf_dir, with_state=False)

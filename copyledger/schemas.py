@@ -1,4 +1,4 @@
-"""StructTypes of the catalog tables, the listing and the plan."""
+"""StructTypes of the catalog tables, and the listing."""
 
 from __future__ import annotations
 
@@ -55,15 +55,6 @@ LISTING = T.StructType([
     T.StructField("error", T.StringType(), True),
 ])
 
-PLAN = T.StructType([
-    T.StructField("file_id", T.LongType(), False),
-    T.StructField("action", T.StringType(), False),
-    T.StructField("src", T.StringType(), True),
-    T.StructField("dst", T.StringType(), True),
-    T.StructField("link_target", T.StringType(), True),
-    T.StructField("reason", T.StringType(), True),
-])
-
 TABLES = {
     "files": FILES,
     "paths": PATHS,

@@ -28,6 +28,7 @@ FIRST_YEAR = 2023
 HIDDEN_PROJECT_EVERY = 97
 LINK_EVERY = 53
 NAMES_PER_PROJECT = 25
+PATHS_REPEAT = 25_200      # ids this far apart share the levels above: a level of their own follows
 # Derived state variants used by the plan fixtures.
 DONE_EVERY = 11            # deduplication_status = 'deduplicated'
 CONSOLIDATED_EVERY = 22    # a consolidated path is already recorded
@@ -56,12 +57,13 @@ def fixture_path(root: str = FIXTURE_ROOT) -> Column:
         .otherwise(F.col("source"))
     ext = F.element_at(F.array(*[F.lit(e) for e in FIXTURE_EXTS]), (k % 8 + 1).cast("int"))
     name = F.concat(F.lit("clip_"), (k % NAMES_PER_PROJECT).cast("string"), F.lit("."), ext)
-    return F.concat_ws("/", F.lit(root), year, month, month_day, project, F.col("lang"), name)
+    block = F.when(k >= PATHS_REPEAT, F.concat(F.lit("b"), F.floor(k / PATHS_REPEAT).cast("string")))
+    return F.concat_ws("/", F.lit(root), year, month, month_day, project, F.col("lang"), block, name)
 
 
-def fixture_listing(spark: SparkSession, sf_dir: str, with_content: bool = False) -> DataFrame:
+def fixture_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing rows ``path, size, mtime, is_link, error`` plus ``id, lang,
-    scan_batch, content_fp, content_fp_full`` (and ``content`` on request)."""
+    scan_batch, content_fp, content_fp_full``."""
     docs = documents(spark, sf_dir)
     k = F.col("doc_id")
     content = fp.as_bytes("text")
@@ -77,8 +79,6 @@ def fixture_listing(spark: SparkSession, sf_dir: str, with_content: bool = False
         fp.sampled_fingerprint(content).alias("content_fp"),
         fp.full_fingerprint(content).alias("content_fp_full"),
     ]
-    if with_content:
-        cols.append(content.alias("content"))
     return docs.select(*cols)
 
 

@@ -17,6 +17,7 @@ unreadable entry yields ``size`` NULL with the error text.  ``subfolder``
 from __future__ import annotations
 
 import datetime as _dt
+import itertools
 import os
 from dataclasses import dataclass
 
@@ -40,33 +41,41 @@ class UnitsPartition(InputPartition):
         self.units = units
 
 
-def _visible_dirs(path: str) -> list[str]:
+def _visible_dirs(path: str, failed: list[str]) -> list[str]:
+    """Visible directories in ``path``; unreadable ones are added to ``failed``
+    (walking them gives their error row)."""
     try:
         with os.scandir(path) as it:
             return sorted(e.path for e in it
                           if not e.name.startswith(".") and e.is_dir(follow_symlinks=True))
     except OSError:
+        failed.append(path)
         return []
 
 
+def _start(root: str, subfolder: str | None) -> tuple[list[str], int]:
+    """Directories to start from, and their level; a missing root is an error."""
+    root = root.rstrip("/") or "/"
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no such directory: {root}")
+    if not subfolder:
+        return [root], 0
+    parts = [p for p in subfolder.strip("/").split("/") if p]
+    if len(parts) != 2:
+        raise ValueError("subfolder must be exactly 'year/month'")
+    base = os.path.join(root, *parts)
+    if not os.path.isdir(base) or any(p.startswith(".") for p in parts):
+        return [], 2
+    return [base], 2
+
+
 def plan_units(root: str, subfolder: str | None = None, expand_levels: int = 1) -> list[Unit]:
     """Driver side: the four fixed levels, then ``expand_levels`` below."""
-    root = root.rstrip("/") or "/"
-    if subfolder:
-        parts = [p for p in subfolder.strip("/").split("/") if p]
-        if len(parts) != 2:
-            raise ValueError("subfolder must be exactly 'year/month'")
-        base = os.path.join(root, *parts)
-        if not os.path.isdir(base) or any(p.startswith(".") for p in parts):
-            return []
-        level = [base]
-        depth_left = 2
-    else:
-        level = [root]
-        depth_left = 4
-    for _ in range(depth_left):
-        level = [d for parent in level for d in _visible_dirs(parent)]
-    units: list[Unit] = []
+    level, depth = _start(root, subfolder)
+    failed: list[str] = []
+    for _ in range(4 - depth):
+        level = [d for parent in level for d in _visible_dirs(parent, failed)]
+    units: list[Unit] = [Unit(d, recursive=False) for d in failed]
     for project in level:
         frontier = [project]
         for _ in range(expand_levels):
@@ -87,9 +96,10 @@ def _entry_row(entry: os.DirEntry):
     try:
         is_link = entry.is_symlink()
         st = entry.stat(follow_symlinks=False)
-        # Creation time: birth time where the platform reports it, else mtime
-        # (local wall clock, as the catalog stores it).
-        mtime = _dt.datetime.fromtimestamp(getattr(st, "st_birthtime", st.st_mtime))
+        # Creation time: birth time where the platform reports it, else mtime;
+        # in UTC, so tasks on differently set machines agree.
+        when = getattr(st, "st_birthtime", st.st_mtime)
+        mtime = _dt.datetime.fromtimestamp(when, _dt.timezone.utc).replace(tzinfo=None)
         return (entry.path, int(st.st_size), mtime, is_link, None)
     except OSError as e:
         return (entry.path, None, None, False, f"{type(e).__name__}: {e}")
@@ -127,7 +137,7 @@ class MediaFilesReader(DataSourceReader):
 
     def partitions(self):
         units = plan_units(self.root, self.subfolder, self.expand_levels)
-        n = self.num_partitions or max(1, min(len(units), 256))
+        n = self.num_partitions or max(1, len(units))
         buckets: list[list[Unit]] = [[] for _ in range(n)]
         for i, u in enumerate(units):
             buckets[i % n].append(u)
@@ -171,23 +181,16 @@ def read_tree(spark, root: str, subfolder: str | None = None, **options):
 # ---------------------------------------------------------------------------
 
 UNIT_SCHEMA = "unit string, recursive boolean"
+WALK_ROWS = 10_000     # rows a task holds before it hands them on
 
 
-def _day_dirs(root: str, subfolder: str | None) -> list[str]:
-    root = root.rstrip("/") or "/"
-    if subfolder:
-        parts = [p for p in subfolder.strip("/").split("/") if p]
-        if len(parts) != 2:
-            raise ValueError("subfolder must be exactly 'year/month'")
-        base = os.path.join(root, *parts)
-        if not os.path.isdir(base) or any(p.startswith(".") for p in parts):
-            return []
-        level, depth = [base], 1
-    else:
-        level, depth = [root], 3
-    for _ in range(depth):
-        level = [d for parent in level for d in _visible_dirs(parent)]
-    return level
+def _day_dirs(root: str, subfolder: str | None) -> tuple[list[str], list[str]]:
+    """Day directories, and the directories above them that cannot be read."""
+    level, depth = _start(root, subfolder)
+    failed: list[str] = []
+    for _ in range(3 - depth):
+        level = [d for parent in level for d in _visible_dirs(parent, failed)]
+    return level, failed
 
 
 def _expand_days(expand_levels: int):
@@ -197,7 +200,11 @@ def _expand_days(expand_levels: int):
         for pdf in batches:
             units, rec = [], []
             for day in pdf["day"]:
-                for project in _visible_dirs(day):
+                failed: list[str] = []
+                projects = _visible_dirs(day, failed)
+                units += failed
+                rec += [False] * len(failed)
+                for project in projects:
                     frontier = [project]
                     for _ in range(expand_levels):
                         nxt = []
@@ -220,8 +227,9 @@ def _walk_units(batches):
     import pandas as pd
 
     cols = ("path", "size", "mtime", "is_link", "error")
-    for pdf in batches:
-        rows = [r for u, rec in zip(pdf["unit"], pdf["recursive"]) for r in walk_unit(Unit(u, bool(rec)))]
+    found = (r for pdf in batches for u, rec in zip(pdf["unit"], pdf["recursive"])
+             for r in walk_unit(Unit(u, bool(rec))))
+    while rows := list(itertools.islice(found, WALK_ROWS)):
         out = pd.DataFrame(rows, columns=list(cols))
         out["size"] = out["size"].astype("Int64")
         out["mtime"] = pd.to_datetime(out["mtime"])
@@ -233,8 +241,9 @@ def list_tree_distributed(spark, root: str, subfolder: str | None = None, expand
                           num_partitions: int | None = None):
     """Same rows as the ``media_files`` source, with project discovery and the
     walk both running on executors."""
-    days = _day_dirs(root, subfolder)
+    days, failed = _day_dirs(root, subfolder)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     day_df = spark.createDataFrame([(d,) for d in days], "day string")
     units = day_df.repartition(max(1, min(len(days), n))).mapInPandas(_expand_days(expand_levels), UNIT_SCHEMA)
+    units = units.union(spark.createDataFrame([(d, False) for d in failed], UNIT_SCHEMA))
     return units.repartition(n).mapInPandas(_walk_units, SCHEMA)

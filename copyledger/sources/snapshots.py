@@ -70,10 +70,23 @@ def write_table(df: DataFrame, root: str, table: str, version: int) -> str:
     return path
 
 
-def commit(spark: SparkSession, root: str, version: int) -> None:
-    """Publish a version: readers see all its tables at once, or none."""
+def commit(spark: SparkSession, root: str, version: int, source: str | None = None) -> None:
+    """Publish a version: readers see all its tables at once, or none.  The
+    marker holds ``source``; a second writer of the same version fails."""
     fs, jpath = _fs(spark, f"{root}/{COMMITS}/v={version}")
-    fs.create(jpath, True).close()
+    out = fs.create(jpath, False)
+    out.write((source or "").encode())
+    out.close()
+
+
+def committed_source(spark: SparkSession, root: str, version: int) -> str:
+    """What the version's commit marker holds."""
+    fs, jpath = _fs(spark, f"{root}/{COMMITS}/v={version}")
+    stream = fs.open(jpath)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def next_version(spark: SparkSession, root: str) -> int:
@@ -109,15 +122,6 @@ def stage(df: DataFrame, kind: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(stage_path(df, kind))
 
 
-def local_dir(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def is_local(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-
 def read_files_scoped(spark: SparkSession, root: str, subfolder: str | None = None,
                       columns: tuple[str, ...] | None = None) -> DataFrame:
     """The latest ``files`` table, optionally scoped to ``year/month``: the

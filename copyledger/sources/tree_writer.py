@@ -62,8 +62,3 @@ def write_document_tree(spark: SparkSession, sf_dir: str) -> str:
     out = docs.mapInPandas(_write_batches(f"{base}/link_targets"), "doc_id long, bytes long")
     out.write.format("noop").mode("overwrite").save()
     return root
-
-
-def tree_rows(listing: DataFrame, root: str) -> DataFrame:
-    """Root-relative path column for comparisons."""
-    return listing.withColumn("rel_path", F.expr(f"substring(path, {len(root) + 2})"))

@@ -1,13 +1,15 @@
 """Streaming catalog ingest: listing files arrive in a folder; each
-micro-batch is one incremental scan committed as one catalog version.
+micro-batch is one incremental scan committed as the next catalog version.
 
 ``readStream`` over the listing folder (parquet, fixed schema) feeds
-``foreachBatch``; micro-batch ``b`` produces catalog version ``b + 1``, so a
-replayed batch (after a failure between the catalog commit and the stream
-checkpoint) finds its version committed and does nothing, and a batch that
-failed before its commit marker is simply rewritten -- exactly-once catalog
-updates.  The state is the catalog itself, so no watermark is
-needed: every path is seen once and groups are recomputed per batch.
+``foreachBatch``.  The commit marker of a version names the stream (its
+checkpoint) and the micro-batch, so a replayed batch finds itself committed
+and does nothing, while a stream that starts on a catalog with other versions,
+or with a new checkpoint, goes on after them; a batch that failed before its
+marker is simply rewritten -- exactly-once catalog updates.  Rows may carry an
+``id``; rows without one get the next ids in path order.  The state is the
+catalog itself, so no watermark is needed: every path is seen once and groups
+are recomputed per batch.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from copyledger import schemas
+from copyledger.operators.ids import assign_ids, max_id
 from copyledger.operators.listing import catalog_rows
 from copyledger.plans import incremental as INC
 from copyledger.sources import snapshots as SNAP
@@ -32,17 +35,37 @@ def batch_run_ts(base_ts: str, batch_id: int) -> str:
     return (base + dt.timedelta(days=batch_id)).strftime("%Y-%m-%d %H:%M:%S")
 
 
+def last_batch(spark: SparkSession, catalog_root: str, stream: str) -> int:
+    """The newest micro-batch of ``stream`` in the catalog, or -1."""
+    for version in reversed(SNAP.committed_versions(spark, catalog_root)):
+        name, _, batch = SNAP.committed_source(spark, catalog_root, version).rpartition("#")
+        if name == stream:
+            return int(batch)
+    return -1
+
+
+def numbered(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """Rows with a caller's id keep it; the others get ids above all of these
+    and the catalog's, new paths first counted in path order."""
+    given = rows.filter(F.col("id").isNotNull())
+    blank = INC.new_paths(rows.filter(F.col("id").isNull()).drop("id"), prior)
+    if blank.isEmpty():
+        return given
+    base = max(max_id(prior), max_id(given))
+    return given.unionByName(assign_ids(blank, ["original_path"], base_id=base).select(*rows.columns))
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, catalog_root: str, root: str, hasher,
-                 base_ts: str, scope: str = "catalog") -> None:
+                 base_ts: str, scope: str = "catalog", stream: str = "stream") -> None:
     spark = batch.sparkSession
-    if batch_id + 1 in SNAP.committed_versions(spark, catalog_root):
+    if batch_id <= last_batch(spark, catalog_root, stream):
         return
-    keep = ("id",) if "id" in batch.columns else ()
-    rows = catalog_rows(batch, root, keep=keep)
-    if keep:
-        rows = rows.filter(F.col("id").isNotNull())
+    if "id" not in batch.columns:
+        batch = batch.withColumn("id", F.lit(None).cast("long"))
+    rows = SNAP.stage(catalog_rows(batch, root, keep=("id",)), "micro-batch")
+    rows = numbered(rows, SNAP.read_table(spark, catalog_root, "files"))
     INC.commit_scan(catalog_root, rows, batch_run_ts(base_ts, batch_id), hasher, scope=scope,
-                    version=batch_id + 1)
+                    source=f"{stream}#{batch_id}")
 
 
 def run_ingest(spark: SparkSession, listing_dir: str, catalog_root: str, checkpoint: str, root: str,
@@ -51,7 +74,8 @@ def run_ingest(spark: SparkSession, listing_dir: str, catalog_root: str, checkpo
     stream = (spark.readStream.schema(LISTING_STREAM)
               .option("maxFilesPerTrigger", files_per_batch).parquet(listing_dir))
     query = (stream.writeStream
-             .foreachBatch(lambda df, bid: ingest_batch(df, bid, catalog_root, root, hasher, base_ts, scope))
+             .foreachBatch(lambda df, bid: ingest_batch(df, bid, catalog_root, root, hasher, base_ts, scope,
+                                                       stream=checkpoint))
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True)
              .start())

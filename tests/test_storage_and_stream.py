@@ -4,6 +4,7 @@ hand-made tree, and streaming ingest."""
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from copyledger import schemas
@@ -12,6 +13,7 @@ from copyledger.registry import REGISTRY
 from copyledger.sources import media_files as MF
 from copyledger.sources import sampled_read as SR
 from copyledger.sources import snapshots as SNAP
+from copyledger.streaming import ingest as STR
 
 from conftest import SMALL
 
@@ -50,7 +52,7 @@ def test_media_source_on_tree(spark):
     _touch(f"{day}/_projB/c.mp4", b"o4")
     _touch(f"{day}/projA/n.txt", b"t")
     _touch(f"{day}/stray.mp4", b"s")
-    _touch(f"{root}/.dg/files/00/x.mp4", b"h")
+    _touch(f"{root}/.hidden/files/00/x.mp4", b"h")
     _touch(f"{day}/pr oj=C/é f.mp4", b"e")
     _touch(f"{day}/projA/empty.mp4", b"")
     os.symlink(f"{day}/projA/a.mp4", f"{day}/projA/link.mp4")
@@ -78,3 +80,45 @@ def test_stream_equals_batch(spark):
     stream = {tuple(r) for r in REGISTRY["stream_ingest"](spark, SMALL).collect()}
     batch = {tuple(r) for r in REGISTRY["duplicate_groups"](spark, SMALL).collect()}
     assert stream == batch and len(batch) == 4
+
+
+def test_missing_root_is_an_error_and_unreadable_directories_are_rows(spark):
+    root = tempfile.mkdtemp(prefix="copyledger-tree-", dir="/tmp")
+    with pytest.raises(FileNotFoundError):
+        MF.plan_units(f"{root}/absent")
+    with pytest.raises(FileNotFoundError):
+        MF.list_tree_distributed(spark, f"{root}/absent")
+    failed = []
+    assert MF._visible_dirs(f"{root}/absent", failed) == [] and failed == [f"{root}/absent"]
+    rows = list(MF.walk_unit(MF.Unit(failed[0], recursive=False)))
+    assert len(rows) == 1 and rows[0][1] is None and "FileNotFoundError" in rows[0][4]
+    errors = spark.createDataFrame(
+        [("/r/2025", None, None, False, "PermissionError"), ("/r/2025/may/5_1/p/a.mp4", 1, None, False, None),
+         ("/q/x", None, None, False, "elsewhere")], schemas.LISTING)
+    assert [r.path for r in listing.scan_errors(errors, "/r").collect()] == ["/r/2025"]
+
+
+def test_second_writer_of_a_version_fails(spark):
+    root = tempfile.mkdtemp(prefix="copyledger-test-", dir="/tmp")
+    SNAP.commit(spark, root, 1, "one#3")
+    with pytest.raises(Exception, match="exists"):
+        SNAP.commit(spark, root, 1)
+    assert SNAP.committed_source(spark, root, 1) == "one#3"
+
+
+def test_stream_over_a_catalog_replays_once(spark):
+    root = tempfile.mkdtemp(prefix="copyledger-test-", dir="/tmp")
+    names = [f"/r/2025/may/5_1/p/{i}.mp4" for i in range(4)]
+
+    def listed(part):
+        return spark.createDataFrame([(n, 10, None, False, None) for n in part], schemas.LISTING)
+
+    def hasher(need):
+        return need.select("id", F.lit("same").alias("file_hash"))
+    for batch, part in ((0, names[:2]), (0, names[2:]), (1, names[2:]), (1, names[2:])):
+        STR.ingest_batch(listed(part), batch, root, "/r", hasher, "2025-01-01 00:00:00", stream="a")
+    STR.ingest_batch(listed(["/r/2025/may/5_1/p/new.mp4"]), 0, root, "/r", hasher, "2025-01-01 00:00:00", stream="b")
+    files = SNAP.read_table(spark, root, "files").orderBy("id").collect()
+    assert [r.id for r in files] == [1, 2, 3, 4, 5] and len({r.original_path for r in files}) == 5
+    assert SNAP.committed_versions(spark, root) == [1, 2, 3]
+    assert SNAP.read_table(spark, root, "duplicate_groups").first().duplicate_count == 4
