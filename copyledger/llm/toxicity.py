@@ -92,7 +92,7 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(doc, feat, value, y, weight, n_feat, ridge=1e-2, rounds=300, rate=0.05):
+def logistic(doc, feat, value, y, weight, n_feat, ridge=3e-3, rounds=150, rate=0.05):
     """Ridge logistic regression on sparse rows by Adam; (weights, bias)."""
     w, b = np.zeros(n_feat), 0.0
     m, v = np.zeros(n_feat + 1), np.zeros(n_feat + 1)
