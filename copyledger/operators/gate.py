@@ -29,9 +29,11 @@ def mark_candidates(files: DataFrame, scope: DataFrame | None = None) -> DataFra
     (default: ``files`` itself)."""
     classes = size_classes(files if scope is None else scope) \
         .select("file_size_bytes", F.lit(True).alias("_cand"))
-    return (files.join(classes, "file_size_bytes", "left")
+    # Rows without a size never qualify and would all share the NULL key.
+    unsized = files.filter(F.col("file_size_bytes").isNull()).withColumn("is_candidate", F.lit(False))
+    return (files.filter(F.col("file_size_bytes").isNotNull()).join(classes, "file_size_bytes", "left")
             .withColumn("is_candidate", F.coalesce(F.col("_cand"), F.lit(False)))
-            .drop("_cand"))
+            .drop("_cand").unionByName(unsized))
 
 
 def apply_gate(files: DataFrame, fp_col: str, scope: DataFrame | None = None) -> DataFrame:

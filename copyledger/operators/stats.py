@@ -94,11 +94,24 @@ def upsert_stats(prior: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(prior.join(new.select("stat_name"), "stat_name", "left_anti"))
 
 
+def report_cells(files: DataFrame) -> DataFrame:
+    """Files combined per (year, month, project, status): one scan serves every
+    breakdown below, which take these cells in place of file rows."""
+    return files.groupBy("year", "month", "project_name", "deduplication_status").agg(
+        F.count(F.lit(1)).alias("cell_rows"), F.sum("file_size_bytes").alias("file_size_bytes"),
+        F.sum(_dup_int()).alias("cell_duplicates"))
+
+
+def _count(df: DataFrame):
+    return (F.sum("cell_rows") if "cell_rows" in df.columns else F.count(F.lit(1))).cast("long")
+
+
 def _measures(df: DataFrame, *keys: str) -> DataFrame:
+    dups = F.sum(F.col("cell_duplicates") if "cell_duplicates" in df.columns else _dup_int())
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("file_count"),
+        _count(df).alias("file_count"),
         F.coalesce(F.sum("file_size_bytes"), F.lit(0)).cast("long").alias("total_size"),
-        F.sum(_dup_int()).cast("long").alias("duplicate_count"))
+        dups.cast("long").alias("duplicate_count"))
 
 
 def breakdown_by_year(files: DataFrame) -> DataFrame:
@@ -120,7 +133,7 @@ def top_projects(files: DataFrame, by: str = "file_count", k: int = C.TOP_K_DEFA
 
 
 def status_breakdown(files: DataFrame) -> DataFrame:
-    return files.groupBy("deduplication_status").agg(F.count(F.lit(1)).alias("count"))
+    return files.groupBy("deduplication_status").agg(_count(files).alias("count"))
 
 
 def capacity_need(files: DataFrame, capacity_bytes: int | None = None) -> DataFrame:

@@ -519,16 +519,26 @@ SELECT id,
   CASE WHEN id IN {_DONE_IDS} THEN '{PLAN_TS}'
        WHEN id % {FX.DONE_EVERY} = 0 THEN '{DONE_TS}' END AS deduplication_timestamp
 FROM cat""")
-ORACLES["group_processed"] = _with(PLAN_STATE + """,
-pg AS (SELECT c.file_hash, count(*) FILTER (WHERE p.is_error) AS bad FROM perr p JOIN cat c ON p.file_id = c.id
-       WHERE p.phase = 1 GROUP BY c.file_hash)""", f"""
-SELECT group_hash, CASE WHEN group_hash IN (SELECT file_hash FROM pg WHERE bad = 0) THEN '{PLAN_TS}' END
+_STAMPED = f""",
+pg AS (SELECT c.file_hash FROM perr p JOIN cat c ON p.file_id = c.id
+       WHERE p.phase = 1 GROUP BY c.file_hash HAVING count(*) FILTER (WHERE p.is_error) = 0
+       UNION SELECT group_hash FROM grp WHERE duplicate_count > 0
+         AND group_hash NOT IN (SELECT file_hash FROM cat WHERE is_duplicate
+                                AND coalesce(deduplication_status, '{C.STATUS_PENDING}') = '{C.STATUS_PENDING}')
+         AND master_file_id NOT IN (SELECT file_id FROM perr WHERE is_error))"""
+ORACLES["dedup_run"] = _with(PLAN_STATE, f"""
+SELECT CASE WHEN id IN {_DONE_IDS} THEN '{C.STATUS_DONE}' ELSE deduplication_status END AS name,
+  CAST(count(*) AS VARCHAR) AS value FROM cat GROUP BY 1
+UNION ALL SELECT 'files_consolidated', CAST(count(*) FILTER (WHERE action = 'keep') AS VARCHAR) FROM perr
+UNION ALL SELECT 'symlinks_created', CAST(count(*) FILTER (WHERE action = 'link') AS VARCHAR) FROM perr
+UNION ALL SELECT 'files_deduplicated', CAST(count(*) FILTER (WHERE action = 'keep' AND phase = 0)
+  + count(*) FILTER (WHERE action = 'link') AS VARCHAR) FROM perr""")
+ORACLES["group_processed"] = _with(PLAN_STATE + _STAMPED, f"""
+SELECT group_hash, CASE WHEN group_hash IN (SELECT file_hash FROM pg) THEN '{PLAN_TS}' END
   AS deduplicated_at FROM grp""")
-ORACLES["legacy_group_skip"] = _with(PLAN_STATE + """,
-pg AS (SELECT c.file_hash, count(*) FILTER (WHERE p.is_error) AS bad FROM perr p JOIN cat c ON p.file_id = c.id
-       WHERE p.phase = 1 GROUP BY c.file_hash)""", """
+ORACLES["legacy_group_skip"] = _with(PLAN_STATE + _STAMPED, """
 SELECT group_hash, duplicate_count FROM grp
-WHERE duplicate_count > 0 AND group_hash NOT IN (SELECT file_hash FROM pg WHERE bad = 0)""")
+WHERE duplicate_count > 0 AND group_hash NOT IN (SELECT file_hash FROM pg)""")
 ORACLES["idempotent_rerun"] = _with(PLAN_STATE, "SELECT action, reason, count(*) AS count FROM perr "
                                                 "WHERE is_error GROUP BY action, reason")
 ORACLES["fk_audit"] = _with(PLAN_STATE + """,

@@ -15,14 +15,17 @@ phase 1 re-consolidates processed masters that lost their store entry.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
+from copyledger import schemas
 from copyledger.functions import paths as P
 from copyledger.operators.collisions import resolve_counters
+from copyledger.operators import stats as S
 from copyledger.operators import upserts as U
 from copyledger.operators.groups import groups_for_processing
+from copyledger.sources import snapshots as SNAP
 from copyledger.sources.snapshots import stage
 
 REASON_NOT_FOUND = "file not found"
@@ -223,10 +226,46 @@ def applied(files: DataFrame, groups: DataFrame, paths: DataFrame, plan: DataFra
                               .select("file_id", F.lit(C.PATH_SYMLINK).alias("path_type"),
                                       F.col("src").alias("path"))))
     paths2 = U.insert_paths(paths, new_paths, run_ts)
-    # A group is stamped when none of its pending duplicates failed.
+    # A group is stamped when none of its pending duplicates failed, or when
+    # none is pending and its master did not fail.
     hashes = files.select(F.col("id").alias("file_id"), "file_hash")
     per_group = plan.filter(F.col("phase") == 1).join(hashes, "file_id").groupBy("file_hash").agg(
         F.count_if(is_error()).alias("_bad"))
     ok = per_group.filter(F.col("_bad") == 0).select(F.col("file_hash").alias("group_hash"))
-    groups2 = U.mark_groups(groups, ok, run_ts)
+    loose = F.coalesce(F.col("deduplication_status"), F.lit(C.STATUS_PENDING)) == C.STATUS_PENDING
+    waiting = files.filter(F.col("is_duplicate") & loose).select(F.col("file_hash").alias("group_hash")).distinct()
+    failed = plan.filter(is_error()).select(F.col("file_id").alias("master_file_id")).distinct()
+    idle = (groups.filter(F.col("duplicate_count") > 0).select("group_hash", "master_file_id")
+            .join(waiting, "group_hash", "left_anti").join(failed, "master_file_id", "left_anti"))
+    groups2 = U.mark_groups(groups, ok.unionByName(idle.select("group_hash")), run_ts)
     return files2, groups2, paths2
+
+
+def commit_dedup(spark: SparkSession, root: str, present: DataFrame, store_root: str, run_ts: str,
+                 **options) -> int:
+    """One deduplication run over the catalog stored at ``root``: the plan is
+    written once, applied to files, groups and alias rows, the statistics are
+    refreshed with the run's counters, and all are committed as one version.
+    ``options`` go to ``dedup_plan``."""
+    version = SNAP.next_version(spark, root)
+    old = SNAP.read_catalog(spark, root)
+    plan = stage(dedup_plan(old["files"], old["duplicate_groups"], old["paths"], present, store_root, **options),
+                 "plan")
+    tables = applied(old["files"], old["duplicate_groups"], old["paths"], plan, run_ts)
+    for name, table in zip(("files", "duplicate_groups", "paths"), tables):
+        SNAP.write_table(table, root, name, version)
+    files, groups = (spark.read.schema(schemas.TABLES[t]).parquet(f"{root}/{t}/v={version}")
+                     for t in ("files", "duplicate_groups"))
+    counters = plan_counters(plan)
+    SNAP.write_table(S.upsert_stats(old["statistics"], S.statistics_table(files, groups, counters, run_ts)),
+                     root, "statistics", version)
+    SNAP.commit(spark, root, version)
+    return version
+
+
+def plan_counters(plan: DataFrame) -> DataFrame:
+    """The run's counters as statistics rows (``stat_name, stat_value``)."""
+    return plan_outcome(plan).select(F.expr(
+        "stack(3, 'files_consolidated', cast(files_consolidated as string), "
+        "'symlinks_created', cast(symlinks_created as string), "
+        "'files_deduplicated', cast(files_deduplicated as string)) as (stat_name, stat_value)"))

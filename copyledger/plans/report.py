@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from copyledger import constants as C
 from copyledger.functions.formatting import fixed2, format_bytes, format_percentage, stat_to_int, thousands
 from copyledger.operators import stats as S
+from copyledger.sources.snapshots import stage
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: report text (titles, labels and table headers)
@@ -65,6 +66,8 @@ def _table(rows: DataFrame, section: int, title: str, header: tuple[str, str],
 
 def report_lines(files: DataFrame, groups: DataFrame, stats_table: DataFrame | None,
                  generated_at: str) -> DataFrame:
+    """The report's lines (``section, ord, line``).  ``files`` is scanned twice:
+    for the one-row summary and for the cells that all breakdowns share."""
     s = S.summary(files, groups)
     if stats_table is not None:
         counters = stats_table.filter(F.col("stat_name").isin(*C.DEDUP_COUNTER_KEYS)).groupBy().pivot(
@@ -77,6 +80,8 @@ def report_lines(files: DataFrame, groups: DataFrame, stats_table: DataFrame | N
     one = s.select("*", *[F.lit(None).cast("long").alias(k) for k in C.DEDUP_COUNTER_KEYS]).unionByName(
         counters.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in s.schema.fields],
                         *C.DEDUP_COUNTER_KEYS)).agg(*[F.max(c).alias(c) for c in s.columns + list(C.DEDUP_COUNTER_KEYS)])
+    one = stage(one, "report-summary")
+    files = stage(S.report_cells(files), "report-cells")
 
     tv, uq, dp = F.col("total_files"), F.col("unique_files"), F.col("duplicate_files")
     has_dedup = F.col("files_deduplicated") > 0

@@ -579,6 +579,20 @@ def q_mark_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files2.select("id", "deduplication_status", _ts_text("deduplication_timestamp"))
 
 
+@register("dedup_run")
+def q_dedup_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole deduplication run over a stored catalog, read back."""
+    files, grps, paths, present = _plan_state(spark, sf_dir)
+    root = scratch_path(spark, "catalog")
+    SNAP.write_catalog({"files": files, "duplicate_groups": grps, "paths": paths}, root)
+    DP.commit_dedup(spark, root, present, FX.FIXTURE_STORE, PLAN_TS)
+    c = SNAP.read_catalog(spark, root)
+    return (c["files"].select(F.col("deduplication_status").alias("name"), F.lit(1).alias("one"))
+            .groupBy("name").agg(F.sum("one").cast("string").alias("value"))
+            .unionByName(c["statistics"].filter(F.col("stat_name").isin(*C.DEDUP_COUNTER_KEYS))
+                         .select(F.col("stat_name").alias("name"), F.col("stat_value").alias("value"))))
+
+
 @register("group_processed")
 def q_group_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, grps, paths, _ = _plan_state(spark, sf_dir)
@@ -714,11 +728,7 @@ def q_media_sampled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _after_dedup(spark: SparkSession, sf_dir: str):
     files2, groups2, _, _, plan = _applied(spark, sf_dir)
-    counters = DP.plan_outcome(plan).select(F.expr(
-        "stack(3, 'files_consolidated', cast(files_consolidated as string), "
-        "'symlinks_created', cast(symlinks_created as string), "
-        "'files_deduplicated', cast(files_deduplicated as string)) as (stat_name, stat_value)"))
-    stats2 = stats.statistics_table(files2, groups2, counters, PLAN_TS)
+    stats2 = stats.statistics_table(files2, groups2, DP.plan_counters(plan), PLAN_TS)
     # Commit the run as a new catalog version; the report reads the stored
     # tables (pruned columns), not the plan lineage.
     root = scratch_path(spark, "catalog")
