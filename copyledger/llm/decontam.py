@@ -72,12 +72,16 @@ def _bitmap(grams: DataFrame) -> bytes:
     return words.tobytes()
 
 
-def tiles(seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling over shared k-gram starts (text, item): the marked
-    (start in the item, start in the text, length), longest first."""
-    pairs = np.array(sorted({(i - j, j) for i, j in seeds}), np.int64).reshape(-1, 2)
-    if not len(pairs):
+def tiles(i: np.ndarray, j: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling over shared k-gram starts, ``i`` in the text and
+    ``j`` in the item: the marked (start in the item, start in the text,
+    length), longest first."""
+    if not len(i):
         return []
+    diagonal, width = i.astype(np.int64) - j, int(j.max()) + 1
+    low = int(diagonal.min())
+    place = np.unique((diagonal - low) * width + j)
+    pairs = np.stack([place // width + low, place % width], axis=1)
     cut = np.flatnonzero((np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 1)) + 1
     heap = []
     for run in np.split(pairs, cut):
@@ -110,7 +114,10 @@ def tiles(seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
 def _tile(k: int):
     def run(batches):
         for batch in batches:
-            found = [tiles([(s["i"], s["j"]) for s in seeds], k) for seeds in batch["seeds"].to_pylist()]
+            seeds = batch["seeds"]
+            i, j = (seeds.flatten().field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            ends = np.cumsum(np.diff(seeds.offsets.to_numpy()))
+            found = [tiles(i[a:b], j[a:b], k) for a, b in zip([0, *ends[:-1]], ends)]
             keep = [c for c in batch.schema.names if c != "seeds"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in keep), pa.array([len(f) for f in found], pa.int64()),

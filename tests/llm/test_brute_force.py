@@ -216,7 +216,13 @@ def test_tiles_equal_plain_greedy_tiling():
         text = [rng.choice("abcd") for _ in range(rng.randint(0, 20))] + item[7:] + item[:7]
         seeds = [(i, j) for i in range(len(text) - k + 1) for j in range(len(item) - k + 1)
                  if text[i:i + k] == item[j:j + k]]
-        assert decontam.tiles(seeds, k) == plain_tiles(text, item, k)
+        i, j = (np.array(x, np.int32) for x in zip(*seeds)) if seeds else (np.zeros(0, np.int32),) * 2
+        assert decontam.tiles(i, j, k) == plain_tiles(text, item, k)
+
+
+def test_tiles_of_a_long_repetition():
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(20_000), np.arange(26)))
+    assert decontam.tiles(i, j, 5) == [(0, 0, 30)]
 
 
 def test_decontamination_finds_reordered_passages(spark):
