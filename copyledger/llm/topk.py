@@ -1,16 +1,17 @@
 """Exact top-k inner products by MaxScore over sharded postings.
 
 A vector's components are the weights of its terms.  Vectors are dealt into
-shards of about ``SHARD`` rows; every block of queries meets every shard.  In
-a shard a term's contribution to a query lies between the products of its
-weight with the shard's smallest and largest component.  Measured from the
-smallest one all contributions are non-negative, and the classic split holds:
-terms in falling order of their bounds, non-essential ones are the longest
-tail whose bounds together cannot lift a vector over the score of the current
-k-th.  The essential terms' postings are traversed for all vectors of the
-shard; the others are probed, some at a time, only for vectors whose bound
-still reaches that score.  Survivors' scores are complete sums, so the result
-is exact; the shards' best are merged in two steps.
+shards of about ``SHARD`` rows; every block of queries meets every shard, sent
+once to each group of at most ``GROUP`` shards.  In a shard a term's
+contribution to a query lies between the products of its weight with the
+shard's smallest and largest component.  Measured from the smallest one all
+contributions are non-negative, and the classic split holds: terms in falling
+order of their bounds, non-essential ones are the longest tail whose bounds
+together cannot lift a vector over the score of the current k-th.  The
+essential terms' postings are traversed for all vectors of the shard; the
+others are probed, some at a time, only for vectors whose bound still reaches
+that score.  Survivors' scores are complete sums, so the result is exact; the
+shards' best are merged in two steps.
 
 Defined results: a vector that is null or holds a null or non-finite component
 takes no part, neither does one with a null id; a query never meets rows of
@@ -30,6 +31,7 @@ from copyledger.llm.common import python_ready, stage
 
 SHARD = 4096
 BLOCK = 256
+GROUP = 16
 STEP = 8
 SAMPLE = 512
 
@@ -156,9 +158,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"))
     asked = (asked.repartition("block").sortWithinPartitions("block")
              .mapInArrow(_pack("block", BLOCK), "block int, ids binary, rows binary"))
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"),
-                         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    met = stage(packed, "shards").join(stage(asked, "query-blocks"), "shard")
+    # a group of shards receives each query block once: as many groups as the
+    # cluster's cores can use, so blocks travel no more often than they must
+    cores = 4 * spark.sparkContext.defaultParallelism
+    groups = max(-(-shards // GROUP), min(shards, cores))
+    asked = stage(asked, "query-blocks").select(
+        F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    packed = stage(packed, "shards").withColumn("group", F.col("shard") % groups)
+    met = asked.join(packed, "group")
     scored = met.select("ids", "rows", "q_ids", "q_rows").mapInArrow(
         _shard(k), "query_id long, vec_id long, score long")
     parts = max(1, round(shards ** 0.5))
