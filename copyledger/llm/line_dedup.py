@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     kept = F.array_join(F.transform(stay, lambda p: F.get(F.col("parts"), p)), "\n")
     return parts.select("row", F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("kept"),
                         F.size("parts").cast("long").alias("n_lines"),
-                        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+                        F.coalesce(F.array_size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def without_frequent_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
