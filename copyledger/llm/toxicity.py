@@ -14,7 +14,8 @@ Defined results: null and empty texts have no features and get the score of
 the calibrated bias; without labels of both classes nothing is learned and
 every score is the share of toxic training labels, 0.5 at most, so that
 nothing is rejected; repeated labels count again; label rows with a null id or
-class are left out.
+class are left out, and a labelled id that several rows repeat is learned from
+its smallest text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copyledger.llm.common import keep_rows, python_ready, row_key
+from copyledger.llm.common import keep_rows, python_ready, row_key, stage
 from copyledger.llm.words import mix
 
 SIZES = (4, 5, 6)
@@ -172,9 +173,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     ranked = known.withColumn("h", F.xxhash64("doc_id"))
     sample = [ranked.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(PER_CLASS) for c in (0, 1)]
-    picked = sample[0].unionByName(sample[1]).select(F.col("doc_id").alias("i"), "toxic", "h")
-    rows = (docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-            .join(F.broadcast(picked), F.col("doc_id") == F.col("i"))  # at most 2 * PER_CLASS rows
+    picked = stage(sample[0].unionByName(sample[1]).select(F.col("doc_id").alias("i"), "toxic", "h"), "toxic-sample")
+    wanted = F.broadcast(picked.select("i").distinct())  # at most 2 * PER_CLASS rows
+    texts = (docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+             .join(wanted, F.col("doc_id") == F.col("i"), "left_semi")
+             .groupBy("doc_id").agg(F.min("text").alias("text")))
+    rows = (texts.join(picked, F.col("doc_id") == F.col("i"))
             .select("h", "doc_id", "toxic", "text").collect())
     rows.sort(key=lambda r: (r["h"], r["doc_id"], r["toxic"], r["text"]))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))

@@ -114,6 +114,15 @@ def test_toxicity(docs, empty, labels):
     assert toxicity.without_toxic(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_toxicity_learns_a_repeated_id_once(spark, labels):
+    ids = [r["doc_id"] for r in labels.collect()]
+    rows = spark.createDataFrame([(i, f"text of {i} and more words {i % 3}") for i in ids if i is not None],
+                                 "doc_id long, text string")
+    again = rows.crossJoin(spark.range(5).select("id")).drop("id")
+    one, many = toxicity.train(rows, labels), toxicity.train(again, labels)
+    assert (one.buckets == many.buckets).all() and (one.weights == many.weights).all() and one.bias == many.bias
+
+
 def test_token_counts(docs, empty, vocabulary):
     got = by_id(token_counts.count_tokens(docs, vocabulary).where("doc_id IS NOT NULL"))
     assert (got[1]["n_bytes"], got[1]["n_tokens"], got[2]["n_tokens"], got[3]["n_tokens"]) == (0, 0, 0, 0)
@@ -160,6 +169,19 @@ def test_topk(spark):
     assert topk.top_k(vectors, vectors.limit(0), 10).count() == 0
 
 
+def test_topk_over_groups_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 4)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    rows = [(i, [(i * 7 % 23) / 4.0, (i * 11 % 19) / 8.0 - 1, (i % 5) / 2.0]) for i in range(600)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert -(-600 // 4) > 4 * spark.sparkContext.defaultParallelism  # a group holds several shards
+    got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 4).collect()
+    v = {i: [int(1024 * x // 1) for x in e] for i, e in rows}
+    for q in range(0, 600, 50):
+        want = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:4]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7), (100, 200)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
