@@ -8,7 +8,7 @@ top-k uses ``orderBy(...).limit(k)`` which plans as ``TakeOrderedAndProject``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
@@ -136,6 +136,24 @@ def status_breakdown(files: DataFrame) -> DataFrame:
     return files.groupBy("deduplication_status").agg(_count(files).alias("count"))
 
 
+def ordered_breakdowns(files: DataFrame) -> DataFrame:
+    """The year, month and status breakdowns with ``place``, the row's position
+    in its section's order.  The windows see one row per year, month or status."""
+    cells = report_cells(files)
+
+    def placed(section: str, df: DataFrame, label, count: str, *order) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order)).cast("long")
+        return df.select(F.lit(section).alias("section"), place.alias("place"), label.alias("label"),
+                         F.col(count).alias("file_count"))
+
+    year, month = F.col("year").desc(), F.col("month").desc()
+    return (placed("year", breakdown_by_year(cells), F.col("year"), "file_count", year)
+            .unionByName(placed("month", breakdown_by_month(cells), F.concat_ws("/", "year", "month"),
+                                "file_count", year, month))
+            .unionByName(placed("status", status_breakdown(cells), F.col("deduplication_status"), "count",
+                                F.col("count").desc(), F.col("deduplication_status"))))
+
+
 def capacity_need(files: DataFrame, capacity_bytes: int | None = None) -> DataFrame:
     """Bytes of pending files (duplicates included) against a capacity."""
     pending = files.filter(F.col("deduplication_status") == C.STATUS_PENDING)

@@ -222,6 +222,16 @@ ORACLES["breakdown_month"] = _with(
                     "WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month")
 ORACLES["status_breakdown"] = _with(
     catalog_ctes(), "SELECT deduplication_status, count(*) AS count FROM cat GROUP BY deduplication_status")
+ORACLES["breakdowns_ordered"] = _with(catalog_ctes(), """
+SELECT 'year' AS section, row_number() OVER (ORDER BY year DESC) AS place, year AS label, count(*) AS file_count
+FROM cat GROUP BY year
+UNION ALL SELECT 'month', row_number() OVER (ORDER BY year DESC, month DESC), year || '/' || month, count(*)
+FROM cat GROUP BY year, month
+UNION ALL SELECT 'status', row_number() OVER (ORDER BY count(*) DESC, deduplication_status), deduplication_status, count(*)
+FROM cat GROUP BY deduplication_status""")
+ORACLES["pending_ordered"] = _with(catalog_ctes(), f"""
+SELECT row_number() OVER (ORDER BY id) AS place, id AS file_id, original_path FROM cat
+WHERE deduplication_status = '{C.STATUS_PENDING}'""")
 for _key, _by in (("top_projects_count", "file_count"), ("top_projects_size", "total_size")):
     ORACLES[_key] = _with(
         catalog_ctes(), f"SELECT project_name, {MEASURES} FROM cat WHERE project_name IS NOT NULL "
@@ -298,6 +308,14 @@ src AS (
   FROM ids)""" + _groups_and_flags("src"), f"""
 SELECT id, original_path, file_size_bytes, file_hash, is_duplicate, master_file_id,
   '{RUN2}' AS scan_timestamp FROM f2""")
+ORACLES["refresh_changed"] = _with(BATCH_CTES + """,
+now_ AS (SELECT id, id % 13 = 0 AS changed, file_hash, content_fp,
+           CASE WHEN id % 13 = 0 THEN 7 + id % 2 ELSE file_size_bytes END AS file_size_bytes FROM b1h),
+src AS (SELECT id, CAST(file_size_bytes AS BIGINT) AS file_size_bytes,
+          CASE WHEN NOT changed AND file_hash IS NOT NULL THEN file_hash
+               WHEN file_size_bytes IN (SELECT file_size_bytes FROM now_ GROUP BY ALL HAVING count(*) > 1)
+               THEN CASE WHEN changed THEN md5(CAST(id % 2 AS VARCHAR)) ELSE content_fp END END AS file_hash
+        FROM now_)""" + _groups_and_flags("src"), GROUP_SELECT.replace("FROM grp", "FROM g2"))
 ORACLES["group_upsert"] = _with(BATCH_CTES, f"""
 SELECT grp.group_hash, grp.file_size_bytes, grp.master_file_id, grp.duplicate_count,
   grp.total_size_bytes, grp.space_saved_bytes,
@@ -418,29 +436,39 @@ def dotdots_sql(x: str) -> str:
     return f"CAST((length({x}) - length(replace({x}, '..', ''))) // 2 AS INTEGER)"
 
 
-def plan_ctes(fresh: bool, name_hash: str = "file_hash") -> str:
+def plan_ctes(fresh: bool, name_hash: str = "file_hash", hard: bool = False) -> str:
+    """The plan of the fixture state; ``hard``: of ``registry._hard_state``."""
     ex = "TRUE" if fresh else f"(c.id % {FX.MISSING_EVERY} <> 0)"
+    unread, path, known, living = "FALSE", "c.original_path", "TRUE", "TRUE"
+    if hard:
+        unread = "(c.year = '2024' AND c.month = 'may')"
+        ex = f"({ex} AND NOT {unread})"
+        path = (f"CASE WHEN c.id % 3 = 0 THEN left(c.original_path, length(c.original_path) - length(c.file_name) - 1) "
+                f"|| '{'/d' * C.MAX_LINK_DOTDOTS}/' || c.file_name ELSE c.original_path END")
+        known = "NOT (c.id % 4 = 3 AND c.id IN (SELECT master_file_id FROM grp))"
+        living = "file_id % 10 <> 0"
     status = f"'{C.STATUS_PENDING}'" if fresh else "c.deduplication_status"
-    rec_filter = "FALSE" if fresh else f"id % {FX.CONSOLIDATED_EVERY} = 0 AND NOT is_duplicate"
+    rec_filter = "FALSE" if fresh else f"id % {5 if hard else FX.CONSOLIDATED_EVERY} = 0 AND NOT is_duplicate"
     P_ = C.STATUS_PENDING
     return catalog_ctes() + f""",
-s0 AS (SELECT c.* EXCLUDE (deduplication_status), {status} AS deduplication_status, {ex} AS ex FROM cat c),""" + \
+s0 AS (SELECT c.* EXCLUDE (deduplication_status, original_path), {path} AS original_path,
+         {status} AS deduplication_status, {ex} AS ex, {unread} AS unk FROM cat c WHERE {known}),""" + \
         sanitize_ctes("s0", "file_name", "sname", "sz") + f""",
 ps AS (SELECT *, {store_dir_sql('file_hash')} AS sdir, {store_base_sql('file_hash', 'sname')} AS sbase,
              {store_dir_sql(name_hash)} AS ksdir, {store_base_sql(name_hash, 'sname')} AS ksbase FROM sz3),
 rec AS (SELECT id AS file_id, sdir || '/' || sbase AS recorded FROM ps WHERE {rec_filter}),
-f AS (SELECT ps.*, rec.recorded FROM ps LEFT JOIN rec ON ps.id = rec.file_id),
+f AS (SELECT ps.*, rec.recorded FROM ps LEFT JOIN rec ON ps.id = rec.file_id AND {living}),
 p0 AS (SELECT * FROM f WHERE deduplication_status = '{P_}' AND NOT is_duplicate AND master_file_id IS NULL),
 dups AS (SELECT f.*, g.master_file_id AS g_master FROM f JOIN grp g ON f.file_hash = g.group_hash
          WHERE f.is_duplicate AND coalesce(f.deduplication_status, '{P_}') = '{P_}' AND g.duplicate_count > 0),
-mst AS (SELECT d.g_master, m.original_path AS m_path, m.ex AS m_ex, m.recorded AS m_rec,
+mst AS (SELECT d.g_master, m.original_path AS m_path, m.ex AS m_ex, m.unk AS m_unk, m.recorded AS m_rec,
           m.ksdir AS m_sdir, m.ksbase AS m_sbase,
           (m.deduplication_status = '{P_}' AND NOT m.is_duplicate AND m.master_file_id IS NULL) AS m_in_p0
         FROM (SELECT DISTINCT g_master FROM dups) d LEFT JOIN f m ON m.id = d.g_master),
 p1 AS (SELECT * FROM mst WHERE m_path IS NOT NULL AND m_rec IS NULL AND NOT m_in_p0),
 keep AS (SELECT id, original_path, ksdir AS dir, ksbase AS base, 0 AS phase FROM p0 WHERE ex AND recorded IS NULL
          UNION ALL SELECT g_master, m_path, m_sdir, m_sbase, 1 FROM p1 WHERE m_ex),
-taken AS (SELECT sdir AS dir, sbase AS name FROM f WHERE recorded IS NOT NULL)""" + \
+taken AS (SELECT sdir AS dir, sbase AS name FROM ps WHERE {rec_filter})""" + \
         counters_ctes("keep", "taken", "phase, id") + f""",
 kd AS (SELECT id, original_path, phase, dir || '/' || {counter_name_sql('base', 'counter')} AS dst FROM kc),
 loc AS (SELECT mst.g_master, coalesce(mst.m_rec, kd.dst) AS m_loc, mst.m_path IS NULL AS orphan
@@ -450,20 +478,24 @@ lk0 AS (SELECT *, regexp_extract(original_path, '(?s)^(.*)/[^/]*$', 1) AS parent
         WHERE NOT orphan AND m_loc IS NOT NULL AND ex)""" + relpath_ctes("lk0", "m_loc", "parent", "link_target") + f""",
 plan AS (
   SELECT id AS file_id, 'missing' AS action, original_path AS src, CAST(NULL AS VARCHAR) AS dst,
-         CAST(NULL AS VARCHAR) AS link_target, 'file not found' AS reason, 0 AS phase FROM p0 WHERE NOT ex
+         CAST(NULL AS VARCHAR) AS link_target, 'file not found' AS reason, 0 AS phase FROM p0 WHERE NOT ex AND NOT unk
+  UNION ALL SELECT id, 'unreadable', original_path, NULL, NULL, 'directory could not be listed', 0 FROM p0 WHERE unk
+  UNION ALL SELECT g_master, 'unreadable', m_path, NULL, NULL, 'directory could not be listed', 1 FROM p1 WHERE m_unk
+  UNION ALL SELECT id, 'unreadable', original_path, m_loc, NULL, 'directory could not be listed', 1
+    FROM dd WHERE NOT orphan AND m_loc IS NOT NULL AND unk
   UNION ALL SELECT id, 'already_done', original_path, recorded, NULL, 'already consolidated', 0
     FROM p0 WHERE ex AND recorded IS NOT NULL
   UNION ALL SELECT id, 'keep', original_path, dst, NULL, NULL, phase FROM kd
-  UNION ALL SELECT g_master, 'missing', m_path, NULL, NULL, 'master file not found', 1 FROM p1 WHERE NOT m_ex
+  UNION ALL SELECT g_master, 'missing', m_path, NULL, NULL, 'master file not found', 1 FROM p1 WHERE NOT m_ex AND NOT m_unk
   UNION ALL SELECT id, 'orphan_group', original_path, NULL, NULL, 'master not in catalog', 1 FROM dd WHERE orphan
   UNION ALL SELECT id, 'no_master_copy', original_path, NULL, NULL, 'master has no stored copy', 1
     FROM dd WHERE NOT orphan AND m_loc IS NULL
   UNION ALL SELECT id, 'missing', original_path, m_loc, NULL, 'duplicate already missing', 1
-    FROM dd WHERE NOT orphan AND m_loc IS NOT NULL AND NOT ex
+    FROM dd WHERE NOT orphan AND m_loc IS NOT NULL AND NOT ex AND NOT unk
   UNION ALL SELECT id, CASE WHEN {dotdots_sql('link_target')} >= {C.MAX_LINK_DOTDOTS} THEN 'too_deep' ELSE 'link' END,
     original_path, m_loc, link_target,
     CASE WHEN {dotdots_sql('link_target')} >= {C.MAX_LINK_DOTDOTS} THEN 'relative path too deep' END, 1 FROM rp4),
-perr AS (SELECT *, action IN ('missing', 'too_deep', 'orphan_group', 'no_master_copy')
+perr AS (SELECT *, action IN ('missing', 'too_deep', 'orphan_group', 'no_master_copy', 'unreadable')
                    AND NOT (action = 'missing' AND reason = 'duplicate already missing') AS is_error FROM plan)"""
 
 
@@ -491,6 +523,27 @@ ORACLES["collision_names"] = _with(plan_ctes(False).replace(
     "row_number() OVER (PARTITION BY dir, base ORDER BY phase, id) - 1 AS i FROM keep",
     "row_number() OVER (PARTITION BY dir, base ORDER BY id) - 1 AS i FROM allc"),
     f"SELECT id, counter, {counter_name_sql('base', 'counter')} AS name FROM kc")
+_FIRST_FREE = counter_name_sql("c.base", "k")
+ORACLES["collision_first_fit"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id AS id, '{FX.FIXTURE_STORE}/n' || CAST(doc_id % 37 AS VARCHAR) AS dir,
+    CASE WHEN doc_id % 37 % 2 = 1 AND doc_id % 4 = 2 THEN 'clip_1.mp4'
+         WHEN doc_id % 37 % 2 = 1 AND doc_id % 4 = 3 THEN 'clip_' || CAST(doc_id // 37 % 6 AS VARCHAR) || '.mp4'
+         ELSE 'clip.mp4' END AS base FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY id) AS n FROM d),
+walk AS (
+  SELECT dir, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS counter,
+    CAST(NULL AS VARCHAR) AS name,
+    CASE WHEN bool_or(id % 111 < 37) THEN ['clip_2.mp4', 'clip_5.mp4', 'clip_2025010112304599999999999.mp4']
+         ELSE CAST([] AS VARCHAR[]) END AS used
+  FROM d GROUP BY dir
+  UNION ALL
+  SELECT dir, n, id, counter, name, list_append(used, name) FROM (
+    SELECT *, {counter_name_sql('base', 'counter')} AS name FROM (
+      SELECT w.dir, c.n, c.id, c.base, w.used, CAST(list_filter(range(0, len(w.used) + 1),
+        lambda k: NOT list_contains(w.used, {_FIRST_FREE}))[1] AS BIGINT) AS counter
+      FROM walk w JOIN c ON c.dir = w.dir AND c.n = w.n + 1)))
+SELECT id, counter, name FROM walk WHERE n > 0"""
 ORACLES["link_targets"] = _with(PLAN_FRESH + """,
 lt0 AS (SELECT d.id, d.master_file_id, m.sdir || '/' || m.sbase AS master_dst,
           regexp_extract(d.original_path, '(?s)^(.*)/[^/]*$', 1) AS parent
@@ -548,6 +601,15 @@ SELECT (SELECT count(*) FROM paths2 WHERE file_id NOT IN (SELECT id FROM cat)) A
   (SELECT count(*) FROM cat WHERE master_file_id IS NOT NULL AND master_file_id NOT IN (SELECT id FROM cat))
     AS duplicates_without_master,
   (SELECT count(*) FROM grp WHERE master_file_id NOT IN (SELECT id FROM cat)) AS groups_without_master""")
+ORACLES["fk_audit_dirty"] = _with(PLAN_STATE + """,
+left_ AS (SELECT id, master_file_id FROM cat WHERE id % 4 <> 3),
+paths2 AS (SELECT id AS file_id FROM cat UNION ALL SELECT file_id FROM rec)""", """
+SELECT (SELECT count(*) FROM paths2 WHERE file_id NOT IN (SELECT id FROM left_)) AS paths_without_file,
+  (SELECT count(*) FROM left_ WHERE master_file_id IS NOT NULL AND master_file_id NOT IN (SELECT id FROM left_))
+    AS duplicates_without_master,
+  (SELECT count(*) FROM grp WHERE master_file_id NOT IN (SELECT id FROM left_)) AS groups_without_master""")
+ORACLES["dedup_plan_hard"] = _with(plan_ctes(False, hard=True),
+                                   "SELECT file_id, action, src, dst, link_target, reason, phase FROM plan")
 ORACLES["canonical_store"] = _with(PLAN_FRESH, """
 SELECT p.dst AS canonical_path, p.file_id, string_split(p.dst, '/')[-3] AS h1,
   string_split(p.dst, '/')[-2] AS h2, c.file_size_bytes, c.content_fp_full AS content_md5

@@ -19,9 +19,10 @@ from copyledger.functions import fingerprint as fp
 from copyledger.functions import formatting as fmt
 from copyledger.functions import paths as P
 from copyledger.functions.formatting import utc_ts
-from copyledger.operators import gate, groups, listing, stats
+from copyledger.operators import audit, gate, groups, listing, stats
 from copyledger.operators import upserts as U
 from copyledger.operators.collisions import resolve_counters
+from copyledger.operators.ids import assign_ids
 from copyledger.plans import catalog as cat
 from copyledger.plans import dedup_plan as DP
 from copyledger.plans import incremental as INC
@@ -202,6 +203,20 @@ def q_status_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.status_breakdown(cat.fixture_catalog(spark, sf_dir))
 
 
+@register("breakdowns_ordered")
+def q_breakdowns_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year, month and status breakdowns with each row's place in its order."""
+    files = cat.fixture_catalog(spark, sf_dir)
+    return stats.ordered_breakdowns(files)
+
+
+@register("pending_ordered")
+def q_pending_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every pending file in id order (range partitions, no global window)."""
+    rows = audit.pending(cat.fixture_catalog(spark, sf_dir)).select(F.col("id").alias("file_id"), "original_path")
+    return assign_ids(rows, ["file_id"]).select(F.col("id").alias("place"), "file_id", "original_path")
+
+
 @register("top_projects_count")
 def q_top_projects_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.top_projects(cat.fixture_catalog(spark, sf_dir), "file_count")
@@ -310,6 +325,22 @@ def q_catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "master_file_id", _ts_text("scan_timestamp"))
 
 
+@register("refresh_changed")
+def q_refresh_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refresh re-scan of batch 1 in which every 13th file got other content
+    of another size: old groups shrink or go, new ones form."""
+    files1, groups1 = _batch1(spark, sf_dir)
+    changed = F.col("id") % 13 == 0
+    now = _batch_rows(spark, sf_dir, 1).withColumn(
+        "file_size_bytes", F.when(changed, F.lit(7).cast("long") + F.col("id") % 2).otherwise(F.col("file_size_bytes")))
+    fps = cat.fixture_rows(spark, sf_dir).select("original_path", F.when(
+        changed, F.md5((F.col("id") % 2).cast("string"))).otherwise(F.col("content_fp")).alias("file_hash"))
+    _, grps = INC.scan_increment(files1, groups1, now.drop("id"), RUN2,
+                                 lambda need: need.join(fps, "original_path").select("id", "file_hash"),
+                                 scope="catalog", mode="refresh")
+    return grps.select(*groups.GROUP_COLS)
+
+
 def _two_batches(spark, sf_dir, scope: str = "catalog"):
     files1, groups1 = _batch1(spark, sf_dir, scope)
     return INC.scan_increment(files1, groups1, _batch_rows(spark, sf_dir, 2), RUN2,
@@ -454,6 +485,40 @@ def _plan_state(spark: SparkSession, sf_dir: str, fresh: bool = False):
     return files, grps, paths, present
 
 
+def _hard_state(spark: SparkSession, sf_dir: str):
+    """(files, groups, paths, present, store listing) in which every action
+    of a plan occurs.
+
+    Masters with ``id % 4 == 3`` left the catalog; files with ``id % 3 == 0``
+    sit deeper than a link may reach; non-duplicates with ``id % 5 == 0``
+    (pending ones too) have a recorded copy, lost where ``id % 10 == 0``;
+    ``2024/may`` could not be listed.
+    """
+    files, grps, _, _ = _plan_state(spark, sf_dir)
+    files = cat.staged_once(spark, "hard-files", sf_dir, lambda: files)
+    grps = cat.staged_once(spark, "hard-groups", sf_dir, lambda: grps)
+    lost = grps.select(F.col("master_file_id").alias("_g")).filter("_g % 4 = 3")
+    deep = F.concat(P.parent_dir("original_path"), F.lit("/d" * C.MAX_LINK_DOTDOTS + "/"), F.col("file_name"))
+    files = (files.join(lost, F.col("id") == F.col("_g"), "left_anti")
+             .withColumn("original_path", F.when(F.col("id") % 3 == 0, deep).otherwise(F.col("original_path"))))
+    recorded = _with_store_path(files.filter((F.col("id") % 5 == 0) & ~F.col("is_duplicate")), "_p").select(
+        F.col("id").alias("file_id"), F.lit(C.PATH_CONSOLIDATED).alias("path_type"),
+        F.col("_p").alias("path"), utc_ts(RUN2).alias("created_at"))
+    unread = f"{FX.FIXTURE_ROOT}/2024/may"
+    seen = files.filter((F.col("id") % FX.MISSING_EVERY != 0) & ~F.col("original_path").startswith(unread + "/"))
+    present = seen.select(F.col("original_path").alias("path"), F.lit(None).cast("string").alias("error")) \
+        .unionByName(spark.createDataFrame([(unread, "PermissionError: not readable")], "path string, error string"))
+    return files, grps, recorded, present, recorded.filter(F.col("file_id") % 10 != 0).select("path")
+
+
+@register("dedup_plan_hard")
+def q_dedup_plan_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan over dangling masters, lost copies, links too deep, recorded
+    pending files and a directory that could not be listed."""
+    files, grps, paths, present, stored = _hard_state(spark, sf_dir)
+    return DP.dedup_plan(files, grps, paths, present, FX.FIXTURE_STORE, store_listing=stored)
+
+
 def _plan(spark: SparkSession, sf_dir: str, fresh: bool = False) -> DataFrame:
     """The plan of the fixture state, written once per session (a plan is a
     pure function of the catalog it reads)."""
@@ -478,7 +543,7 @@ def _applied(spark: SparkSession, sf_dir: str):
 @register("pending_files")
 def q_pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = cat.fixture_catalog(spark, sf_dir)
-    return files.filter(F.col("deduplication_status") == C.STATUS_PENDING).select(
+    return audit.pending(files).select(
         "id", "original_path", "file_name", "file_size_bytes", "file_hash",
         "is_duplicate", "master_file_id", "deduplication_status")
 
@@ -486,17 +551,14 @@ def q_pending_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("pending_unique")
 def q_pending_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = cat.fixture_catalog(spark, sf_dir)
-    return files.filter((F.col("deduplication_status") == C.STATUS_PENDING) & ~F.col("is_duplicate")
-                        & F.col("master_file_id").isNull()).select(
+    return audit.pending_unique(files).select(
         "id", "original_path", "file_name", "file_size_bytes", "file_hash", "deduplication_status")
 
 
 @register("missing_files")
 def q_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _, _, present = _plan_state(spark, sf_dir)
-    pending = files.filter(F.col("deduplication_status") == C.STATUS_PENDING)
-    return pending.join(present, pending["original_path"] == present["path"], "left_anti").select(
-        "id", "original_path", "is_duplicate")
+    return audit.missing(files, present).select("id", "original_path", "is_duplicate")
 
 
 @register("sanitize_names")
@@ -531,6 +593,23 @@ def q_collision_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_counters(cands, taken).select("id", "counter", "name")
 
 
+@register("collision_first_fit")
+def q_collision_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of documents of which many end like a generated one, beside
+    taken names with gaps and a number no counter reaches."""
+    k = F.col("doc_id")
+    folder = F.concat(F.lit(f"{FX.FIXTURE_STORE}/n"), (k % 37).cast("string"))
+    natural = F.when(k % 4 == 2, F.lit("clip_1.mp4")).when(
+        k % 4 == 3, F.concat(F.lit("clip_"), F.floor(k / 37 % 6).cast("string"), F.lit(".mp4")))
+    base = F.when(k % 37 % 2 == 1, natural)
+    docs = FX.documents(spark, sf_dir)
+    cands = docs.select(k.alias("id"), folder.alias("dir"), F.coalesce(base, F.lit("clip.mp4")).alias("base"),
+                        F.lit(0).alias("ord0"), k.alias("ord1"))
+    names = F.array(F.lit("clip_2.mp4"), F.lit("clip_5.mp4"), F.lit("clip_2025010112304599999999999.mp4"))
+    taken = docs.filter(k % 111 < 37).select(folder.alias("dir"), F.explode(names).alias("name")).distinct()
+    return resolve_counters(cands, taken).select("id", "counter", "name")
+
+
 @register("link_targets")
 def q_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative link from each duplicate's folder to its master's store path."""
@@ -613,16 +692,14 @@ def q_fk_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths, duplicates and groups pointing at files that do not exist,
     after a plan is applied (all three must be 0)."""
     files2, groups2, paths2, _, _ = _applied(spark, sf_dir)
-    ids = files2.select(F.col("id").alias("_id"))
-    orphans_p = paths2.join(ids, paths2["file_id"] == ids["_id"], "left_anti")
-    orphans_m = files2.filter(F.col("master_file_id").isNotNull()).join(
-        ids, F.col("master_file_id") == ids["_id"], "left_anti")
-    orphans_g = groups2.join(ids, groups2["master_file_id"] == ids["_id"], "left_anti")
-    tagged = (orphans_p.select(F.lit("p").alias("t")).unionByName(orphans_m.select(F.lit("m").alias("t")))
-              .unionByName(orphans_g.select(F.lit("g").alias("t"))))
-    return tagged.agg(F.count_if(F.col("t") == "p").alias("paths_without_file"),
-                      F.count_if(F.col("t") == "m").alias("duplicates_without_master"),
-                      F.count_if(F.col("t") == "g").alias("groups_without_master"))
+    return audit.fk_audit(files2, groups2, paths2)
+
+
+@register("fk_audit_dirty")
+def q_fk_audit_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a catalog that lost every file with ``id % 4 == 3``."""
+    files, grps, paths, _ = _plan_state(spark, sf_dir)
+    return audit.fk_audit(files.filter(F.col("id") % 4 != 3), grps, paths)
 
 
 def _store_rows(spark: SparkSession, sf_dir: str):
