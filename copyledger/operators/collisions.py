@@ -2,22 +2,25 @@
 
 Each candidate wants ``dir/base``; when it is taken (by an existing store
 entry or by an earlier candidate) it tries ``stem_1.ext``, ``stem_2.ext``
-... in turn.  A name ``b_k`` generated from base ``b`` can only equal the
-plain name of a base that is itself ``b_k``; so bases interact only inside a
-*family* (dir, ext, stem with trailing ``_<digits>`` groups stripped).
-
-* Families whose candidates share one base (the normal case) are solved
-  exactly in bulk: the i-th candidate (0-based, in order) takes the i-th
-  counter not in the taken set T.  With T sorted (t_0 < t_1 < ...) and
-  g_j = t_j - j, that is ``i + #{j : g_j <= i}``, i.e. the candidate's
-  position in the merged order of candidates and taken entries.  Ranks come
-  from a skew-safe rank-within-key, so a hot name is never one task.
-* Families where a candidate's base *is* a generated name of another
-  candidate's base (``x_1.mp4`` beside ``x.mp4``) need true sequential
-  first-fit; only those families are grouped and solved with
-  ``applyInPandas``.  Such a family is bounded by the copies of one content
-  that carry those few interacting names, except in the parity layout where
-  unhashed files share ``no_hash_<name>`` (see README).
+... in turn.
+
+* Candidates of one base are solved exactly in bulk: the i-th candidate
+  (0-based, in order) takes the i-th counter not in the base's taken set T.
+  With T sorted (t_0 < t_1 < ...) and g_j = t_j - j, that is
+  ``i + #{j : g_j <= i}``, i.e. the candidate's position in the merged order of
+  candidates and taken entries.  Ranks come from a skew-safe rank-within-key,
+  so a hot name is never one task.
+* Two bases share a name only where one is a generated name of the other
+  (``x_3.mp4`` beside ``x.mp4``): counter 3 of the parent is the plain name of
+  the child.  Whoever comes first takes it, and the other finds it taken.  The
+  parent's candidate that would take counter k is its candidate number
+  ``k - blocked``, blocked being the counters below k it found taken, so it
+  comes first exactly when that number is less than the count of parent
+  candidates before the child's first one.  Parents before children and
+  counters in rising order, this is one fold over the shared names of a family
+  (dir, ext, stem without trailing ``_<digits>`` groups): one small row per
+  distinct interacting name, however many files carry it.  What it decides are
+  further taken entries, and the bulk path does the rest.
 """
 
 from __future__ import annotations
@@ -63,24 +66,58 @@ def taken_counters(taken: DataFrame) -> DataFrame:
     return plain.unionByName(gen).distinct()
 
 
-def _sequential_first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact first-fit for one interacting family (candidates in order)."""
-    import os
-
-    taken = set(pdf.loc[pdf["kind"] == "taken", "base"])
-    cands = pdf[pdf["kind"] == "cand"].sort_values(["ord0", "ord1", "id"])
-    out_id, out_k = [], []
-    for row in cands.itertuples(index=False):
-        stem, ext = os.path.splitext(row.base)
-        k, name = 0, row.base
-        while name in taken:
-            k += 1
-            name = f"{stem}_{k}{ext}"
-        taken.add(name)
-        out_id.append(row.id)
-        out_k.append(k)
-    return pd.DataFrame({"id": pd.Series(out_id, dtype="int64"),
-                         "counter": pd.Series(out_k, dtype="int64")})
+def _decide_shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Shared names of one family: (base, t) that the base finds taken."""
+    pdf = pdf.assign(depth=pdf["parent"].str.len()).sort_values(["depth", "parent", "k"])
+    lost_plain, out, blocked, now = set(), [], 0, None
+    for row in pdf.itertuples(index=False):
+        if row.parent != now:
+            now, blocked = row.parent, int(row.parent in lost_plain)
+        if row.static:
+            blocked += 1
+        elif row.k - row.below - blocked < row.before:
+            lost_plain.add(row.child)
+            out.append((row.dir, row.child, 0))
+        else:
+            blocked += 1
+            out.append((row.dir, row.parent, row.k))
+    return pd.DataFrame(out, columns=["dir", "base", "t"]).astype({"t": "int64"})
+
+
+def _markers_passed(rows: DataFrame, markers: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``markers(dir, base, child, ...)`` plus ``out``: how many ``rows`` of the
+    same (dir, base) come before each in ``order``."""
+    cols = ["dir", "base", *order]
+    merged = (markers.select(*cols, "child")
+              .unionByName(rows.select(*cols, F.lit(None).cast("string").alias("child"))))
+    place = rank_within(merged, ["dir", "base"], order, "_place").filter(F.col("child").isNotNull())
+    place = rank_within(place, ["dir", "base"], order, "_own")
+    return place.select("dir", "child", (F.col("_place") - F.col("_own")).alias(out))
+
+
+def _shared_names(c: DataFrame, t: DataFrame) -> DataFrame | None:
+    """Taken entries (dir, base, t) that follow from names which two bases
+    share; None when no two do."""
+    parents = c.select("dir", F.col("base").alias("_parent")).distinct()
+    edges = (c.filter(F.col("_parent").isNotNull())
+             .groupBy("family", "dir", "base", "_parent", "_k")
+             .agg(F.min(F.struct("ord0", "ord1", "id")).alias("first"))
+             .join(parents, ["dir", "_parent"], "left_semi"))
+    edges = stage(edges.select("family", "dir", F.col("base").alias("child"), F.col("_parent").alias("base"),
+                               F.col("_k").alias("t"), "first.*"), "shared-names")
+    if edges.isEmpty():
+        return None
+    bases = edges.select("dir", "base").distinct()
+    plain = t.filter(F.col("t") == 0).select("dir", F.col("base").alias("child"), F.lit(True).alias("static"))
+    # Counters of a parent that are nobody's plain name.
+    other = (t.join(bases, ["dir", "base"], "left_semi")
+             .join(edges.select("dir", "base", "t"), ["dir", "base", "t"], "left_anti"))
+    before = _markers_passed(c.join(bases, ["dir", "base"], "left_semi"), edges, ["ord0", "ord1", "id"], "before")
+    below = _markers_passed(other, edges, ["t"], "below")
+    rows = (edges.select("family", "dir", "child", F.col("base").alias("parent"), F.col("t").alias("k"))
+            .join(before, ["dir", "child"]).join(below, ["dir", "child"])
+            .join(plain, ["dir", "child"], "left").withColumn("static", F.coalesce("static", F.lit(False))))
+    return rows.groupBy("family").applyInPandas(_decide_shared, "dir string, base string, t long")
 
 
 def resolve_counters(cands: DataFrame, taken: DataFrame,
@@ -92,24 +129,20 @@ def resolve_counters(cands: DataFrame, taken: DataFrame,
     """
     o0, o1 = order_cols
     c = _with_family(cands.select("id", "dir", "base", F.col(o0).alias("ord0"), F.col(o1).alias("ord1")))
-    # Bases interact only along one-step edges: base c is ``p_k`` of another
-    # candidate base p (same dir).  Families without such an edge are solved
-    # per base in bulk; families with one go to the sequential resolver.
     pm = F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 1)
-    c = c.withColumn("_parent", F.when(pm != "", F.concat(pm, F.col("_ext"))))
+    k = F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 2)
+    c = c.withColumn("_k", F.when(pm != "", k).try_cast("long")) \
+        .withColumn("_parent", F.when(F.col("_k").isNotNull(), F.concat(pm, F.col("_ext"))))
     # Stage the narrow candidate table: its key columns are regex-derived and
     # feed several joins (re-deriving them per join bloats generated code).
-    c = stage(c.select("id", "dir", "base", "ord0", "ord1", "family", "_parent"), "store-names")
-    bases = c.select("dir", F.col("base").alias("_parent")).distinct()
-    edge_fams = (c.filter(F.col("_parent").isNotNull())
-                 .join(bases, ["dir", "_parent"], "left_semi").select("family").distinct())
-    simple = c.join(edge_fams, "family", "left_anti")
-    mixed = c.join(edge_fams, "family", "left_semi")
-
-    # --- bulk exact path -------------------------------------------------
-    ranked = rank_within(simple.select("id", "dir", "base", "ord0", "ord1"),
+    c = stage(c.select("id", "dir", "base", "ord0", "ord1", "family", "_parent", "_k"), "store-names")
+    t = stage(taken_counters(taken).join(c.select("dir", "base").distinct(), ["dir", "base"], "left_semi"), "taken")
+    shared = _shared_names(c, t)
+    if shared is not None:
+        t = t.select("dir", "base", "t").unionByName(stage(shared, "shared-taken"))
+
+    ranked = rank_within(c.select("id", "dir", "base", "ord0", "ord1"),
                          ["dir", "base"], ["ord0", "ord1", "id"], "i")
-    t = taken_counters(taken).join(simple.select("dir", "base").distinct(), ["dir", "base"], "left_semi")
     t = rank_within(t, ["dir", "base"], ["t"], "j").withColumn("g", F.col("t") - F.col("j"))
     # i + #{g_j <= i} is the position of candidate i in the merged order of
     # candidates (key i) and taken entries (key g, first on ties): one more
@@ -118,18 +151,5 @@ def resolve_counters(cands: DataFrame, taken: DataFrame,
               .unionByName(t.select("dir", "base", F.lit(None).cast("long").alias("id"),
                                     F.col("g").alias("key"), F.lit(0).alias("kind"))))
     pos = rank_within(merged, ["dir", "base"], ["key", "kind", "id"], "counter")
-    bulk = pos.filter(F.col("kind") == 1).select("id", "dir", "base", "counter")
-
-    # --- sequential residue ----------------------------------------------
-    mixed_t = _with_family(taken.select("dir", F.col("name").alias("base"))) \
-        .join(mixed.select("family").distinct(), "family", "left_semi")
-    union = (mixed.select("family", F.lit("cand").alias("kind"), "id", "base", "ord0", "ord1")
-             .unionByName(mixed_t.select("family", F.lit("taken").alias("kind"),
-                                         F.lit(None).cast("long").alias("id"), "base",
-                                         F.lit(None).cast(mixed.schema["ord0"].dataType).alias("ord0"),
-                                         F.lit(None).cast(mixed.schema["ord1"].dataType).alias("ord1"))))
-    seq = union.groupBy("family").applyInPandas(_sequential_first_fit, "id long, counter long")
-    seq = seq.join(mixed.select("id", "dir", "base"), "id")
-
-    out = bulk.unionByName(seq.select("id", "dir", "base", "counter"))
+    out = pos.filter(F.col("kind") == 1).select("id", "dir", "base", "counter")
     return P.with_counter_name(out, "base", "counter", "name")

@@ -55,6 +55,19 @@ def test_counters_random(spark):
     _check(spark, cands, sorted(set(taken)))
 
 
+def test_counters_of_nested_names(spark):
+    rng = random.Random(23)
+    names = ["x", "x_1", "x_2", "x_3", "x_5", "x_1_1", "x_1_2", "x_2_1", "x_1_1_1", "x_0", "x_01"]
+    cands, taken = [], set()
+    for d in range(40):
+        some = rng.sample(names, rng.randint(2, 7))
+        cands += [(d * 100 + i, f"/d{d}", rng.choice(some) + ".mp4") for i in range(rng.randint(1, 40))]
+        taken |= {(f"/d{d}", f"{rng.choice(names)}_{rng.randint(1, 4)}.mp4") for _ in range(rng.randint(0, 6))}
+        taken |= {(f"/d{d}", rng.choice(names) + ".mp4") for _ in range(rng.randint(0, 2))}
+    rng.shuffle(cands)
+    _check(spark, cands, sorted(taken))
+
+
 def test_assign_ids_dense_and_ordered(spark):
     df = spark.range(5000).select(F.concat(F.lit("/p/"), F.lpad((F.col("id") * 7919 % 5000).cast("string"),
                                                                    6, "0")).alias("original_path"))
