@@ -3,21 +3,25 @@
 A 16-bit gear hash over UTF-8 bytes depends on the last 16 bytes only; where
 it falls below a threshold a chunk ends, about every ``AVERAGE`` bytes.  An
 insertion therefore moves the boundaries next to it and no others, and the
-same passage is cut the same way wherever it stands.  Chunks are deduplicated
-by a 64-bit XXH3 digest, counted in Spark; neighbouring chunks that occur
-in other documents make a span, and spans of ``MIN_WORDS`` words or more are repeated
-passages (a lone digest clash or a common phrase is shorter).  The smallest
-doc_id that holds a chunk keeps it, at its first place there.
+same passage is cut the same way wherever it stands.  A boundary inside a
+character moves to its end, so chunks are whole characters.  Chunks are
+deduplicated by a 64-bit XXH3 digest, its occurrences counted in Spark;
+neighbouring chunks that occur more than once, in one text or in several, make
+a span, and spans of ``MIN_WORDS`` words or more are repeated passages (a lone
+digest clash or a common phrase is shorter).  Of the occurrences of a chunk the
+first by doc_id, row and place stays; the runs of the others inside repeated
+passages are the byte ranges to cut.
 
 Two shuffles of narrow chunk rows: a combined count per digest, and the join
 of chunk rows with the repeated digests, one row each, so AQE can split a
 digest that many documents hold.  A document's chunks meet again by row.
 
 Defined results: null and empty texts have no chunks; a null doc_id ranks
-after all others as keeper; rows that repeat a
-doc_id are one document; a run of
-bytes without a boundary is cut every ``LONGEST`` bytes; of boundaries less
-than ``SHORTEST`` bytes apart the first counts; empty tables give no rows.
+after all others; rows that repeat a doc_id, or have none, are texts of their
+own, in input order; a run of more than ``LONGEST`` bytes without a boundary is
+cut at local minima of the hash, so a repeating one is cut alike each time, and
+where it has none every ``LONGEST`` bytes; of boundaries less than ``SHORTEST`` bytes apart the first counts; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +45,16 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 LAST_ID = (1 << 63) - 1
 
 
+def minima(h: np.ndarray) -> np.ndarray:
+    """Ends after the hashes that are the least of their ``WINDOW`` neighbours on either side."""
+    most = np.uint16(65535)
+    m, step = np.append(h, np.full(WINDOW, most)), 1
+    while step < WINDOW:
+        m = np.minimum(m, np.concatenate([np.full(step, most), m[:-step]]))
+        step *= 2
+    return np.flatnonzero((h < np.append(most, m[:len(h) - 1])) & (h <= m[WINDOW:])) + 1
+
+
 def boundaries(buf: np.ndarray, average: int = AVERAGE) -> np.ndarray:
     """Ends (exclusive) of the chunks of a text's bytes."""
     h = GEAR[buf]
@@ -53,11 +67,20 @@ def boundaries(buf: np.ndarray, average: int = AVERAGE) -> np.ndarray:
         cut = cut[np.diff(cut, prepend=-SHORTEST) >= SHORTEST]
     cut = np.unique(np.append(cut, len(buf)))
     size = np.diff(cut, prepend=0)
+    if size.max() > LONGEST:
+        low = minima(h)
+        run = np.searchsorted(cut, low)
+        far = (low - cut[run] + size[run] >= SHORTEST) & (cut[run] - low >= SHORTEST)
+        cut = np.union1d(cut, low[far & (size[run] > LONGEST)])
+        size = np.diff(cut, prepend=0)
     if size.max() > LONGEST:
         start = cut - size
         cut = np.unique(np.concatenate([cut, *(np.arange(a, b, LONGEST)[1:] for a, b in
                                                zip(start[size > LONGEST], cut[size > LONGEST]))]))
-    return cut
+    inside = np.append((buf & 0xC0) == 0x80, False)
+    for _ in range(3):
+        cut = cut + inside[cut]
+    return np.unique(cut)
 
 
 def chunk(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,64 +116,81 @@ def _chunks(batches):
              lists(words, pa.int32())], ["rid", "doc_id", "digest", "ends", "words"])
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def chunks(rows: DataFrame) -> DataFrame:
     """One row per document row: rid, doc_id, and its chunks' digest, ends, words."""
-    python_ready(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"),
-                       F.col("doc_id").cast("long").alias("doc_id"), "text")
+    python_ready(rows.sparkSession)
     return rows.mapInArrow(_chunks, "rid long, doc_id long, digest array<long>, ends array<int>, words array<int>")
 
 
-def spans(pos: list[int], first: list[bool], words: np.ndarray, ends: np.ndarray, least: int) -> list[dict]:
-    """Runs of neighbouring repeated chunks of ``least`` words or more."""
-    order = np.argsort(pos)
-    pos, first = np.asarray(pos)[order], np.asarray(first, bool)[order]
-    out = []
-    for run in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) != 1) + 1):
-        a, b = int(pos[run[0]]), int(pos[run[-1]])
-        total = int(words[a:b + 1].sum())
-        if total >= least:
-            out.append({"start": int(ends[a - 1]) if a else 0, "end": int(ends[b]), "words": total,
-                        "removed": int(words[pos[run]][~first[run]].sum())})
-    return out
+def split(at: np.ndarray) -> list[np.ndarray]:
+    """Runs of neighbouring positions."""
+    return np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(at) else []
+
+
+def spans(pos: np.ndarray, first: np.ndarray, words: np.ndarray, ends: np.ndarray,
+          least: int) -> tuple[list[dict], list[dict]]:
+    """Runs of neighbouring repeated chunks of ``least`` words or more, and the
+    runs of those chunks in them that another occurrence keeps."""
+    def piece(run):
+        a, b = int(run[0]), int(run[-1])
+        return {"start": int(ends[a - 1]) if a else 0, "end": int(ends[b]), "words": int(words[a:b + 1].sum())}
+
+    out, cuts = [], []
+    stays = np.zeros(len(ends), bool)
+    stays[pos[first]] = True
+    for run in split(pos):
+        found = piece(run)
+        if found["words"] >= least:
+            gone = [piece(r) for r in split(run[~stays[run]])]
+            out.append(found | {"removed": sum(g["words"] for g in gone)})
+            cuts += gone
+    return out, cuts
 
 
 def _spans(least: int):
-    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "words", "removed")]))
+    kinds = [pa.list_(pa.struct([(c, pa.int32()) for c in names]))
+             for names in (("start", "end", "words", "removed"), ("start", "end", "words"))]
 
     def run(batches):
         for batch in batches:
             out = []
-            for hits, words, ends, digest in zip(*(batch[c] for c in ("hits", "words", "ends", "digest"))):
-                hits, seen, first = hits.as_py(), set(), []
-                values = digest.values.to_numpy(zero_copy_only=False)
-                for h in sorted(hits, key=lambda h: h["pos"]):
-                    d = int(values[h["pos"]])
-                    first.append(h["keeps"] and d not in seen)
-                    seen.add(d)
-                out.append(spans(sorted(h["pos"] for h in hits), first,
-                                 words.values.to_numpy(zero_copy_only=False),
-                                 ends.values.to_numpy(zero_copy_only=False), least))
+            for row in zip(*(batch[c] for c in ("hits", "words", "ends", "digest"))):
+                hits, words, ends, digest = (c.values.to_numpy(zero_copy_only=False) for c in row)
+                hits = np.sort(hits)
+                pos, first = hits >> 1, np.zeros(len(hits), bool)
+                first[np.unique(digest[pos], return_index=True)[1]] = True
+                out.append(spans(pos, first & (hits & 1 > 0), words, ends, least))
             yield pa.RecordBatch.from_arrays(
-                [batch["rid"], batch["doc_id"], batch["n_chunks"], batch["n_repeated"], pa.array(out, kind)],
-                ["rid", "doc_id", "n_chunks", "n_repeated", "spans"])
+                [batch["rid"], batch["doc_id"], batch["n_chunks"], batch["n_repeated"],
+                 *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))],
+                ["rid", "doc_id", "n_chunks", "n_repeated", "spans", "cuts"])
     return run
 
 
-def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Document rows that hold repeated passages: rid, doc_id, n_chunks,
-    n_repeated (chunks found elsewhere too) and spans (byte start and end,
-    words, words removed since another place keeps them)."""
-    staged = stage(chunks(docs), "chunks")
-    each = staged.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.explode("digest").alias("digest"))
-    repeated = stage(each.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("other"))
-                     .where("keeper < other").select("digest", "keeper"), "chunks-repeated")
-    placed = staged.select("rid", F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"),
-                           F.posexplode("digest").alias("pos", "digest"))
+def _repeated(rows: DataFrame, least: int) -> DataFrame:
+    staged = stage(chunks(rows), "chunks")
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "rid")
+    each = staged.select(place.alias("place"), F.explode("digest").alias("digest"))
+    repeated = stage(each.groupBy("digest").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+                     .where("n > 1").select("digest", F.col("place.rid").alias("keeper")), "chunks-repeated")
+    placed = staged.select("rid", F.posexplode("digest").alias("pos", "digest"))
+    hit = F.col("pos") * 2 + (F.col("rid") == F.col("keeper")).cast("int")
     hits = (placed.join(repeated, "digest")
-            .groupBy("rid").agg(F.collect_list(F.struct("pos", (F.col("id") == F.col("keeper")).alias("keeps")))
-                                .alias("hits"), F.count("*").alias("n_repeated")))
+            .groupBy("rid").agg(F.collect_list(hit).alias("hits"), F.count("*").alias("n_repeated")))
     whole = staged.withColumn("n_chunks", F.size("digest").cast("long")).join(hits, "rid")
     kind = ("rid long, doc_id long, n_chunks long, n_repeated long, "
-            "spans array<struct<start: int, end: int, words: int, removed: int>>")
+            "spans array<struct<start: int, end: int, words: int, removed: int>>, "
+            "cuts array<struct<start: int, end: int, words: int>>")
     return whole.mapInArrow(_spans(least), kind).where(F.size("spans") > 0)
+
+
+def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """Document rows that hold repeated passages: rid, doc_id, n_chunks,
+    n_repeated (chunks found elsewhere too, in this text or another), spans
+    (byte start and end, words, words removed since another place keeps them)
+    and cuts (byte start and end, words), the ranges to remove."""
+    return _repeated(numbered(docs), least)
