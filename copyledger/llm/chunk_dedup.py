@@ -194,3 +194,25 @@ def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     (byte start and end, words, words removed since another place keeps them)
     and cuts (byte start and end, words), the ranges to remove."""
     return _repeated(numbered(docs), least)
+
+
+def without_repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with the text that is left after the cuts (and its length in
+    ``n_chars``, if there); every row stays, if need be with an empty text."""
+    # Written once, so that a row has the same number in both uses.
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"),
+                             F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "chunk-rows")
+    found = _repeated(rows.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"),
+                                  F.col("row.text").alias("text")), least)
+    cuts = stage(found.where(F.size("cuts") > 0).select("rid", "cuts"), "chunk-cuts")
+    raw = F.col("row.text").cast("binary")
+    pieces = F.zip_with(F.concat(F.array(F.lit(0)), F.col("cuts.end")),
+                        F.concat(F.col("cuts.start"), F.array(F.octet_length("row.text"))),
+                        lambda a, b: F.substring(raw, a + 1, b - a).cast("string"))
+    out = rows.join(cuts, "rid", "left").select(
+        "row", F.col("cuts").isNotNull().alias("cut"),
+        F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(pieces, "")).alias("kept"))
+    new = {"text": F.col("kept"),
+           "n_chars": F.when(F.col("cut"), F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+           if "n_chars" in docs.columns else None}
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -66,13 +66,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunk_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
-    def total(name):
-        return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[name])
+    def total(ranges):
+        return F.aggregate(ranges, F.lit(0).cast("long"), lambda a, s: a + s["words"])
+
+    def joined(ranges):
+        return F.array_join(F.transform(ranges, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
 
-    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select("doc_id", "n_chunks", "n_repeated", F.size("spans").cast("long").alias("n_spans"),
-                        total("words").alias("repeated_words"),
-                        total("removed").alias("removed_words"), spans.alias("spans"))
+                        total("spans").alias("repeated_words"), total("cuts").alias("removed_words"),
+                        joined("spans").alias("spans"), joined("cuts").alias("cuts"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
-"""Repeats inside one text and among repeated and null ids."""
+"""Repeats inside one text, among repeated and null ids, and the text that is left."""
 
+import collections
 import random
 
 import duckdb
@@ -8,6 +9,7 @@ import numpy as np
 from copyledger.llm import chunk_dedup
 
 MIDDLE = "/root/testdata/sf0.01"
+KIND = "doc_id long, text string, n_chars long, row string"
 
 
 def words(seed, n=120, pool="abcdefghijklmnopqrstuvwxyz"):
@@ -15,14 +17,47 @@ def words(seed, n=120, pool="abcdefghijklmnopqrstuvwxyz"):
     return " ".join("".join(rng.choice(pool) for _ in range(rng.randint(3, 9))) for _ in range(n))
 
 
-def test_repeats_inside_a_text_and_among_repeated_and_null_ids(spark):
-    a, b, c = words(1), words(2), words(3, pool="äöü日本éabc")
+def plain(rows, least=chunk_dedup.MIN_WORDS):
+    """What is left of (doc_id, text), by definition: the first place of each digest stays."""
+    cut = [chunk_dedup.chunk(t) for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r))
+    count = collections.Counter(d for c in cut for d in c[0].tolist())
+    first = {}
+    for r in order:
+        for j, d in enumerate(cut[r][0].tolist()):
+            first.setdefault(d, (r, j))
+    left = []
+    for r, (digest, end, begun) in enumerate(cut):
+        start, raw, kept, j = [0, *end.tolist()], (rows[r][1] or "").encode(), b"", 0
+        while j < len(digest):
+            k = j
+            while k < len(digest) and count[int(digest[k])] > 1:
+                k += 1
+            whole = begun[j:k].sum() < least
+            for i in range(j, max(k, j + 1)):
+                if whole or k == j or first[int(digest[i])] == (r, i):
+                    kept += raw[start[i]:start[i + 1]]
+            j = max(k, j + 1)
+        left.append(kept.decode())
+    return left
+
+
+def test_what_is_left_equals_the_definition(spark):
+    a, b, c, e = words(1), words(2), words(3, pool="äöü日本éabc"), words(4)
     rows = [(1, f"{words(11)} {a} {words(12)} {a} {words(13)}"), (2, f"{words(14)} {b}"), (2, f"{b} {words(15)}"),
-            (None, f"{words(16)} {c}"), (None, f"{c} {words(17)}"), (8, words(19))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    found = sorted(chunk_dedup.repeated_spans(docs).collect(), key=lambda r: r["rid"])
-    assert [r["doc_id"] for r in found] == [1, 2, 2, None, None]
-    assert [len(r["spans"]) for r in found] == [2, 1, 1, 1, 1] and [len(r["cuts"]) for r in found] == [1, 0, 1, 0, 1]
+            (None, f"{words(16)} {c}"), (None, f"{c} {words(17)}"), (4, e), (4, e), (5, None), (6, ""),
+            (7, f"{words(18)} {a}"), (8, words(19))]
+    docs = spark.createDataFrame([(d, t, None if t is None else len(t), str(i)) for i, (d, t) in enumerate(rows)], KIND).coalesce(1)
+    found = {(r["doc_id"], r["rid"]): r for r in chunk_dedup.repeated_spans(docs).collect()}
+    assert {d for d, _ in found} == {1, 2, None, 4, 7} and len(found) == 8
+    out = chunk_dedup.without_repeated_spans(docs)
+    assert out.columns == docs.columns
+    got = sorted(out.collect(), key=lambda r: int(r["row"]))
+    assert [r["text"] or "" for r in got] == plain(rows) and got[7]["text"] is None
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    assert got[5]["text"] == e and got[6]["text"] == "" and got[10]["text"] == rows[10][1]
+    for text, copies in ((a, (0, 9)), (b, (1, 2)), (c, (3, 4))):
+        assert sum(got[i]["text"].count(text[60:-60]) for i in copies) == 1
 
 
 def test_chunks_are_whole_characters():
@@ -43,3 +78,5 @@ def test_repeats_inside_documents_of_the_tables(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     got = {r["doc_id"] for r in chunk_dedup.repeated_spans(docs).collect()}
     assert len(want) > 20 and want <= got
+    left = chunk_dedup.without_repeated_spans(docs).orderBy("doc_id").collect()
+    assert [r["text"] for r in left] == plain(sorted(table))
