@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copyledger.llm.common import stage
+from copyledger.llm.common import row_key, stage
+from copyledger.operators.ranking import rank_within
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVEL = 1024
@@ -67,10 +68,10 @@ def source_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0,
 def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0,
                 weights: tuple[int, ...] = (5, 2, 1), seed: int = 7,
                 weight: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target,
-    copies (how often the mix takes it) and taken (words it contributes)."""
+    """One row per document: doc_id, key (``row_key``), source, size, source_size,
+    target, copies (how often the mix takes it) and taken (words it contributes)."""
     text = F.col("text")
-    sized = docs.select("doc_id", "source", "text", F.coalesce(
+    sized = docs.select("doc_id", "source", "text", row_key().alias("key"), F.coalesce(
         F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
         *([weight.alias("w")] if weight is not None else []))
     if weight is None:
@@ -78,7 +79,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0,
     key = -F.log(uniform(seed, F.col("doc_id"), text)) / F.col("w")
     bucket = F.least(F.floor((1 - F.exp(-F.col("k"))) * (LEVEL * LEVEL)), F.lit(LEVEL * LEVEL - 1))
     rows = (sized.withColumn("k", key).withColumn("b", bucket.cast("int"))
-            .select("doc_id", "source", "size", "k",
+            .select("doc_id", "key", "source", "size", "k",
                     F.when(F.col("source").isNull(), F.lit("n"))
                     .otherwise(F.concat(F.lit("s"), F.col("source"))).alias("skey"),
                     F.floor(F.col("b") / LEVEL).cast("int").alias("b1"),
@@ -109,18 +110,35 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0,
     cut = (cut.join(fine, ["skey", "b1", "b2"])
            .withColumn("extra", (ahead + F.col("size") / 2 <= F.col("part")).cast("long")))
     whole = placed.where("state < 2").withColumn("extra", F.col("state").cast("long"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra"]
+    cols = ["doc_id", "key", "source", "size", "source_size", "target", "epochs", "extra"]
     copies = F.when(F.col("size") > 0, F.least(F.col("epochs") + F.col("extra"), F.lit(int(cap))))
     return (whole.select(*cols).unionByName(cut.select(*cols))
             .withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
-            .select("doc_id", "source", "size", "source_size", "target", "copies",
+            .select("doc_id", "key", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def mixed_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mix itself: each document of ``plan`` as often as it is taken."""
-    chosen = plan.where("copies > 0").select(F.col("doc_id").alias("i"), "copies")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return (rows.join(chosen, F.col("id") == F.col("i"))
+    """The mix itself: each document of ``plan`` (made from ``docs``) as often as it is taken.
+
+    Rows equal in id, text and source share a key, so their copies differ, by
+    one, only where the budget ends among them: ``more`` of them get one more.
+    """
+    groups = (plan.groupBy(F.col("doc_id").alias("i"), F.col("key").alias("k"), F.col("source").alias("s"))
+              .agg(F.min("copies").alias("least"), F.max("copies").alias("most"),
+                   F.sum("copies").alias("total"), F.count("*").alias("n"))
+              .where("most > 0")
+              .select("i", "k", "s", "least", (F.col("total") - F.col("least") * F.col("n")).alias("more")))
+    groups = stage(groups, "mix-groups")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").alias("id"), row_key().alias("key"), F.col("source").alias("src"))
+    same = (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")) & F.col("src").eqNullSafe(F.col("s"))
+    even = rows.join(groups.where("more = 0"), same).select("row", F.col("least").alias("copies"))
+    odd = rows.join(groups.where("more > 0"), same).select(
+        "row", "least", "more", F.to_json(F.struct("i", "k", "s")).alias("group"),
+        F.monotonically_increasing_id().alias("at"))
+    odd = rank_within(odd, ["group"], ["at"], "place").select(
+        "row", (F.col("least") + (F.col("place") < F.col("more")).cast("long")).alias("copies"))
+    return (even.unionByName(odd).where("copies > 0")
             .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
             .select("row.*"))
