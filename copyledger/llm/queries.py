@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from copyledger.llm import (
     chunk_dedup,
     decontam,
+    hard_negatives,
+    importance,
     license_scan,
     line_dedup,
     mixing,
+    quality,
     secret_scan,
     simhash,
     token_counts,
@@ -92,9 +95,27 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = stage(topk.quantised(rows.withColumn("label", label), 256, "label"), "vectors")
+    found = hard_negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"), 5, 5, (80, 100))
+    return found.drop("positive_rank")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 20, 42, 10_000)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mixing, op2_simhash, op3_topk, op4_secrets, op5_tokens, op6_licenses, op7_chunk_dedup, op8_line_dedup,
-    op9_toxicity, op10_decontam)}
+    op9_toxicity, op10_decontam, op11_hard_negatives, op12_quality, op13_importance)}
 
 SQL: dict[str, str] = {}
 
@@ -159,3 +180,82 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+SQL["op11_hard_negatives"] = r"""
+WITH vectors AS (
+  SELECT vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM vectors a JOIN vectors c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+# CRC-32 is affine: a message's checksum is the exclusive or of one table entry
+# for each byte and its distance from the end, and one for its length.
+SQL["op13_importance"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+split AS (
+  SELECT kind, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT kind, row, unnest(flatten([list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))
+                                    for n in [1, 2, 3] if n <= len(w)])) AS f FROM split),
+counted AS (SELECT kind, row, f, count(*) AS n FROM runs GROUP BY ALL),
+features AS (SELECT f, hex(encode(f)) AS x, strlen(f) AS size FROM (SELECT DISTINCT f FROM counted)),
+steps AS (
+  SELECT 0 AS step, range::BIGINT AS b, range::BIGINT AS c FROM range(256)
+  UNION ALL
+  SELECT step + 1, b, CASE WHEN step < 8 THEN CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END END
+  FROM steps WHERE step < 8),
+crc AS (SELECT b, c AS t FROM steps WHERE step = 8),
+shifted AS (
+  SELECT 0::BIGINT AS d, b, t AS c FROM crc
+  UNION ALL
+  SELECT d + 1, s.b, xor(s.c >> 8, crc.t) FROM shifted s JOIN crc ON crc.b = s.c & 255
+  WHERE d < (SELECT max(size) FROM features)),
+starts AS (
+  SELECT 0::BIGINT AS size, 4294967295::BIGINT AS c
+  UNION ALL
+  SELECT size + 1, xor(s.c >> 8, crc.t) FROM starts s JOIN crc ON crc.b = s.c & 255
+  WHERE size < (SELECT max(size) FROM features)),
+bytes AS (
+  SELECT f, size, size - pos AS d, ('0x' || substr(x, 2 * pos - 1, 2))::BIGINT AS b
+  FROM features, LATERAL (SELECT unnest(range(1, size + 1)) AS pos)),
+bucket AS (
+  SELECT f, xor(xor(bit_xor(shifted.c), any_value(starts.c)), 4294967295) % 10000 AS bucket
+  FROM bytes JOIN shifted USING (d, b) JOIN starts ON starts.size = bytes.size GROUP BY f),
+placed AS (SELECT kind, row, bucket, n FROM counted JOIN bucket USING (f)),
+shares AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t
+  FROM placed GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM shares),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (ss + 10000)::DOUBLE)
+                                 / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain FROM shares, totals),
+weights AS (
+  SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM placed JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY row),
+scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT
+             + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (row) WHERE kind = 'd'),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 5 * count(*) OVER () // 100 AS n
+  FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""

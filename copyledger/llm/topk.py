@@ -36,12 +36,12 @@ STEP = 8
 SAMPLE = 512
 
 
-def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id, v: floor(scale * x) of every component, usable rows only."""
+def quantised(vectors: DataFrame, scale: int = 1024, *more: str) -> DataFrame:
+    """vec_id, ``more`` columns, v: floor(scale * x) of every component, usable rows only."""
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return (vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(~bad)
-            .select(F.col("vec_id").cast("long").alias("vec_id"),
+            .select(F.col("vec_id").cast("long").alias("vec_id"), *more,
                     F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v")))
 
 
