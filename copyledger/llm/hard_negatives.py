@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyledger.llm.common import python_ready, stage
-from copyledger.llm.exact import best, products
+from copyledger.llm.exact import LARGEST, best, products
 from copyledger.llm.topk import matrix
 
 SHARD = 4096
@@ -81,7 +81,8 @@ def intervals(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
             estimate += (1 - 2 / d * apart) * a["align"][:, i, None] * b["align"][None, :, j]
     (q, _, q_rest), (x, x_coded, x_rest) = a["ends"].T[:, :, None], b["ends"].T[:, None, :]
     reach = x_coded * q_rest + x_rest * q + SLACK * x * q
-    return estimate - reach, estimate + reach
+    # a score beyond a long is held at its end, and so are these
+    return tuple(np.clip(e, -float(LARGEST), float(LARGEST)) for e in (estimate - reach, estimate + reach))
 
 
 def kth(values: np.ndarray, k: int) -> np.ndarray:
