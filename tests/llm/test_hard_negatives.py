@@ -23,7 +23,7 @@ def test_every_product_lies_in_its_interval(width, most):
     a = rng.integers(-most, most, (60, width))
     b = np.concatenate([rng.integers(-most, most, (200, width)), a, -a, np.zeros((1, width), np.int64)])
     low, high = hard_negatives.intervals(side(a), side(b))
-    want = np.clip(a.astype(object) @ b.T.astype(object), -exact.LARGEST, exact.LARGEST)
+    want = np.clip(a.astype(object) @ b.T.astype(object), -exact.LARGEST, exact.LARGEST).astype(float)
     assert ((low <= want) & (want <= high)).all()
     length = np.linalg.norm(a.astype(float), axis=1)[:, None] * np.linalg.norm(b.astype(float), axis=1)
     assert np.mean((high - low)[length > 0] / length[length > 0]) < 0.7
