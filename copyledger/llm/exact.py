@@ -14,23 +14,21 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                      for p, q in zip(a.tolist(), b.tolist())], np.int64)
 
 
-def _bound(a: np.ndarray) -> np.ndarray:
-    return np.abs(a.astype(float))
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of two integer matrices, pair by pair.
-
-    Sums of absolute products under 2**62 are added as longs; the others one by
-    one without limit, and a product outside the range of a long is held at
-    its end (``LARGEST``, negative or not)."""
-    out = np.empty(len(a), np.int64)
-    for lo in range(0, len(a), PAIRS):
-        x, y = a[lo:lo + PAIRS], b[lo:lo + PAIRS]
-        wide = (_bound(x) * _bound(y)).sum(axis=1) >= 2.0 ** 62
-        out[lo:lo + PAIRS] = np.einsum("ij,ij->i", x, y)
+def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``i`` of ``a`` with the rows ``j`` of ``b``, pair by pair.
+
+    Where the lengths show that no sum reaches 2**62, longs are added; the
+    others are added one by one without limit, and a product outside the range
+    of a long is held at its end (``LARGEST``, negative or not)."""
+    out = np.empty(len(i), np.int64)
+    long_a, long_b = (np.linalg.norm(m.astype(float), axis=1) for m in (a, b))
+    for lo in range(0, len(i), PAIRS):
+        p, q = i[lo:lo + PAIRS], j[lo:lo + PAIRS]
+        part = np.einsum("ij,ij->i", a[p], b[q])
+        wide = long_a[p] * long_b[q] >= 2.0 ** 62
         if wide.any():
-            out[lo:lo + PAIRS][wide] = _exact(x[wide], y[wide])
+            part[wide] = _exact(a[p[wide]], b[q[wide]])
+        out[lo:lo + PAIRS] = part
     return out
 
 

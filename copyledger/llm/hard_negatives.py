@@ -44,8 +44,9 @@ from copyledger.llm.topk import matrix
 SHARD = 4096
 BLOCK = 256
 GROUP = 16
-LEVELS = 4
-SLACK = 1e-9     # of the product of the lengths: far above the rounding of the estimates
+STRIP = 8        # anchors whose estimates are made at once, in the processor's cache
+LEVELS = 6
+SLACK = 1e-5     # of the product of the lengths: above the rounding of the estimates
 
 
 @lru_cache(maxsize=4)
@@ -69,20 +70,32 @@ def encode(rows: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarr
     return codes, align, ends
 
 
-def intervals(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Certain (lower, upper) ends of all inner products of ``a`` with ``b``."""
-    d = a["v"].shape[1]
-    estimate = np.zeros((len(a["ids"]), len(b["ids"])))
-    for i in range(a["align"].shape[1]):
-        for j in range(b["align"].shape[1]):
-            apart = np.zeros(estimate.shape, np.uint16)
-            for w in range(a["codes"].shape[2]):
-                apart += np.bitwise_count(a["codes"][:, i, w, None] ^ b["codes"][None, :, j, w])
-            estimate += (1 - 2 / d * apart) * a["align"][:, i, None] * b["align"][None, :, j]
-    (q, _, q_rest), (x, x_coded, x_rest) = a["ends"].T[:, :, None], b["ends"].T[:, None, :]
-    reach = x_coded * q_rest + x_rest * q + SLACK * x * q
+def intervals(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Certain (lower, upper) ends of all inner products of ``a`` with ``b``,
+    and the unit of each row of them: the length of its ``a`` times the largest
+    length in ``b``, so that small floats hold vectors of any size."""
+    d, kind = a["v"].shape[1], np.float32
+    (q, q_coded, q_rest), (x, x_coded, x_rest) = a["ends"].T, b["ends"].T
+    own, longest = np.where(q > 0, q, 1), max(x.max(initial=0), 1e-300)
+    mine, theirs = (a["align"] / own[:, None]).astype(kind), (b["align"] / longest).astype(kind)
+    # 1 - 2 * apart / d for each pair of codes: the ones come first, at once
+    estimate = mine.sum(axis=1)[:, None] * theirs.sum(axis=1)[None, :]
+    weights = np.asfortranarray(theirs * kind(2 / d))
+    columns = np.ascontiguousarray(b["codes"].transpose(1, 2, 0))
+    for lo in range(0, len(own), STRIP):
+        strip = slice(lo, lo + STRIP)
+        for i in range(mine.shape[1]):
+            apart = np.zeros(estimate[strip].shape, kind)
+            for j in range(theirs.shape[1]):
+                for w in range(len(columns[j])):
+                    apart += np.bitwise_count(a["codes"][strip, i, w, None] ^ columns[j, w]) * weights[:, j]
+            estimate[strip] -= apart * mine[strip, i, None]
+    size, coded, rest = ((c / longest).astype(kind)[None, :] for c in (x, x_coded, x_rest))
+    reach = (q_rest / own).astype(kind)[:, None] * coded + (rest + kind(SLACK) * size)
+    unit = own * longest
     # a score beyond a long is held at its end, and so are these
-    return tuple(np.clip(e, -float(LARGEST), float(LARGEST)) for e in (estimate - reach, estimate + reach))
+    most = np.minimum(float(LARGEST) / unit, 2).astype(kind)[:, None]
+    return np.clip(estimate - reach, -most, most), np.clip(estimate + reach, -most, most), unit
 
 
 def kth(values: np.ndarray, k: int) -> np.ndarray:
@@ -97,10 +110,10 @@ def positives_in(a: dict, b: dict, k: int) -> list[np.ndarray]:
     for label in np.intersect1d(a["labels"], b["labels"]):
         mine, theirs = np.flatnonzero(a["labels"] == label), np.flatnonzero(b["labels"] == label)
         one, other = ({c: v[i] for c, v in x.items()} for x, i in ((a, mine), (b, theirs)))
-        low, high = intervals(one, other)
+        low, high, _ = intervals(one, other)
         usable = one["ids"][:, None] != other["ids"][None, :]
         i, j = np.nonzero(usable & (high >= kth(np.where(usable, low, -np.inf), k)[:, None]))
-        score = products(one["v"][i], other["v"][j])
+        score = products(one["v"], other["v"], i, j)
         top = best(i, other["ids"][j], score, k)
         found.append((one["q"][i[top]], other["ids"][j[top]], score[top]))
     return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
@@ -109,27 +122,33 @@ def positives_in(a: dict, b: dict, k: int) -> list[np.ndarray]:
 def negatives_in(a: dict, b: dict, k: int, share: tuple[int, int]) -> list[np.ndarray]:
     """(anchor number, positive's place, vec_id, score): the shard's first ``k``
     rows of other labels in the window of each positive."""
-    low, high = intervals(a, b)
+    low, high, unit = intervals(a, b)
     usable = a["labels"][:, None] != b["labels"][None, :]
-    windows = [[(-(-share[0] * s // 100), share[1] * s // 100) for s in row] for row in a["scores"].tolist()]
-    windows = np.array(windows, dtype=object).reshape(len(a["ids"]), -1, 2)
+    windows = np.array([[(-(-share[0] * s // 100), share[1] * s // 100) for s in row] for row in a["scores"].tolist()],
+                       dtype=object).reshape(len(a["ids"]), -1, 2)
+    ends = (windows.astype(float) / unit[:, None, None]).astype(np.float32)
+    slack = np.abs(ends) * np.float32(SLACK)
+    needed = np.zeros(low.shape, bool)
+    for r, n in enumerate(a["n_scores"].tolist()):
+        if not n:
+            continue
+        least, most = ends[r, :n] - slack[r, :n], ends[r, :n] + slack[r, :n]
+        near = np.flatnonzero(usable[r] & (high[r] >= least[:, 0].min()) & (low[r] <= most[:, 1].max()))
+        lower, upper, need = low[r, near], high[r, near], np.zeros(len(near), bool)
+        for p in range(n):
+            sure = lower[(lower >= most[p, 0]) & (upper <= least[p, 1])]
+            floor = max(least[p, 0], kth(sure[None, :], k)[0])
+            need |= (upper >= floor) & (lower <= most[p, 1])
+        needed[r, near[need]] = True
+    i, j = np.nonzero(needed)
+    score = products(a["v"], b["v"], i, j)
     found = []
     for place in range(windows.shape[1]):
-        some = np.flatnonzero(a["n_scores"] > place)
-        begin, end = windows[some, place, 0], windows[some, place, 1]
-        lo, hi = (np.array([float(x) for x in w])[:, None] for w in (begin, end))
-        # floats of long scores may be off by their rounding
-        lo, hi = lo - np.abs(lo) * SLACK, hi + np.abs(hi) * SLACK
-        can = usable[some] & (high[some] >= lo) & (low[some] <= hi)
-        sure = can & (low[some] >= lo + 2 * np.abs(lo) * SLACK) & (high[some] <= hi - 2 * np.abs(hi) * SLACK)
-        can &= high[some] >= kth(np.where(sure, low[some], -np.inf), k)[:, None]
-        i, j = np.nonzero(can)
-        score = products(a["v"][some[i]], b["v"][j])
-        exact = np.array([x <= s <= y for s, x, y in zip(score.tolist(), begin[i], end[i])], bool)
-        i, j, score = i[exact], j[exact], score[exact]
-        top = best(i, b["ids"][j], score, k)
-        i, j = i[top], j[top]
-        found.append((a["q"][some[i]], np.full(len(i), place, np.int64), b["ids"][j], score[top]))
+        begin, end = (np.array([max(-LARGEST, min(LARGEST, w)) for w in windows[:, place, e].tolist()], np.int64)
+                      for e in (0, 1))
+        at = np.flatnonzero((a["n_scores"][i] > place) & (begin[i] <= score) & (score <= end[i]))
+        at = at[best(i[at], b["ids"][j[at]], score[at], k)]
+        found.append((a["q"][i[at]], np.full(len(at), place, np.int64), b["ids"][j[at]], score[at]))
     return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
 
 
