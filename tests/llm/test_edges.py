@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -182,6 +183,32 @@ def test_topk_over_groups_of_shards(spark, monkeypatch):
         assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
 
 
+@pytest.mark.parametrize("most", [400, 10 ** 5, 10 ** 7, 1 << 40, (1 << 62) - 1])
+def test_topk_is_exact_at_any_size(spark, most):
+    """Integer inner products, far beyond what a float tells apart; held at the ends of a long."""
+    rng = random.Random(most)
+    rows = [(i, [rng.randint(-most, most) for _ in range(64)]) for i in range(150)]
+    rows += [(150 + i, [x + (j == i) for j, x in enumerate(rows[3][1])]) for i in range(30)]  # nearly equal scores
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    end = (1 << 63) - 1
+    for q in range(0, 180, 20):
+        scores = {i: max(-end, min(end, sum(x * y for x, y in zip(rows[q][1], v)))) for i, v in rows if i != q}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:10]
+        assert sorted(got[q]) == [(n, i, scores[i]) for n, i in enumerate(want, 1)]
+
+
+def test_topk_repeated_queries(spark):
+    """Every row of a repeated query id has ten results of its own."""
+    rows = [(i, [i, 1]) for i in range(30)] + [(100, [1, 0]), (100, [0, 1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_k(vectors, vectors.where("vec_id = 100"), 3).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [
+        (1, 0, 1), (1, 29, 29), (2, 1, 1), (2, 28, 28), (3, 2, 1), (3, 27, 27)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7), (100, 200)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
