@@ -4,24 +4,30 @@ A 16-bit gear hash over UTF-8 bytes depends on the last 16 bytes only; where
 it falls below a threshold a chunk ends, about every ``AVERAGE`` bytes.  An
 insertion therefore moves the boundaries next to it and no others, and the
 same passage is cut the same way wherever it stands.  A boundary inside a
-character moves to its end, so chunks are whole characters.  Chunks are
-deduplicated by a 64-bit XXH3 digest, its occurrences counted in Spark;
-neighbouring chunks that occur more than once, in one text or in several, make
-a span, and spans of ``MIN_WORDS`` words or more are repeated passages (a lone
-digest clash or a common phrase is shorter).  Of the occurrences of a chunk the
-first by doc_id, row and place stays; the runs of the others inside repeated
-passages are the byte ranges to cut.
-
-Two shuffles of narrow chunk rows: a combined count per digest, and the join
-of chunk rows with the repeated digests, one row each, so AQE can split a
-digest that many documents hold.  A document's chunks meet again by row.
-
-Defined results: null and empty texts have no chunks; a null doc_id ranks
-after all others; rows that repeat a doc_id, or have none, are texts of their
-own, in input order; a run of more than ``LONGEST`` bytes without a boundary is
-cut at local minima of the hash, so a repeating one is cut alike each time, and
-where it has none every ``LONGEST`` bytes; of boundaries less than ``SHORTEST`` bytes apart the first counts; empty
-tables give no rows.
+character moves to its end, so chunks are whole characters.
+
+The unit of comparison is a chunk with its successor, under a 64-bit digest of
+both (XXH3), so a common phrase of one chunk tells nothing.  Units that occur
+more than once, in one text or in several, have a first place, by doc_id, row
+and position.  Units of a text that follow each other and whose first places
+follow each other too make a run: the text there repeats the other one chunk
+by chunk.  Runs of ``MIN_WORDS`` words or more are repeated passages; the text
+with the first places keeps the passage whole and the run is cut from this one.  What
+repeats at different places, a few words each, is left alone on both sides.
+A text loses part of a passage that it is the first to hold only where a run of
+its own, that another text keeps, reaches into it.
+
+Shuffles of narrow rows: a combined count per digest, the join of the units with
+the repeated digests, one row each, so AQE can split a digest that many texts
+hold, and the chunks of passages by row, copies of one passage combined before.
+
+Defined results: null and empty texts have no chunks, and a text of one chunk is
+one unit; a null doc_id ranks after all others; rows that repeat a doc_id, or
+have none, are texts of their own, in input order; where a text repeats itself
+without a gap the first period stays; a run of more than ``LONGEST`` bytes
+without a boundary is cut at local minima of the hash, so a repeating one is cut
+alike each time, and where it has none every ``LONGEST`` bytes; of boundaries
+less than ``SHORTEST`` bytes apart the first counts; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copyledger.llm.common import python_ready, stage
+from copyledger.llm.words import GRAM_BASE, mix
 
 WINDOW = 16
 AVERAGE = 32
 SHORTEST = 8
 LONGEST = 64
 MIN_WORDS = 16
+WORD_BITS = 6      # words begun in a chunk of at most LONGEST + 3 bytes
+WORD_MASK = (1 << WORD_BITS) - 1
 GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -105,15 +114,26 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays), kind))
 
 
+def units(digest: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, place) of each chunk with its successor; a place holds the
+    position and the words begun in either chunk."""
+    if len(digest) < 2:
+        return digest, words.astype(np.int64) << WORD_BITS
+    both = mix(digest[:-1].view(np.uint64) * GRAM_BASE + digest[1:].view(np.uint64)).view(np.int64)
+    pos, words = np.arange(len(both), dtype=np.int64), words.astype(np.int64)
+    return both, (pos << WORD_BITS | words[:-1]) << WORD_BITS | words[1:]
+
+
 def _chunks(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
         found = [chunk(t) for t in batch["text"].to_pylist()]
-        digest, end, words = zip(*found)
+        digest, place = zip(*(units(d, w) for d, _, w in found))
         yield pa.RecordBatch.from_arrays(
-            [batch["rid"], batch["doc_id"], lists(digest, pa.int64()), lists(end, pa.int32()),
-             lists(words, pa.int32())], ["rid", "doc_id", "digest", "ends", "words"])
+            [batch["rid"], batch["doc_id"], lists(digest, pa.int64()), lists(place, pa.int64()),
+             lists([e for _, e, _ in found], pa.int32()), lists([w for _, _, w in found], pa.int32())],
+            ["rid", "doc_id", "units", "places", "ends", "words"])
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -121,9 +141,36 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """One row per document row: rid, doc_id, and its chunks' digest, ends, words."""
+    """One row per document row: rid, doc_id, its units and their places, its chunks' ends and words."""
     python_ready(rows.sparkSession)
-    return rows.mapInArrow(_chunks, "rid long, doc_id long, digest array<long>, ends array<int>, words array<int>")
+    return rows.mapInArrow(_chunks, "rid long, doc_id long, units array<long>, places array<long>, "
+                                    "ends array<int>, words array<int>")
+
+
+def runs(place: np.ndarray, row: np.ndarray, first: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """(first chunk, last chunk, other row, its first chunk) of the runs of
+    ``least`` words or more: ``place`` in this text, ``first`` place in ``row``."""
+    order = np.argsort(place)
+    place, row, first = place[order], row[order], first[order]
+    pos, other = place >> 2 * WORD_BITS, first >> 2 * WORD_BITS
+    cut = np.flatnonzero((np.diff(pos) != 1) | (np.diff(other) != 1) | (np.diff(row) != 0)) + 1
+    begin, end = np.append(0, cut), np.append(cut, len(pos)) - 1
+    ahead = np.cumsum(place >> WORD_BITS & WORD_MASK)
+    words = ahead[end] - np.append(0, ahead)[begin] + (place[end] & WORD_MASK)
+    return [(int(pos[a]), int(pos[b]) + 1, int(row[a]), int(other[a]))
+            for a, b in zip(begin[words >= least], end[words >= least])]
+
+
+def _runs(least: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for rid, hits in zip(batch["rid"].to_pylist(), batch["hits"]):
+                found = runs(*(hits.values.field(c).to_numpy(zero_copy_only=False) for c in range(3)), least)
+                out += [(rid, *r) for r in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else
+                                             [pa.array([], pa.int64())] * 5, ["rid", "a", "b", "other", "c"])
+    return run
 
 
 def split(at: np.ndarray) -> list[np.ndarray]:
@@ -131,68 +178,59 @@ def split(at: np.ndarray) -> list[np.ndarray]:
     return np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(at) else []
 
 
-def spans(pos: np.ndarray, first: np.ndarray, words: np.ndarray, ends: np.ndarray,
-          least: int) -> tuple[list[dict], list[dict]]:
-    """Runs of neighbouring repeated chunks of ``least`` words or more, and the
-    runs of those chunks in them that another occurrence keeps."""
+def spans(at: np.ndarray, gone: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[list[dict], list[dict]]:
+    """Neighbouring chunks ``at`` of passages, and those of them that are cut."""
     def piece(run):
-        a, b = int(run[0]), int(run[-1])
+        a, b = int(run[0]), min(int(run[-1]), len(ends) - 1)  # a text of one chunk has no successor
         return {"start": int(ends[a - 1]) if a else 0, "end": int(ends[b]), "words": int(words[a:b + 1].sum())}
 
-    out, cuts = [], []
-    stays = np.zeros(len(ends), bool)
-    stays[pos[first]] = True
-    for run in split(pos):
-        found = piece(run)
-        if found["words"] >= least:
-            gone = [piece(r) for r in split(run[~stays[run]])]
-            out.append(found | {"removed": sum(g["words"] for g in gone)})
-            cuts += gone
-    return out, cuts
+    cuts = [piece(r) for r in split(at[gone])]
+    return [piece(r) | {"removed": int(words[r[np.isin(r, at[gone]) & (r < len(words))]].sum())} for r in split(at)], cuts
 
 
-def _spans(least: int):
+def _spans(batches):
     kinds = [pa.list_(pa.struct([(c, pa.int32()) for c in names]))
              for names in (("start", "end", "words", "removed"), ("start", "end", "words"))]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row in zip(*(batch[c] for c in ("hits", "words", "ends", "digest"))):
-                hits, words, ends, digest = (c.values.to_numpy(zero_copy_only=False) for c in row)
-                hits = np.sort(hits)
-                pos, first = hits >> 1, np.zeros(len(hits), bool)
-                first[np.unique(digest[pos], return_index=True)[1]] = True
-                out.append(spans(pos, first & (hits & 1 > 0), words, ends, least))
-            yield pa.RecordBatch.from_arrays(
-                [batch["rid"], batch["doc_id"], batch["n_chunks"], batch["n_repeated"],
-                 *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))],
-                ["rid", "doc_id", "n_chunks", "n_repeated", "spans", "cuts"])
-    return run
+    for batch in batches:
+        out = []
+        for row in zip(*(batch[c] for c in ("marks", "words", "ends"))):
+            marks, words, ends = (c.values.to_numpy(zero_copy_only=False) for c in row)
+            marks = np.sort(marks)
+            out.append(spans(marks >> 1, marks & 1 > 0, words, ends))
+        yield pa.RecordBatch.from_arrays(
+            [batch["rid"], batch["doc_id"], batch["n_chunks"], pa.array([len(m) for m in batch["marks"]], pa.int64()),
+             *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))],
+            ["rid", "doc_id", "n_chunks", "n_repeated", "spans", "cuts"])
 
 
 def _repeated(rows: DataFrame, least: int) -> DataFrame:
     staged = stage(chunks(rows), "chunks")
-    place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "rid")
-    each = staged.select(place.alias("place"), F.explode("digest").alias("digest"))
-    repeated = stage(each.groupBy("digest").agg(F.min("place").alias("place"), F.count("*").alias("n"))
-                     .where("n > 1").select("digest", F.col("place.rid").alias("keeper")), "chunks-repeated")
-    placed = staged.select("rid", F.posexplode("digest").alias("pos", "digest"))
-    hit = F.col("pos") * 2 + (F.col("rid") == F.col("keeper")).cast("int")
-    hits = (placed.join(repeated, "digest")
-            .groupBy("rid").agg(F.collect_list(hit).alias("hits"), F.count("*").alias("n_repeated")))
-    whole = staged.withColumn("n_chunks", F.size("digest").cast("long")).join(hits, "rid")
+    at = staged.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "rid",
+                       F.explode(F.arrays_zip("units", "places")).alias("u"))
+    at = at.select("rid", F.col("u.units").alias("digest"), F.col("u.places").alias("place"), "id")
+    first = (at.groupBy("digest").agg(F.min(F.struct("id", "rid", "place")).alias("first"), F.count("*").alias("n"))
+             .where("n > 1").select("digest", F.col("first.rid").alias("row"), F.col("first.place").alias("first")))
+    hits = (at.drop("id").join(stage(first, "chunks-repeated"), "digest")
+            .where("rid != row OR place != first")
+            .groupBy("rid").agg(F.collect_list(F.struct("place", "row", "first")).alias("hits")))
+    found = stage(hits.mapInArrow(_runs(least), "rid long, a long, b long, other long, c long"), "chunk-runs")
+    # the passage's chunks in the text that keeps it, and those to cut, each once
+    there = found.select(F.col("other").alias("rid"), F.explode(F.sequence(F.col("c"), F.expr("c + b - a"))).alias("at"),
+                         F.lit(0).alias("gone"))
+    here = found.select("rid", F.explode(F.sequence("a", "b")).alias("at"), F.lit(1).alias("gone"))
+    marks = (there.unionByName(here).groupBy("rid", "at").agg(F.max("gone").alias("gone"))
+             .groupBy("rid").agg(F.collect_list(F.col("at") * 2 + F.col("gone")).alias("marks")))
     kind = ("rid long, doc_id long, n_chunks long, n_repeated long, "
             "spans array<struct<start: int, end: int, words: int, removed: int>>, "
             "cuts array<struct<start: int, end: int, words: int>>")
-    return whole.mapInArrow(_spans(least), kind).where(F.size("spans") > 0)
+    return (staged.select("rid", "doc_id", F.size("ends").cast("long").alias("n_chunks"), "ends", "words")
+            .join(marks, "rid").mapInArrow(_spans, kind))
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """Document rows that hold repeated passages: rid, doc_id, n_chunks,
-    n_repeated (chunks found elsewhere too, in this text or another), spans
-    (byte start and end, words, words removed since another place keeps them)
-    and cuts (byte start and end, words), the ranges to remove."""
+    n_repeated (chunks in them), spans (byte start and end, words, words removed
+    since another place keeps them) and cuts (byte start and end, words), the ranges to remove."""
     return _repeated(numbered(docs), least)
 
 

@@ -273,21 +273,23 @@ def test_chunks_cover_the_text_and_resist_insertions():
     assert same >= len(set(chunk_dedup.chunk(t)[0].tolist())) - 12
 
 
-def test_repeated_passages_are_caught(spark):
-    words = collections.defaultdict(set)
-    for d, t in texts(MIDDLE):
+def repeating(table, n):
+    """Texts that hold an n-word run which occurs twice or more, in one text (apart) or in several."""
+    places = collections.defaultdict(list)
+    for d, t in table:
         w = t.split()
-        for i in range(len(w) - 50):
-            words[tuple(w[i:i + 51])].add(d)
-    want = set().union(*(s for s in words.values() if len(s) > 1))
+        for i in range(len(w) - n + 1):
+            at = places[tuple(w[i:i + n])]
+            if not at or at[-1][0] != d or i - at[-1][1] >= n:
+                at.append((d, i))
+    return {d for at in places.values() if len(at) > 1 for d, _ in at}
+
+
+def test_repeated_passages_are_caught(spark):
+    want = repeating(texts(MIDDLE), 51)
     got = set(rows(spark, "op7_chunk_dedup", MIDDLE))
-    short = collections.defaultdict(set)
-    for d, t in texts(MIDDLE):
-        w = t.split()
-        for i in range(len(w) - 14):
-            short[tuple(w[i:i + 15])].add(d)
-    assert len(want - got) <= 0.01 * len(want)
-    assert got <= set().union(*(s for s in short.values() if len(s) > 1))
+    assert len(want) > 100 and len(want - got) <= 0.01 * len(want)
+    assert got <= repeating(texts(MIDDLE), 15)
 
 
 def test_toxicity_on_held_out_labels(spark):
