@@ -2,10 +2,10 @@
 scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct n-grams of 4 to 6 code points, lower-cased,
-hashed to 2**22 buckets.  Fitting takes a bounded sample: the labelled rows of
-each class with the smallest id hash, at most ``PER_CLASS`` of up to
-``SAMPLE_CHARS`` characters; the class shares come from all labelled training
-rows.  Buckets are kept by chi-square, scaled by the log ratio of their
+hashed to 2**22 buckets.  Fitting takes a bounded sample: of each class the
+``PER_CLASS`` training rows with the smallest id hash among labelled rows that
+have a text of up to ``SAMPLE_CHARS`` characters in ``documents``; the class
+shares come from all of these labelled rows.  Buckets are kept by chi-square, scaled by the log ratio of their
 smoothed shares in the two classes, weighed by ridge logistic regression, and
 the margin is calibrated on folds it was not fitted on, for the true shares.
 Scoring covers every row and whole texts; its model is a few thousand numbers.
@@ -170,13 +170,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample of labelled rows that are not held out."""
     known = (labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
              .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))))
+    usable = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
+    # only labels that have such a text: labels of other corpora do not push them out of the sample
+    known = stage(known.join(usable.select("doc_id").distinct(), "doc_id", "left_semi")
+                  .withColumn("h", F.xxhash64("doc_id")), "toxic-labels")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    ranked = known.withColumn("h", F.xxhash64("doc_id"))
-    sample = [ranked.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(PER_CLASS) for c in (0, 1)]
+    sample = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(PER_CLASS) for c in (0, 1)]
     picked = stage(sample[0].unionByName(sample[1]).select(F.col("doc_id").alias("i"), "toxic", "h"), "toxic-sample")
     wanted = F.broadcast(picked.select("i").distinct())  # at most 2 * PER_CLASS rows
-    texts = (docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-             .join(wanted, F.col("doc_id") == F.col("i"), "left_semi")
+    texts = (usable.join(wanted, F.col("doc_id") == F.col("i"), "left_semi")
              .groupBy("doc_id").agg(F.min("text").alias("text")))
     rows = (texts.join(picked, F.col("doc_id") == F.col("i"))
             .select("h", "doc_id", "toxic", "text").collect())
