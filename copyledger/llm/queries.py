@@ -53,7 +53,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     return found.select("doc_id", *[of_kind(k).alias(f"n_{k}") for k in secret_scan.KINDS],
-                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.size("unjudged").cast("long").alias("n_unjudged"))
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

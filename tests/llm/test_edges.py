@@ -216,6 +216,16 @@ def test_topk_repeated_queries(spark):
         (1, 0, 1), (1, 29, 29), (2, 1, 1), (2, 28, 28), (3, 2, 1), (3, 27, 27)]
 
 
+def test_toxicity_labels_far_beyond_the_documents(spark):
+    """Labels without a text do not push usable ones out of the sample."""
+    rows = [(i, f"row {i} " + ("vile foul words" if i % 2 else "kind mild phrases") + f" number {i * 7}") for i in range(300)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    few = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    many = few.unionByName(spark.range(1000, 400_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic"))
+    a, b = (toxicity.train(texts, labels) for labels in (few, many))
+    assert len(a.buckets) > 20 and np.array_equal(a.buckets, b.buckets) and np.array_equal(a.weights, b.weights)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7), (100, 200)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
