@@ -16,17 +16,21 @@ entry or by an earlier candidate) it tries ``stem_1.ext``, ``stem_2.ext``
   parent's candidate that would take counter k is its candidate number
   ``k - blocked``, blocked being the counters below k it found taken, so it
   comes first exactly when that number is less than the count of parent
-  candidates before the child's first one.  Parents before children and
-  counters in rising order, this is one fold over the shared names of a family
-  (dir, ext, stem without trailing ``_<digits>`` groups): one small row per
-  distinct interacting name, however many files carry it.  What it decides are
-  further taken entries, and the bulk path does the rest.
+  candidates before the child's first one.  Names are decided level by level:
+  the counters in a name's chain (``x``, ``x_3``, ``x_3_1``) give its level, and
+  a parent's plain name was decided one level up.  Within a level a parent's
+  shared names, in rising order of their counters, are dealt to blocks of
+  ``BLOCK``, each a row of its own.  All blocks are decided at once from a guess
+  of the counters blocked before them; the counts that come out give the next
+  guess, and when a round confirms its guess it is the answer, since the first
+  block's is known, hence the second's, and so on.  What is decided are further
+  taken entries, and the bulk path does the rest.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from copyledger.functions import paths as P
@@ -36,18 +40,19 @@ from copyledger.session import pickle_by_value
 
 pickle_by_value(__name__)
 
-_COUNTER_RE = r"^(.*?)((?:_[0-9]+)+)$"
+#: Shared names of one parent that are decided together: bounds a row's list.
+BLOCK = 1 << 13
+_COUNTER_RE = r"^(.*)_([1-9][0-9]*)$"
+_CHAIN_RE = r"(?:_[1-9][0-9]*)*$"
 
 
-def family_stem(stem) -> F.Column:
-    stripped = F.regexp_extract(stem, _COUNTER_RE, 1)
-    return F.when(stripped == "", stem).otherwise(stripped)
-
-
-def _with_family(df: DataFrame, base_col: str = "base") -> DataFrame:
-    stem, ext = P.split_ext(base_col)
-    return df.withColumn("_stem", stem).withColumn("_ext", ext) \
-        .withColumn("family", F.concat_ws("\u0000", "dir", "_ext", family_stem(F.col("_stem"))))
+def _with_parent(df: DataFrame) -> DataFrame:
+    """``_parent`` and ``_k`` where ``base`` is counter k of a shorter base."""
+    stem, ext = P.split_ext("base")
+    head = F.regexp_extract("_stem", _COUNTER_RE, 1)
+    k = F.when(head != "", F.regexp_extract("_stem", _COUNTER_RE, 2)).try_cast("long")
+    return (df.withColumn("_stem", stem).withColumn("_ext", ext).withColumn("_k", k)
+            .withColumn("_parent", F.when(F.col("_k").isNotNull(), F.concat(head, F.col("_ext")))))
 
 
 def taken_counters(taken: DataFrame) -> DataFrame:
@@ -56,8 +61,8 @@ def taken_counters(taken: DataFrame) -> DataFrame:
     ``_<k>``, as counter k of the shorter base."""
     stem, ext = P.split_ext("name")
     t = (taken.select("dir", "name").withColumn("_ext", ext).withColumn("_stem", stem)
-         .withColumn("_m", F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 1))
-         .withColumn("_k", F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 2)))
+         .withColumn("_m", F.regexp_extract("_stem", _COUNTER_RE, 1))
+         .withColumn("_k", F.regexp_extract("_stem", _COUNTER_RE, 2)))
     plain = t.select("dir", F.col("name").alias("base"), F.lit(0).cast("long").alias("t"))
     # A number too long for a counter can never be generated: no reading.
     gen = (t.filter(F.col("_m") != "")
@@ -66,24 +71,6 @@ def taken_counters(taken: DataFrame) -> DataFrame:
     return plain.unionByName(gen).distinct()
 
 
-def _decide_shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Shared names of one family: (base, t) that the base finds taken."""
-    pdf = pdf.assign(depth=pdf["parent"].str.len()).sort_values(["depth", "parent", "k"])
-    lost_plain, out, blocked, now = set(), [], 0, None
-    for row in pdf.itertuples(index=False):
-        if row.parent != now:
-            now, blocked = row.parent, int(row.parent in lost_plain)
-        if row.static:
-            blocked += 1
-        elif row.k - row.below - blocked < row.before:
-            lost_plain.add(row.child)
-            out.append((row.dir, row.child, 0))
-        else:
-            blocked += 1
-            out.append((row.dir, row.parent, row.k))
-    return pd.DataFrame(out, columns=["dir", "base", "t"]).astype({"t": "int64"})
-
-
 def _markers_passed(rows: DataFrame, markers: DataFrame, order: list[str], out: str) -> DataFrame:
     """``markers(dir, base, child, ...)`` plus ``out``: how many ``rows`` of the
     same (dir, base) come before each in ``order``."""
@@ -95,15 +82,81 @@ def _markers_passed(rows: DataFrame, markers: DataFrame, order: list[str], out:
     return place.select("dir", "child", (F.col("_place") - F.col("_own")).alias(out))
 
 
-def _shared_names(c: DataFrame, t: DataFrame) -> DataFrame | None:
+def _passed(blocked: int, edges: list[dict]):
+    """Each shared name of a block in turn: (edge, parent comes first), then the
+    counters blocked after it.  A name that the store holds is taken for both."""
+    decided = []
+    for e in edges:
+        first = not e["static"] and e["k"] - e["below"] - blocked < e["before"]
+        if not first:
+            blocked += 1
+        if not e["static"]:
+            decided.append((e, first))
+    return decided, blocked
+
+
+def _count_blocked(batches):
+    for batch in batches:
+        rows = batch.to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [batch["dir"], batch["parent"], batch["block"],
+             pa.array([_passed(r["start"], r["edges"])[1] - r["start"] for r in rows], pa.int64())],
+            ["dir", "parent", "block", "blocked"])
+
+
+def _decide(batches):
+    for batch in batches:
+        out = [(r["dir"], e["child"], 0) if first else (r["dir"], r["parent"], e["k"])
+               for r in batch.to_pylist() for e, first in _passed(r["start"], r["edges"])[0]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()),
+             pa.array([o[2] for o in out], pa.int64())], ["dir", "base", "t"])
+
+
+def _start_of(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``start``: blocked before them, by the counts of the blocks before."""
+    ahead = (Window.partitionBy("dir", "parent").orderBy("block")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    return blocks.withColumn("start", F.col("own") + F.coalesce(F.sum("blocked").over(ahead), F.lit(0)))
+
+
+def _decide_level(rows: DataFrame, lost: DataFrame | None, block: int) -> DataFrame:
+    """Taken entries (dir, base, t) of one level's shared names ``rows``;
+    ``lost``: (dir, base) whose plain name a parent took."""
+    edge = F.struct("k", "below", "before", "static", "child")
+    blocks = (rows.withColumn("block", F.floor(F.col("place") / block))
+              .groupBy("dir", "parent", "block").agg(F.sort_array(F.collect_list(edge)).alias("edges")))
+    if lost is None:
+        blocks = blocks.withColumn("own", F.lit(0).cast("long"))
+    else:
+        took = lost.select("dir", F.col("base").alias("parent"), F.lit(1).cast("long").alias("own"))
+        blocks = blocks.join(took, ["dir", "parent"], "left").withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    # first guess: every child keeps its name, so all names before are blocked
+    blocks = stage(blocks.withColumn("blocked", F.size("edges").cast("long")), "name-blocks")
+    if blocks.filter(F.col("block") > 0).isEmpty():
+        return blocks.withColumn("start", F.col("own")).mapInArrow(_decide, "dir string, base string, t long")
+    guess = _start_of(blocks.select("dir", "parent", "block", "own", "blocked"))
+    while True:
+        guess = stage(guess.select("dir", "parent", "block", "own", "start"), "name-guess")
+        at = blocks.select("dir", "parent", "block", "edges").join(guess, ["dir", "parent", "block"])
+        counted = at.select("dir", "parent", "block", "start", "edges").mapInArrow(
+            _count_blocked, "dir string, parent string, block long, blocked long")
+        told = _start_of(guess.withColumnRenamed("start", "guessed").join(counted, ["dir", "parent", "block"]))
+        told = stage(told, "name-told")
+        if told.filter("start <> guessed").isEmpty():
+            return at.select("dir", "parent", "start", "edges").mapInArrow(_decide, "dir string, base string, t long")
+        guess = told
+
+
+def _shared_names(c: DataFrame, t: DataFrame, block: int) -> DataFrame | None:
     """Taken entries (dir, base, t) that follow from names which two bases
     share; None when no two do."""
     parents = c.select("dir", F.col("base").alias("_parent")).distinct()
     edges = (c.filter(F.col("_parent").isNotNull())
-             .groupBy("family", "dir", "base", "_parent", "_k")
+             .groupBy("dir", "base", "_parent", "_k")
              .agg(F.min(F.struct("ord0", "ord1", "id")).alias("first"))
              .join(parents, ["dir", "_parent"], "left_semi"))
-    edges = stage(edges.select("family", "dir", F.col("base").alias("child"), F.col("_parent").alias("base"),
+    edges = stage(edges.select("dir", F.col("base").alias("child"), F.col("_parent").alias("base"),
                                F.col("_k").alias("t"), "first.*"), "shared-names")
     if edges.isEmpty():
         return None
@@ -114,32 +167,38 @@ def _shared_names(c: DataFrame, t: DataFrame) -> DataFrame | None:
              .join(edges.select("dir", "base", "t"), ["dir", "base", "t"], "left_anti"))
     before = _markers_passed(c.join(bases, ["dir", "base"], "left_semi"), edges, ["ord0", "ord1", "id"], "before")
     below = _markers_passed(other, edges, ["t"], "below")
-    rows = (edges.select("family", "dir", "child", F.col("base").alias("parent"), F.col("t").alias("k"))
+    stem, _ = P.split_ext("parent")
+    rows = (edges.select("dir", "child", F.col("base").alias("parent"), F.col("t").alias("k"))
             .join(before, ["dir", "child"]).join(below, ["dir", "child"])
-            .join(plain, ["dir", "child"], "left").withColumn("static", F.coalesce("static", F.lit(False))))
-    return rows.groupBy("family").applyInPandas(_decide_shared, "dir string, base string, t long")
-
-
-def resolve_counters(cands: DataFrame, taken: DataFrame,
-                     order_cols: tuple[str, str] = ("ord0", "ord1")) -> DataFrame:
+            .join(plain, ["dir", "child"], "left").withColumn("static", F.coalesce("static", F.lit(False)))
+            .withColumn("level", F.regexp_count(F.regexp_extract(stem, _CHAIN_RE, 0), F.lit("_"))))
+    rows = stage(rank_within(rows, ["dir", "parent"], ["k"], "place"), "shared-ranked")
+    # a level is a counter more in the name: bounded by the length of a name
+    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())
+    done, lost = None, None
+    for level in levels:
+        new = stage(_decide_level(rows.filter(F.col("level") == level), lost, block), "level-taken")
+        done = new if done is None else done.unionByName(new)
+        lost = done.filter("t = 0").select("dir", "base")
+    return done
+
+
+def resolve_counters(cands: DataFrame, taken: DataFrame, order_cols: tuple[str, str] = ("ord0", "ord1"),
+                     block: int = BLOCK) -> DataFrame:
     """(id, dir, base, counter, name) for every candidate.
 
     ``cands``: id, dir, base, and the two order columns; ``taken``: dir, name
     of existing entries.
     """
     o0, o1 = order_cols
-    c = _with_family(cands.select("id", "dir", "base", F.col(o0).alias("ord0"), F.col(o1).alias("ord1")))
-    pm = F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 1)
-    k = F.regexp_extract("_stem", r"^(.*)_([1-9][0-9]*)$", 2)
-    c = c.withColumn("_k", F.when(pm != "", k).try_cast("long")) \
-        .withColumn("_parent", F.when(F.col("_k").isNotNull(), F.concat(pm, F.col("_ext"))))
+    c = _with_parent(cands.select("id", "dir", "base", F.col(o0).alias("ord0"), F.col(o1).alias("ord1")))
     # Stage the narrow candidate table: its key columns are regex-derived and
     # feed several joins (re-deriving them per join bloats generated code).
-    c = stage(c.select("id", "dir", "base", "ord0", "ord1", "family", "_parent", "_k"), "store-names")
+    c = stage(c.select("id", "dir", "base", "ord0", "ord1", "_parent", "_k"), "store-names")
     t = stage(taken_counters(taken).join(c.select("dir", "base").distinct(), ["dir", "base"], "left_semi"), "taken")
-    shared = _shared_names(c, t)
+    shared = _shared_names(c, t, block)
     if shared is not None:
-        t = t.select("dir", "base", "t").unionByName(stage(shared, "shared-taken"))
+        t = t.select("dir", "base", "t").unionByName(shared)
 
     ranked = rank_within(c.select("id", "dir", "base", "ord0", "ord1"),
                          ["dir", "base"], ["ord0", "ord1", "id"], "i")

@@ -25,12 +25,12 @@ def sequential(cands, taken):
     return out
 
 
-def _check(spark, cands, taken):
+def _check(spark, cands, taken, **options):
     cdf = spark.createDataFrame([(i, d, b, 0, i) for i, d, b in cands],
                                 "id long, dir string, base string, ord0 int, ord1 long")
     tdf = spark.createDataFrame(taken or [("/none", "none")], "dir string, name string")
     want = sequential(cands, taken)
-    assert {r.id: r.name for r in resolve_counters(cdf, tdf).collect()} == want
+    assert {r.id: r.name for r in resolve_counters(cdf, tdf, **options).collect()} == want
 
 
 def test_counters_simple_and_taken_gaps(spark):
@@ -68,6 +68,34 @@ def test_counters_of_nested_names(spark):
     _check(spark, cands, sorted(taken))
 
 
+def test_family_over_many_blocks(spark):
+    """One base's shared names over many blocks, with gaps, taken names, late children and a second level."""
+    rng = random.Random(31)
+    for many in (0, 1, 25, 300):
+        cands = [(rng.randint(1, 10 ** 9), "/d", "c.mp4") for _ in range(many)]
+        cands += [(rng.randint(1, 10 ** 9), "/d", f"c_{k}.mp4") for k in rng.sample(range(1, 400), 250)]
+        cands += [(rng.randint(1, 10 ** 9), "/d", f"c_7_{k}.mp4") for k in rng.sample(range(1, 90), 40)]
+        cands += [(rng.randint(1, 10 ** 9), "/d", "c_7.mp4") for _ in range(30)]
+        taken = {("/d", f"c_{k}.mp4") for k in rng.sample(range(1, 400), 40)} | {("/d", "c_7_3.mp4")}
+        _check(spark, cands, sorted(taken), block=16)
+
+
+def test_family_of_100000_names(spark):
+    """``clip.mp4`` many times beside ``clip_1.mp4 ... clip_N.mp4`` in one folder: no task holds the family."""
+    n = 100_000
+    late = [(3 * n + i, "/d", "clip.mp4") for i in range(50)]
+    early = [(i, "/d", "clip.mp4") for i in range(1, 2_000, 20)]
+    rest = [(n + (k * 7919 % n), "/d", f"clip_{k}.mp4") for k in range(1, n) if k % 1_000]
+    _check(spark, late + early + rest, [("/d", f"clip_{k}.mp4") for k in range(500, n, 1_700)], block=4_096)
+
+
+def test_no_task_takes_a_family():
+    import inspect
+
+    from copyledger.operators import collisions
+    assert "applyInPandas" not in inspect.getsource(collisions)
+
+
 def test_assign_ids_dense_and_ordered(spark):
     df = spark.range(5000).select(F.concat(F.lit("/p/"), F.lpad((F.col("id") * 7919 % 5000).cast("string"),
                                                                    6, "0")).alias("original_path"))
