@@ -183,6 +183,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     kept = keep_rows(docs, stage(first.select("f.key", "f.id"), "simhash-kept"), "left_semi")
     names = kept.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
+    # rows with a map have no order; their text form has one
+    least = F.min("row") if "map<" not in kept.select(row).schema.simpleString() else F.min_by("row", F.to_json("row"))
     repeated = (kept.select(row.alias("row"), F.col("doc_id").alias("i"), row_key().alias("k"))
-                .groupBy("i", "k").agg(F.min("row").alias("row")))
+                .groupBy("i", "k").agg(least.alias("row")))
     return repeated.select("row.*")

@@ -216,6 +216,54 @@ def test_topk_repeated_queries(spark):
         (1, 0, 1), (1, 29, 29), (2, 1, 1), (2, 28, 28), (3, 2, 1), (3, 27, 27)]
 
 
+def test_columns_without_an_order(spark):
+    rows = [(1, "a b c d", {"k": 2}), (1, "a b c d", {"k": 1}), (2, "a b c d", {}), (3, "other words are here", None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    assert sorted((r["doc_id"], r["more"]) for r in simhash.one_of_each(texts).collect()) == [(1, {"k": 1}), (3, None)]
+
+
+def test_short_items_are_found(spark):
+    """Items of one to four words are matched whole."""
+    bench = spark.createDataFrame([(n, " ".join(f"q{n}w{i}" for i in range(n))) for n in range(1, 7)] + [(9, " ")],
+                                  "item_id long, text string")
+    rows = [(n, "before it " + " ".join(f"q{n}w{i}" for i in range(n)) + " and after") for n in range(1, 7)]
+    rows += [(10, "q4w0 q4w1 q4w2 apart q4w3"), (11, "q2w1 q2w0"), (12, "nothing here"), (13, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.contaminated(texts, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["covered"]) for r in got) == [(n, n, n) for n in range(1, 7)]
+    assert {r["doc_id"] for r in decontam.decontaminate(texts, bench).collect()} == {10, 11, 12, 13}
+
+
+def test_a_shared_template_makes_no_pairs(spark):
+    """All items and a third of the documents share an opening: they meet by what is their own."""
+    opening = "answer the following question with one short sentence please"
+    items = [(i, f"{opening} " + " ".join(f"i{i}w{j}" for j in range(16))) for i in range(120)]
+    rows = [(i, f"{opening} " + " ".join(f"d{i}w{j}" for j in range(40))) for i in range(100)]
+    rows += [(200 + i, "text " + items[i][1] + " text") for i in range(10)]
+    rows += [(300 + i, " ".join(f"i{i}w{j}" for j in range(16))) for i in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(texts, bench).collect()}
+    assert got == {(200 + i, i) for i in range(10)} | {(300 + i, i) for i in range(10)}
+    assert decontam.overlaps(texts, bench, coverage=0.5).count() == 20  # pairs that are joined at all
+    # with a wish that the opening alone fulfils every pair of opening holders is a result
+    assert decontam.contaminated(texts, bench, coverage=0.3).count() == 110 * 120 + 10
+
+
+def test_probes_miss_nothing():
+    """Whoever covers enough of an item with k-grams shares one of its probes."""
+    rng = random.Random(8)
+    for _ in range(300):
+        n, k = rng.randint(5, 30), rng.randint(1, 5)
+        grams = [(rng.choice([1, 2, 50]), p) for p in range(n - k + 1)]
+        coverage = rng.choice([0.0, 0.3, 0.5, 0.9, 1.0])
+        chosen = decontam.probes(n, k, grams, coverage)
+        shared = {p for _, p in grams if rng.random() < rng.choice([0.1, 0.5, 0.9])}
+        covered = {w for p in shared for w in range(p, p + k)}
+        if shared and len(covered) >= coverage * n:
+            assert shared & chosen
+
+
 def test_toxicity_labels_far_beyond_the_documents(spark):
     """Labels without a text do not push usable ones out of the sample."""
     rows = [(i, f"row {i} " + ("vile foul words" if i % 2 else "kind mild phrases") + f" number {i * 7}") for i in range(300)]
