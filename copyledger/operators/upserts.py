@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from copyledger import constants as C
 from copyledger import schemas
 from copyledger.functions.formatting import utc_ts
+from copyledger.sources.snapshots import stage
 
 METADATA_COLS = ("file_name", "file_size_bytes", "created_at", "year", "month",
                  "month_day", "project_name")
@@ -34,35 +35,35 @@ def upsert_files(prior: DataFrame, scanned: DataFrame, run_ts: str) -> DataFrame
     overwrite the metadata columns and the scan time of known paths; hash,
     flags, status and id of known paths are kept, unless the size or the time
     changed: then the content did, so the hash, the flags and the status are
-    cleared and the row is gated and grouped again.  Unseen known rows stay."""
+    cleared and the row is gated and grouped again.  Unseen known rows stay.
+
+    The batch is written first, so its size is known: a small one is sent to
+    the catalog's tasks, which then never move; a large one is joined by
+    shuffles.  New paths are what is left of the batch without the catalog's
+    paths among it."""
+    new = stage(scanned.select("original_path", "id", *METADATA_COLS), "upsert-batch")
     cols = schemas.FILES.fieldNames()
     old = prior.select(*[F.col(c).alias("o_" + c) for c in cols])
-    new = scanned.select("original_path", "id", *METADATA_COLS).select(
-        *[F.col(c).alias("n_" + c) for c in ("original_path", "id", *METADATA_COLS)])
-    j = old.join(new, F.col("o_original_path") == F.col("n_original_path"), "full_outer")
+    known = prior.select("original_path").join(new.select("original_path"), "original_path", "left_semi")
+    fresh = new_file_rows(new.join(known, "original_path", "left_anti"), run_ts)
+    n = new.select(*[F.col(c).alias("n_" + c) for c in ("original_path", *METADATA_COLS)])
+    j = old.join(n, F.col("o_original_path") == F.col("n_original_path"), "left")
     seen = F.col("n_original_path").isNotNull()
-    known = F.col("o_original_path").isNotNull()
-    changed = seen & known & ~(F.col("o_file_size_bytes").eqNullSafe(F.col("n_file_size_bytes"))
-                               & F.col("o_created_at").eqNullSafe(F.col("n_created_at")))
+    changed = seen & ~(F.col("o_file_size_bytes").eqNullSafe(F.col("n_file_size_bytes"))
+                       & F.col("o_created_at").eqNullSafe(F.col("n_created_at")))
+    cleared = {"is_duplicate": F.lit(False), "deduplication_status": F.lit(C.STATUS_PENDING)}
     out = []
     for c in cols:
-        if c == "original_path":
-            out.append(F.coalesce("n_original_path", "o_original_path").alias(c))
-        elif c == "id":
-            out.append(F.coalesce("o_id", "n_id").alias(c))
-        elif c in METADATA_COLS:
-            out.append(F.when(seen, F.col("n_" + c)).otherwise(F.col("o_" + c)).alias(c))
+        if c in METADATA_COLS:
+            value = F.when(seen, F.col("n_" + c)).otherwise(F.col("o_" + c))
         elif c == "scan_timestamp":
-            out.append(F.when(seen, utc_ts(run_ts)).otherwise(F.col("o_" + c)).alias(c))
-        elif c == "is_duplicate":
-            out.append(F.when(known & ~changed, F.col("o_" + c)).otherwise(F.lit(False)).alias(c))
-        elif c == "deduplication_status":
-            out.append(F.when(known & ~changed, F.col("o_" + c)).otherwise(F.lit(C.STATUS_PENDING)).alias(c))
-        elif c in ("file_hash", "master_file_id", "deduplication_timestamp"):
-            out.append(F.when(~changed, F.col("o_" + c)).alias(c))
+            value = F.when(seen, utc_ts(run_ts)).otherwise(F.col("o_" + c))
+        elif c in KEPT_COLS and c != "id":
+            value = F.when(changed, cleared.get(c, F.lit(None))).otherwise(F.col("o_" + c))
         else:
-            out.append(F.col("o_" + c).alias(c))
-    return j.select(*out)
+            value = F.col("o_" + c)
+        out.append(value.alias(c))
+    return j.select(*out).unionByName(fresh.select(*cols))
 
 
 def set_hashes(files: DataFrame, hashes: DataFrame, run_ts: str) -> DataFrame:
