@@ -50,6 +50,10 @@ def summary(files: DataFrame, groups: DataFrame) -> DataFrame:
         F.count_if(is_g & (F.col("duplicate_count") > 0)).alias("duplicate_groups"),
         F.max(F.when(is_f, F.col("scan_timestamp"))).alias("last_scan_timestamp"),
     )
+    return _with_ratios(agg)
+
+
+def _with_ratios(agg: DataFrame) -> DataFrame:
     return agg.select(
         "total_projects", "total_files",
         (F.col("total_files") - F.col("duplicate_files")).alias("unique_files"),
@@ -64,8 +68,11 @@ def statistics_table(files: DataFrame, groups: DataFrame, prior_stats: DataFrame
                      updated_at: str) -> DataFrame:
     """The 11-key long statistics table.  The three deduplication counters
     are carried over from the prior table (0 when absent or not an integer)."""
-    s = summary(files, groups)
-    spark = files.sparkSession
+    return _statistics_rows(summary(files, groups), prior_stats, updated_at)
+
+
+def _statistics_rows(s: DataFrame, prior_stats: DataFrame | None, updated_at: str) -> DataFrame:
+    spark = s.sparkSession
     ts = utc_ts(updated_at)
     fresh = s.withColumn("last_scan_iso", iso_utc("last_scan_timestamp")).select(F.expr(
         "stack(8, "
@@ -89,6 +96,65 @@ def statistics_table(files: DataFrame, groups: DataFrame, prior_stats: DataFrame
     return fresh.unionByName(carried).withColumn("updated_at", ts)
 
 
+# ---------------------------------------------------------------------------
+# Statistics kept by deltas: a table of cells, one row per (year, month,
+# project, status) of files and one row for the groups.  A run adds the cells of
+# the rows it changed as they are now and takes away those of the same rows
+# as they were; the statistics are then an aggregate over the cells.
+# ---------------------------------------------------------------------------
+
+CELL_KEYS = ("kind", "year", "month", "project_name", "deduplication_status")
+CELL_SUMS = ("n_files", "n_sized", "bytes", "duplicates", "n_groups", "space_saved")
+
+
+def _long(column) -> F.Column:
+    return F.coalesce(column, F.lit(0)).cast("long")
+
+
+def statistic_cells(files: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Cells of the given rows."""
+    zero = F.lit(0).cast("long")
+    cells = (files.groupBy(*CELL_KEYS[1:])
+             .agg(_long(F.count(F.lit(1))).alias("n_files"), _long(F.count("file_size_bytes")).alias("n_sized"),
+                  _long(F.sum("file_size_bytes")).alias("bytes"), _long(F.sum(_dup_int())).alias("duplicates"),
+                  zero.alias("n_groups"), zero.alias("space_saved"), F.max("scan_timestamp").alias("last_scan"))
+             .withColumn("kind", F.lit("files")))
+    if groups is not None:
+        cells = cells.unionByName(groups.agg(
+            _long(F.count_if(F.col("duplicate_count") > 0)).alias("n_groups"),
+            _long(F.sum("space_saved_bytes")).alias("space_saved")).withColumn("kind", F.lit("groups")),
+            allowMissingColumns=True)
+    return cells.select(*CELL_KEYS, *[_long(F.col(c)).alias(c) for c in CELL_SUMS], "last_scan")
+
+
+def moved_cells(cells: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``cells`` after a run that turned the rows of ``before`` into those of
+    ``after`` (cells of either).  Scan times only rise, so the latest is kept."""
+    gone = before.select(*CELL_KEYS, *[(-F.col(c)).alias(c) for c in CELL_SUMS],
+                         F.lit(None).cast("timestamp").alias("last_scan"))
+    summed = (cells.unionByName(gone).unionByName(after).groupBy(*CELL_KEYS)
+              .agg(*[F.sum(c).alias(c) for c in CELL_SUMS], F.max("last_scan").alias("last_scan")))
+    return summed.filter((F.col("kind") == "groups") | (F.col("n_files") != 0))
+
+
+def cells_summary(cells: DataFrame) -> DataFrame:
+    """``summary`` from cells: projects are distinct over cells, not over files."""
+    is_f = F.col("kind") == "files"
+    total = {c: _long(F.sum(c)) for c in CELL_SUMS}
+    return _with_ratios(cells.agg(
+        F.count_distinct(F.when(is_f, F.col("project_name"))).alias("total_projects"),
+        total["n_files"].alias("total_files"), total["duplicates"].alias("duplicate_files"),
+        total["bytes"].alias("total_size_bytes"),
+        F.coalesce(F.sum("bytes") / F.nullif(F.sum("n_sized"), F.lit(0)), F.lit(0.0)).alias("average_file_size"),
+        total["space_saved"].alias("space_saved_bytes"), total["n_groups"].alias("duplicate_groups"),
+        F.max(F.when(is_f, F.col("last_scan"))).alias("last_scan_timestamp")))
+
+
+def statistics_from_cells(cells: DataFrame, prior_stats: DataFrame | None, updated_at: str) -> DataFrame:
+    """``statistics_table`` without reading files or groups."""
+    return _statistics_rows(cells_summary(cells), prior_stats, updated_at)
+
+
 def upsert_stats(prior: DataFrame, new: DataFrame) -> DataFrame:
     """New keys overwrite, other prior keys are kept."""
     return new.unionByName(prior.join(new.select("stat_name"), "stat_name", "left_anti"))

@@ -166,7 +166,9 @@ grp AS (
 """ + GROUP_SELECT
 ORACLES["duplicate_groups_pages"] = f"""
 WITH d AS (SELECT page_id AS id, CAST(octet_length(encode(html)) AS BIGINT) AS file_size_bytes,
-                  {sampled_fp_sql('encode(html)')} AS fp FROM pages),
+                  {sampled_fp_sql('encode(html)')} AS fp
+           FROM (SELECT page_id, html FROM pages
+                 UNION ALL SELECT page_id + 10000000, html FROM pages WHERE page_id % 9 = 0)),
 h AS (SELECT id, file_size_bytes, fp AS file_hash FROM d WHERE file_size_bytes IN
       (SELECT file_size_bytes FROM d GROUP BY file_size_bytes HAVING count(*) > 1)),
 grp AS (
@@ -289,11 +291,26 @@ f2 AS (
 
 
 ORACLES["incremental_new_files"] = _with(BATCH_CTES, "SELECT id, original_path FROM b2")
-ORACLES["cross_batch_candidates"] = _with(BATCH_CTES, """
+ORACLES["cross_batch_candidates"] = _with(BATCH_CTES + """,
+n2 AS (SELECT file_size_bytes, file_name FROM b2
+       UNION ALL SELECT file_size_bytes, upper(file_name) FROM b1, range(2) WHERE id % 5 = 0),
+n2c AS (SELECT * FROM n2 WHERE file_size_bytes IN
+        (SELECT file_size_bytes FROM n2 GROUP BY file_size_bytes HAVING count(*) > 1))""", """
 SELECT o.id AS old_id, o.file_size_bytes, o.original_path AS old_path, o.file_hash AS old_hash,
        count(*) AS new_matches
-FROM b2c n JOIN b1h o ON n.file_size_bytes = o.file_size_bytes AND lower(n.file_name) = lower(o.file_name)
+FROM n2c n JOIN b1h o ON n.file_size_bytes = o.file_size_bytes AND lower(n.file_name) = lower(o.file_name)
 GROUP BY o.id, o.file_size_bytes, o.original_path, o.file_hash""")
+ORACLES["statistics_delta"] = _with(catalog_ctes(), f"""
+SELECT 'files' AS kind, year, month, project_name, '{C.STATUS_PENDING}' AS deduplication_status,
+  count(*) AS n_files, count(file_size_bytes) AS n_sized, CAST(sum(file_size_bytes) AS BIGINT) AS bytes,
+  count(*) FILTER (WHERE is_duplicate) AS duplicates, CAST(0 AS BIGINT) AS n_groups, CAST(0 AS BIGINT) AS space_saved
+FROM cat GROUP BY year, month, project_name
+UNION ALL
+SELECT 'groups', NULL, NULL, NULL, NULL, 0, 0, CAST(0 AS BIGINT), 0, count(*) FILTER (WHERE duplicate_count > 0),
+  CAST(COALESCE(sum(space_saved_bytes), 0) AS BIGINT) FROM grp""")
+ORACLES["partition_versions"] = _with(FIXTURE_CTES, """
+SELECT year, CAST(CASE WHEN year = '2024' THEN 2 ELSE 1 END AS BIGINT) AS version, count(*) AS files
+FROM files_v WHERE scan_batch = 1 OR year = '2024' GROUP BY year""")
 ORACLES["assign_ids"] = _with(BATCH_CTES, """
 SELECT original_path, (SELECT max(id) FROM b1) + row_number() OVER (ORDER BY original_path) AS id FROM b2""")
 ORACLES["catalog_upsert"] = _with(BATCH_CTES + """,

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
-from copyledger import schemas
 from copyledger.functions import paths as P
 from copyledger.operators.collisions import resolve_counters
 from copyledger.operators import stats as S
@@ -252,14 +251,22 @@ def commit_dedup(spark: SparkSession, root: str, present: DataFrame, store_root:
     plan = stage(dedup_plan(old["files"], old["duplicate_groups"], old["paths"], present, store_root, **options),
                  "plan")
     tables = applied(old["files"], old["duplicate_groups"], old["paths"], plan, run_ts)
-    for name, table in zip(("files", "duplicate_groups", "paths"), tables):
-        SNAP.write_table(table, root, name, version)
-    files, groups = (spark.read.schema(schemas.TABLES[t]).parquet(f"{root}/{t}/v={version}")
-                     for t in ("files", "duplicate_groups"))
-    counters = plan_counters(plan)
-    SNAP.write_table(S.upsert_stats(old["statistics"], S.statistics_table(files, groups, counters, run_ts)),
-                     root, "statistics", version)
-    SNAP.commit(spark, root, version)
+    new = {name: SNAP.write_table(table, root, name, version)
+           for name, table in zip(("files", "duplicate_groups", "paths"), tables)}
+    files = SNAP.read_entry(spark, root, "files", new["files"])
+    if "cells" in SNAP.manifest(spark, root)["tables"]:
+        # only rows of the plan changed, and of a group nothing that is counted
+        ids = plan.select(F.col("file_id").alias("id")).distinct()
+        before, after = (S.statistic_cells(f.join(ids, "id", "left_semi")) for f in (old["files"], files))
+        cells = S.moved_cells(old["cells"], before, after)
+    else:
+        cells = S.statistic_cells(files, SNAP.read_entry(spark, root, "duplicate_groups", new["duplicate_groups"]))
+    new["cells"] = SNAP.write_table(cells, root, "cells", version)
+    cells = SNAP.read_entry(spark, root, "cells", new["cells"])
+    new["statistics"] = SNAP.write_table(
+        S.upsert_stats(old["statistics"], S.statistics_from_cells(cells, plan_counters(plan), run_ts)),
+        root, "statistics", version)
+    SNAP.commit(spark, root, version, entries=new)
     return version
 
 

@@ -12,6 +12,7 @@ candidate, after the gate).
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
     ``recompute="full"`` rebuilds the gate and all groups from the whole catalog.
     ``skip_hash`` records the new rows only (no gate, groups unchanged).
     """
-    files, groups, _ = _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode,
+    files, groups, _, _ = _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode,
                              recompute, skip_hash)
     return files, groups
 
@@ -82,8 +83,8 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
 def _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode, recompute, skip_hash):
     fresh = with_ids(new_paths(scanned, prior_files), prior_files)
     if mode == "skip_known":
-        files = prior_files.select(*schemas.FILES.fieldNames()).unionByName(
-            U.new_file_rows(fresh, run_ts).select(*schemas.FILES.fieldNames()))
+        added = U.new_file_rows(fresh, run_ts).select(*schemas.FILES.fieldNames())
+        files = prior_files.select(*schemas.FILES.fieldNames()).unionByName(added)
     elif mode == "refresh":
         ids = fresh.select("original_path", F.col("id").alias("_nid"))
         rows = scanned.drop("id").join(ids, "original_path", "left").withColumnRenamed("_nid", "id")
@@ -91,16 +92,18 @@ def _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode, recom
     else:
         raise ValueError(f"unknown scan mode {mode!r}")
     if skip_hash:
-        return files, prior_groups.select(*schemas.GROUPS.fieldNames()), fresh
+        change = Change(added, None, None, None) if mode == "skip_known" else None
+        return files, prior_groups.select(*schemas.GROUPS.fieldNames()), fresh, change
     if recompute == "affected" and scope == "catalog" and mode == "skip_known":
-        return (*_affected_update(files, prior_groups, fresh, run_ts, hasher), fresh)
+        files, groups, change = _affected_update(prior_files, files, prior_groups, added, run_ts, hasher)
+        return files, groups, fresh, change
     need = hash_candidates(files, fresh, prior_files, scope)
     hashes = _fingerprints(hasher, need)
     files = U.set_hashes(files, hashes, run_ts)
     groups_now = groups_from_hashed(files)
     files = apply_flags(files, groups_now).select(*schemas.FILES.fieldNames())
     groups = U.upsert_groups(prior_groups, groups_now, run_ts)
-    return files, groups, fresh
+    return files, groups, fresh, None
 
 
 def _fingerprints(hasher: Hasher, need: DataFrame) -> DataFrame:
@@ -110,30 +113,48 @@ def _fingerprints(hasher: Hasher, need: DataFrame) -> DataFrame:
     return stage(hasher(need).select("id", "file_hash"), "fingerprints")
 
 
-def _affected_update(files: DataFrame, prior_groups: DataFrame, fresh: DataFrame, run_ts: str,
-                     hasher: Hasher) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class Change:
+    """Rows that a run changed: ``files`` as they are now (new ones included)
+    and as they were, groups as they are now and as they were."""
+    files: DataFrame
+    files_before: DataFrame | None
+    groups: DataFrame | None
+    groups_before: DataFrame | None
+
+    def years(self) -> list:
+        return [r["year"] for r in self.files.select("year").distinct().collect()]
+
+    def cells(self, cells: DataFrame) -> DataFrame:
+        """The catalog's statistics cells after the change."""
+        none = self.files.limit(0)
+        before = S.statistic_cells(none if self.files_before is None else self.files_before, self.groups_before)
+        return S.moved_cells(cells, before, S.statistic_cells(self.files, self.groups))
+
+
+def _affected_update(prior_files: DataFrame, files: DataFrame, prior_groups: DataFrame, added: DataFrame,
+                     run_ts: str, hasher: Hasher) -> tuple[DataFrame, DataFrame, Change]:
     # Sizes of this batch: only they can change the gate.
-    sizes = fresh.filter(F.col("file_size_bytes").isNotNull()).select("file_size_bytes").distinct()
+    sizes = added.filter(F.col("file_size_bytes").isNotNull()).select("file_size_bytes").distinct()
     touched = files.join(sizes, "file_size_bytes", "left_semi")
     need = G.backfill_candidates(touched).select("id", "original_path", "file_size_bytes")
     hashes = _fingerprints(hasher, need).filter(F.col("file_hash").isNotNull() & (F.col("file_hash") != ""))
-    files = U.set_hashes(files, hashes, run_ts)
-    # Hashes fingerprinted now: only their groups can change.
+    # Hashes fingerprinted now: only their groups can change.  Their members
+    # are written once: files, groups and statistics are all derived from them.
     affected = hashes.select(F.col("file_hash").alias("group_hash")).distinct()
-    members = files.join(affected, files["file_hash"] == affected["group_hash"], "left_semi")
-    regrouped = groups_from_hashed(members)
+    hashed = U.set_hashes(files, hashes, run_ts)
+    members = hashed.join(affected, hashed["file_hash"] == affected["group_hash"], "left_semi")
+    members = stage(apply_flags(members, groups_from_hashed(members)).select(*schemas.FILES.fieldNames()), "members")
+    changed = members.unionByName(added.join(members.select("id"), "id", "left_anti").select(*members.columns))
+    ids = members.select("id")
+    kept_files = prior_files.select(*schemas.FILES.fieldNames()).join(ids, "id", "left_anti")
     marks = affected.select(F.col("group_hash").alias("_aff"))
-    reflagged = apply_flags(members, regrouped).select(
-        F.col("id").alias("_rid"), F.col("is_duplicate").alias("_dup"), F.col("master_file_id").alias("_m"))
-    hit = F.col("_rid").isNotNull()
-    files = (files.join(reflagged, F.col("id") == F.col("_rid"), "left")
-             .withColumn("is_duplicate", F.when(hit, F.col("_dup")).otherwise(F.col("is_duplicate")))
-             .withColumn("master_file_id", F.when(hit, F.col("_m")).otherwise(F.col("master_file_id")))
-             .select(*schemas.FILES.fieldNames()))
-    kept = prior_groups.join(marks, prior_groups["group_hash"] == marks["_aff"], "left_anti")
-    renewed = U.upsert_groups(prior_groups.join(marks, prior_groups["group_hash"] == marks["_aff"],
-                                                "left_semi"), regrouped, run_ts)
-    return files, kept.select(*schemas.GROUPS.fieldNames()).unionByName(renewed)
+    hit = prior_groups["group_hash"] == marks["_aff"]
+    old_groups = prior_groups.join(marks, hit, "left_semi")
+    renewed = U.upsert_groups(old_groups, groups_from_hashed(members), run_ts)
+    groups = prior_groups.join(marks, hit, "left_anti").select(*schemas.GROUPS.fieldNames()).unionByName(renewed)
+    before = prior_files.join(ids, "id", "left_semi")
+    return kept_files.unionByName(changed), groups, Change(changed, before, renewed, old_groups)
 
 
 def path_rows(files: DataFrame, run_ts: str) -> DataFrame:
@@ -168,16 +189,20 @@ def commit_scan(root: str, scanned: DataFrame, run_ts: str, hasher: Hasher,
     spark = scanned.sparkSession
     version = SNAP.next_version(spark, root)
     prior = SNAP.read_catalog(spark, root, version - 1)
-    files, groups, fresh = _scan(prior["files"], prior["duplicate_groups"], scanned, run_ts, hasher,
-                                 scope, mode, recompute, skip_hash)
-    fresh_ids = fresh.select("id", "original_path")
-    SNAP.write_table(files, root, "files", version)
-    SNAP.write_table(groups, root, "duplicate_groups", version)
-    files_s = spark.read.schema(schemas.FILES).parquet(f"{root}/files/v={version}")
-    groups_s = spark.read.schema(schemas.GROUPS).parquet(f"{root}/duplicate_groups/v={version}")
-    new_rows = files_s.join(fresh_ids.select("original_path"), "original_path", "left_semi")
-    SNAP.write_table(U.insert_paths(prior["paths"], path_rows(new_rows, run_ts), run_ts), root, "paths", version)
-    stats = S.upsert_stats(prior["statistics"], S.statistics_table(files_s, groups_s, prior["statistics"], run_ts))
-    SNAP.write_table(stats, root, "statistics", version)
-    SNAP.commit(spark, root, version, source)
+    had_cells = "cells" in SNAP.manifest(spark, root, version - 1)["tables"]
+    files, groups, fresh, change = _scan(prior["files"], prior["duplicate_groups"], scanned, run_ts, hasher,
+                                         scope, mode, recompute, skip_hash)
+    new: dict[str, dict] = {}
+
+    def write(table: str, df: DataFrame, **options) -> DataFrame:
+        new[table] = SNAP.write_table(df, root, table, version, **options)
+        return SNAP.read_entry(spark, root, table, new[table])
+    files_s = write("files", files, changed=change.years() if change else None)
+    groups_s = write("duplicate_groups", groups)
+    new_rows = files_s.join(fresh.select("original_path"), "original_path", "left_semi")
+    write("paths", U.insert_paths(prior["paths"], path_rows(new_rows, run_ts), run_ts))
+    # the statistics move with the rows that changed; neither files nor groups are read for them
+    cells = write("cells", change.cells(prior["cells"]) if change and had_cells else S.statistic_cells(files_s, groups_s))
+    write("statistics", S.upsert_stats(prior["statistics"], S.statistics_from_cells(cells, prior["statistics"], run_ts)))
+    SNAP.commit(spark, root, version, source, new)
     return version

@@ -154,9 +154,12 @@ def q_duplicate_groups_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("duplicate_groups_pages")
 def q_duplicate_groups_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups over every page by the gated sampled fingerprint of its HTML."""
+    """Groups over every page by the gated sampled fingerprint of its HTML;
+    every ninth page is also there as a mirror with an id of its own."""
     content = fp.as_bytes("html")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    mirrors = pages.filter(F.col("page_id") % 9 == 0).withColumn("page_id", F.col("page_id") + 10_000_000)
+    pages = pages.unionByName(mirrors).select(
         F.col("page_id").alias("id"), fp.byte_length(content).alias("file_size_bytes"),
         fp.sampled_fingerprint(content).alias("content_fp"))
     return groups.groups_from_fingerprints(pages, "content_fp")
@@ -299,8 +302,13 @@ def q_incremental_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cross_batch_candidates")
 def q_cross_batch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 2 also brings every fifth file of batch 1 twice, elsewhere and in capitals."""
     files1, _ = _batch1(spark, sf_dir)
-    return gate.cross_batch_candidates(_batch_rows(spark, sf_dir, 2), files1)
+    new = _batch_rows(spark, sf_dir, 2).select("file_size_bytes", "file_name")
+    again = (_batch_rows(spark, sf_dir, 1).filter(F.col("id") % 5 == 0)
+             .select("file_size_bytes", F.upper("file_name").alias("file_name"),
+                     F.explode(F.array(F.lit(1), F.lit(2)))).drop("col"))
+    return gate.cross_batch_candidates(new.unionByName(again), files1)
 
 
 @register("assign_ids")
@@ -394,6 +402,28 @@ def q_incremental_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~numeric, F.col("stat_value")).alias("value_text"))
 
 
+@register("statistics_delta")
+def q_statistics_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics cells that the second run moved by what it changed."""
+    return _two_scan_runs(spark, sf_dir)["cells"].drop("last_scan")
+
+
+@register("partition_versions")
+def q_partition_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch 1 is committed, then the rows of one year of batch 2: per
+    partition, the version whose folder it is read from, and its files."""
+    root = scratch_path(spark, "catalog")
+    INC.commit_scan(root, _batch_rows(spark, sf_dir, 1), RUN1, _fixture_hasher(spark, sf_dir))
+    INC.commit_scan(root, _batch_rows(spark, sf_dir, 2).filter("year = '2024'"), RUN2,
+                    _fixture_hasher(spark, sf_dir), skip_hash=True)
+    # one entry per year: the marker's list, not rows
+    parts = SNAP.manifest(spark, root)["tables"]["files"]["parts"]
+    versions = spark.createDataFrame([(p.split("=")[1], int(f.split("v=")[1].split("-")[0])) for p, f in parts.items()],
+                                     "year string, version long")
+    files = SNAP.read_table(spark, root, "files").groupBy("year").agg(F.count(F.lit(1)).alias("files"))
+    return versions.join(files, "year")
+
+
 @register("incremental_batch_scope")
 def q_incremental_batch_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = _two_batches(spark, sf_dir, scope="batch")

@@ -47,6 +47,21 @@ STATISTICS = T.StructType([
     T.StructField("updated_at", T.TimestampType(), True),
 ])
 
+CELLS = T.StructType([
+    T.StructField("kind", T.StringType(), False),
+    T.StructField("year", T.StringType(), True),
+    T.StructField("month", T.StringType(), True),
+    T.StructField("project_name", T.StringType(), True),
+    T.StructField("deduplication_status", T.StringType(), True),
+    T.StructField("n_files", T.LongType(), False),
+    T.StructField("n_sized", T.LongType(), False),
+    T.StructField("bytes", T.LongType(), False),
+    T.StructField("duplicates", T.LongType(), False),
+    T.StructField("n_groups", T.LongType(), False),
+    T.StructField("space_saved", T.LongType(), False),
+    T.StructField("last_scan", T.TimestampType(), True),
+])
+
 LISTING = T.StructType([
     T.StructField("path", T.StringType(), False),
     T.StructField("size", T.LongType(), True),
@@ -60,4 +75,5 @@ TABLES = {
     "paths": PATHS,
     "duplicate_groups": GROUPS,
     "statistics": STATISTICS,
+    "cells": CELLS,
 }

@@ -37,11 +37,7 @@ def batch_run_ts(base_ts: str, batch_id: int) -> str:
 
 def last_batch(spark: SparkSession, catalog_root: str, stream: str) -> int:
     """The newest micro-batch of ``stream`` in the catalog, or -1."""
-    for version in reversed(SNAP.committed_versions(spark, catalog_root)):
-        name, _, batch = SNAP.committed_source(spark, catalog_root, version).rpartition("#")
-        if name == stream:
-            return int(batch)
-    return -1
+    return SNAP.manifest(spark, catalog_root)["streams"].get(stream, -1)
 
 
 def numbered(rows: DataFrame, prior: DataFrame) -> DataFrame:

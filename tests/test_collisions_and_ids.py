@@ -71,7 +71,7 @@ def test_counters_of_nested_names(spark):
 def test_family_over_many_blocks(spark):
     """One base's shared names over many blocks, with gaps, taken names, late children and a second level."""
     rng = random.Random(31)
-    for many in (0, 1, 25, 300):
+    for many in (1, 300):
         cands = [(rng.randint(1, 10 ** 9), "/d", "c.mp4") for _ in range(many)]
         cands += [(rng.randint(1, 10 ** 9), "/d", f"c_{k}.mp4") for k in rng.sample(range(1, 400), 250)]
         cands += [(rng.randint(1, 10 ** 9), "/d", f"c_7_{k}.mp4") for k in rng.sample(range(1, 90), 40)]
