@@ -1,9 +1,12 @@
 """Snapshots (versioning, empty catalog, pruning), the directory source on a
 hand-made tree, and streaming ingest."""
 
+import hashlib
 import os
 import tempfile
+import threading
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +125,48 @@ def test_stream_over_a_catalog_replays_once(spark):
     assert [r.id for r in files] == [1, 2, 3, 4, 5] and len({r.original_path for r in files}) == 5
     assert SNAP.committed_versions(spark, root) == [1, 2, 3]
     assert SNAP.read_table(spark, root, "duplicate_groups").first().duplicate_count == 4
+
+
+def test_byte_ranges_are_the_sampled_slices():
+    assert SR.byte_ranges(0) == [(0, 0)] and SR.byte_ranges(5119) == [(0, 5119)]
+    assert SR.byte_ranges(5120) == [(0, 1024), (2048, 1024), (4096, 1024)]
+    assert SR.byte_ranges(5121) == [(0, 1024), (2048, 1024), (4097, 1024)]
+    assert SR.byte_ranges(1 << 30, "full") == [(0, 1 << 30)]
+
+
+def test_reads_overlap_within_the_bound():
+    """Readers meet at a barrier inside ``open``: it only opens when that many
+    files are open at once, and never more are."""
+    readers, meet, lock = 4, threading.Barrier(4, timeout=20), threading.Lock()
+    folder = tempfile.mkdtemp(prefix="copyledger-test-", dir="/tmp")
+    data = {f"{folder}/{i}": bytes([i]) * (3000 * i) for i in range(12)}
+    for path, content in data.items():
+        _touch(path, content)
+    now, most = [0], [0]
+
+    class Slow:
+        def __init__(self, path):
+            self.file = open(path, "rb")
+
+        def __enter__(self):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            meet.wait()
+            return self.file
+
+        def __exit__(self, *_):
+            self.file.close()
+            with lock:
+                now[0] -= 1
+    names = [*data]
+    batches = [pd.DataFrame({"id": range(8), "path": names[:8]}), pd.DataFrame({"id": range(4), "path": names[8:]})]
+    got = pd.concat(list(SR._hash_batches("sampled", readers, Slow)(iter(batches))))
+    assert most[0] == readers and list(got["path"]) == names and got["hash_error"].isna().all()
+    for path, h in zip(got["path"], got["file_hash"]):
+        c = data[path]
+        cuts = [c] if len(c) < 5120 else [c[:1024], c[len(c) // 2 - 512:len(c) // 2 + 512], c[-1024:]]
+        parts = [hashlib.md5(b).hexdigest() for b in cuts]
+        assert h == (parts[0] if len(parts) == 1 else hashlib.md5("".join(parts).encode()).hexdigest())
+    gone = list(SR._hash_batches("full")(iter([pd.DataFrame({"id": [1], "path": [f"{folder}/none"]})])))[0]
+    assert gone["file_hash"][0] is None and "FileNotFoundError" in gone["hash_error"][0]
