@@ -654,6 +654,9 @@ SELECT {_REL} AS rel_path, file_name, file_size_bytes, year, month, month_day, p
 ORACLES["media_subfolder"] = _with(FIXTURE_CTES, f"""
 SELECT {_REL} AS rel_path, file_name, file_size_bytes, year, month, month_day, project_name FROM files_v
 WHERE year = '2024' AND month = 'march'""")
+ORACLES["media_pruned_scan"] = _with(FIXTURE_CTES, f"""
+SELECT {_REL} AS rel_path, file_name, file_size_bytes, year, month, month_day, project_name FROM files_v
+WHERE year = '2024' AND month IN ('march', 'june')""")
 ORACLES["media_scan_tree"] = _with(FIXTURE_CTES + """,
 tv AS (SELECT row_number() OVER (ORDER BY original_path) AS id, file_size_bytes, content_fp FROM files_v),
 th AS (SELECT id, file_size_bytes, CASE WHEN file_size_bytes IN
@@ -763,6 +766,7 @@ ORACLES["report_file"] = ("SELECT string_agg(line || chr(10), '' ORDER BY sectio
 ORACLES["stream_ingest"] = ORACLES["duplicate_groups"]
 ORACLES["stream_ingest_listing"] = _with(catalog_ctes(), """
 SELECT group_hash, duplicate_count, total_size_bytes FROM grp""")
+ORACLES["stream_tree"] = _with(catalog_ctes(), f"SELECT {_REL} AS rel_path, file_size_bytes, file_hash FROM cat")
 ORACLES["listing_times"] = _with(FIXTURE_CTES, """
 SELECT id, original_path,
   strftime(TIMESTAMP '2023-01-01 00:00:00' + to_seconds(id * 3600), '%Y-%m-%d %H:%M:%S') AS created_at FROM files_v""")

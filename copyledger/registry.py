@@ -807,6 +807,17 @@ def q_media_subfolder(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")
 
 
+@register("media_pruned_scan")
+def q_media_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One year and two of its months by a condition on columns: the source enters
+    these directories only."""
+    root = _tree(spark, sf_dir)
+    scoped = MF.scan_tree(spark, root, (F.col("year") == "2024") & F.col("month").isin("march", "june"))
+    return listing.catalog_rows(scoped, root).select(
+        F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"),
+        "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")
+
+
 @register("media_scan_tree")
 def q_media_scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first scan of the tree: new paths get ordered ids, only same-size
@@ -896,6 +907,21 @@ def q_stream_ingest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "group_hash", "duplicate_count", "total_size_bytes")
 
 
+@register("stream_tree")
+def q_stream_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of scan batch 1, then of batch 2, arrive in a tree; a stream
+    reads each arrival from the tree itself, restarted in between from its
+    checkpoint.  The catalog equals one scan of all: no file is there twice."""
+    base, root = scratch_path(spark, "stream"), TW.new_tree(spark)
+    first = F.col("doc_id") % 10 < FX.BATCH1_BELOW
+    for arrived in (first, ~first):
+        TW.write_document_tree(spark, sf_dir, root, arrived)
+        STR.run_ingest_tree(spark, root, f"{base}/catalog", f"{base}/checkpoint", SR.storage_hasher(), RUN1)
+    files = SNAP.read_table(spark, f"{base}/catalog", "files")
+    return files.select(F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"),
+                        "file_size_bytes", "file_hash")
+
+
 @register("listing_times")
 def q_listing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.fixture_rows(spark, sf_dir).select(

@@ -12,6 +12,23 @@ Hidden names are dropped at levels 1-4 only (deeper hidden files are kept),
 links are reported (``is_link``) so the scan can skip them, and an
 unreadable entry yields ``size`` NULL with the error text.  ``subfolder``
 (``year/month``) restricts the walk to one month.
+
+With ``layout=true`` rows carry the four level names as columns.  ``scan_tree``
+filters on them and pushes equality and IN into the walk: a level whose names
+are known is entered directly, without listing its siblings.  Spark still
+evaluates the filters, so a directory that cannot be read above the filtered
+level gives no row.  What was pushed into a Python source is kept per loaded
+table, not per plan, so two filters over one loaded table would share the walk
+of one of them: ``scan_tree`` therefore loads a table per filter and hands on
+no level columns, and a plain ``layout=true`` read pushes nothing.
+
+As a stream (``readStream``) the offset is the time up to which the tree was
+listed, kept in the stream's checkpoint.  A batch holds what changed since the
+last offset: files by their change time, and all that lies below a directory
+that changed, since a directory moved into the tree brings old files with it.
+``overlap_seconds`` (default 120) covers clocks that differ between driver and
+storage.  An entry may therefore come again, but none is left out; the catalog
+takes each path once.
 """
 
 from __future__ import annotations
@@ -19,20 +36,26 @@ from __future__ import annotations
 import datetime as _dt
 import itertools
 import os
+import time
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, In,
+                                    InputPartition)
+
 from copyledger.session import pickle_by_value
 
 pickle_by_value(__name__)
 
 SCHEMA = "path string, size long, mtime timestamp_ntz, is_link boolean, error string"
+LEVELS = ("year", "month", "month_day", "project_name")
+LAYOUT_SCHEMA = SCHEMA + "".join(f", {name} string" for name in LEVELS)
 
 
 @dataclass
 class Unit:
     path: str
     recursive: bool
+    since: int | None = None       # only what changed after this time (ns); None: everything
 
 
 class UnitsPartition(InputPartition):
@@ -69,12 +92,25 @@ def _start(root: str, subfolder: str | None) -> tuple[list[str], int]:
     return [base], 2
 
 
-def plan_units(root: str, subfolder: str | None = None, expand_levels: int = 1) -> list[Unit]:
-    """Driver side: the four fixed levels, then ``expand_levels`` below."""
+def _named_dirs(path: str, names: set[str]) -> list[str]:
+    """The visible directories of these names in ``path``, without listing it."""
+    found = (os.path.join(path, n) for n in sorted(names) if n and "/" not in n and not n.startswith("."))
+    return [d for d in found if os.path.isdir(d)]
+
+
+def plan_units(root: str, subfolder: str | None = None, expand_levels: int = 1,
+               wanted: dict[str, set[str]] | None = None) -> list[Unit]:
+    """Driver side: the four fixed levels, then ``expand_levels`` below.
+    ``wanted`` holds the only names to enter per level."""
+    wanted = wanted or {}
     level, depth = _start(root, subfolder)
     failed: list[str] = []
-    for _ in range(4 - depth):
-        level = [d for parent in level for d in _visible_dirs(parent, failed)]
+    if depth and any(name not in wanted.get(column, {name})
+                     for d in level for column, name in zip(LEVELS, d.split("/")[-depth:])):
+        level = []
+    for column in LEVELS[depth:]:
+        level = [d for parent in level for d in (
+            _named_dirs(parent, wanted[column]) if column in wanted else _visible_dirs(parent, failed))]
     units: list[Unit] = [Unit(d, recursive=False) for d in failed]
     for project in level:
         frontier = [project]
@@ -105,10 +141,20 @@ def _entry_row(entry: os.DirEntry):
         return (entry.path, None, None, False, f"{type(e).__name__}: {e}")
 
 
+def _unless_changed(path: str, since: int | None) -> int | None:
+    """``since`` for what lies below ``path``: None where the directory itself
+    changed after it, or cannot be looked at."""
+    try:
+        return None if since is None or os.stat(path).st_ctime_ns > since else since
+    except OSError:
+        return None
+
+
 def walk_unit(unit: Unit):
-    stack = [unit.path]
+    stack = [(unit.path, unit.since)]
     while stack:
-        d = stack.pop()
+        d, since = stack.pop()
+        since = _unless_changed(d, since)
         try:
             with os.scandir(d) as it:
                 entries = sorted(it, key=lambda e: e.name)
@@ -117,35 +163,92 @@ def walk_unit(unit: Unit):
             continue
         for e in entries:
             try:
-                if e.is_symlink():
-                    yield _entry_row(e)
-                elif e.is_dir(follow_symlinks=False):
+                if not e.is_symlink() and e.is_dir(follow_symlinks=False):
                     if unit.recursive:
-                        stack.append(e.path)
-                elif e.is_file(follow_symlinks=False):
-                    yield _entry_row(e)
+                        stack.append((e.path, since))
+                elif e.is_symlink() or e.is_file(follow_symlinks=False):
+                    if since is None or e.stat(follow_symlinks=False).st_ctime_ns > since:
+                        yield _entry_row(e)
             except OSError as err:
                 yield (e.path, None, None, False, f"{type(err).__name__}: {err}")
 
 
-class MediaFilesReader(DataSourceReader):
+class _TreeReader:
+    """Options, packing of units into partitions, and the walk of one of them."""
+
     def __init__(self, options: dict):
-        self.root = options["root"]
+        self.root = options["root"].rstrip("/") or "/"
         self.subfolder = options.get("subfolder")
         self.expand_levels = int(options.get("expand_levels", "1"))
         self.num_partitions = int(options.get("num_partitions", "0"))
+        self.layout = _has_layout(options)
 
-    def partitions(self):
-        units = plan_units(self.root, self.subfolder, self.expand_levels)
-        n = self.num_partitions or max(1, len(units))
+    def _packed(self, units: list[Unit]) -> list[UnitsPartition]:
+        n = max(1, min(self.num_partitions or len(units), len(units)))
         buckets: list[list[Unit]] = [[] for _ in range(n)]
         for i, u in enumerate(units):
             buckets[i % n].append(u)
-        return [UnitsPartition(i, b) for i, b in enumerate(buckets)] or [UnitsPartition(0, [])]
+        return [UnitsPartition(i, b) for i, b in enumerate(buckets)]
+
+    def _levels(self, path: str) -> tuple:
+        parts = [p for p in path[len(self.root):].split("/") if p][:len(LEVELS)]
+        return (*parts, *[None] * (len(LEVELS) - len(parts)))
 
     def read(self, partition: UnitsPartition):
         for unit in partition.units:
-            yield from walk_unit(unit)
+            for row in walk_unit(unit):
+                yield (*row, *self._levels(row[0])) if self.layout else row
+
+
+class MediaFilesReader(_TreeReader, DataSourceReader):
+    wanted: dict[str, set[str]] = {}
+
+    def partitions(self):
+        return self._packed(plan_units(self.root, self.subfolder, self.expand_levels, self.wanted))
+
+
+class PrunedMediaFilesReader(MediaFilesReader):
+    def pushFilters(self, filters):
+        """Every filter is also left to Spark."""
+        self.wanted = {}
+        for f in filters:
+            if isinstance(f, (EqualTo, EqualNullSafe, In)) and f.attribute[0] in LEVELS:
+                names = set(f.value) if isinstance(f, In) else {f.value}
+                names.discard(None)
+                self.wanted[f.attribute[0]] = names & self.wanted.get(f.attribute[0], names)
+            yield f
+
+
+class MediaFilesStream(_TreeReader, DataSourceStreamReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.overlap = int(float(options.get("overlap_seconds", "120")) * 1e9)
+
+    def initialOffset(self) -> dict:
+        return {"until": 0}
+
+    def latestOffset(self) -> dict:
+        return {"until": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict):
+        if start == end:
+            return []
+        units = plan_units(self.root, self.subfolder, self.expand_levels)
+        if start["until"] > 0:
+            seen = {self.root: _unless_changed(self.root, start["until"] - self.overlap)}
+            for u in units:
+                u.since = self._since(u.path, seen)
+        return self._packed(units)
+
+    def _since(self, path: str, seen: dict[str, int | None]) -> int | None:
+        """The bound of a directory after those above it, each looked at once."""
+        if path not in seen:
+            seen[path] = _unless_changed(path, self._since(os.path.dirname(path), seen))
+        return seen[path]
+
+
+def _has_layout(options: dict) -> bool:
+    return str(options.get("layout", "false")).lower() == "true"
 
 
 class MediaFilesSource(DataSource):
@@ -154,19 +257,22 @@ class MediaFilesSource(DataSource):
         return "media_files"
 
     def schema(self) -> str:
-        return SCHEMA
+        return LAYOUT_SCHEMA if _has_layout(self.options) else SCHEMA
 
     def reader(self, schema):
-        return MediaFilesReader(self.options)
+        pruned = self.options.get("pushdown") == "one-filter"
+        return PrunedMediaFilesReader(self.options) if pruned else MediaFilesReader(self.options)
+
+    def streamReader(self, schema):
+        return MediaFilesStream(self.options)
 
 
 def register(spark) -> None:
     spark.dataSource.register(MediaFilesSource)
 
 
-def read_tree(spark, root: str, subfolder: str | None = None, **options):
-    register(spark)
-    reader = spark.read.format("media_files").option("root", root)
+def _with_options(reader, root: str, subfolder: str | None, options: dict):
+    reader = reader.format("media_files").option("root", root)
     if subfolder:
         reader = reader.option("subfolder", subfolder)
     for k, v in options.items():
@@ -174,6 +280,27 @@ def read_tree(spark, root: str, subfolder: str | None = None, **options):
     return reader.load()
 
 
+def read_tree(spark, root: str, subfolder: str | None = None, **options):
+    register(spark)
+    return _with_options(spark.read, root, subfolder, options)
+
+
+def scan_tree(spark, root: str, where, subfolder: str | None = None, **options):
+    """The tree's rows for which ``where``, a condition on the level columns,
+    holds; only directories that its equalities and INs allow are walked."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    tree = read_tree(spark, root, subfolder, layout=True, pushdown="one-filter", **options)
+    return tree.filter(where).drop(*LEVELS)
+
+
+def stream_tree(spark, root: str, subfolder: str | None = None, **options):
+    """The tree as a stream; a batch has as many tasks as a shuffle (most of
+    its directories did not change), or ``num_partitions``."""
+    register(spark)
+    options.setdefault("num_partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return _with_options(spark.readStream, root, subfolder, options)
+
+
 # ---------------------------------------------------------------------------
 # Distributed listing: the driver lists only year/month/day; executors expand
 # each day into project work units, the units are spread by a repartition

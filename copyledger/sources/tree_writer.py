@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger.session import scratch_path
@@ -52,11 +52,18 @@ def _write_batches(targets_dir: str):
     return fn
 
 
-def write_document_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Write the tree and return its scan root."""
-    base = _local(scratch_path(spark, "tree"))
-    root = f"{base}/root"
-    docs = FX.documents(spark, sf_dir).select(
+def new_tree(spark: SparkSession) -> str:
+    """The scan root of a tree still to be written."""
+    return _local(scratch_path(spark, "tree")) + "/root"
+
+
+def write_document_tree(spark: SparkSession, sf_dir: str, root: str | None = None,
+                        only: Column | None = None) -> str:
+    """Write the tree (or the documents ``only`` holds for) and return its scan root."""
+    root = root or new_tree(spark)
+    base = os.path.dirname(root)
+    docs = FX.documents(spark, sf_dir)
+    docs = (docs if only is None else docs.filter(only)).select(
         "doc_id", "text", FX.fixture_path(root).alias("path"),
         (F.col("doc_id") % FX.LINK_EVERY == 0).alias("is_link"))
     out = docs.mapInPandas(_write_batches(f"{base}/link_targets"), "doc_id long, bytes long")

@@ -1,8 +1,8 @@
 """Streaming catalog ingest: listing files arrive in a folder; each
 micro-batch is one incremental scan committed as the next catalog version.
 
-``readStream`` over the listing folder (parquet, fixed schema) feeds
-``foreachBatch``.  The commit marker of a version names the stream (its
+``readStream`` over the listing folder (parquet, fixed schema), or straight
+over a directory tree (``run_ingest_tree``), feeds ``foreachBatch``.  The commit marker of a version names the stream (its
 checkpoint) and the micro-batch, so a replayed batch finds itself committed
 and does nothing, while a stream that starts on a catalog with other versions,
 or with a new checkpoint, goes on after them; a batch that failed before its
@@ -22,6 +22,7 @@ from copyledger import schemas
 from copyledger.operators.ids import assign_ids, max_id
 from copyledger.operators.listing import catalog_rows
 from copyledger.plans import incremental as INC
+from copyledger.sources import media_files as MF
 from copyledger.sources import snapshots as SNAP
 
 LISTING_STREAM = T.StructType(schemas.LISTING.fields + [T.StructField("id", T.LongType(), True)])
@@ -60,6 +61,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_root: str, root: str,
         batch = batch.withColumn("id", F.lit(None).cast("long"))
     rows = SNAP.stage(catalog_rows(batch, root, keep=("id",)), "micro-batch")
     rows = numbered(rows, SNAP.read_table(spark, catalog_root, "files"))
+    if rows.isEmpty():      # nothing new: no version
+        return
     INC.commit_scan(catalog_root, rows, batch_run_ts(base_ts, batch_id), hasher, scope=scope,
                     source=f"{stream}#{batch_id}")
 
@@ -69,6 +72,19 @@ def run_ingest(spark: SparkSession, listing_dir: str, catalog_root: str, checkpo
     """Process every listing file now in ``listing_dir`` (availableNow)."""
     stream = (spark.readStream.schema(LISTING_STREAM)
               .option("maxFilesPerTrigger", files_per_batch).parquet(listing_dir))
+    _ingest(stream, catalog_root, checkpoint, root, hasher, base_ts, scope)
+
+
+def run_ingest_tree(spark: SparkSession, root: str, catalog_root: str, checkpoint: str, hasher, base_ts: str,
+                    scope: str = "catalog", **options) -> None:
+    """Process what the tree at ``root`` holds now and the catalog does not
+    (availableNow).  The stream lists what changed since its last offset; paths
+    that come again are known to the catalog and add nothing."""
+    _ingest(MF.stream_tree(spark, root, **options), catalog_root, checkpoint, root, hasher, base_ts, scope)
+
+
+def _ingest(stream: DataFrame, catalog_root: str, checkpoint: str, root: str, hasher, base_ts: str,
+            scope: str) -> None:
     query = (stream.writeStream
              .foreachBatch(lambda df, bid: ingest_batch(df, bid, catalog_root, root, hasher, base_ts, scope,
                                                        stream=checkpoint))

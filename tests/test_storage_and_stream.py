@@ -170,3 +170,98 @@ def test_reads_overlap_within_the_bound():
         assert h == (parts[0] if len(parts) == 1 else hashlib.md5("".join(parts).encode()).hexdigest())
     gone = list(SR._hash_batches("full")(iter([pd.DataFrame({"id": [1], "path": [f"{folder}/none"]})])))[0]
     assert gone["file_hash"][0] is None and "FileNotFoundError" in gone["hash_error"][0]
+
+
+def _small_tree():
+    root = tempfile.mkdtemp(prefix="copyledger-tree-", dir="/tmp") + "/root"
+    for year in ("2023", "2024"):
+        for month in ("march", "may", "june"):
+            for project in ("a", "b"):
+                _touch(f"{root}/{year}/{month}/01_01/{project}/x.mp4", f"{year}{month}{project}".encode())
+    _touch(f"{root}/2024/march/01_01/.a/x.mp4")
+    return root
+
+
+def test_pruned_walk_enters_wanted_directories_only(monkeypatch):
+    root, entered, scandir = _small_tree(), [], os.scandir
+
+    def counting(path):
+        entered.append(path[len(root):])
+        return scandir(path)
+    monkeypatch.setattr(MF.os, "scandir", counting)
+    every = MF.plan_units(root, expand_levels=0)
+    assert len(every) == 12 and len(entered) == 1 + 2 + 6 + 6
+    entered.clear()
+    units = MF.plan_units(root, None, 0, {"year": {"2024", "1999"}, "month": {"march", "june"}})
+    assert sorted(u.path[len(root):] for u in units) == [
+        f"/2024/{m}/01_01/{p}" for m in ("june", "march") for p in ("a", "b")]
+    # Years and months are entered by name; only the months and their days are listed.
+    assert sorted(entered) == ["/2024/june", "/2024/june/01_01", "/2024/march", "/2024/march/01_01"]
+    assert [u.path[len(root):] for u in MF.plan_units(root, None, 0, {"project_name": {"b"}, "year": {"2023"}})] == [
+        f"/2023/{m}/01_01/b" for m in ("june", "march", "may")]
+    for odd in (".a", "", "..", ".", "a/..", "a/x.mp4"):
+        assert MF.plan_units(root, None, 0, {"project_name": {odd}}) == []
+    assert len(MF.plan_units(root, "2024/may", 0, {"year": {"2024"}})) == 2
+    assert MF.plan_units(root, "2024/may", 0, {"year": {"2023"}}) == []
+
+
+def test_filters_reach_the_tree_source(spark):
+    root, year, month, project = _small_tree(), F.col("year"), F.col("month"), F.col("project_name")
+
+    def found(df):
+        return sorted(r.path[len(root):] for r in df.collect())
+    tree = MF.read_tree(spark, root)
+    summer = MF.scan_tree(spark, root, (year == "2024") & month.isin("may", "june"))
+    want = [f"/2024/{m}/01_01/{p}/x.mp4" for m in ("june", "may") for p in ("a", "b")]
+    assert summer.columns == tree.columns and found(summer) == want
+    assert summer.rdd.getNumPartitions() < tree.rdd.getNumPartitions()
+    assert found(MF.scan_tree(spark, root, (year == "2024") & (year == "2023"))) == []
+    assert len(found(MF.scan_tree(spark, root, (year == "2024") | (project == "a")))) == 9
+    # Plans over one scan, and scans of one tree, do not share what was pushed.
+    part, odd = summer.filter(F.col("path").endswith("/a/x.mp4")), F.col("size") < 0
+    both = MF.scan_tree(spark, root, year == "2023").union(part).union(summer.filter(odd)).union(summer)
+    assert len(found(both)) == 6 + 2 + 0 + 4 and found(summer) == want
+    plain = MF.read_tree(spark, root, layout=True)
+    assert len(found(plain.filter(year == "2024"))) == 6 and len(found(plain)) == 12
+    assert len(found(plain.filter(year == "2024").union(plain.filter(year == "2023")).union(plain))) == 24
+
+
+def test_stream_reads_arrivals_from_the_tree(spark):
+    """Restarts, late files, a moved-in directory of old files, a touched file."""
+    base = tempfile.mkdtemp(prefix="copyledger-test-", dir="/tmp")
+    root, day = f"{base}/root", f"{base}/root/2025/may/05_01"
+
+    def ingest():
+        STR.run_ingest_tree(spark, root, f"{base}/catalog", f"{base}/ckpt", SR.storage_hasher(),
+                            "2025-01-01 00:00:00", overlap_seconds=0)
+        files = SNAP.read_table(spark, f"{base}/catalog", "files")
+        return sorted(r.original_path[len(day) + 1:] for r in files.select("original_path").collect())
+    _touch(f"{day}/p/a.mp4", b"same")
+    _touch(f"{day}/p/deep/er/b.mp4", b"same")
+    _touch(f"{base}/aside/old.mp4", b"same")
+    assert ingest() == ["p/a.mp4", "p/deep/er/b.mp4"]
+    assert ingest() == ["p/a.mp4", "p/deep/er/b.mp4"]
+    assert SNAP.committed_versions(spark, f"{base}/catalog") == [1]        # an empty batch writes no version
+    os.rename(f"{base}/aside", f"{day}/p/deep/moved")
+    _touch(f"{day}/p/deep/er/c.mp4", b"other")
+    os.utime(f"{day}/p/a.mp4", (1, 1))
+    want = ["p/a.mp4", "p/deep/er/b.mp4", "p/deep/er/c.mp4", "p/deep/moved/old.mp4"]
+    assert ingest() == want and ingest() == want
+    assert SNAP.committed_versions(spark, f"{base}/catalog") == [1, 2]
+    group = SNAP.read_table(spark, f"{base}/catalog", "duplicate_groups").collect()
+    assert [r.duplicate_count for r in group] == [2]      # three copies: the master and two more
+
+
+def test_stream_walk_leaves_out_what_did_not_change():
+    root = _small_tree()
+    reader = MF.MediaFilesStream({"root": root, "overlap_seconds": "0"})
+    until = reader.latestOffset()
+    fresh = f"{root}/2024/may/01_01/a/new.mp4"
+    _touch(fresh)
+    parts = reader.partitions(until, reader.latestOffset())
+    rows = [r for p in parts for r in reader.read(p)]
+    assert sorted(r[0] for r in rows) == [fresh, f"{root}/2024/may/01_01/a/x.mp4"]
+    assert reader.partitions(until, until) == []
+    _touch(f"{root}/2023/may/02_01/c/x.mp4")          # a new day: the month's directory changed
+    later = [r[0] for p in reader.partitions(until, reader.latestOffset()) for r in reader.read(p)]
+    assert f"{root}/2023/may/02_01/c/x.mp4" in later and f"{root}/2023/june/01_01/a/x.mp4" not in later
