@@ -9,7 +9,10 @@ inserted or missing words do not split a notice, and a merged band is verified
 by the share of template words that its matches cover.
 
 Base labels come from literal occurrences of the three base phrases; the
-method adds the labels of templates covered by ``COVERED`` or more.
+method adds the labels of templates covered by ``COVERED`` or more.  Templates
+are whole notices and the short forms of file headers.  Where versions or
+variants differ in a few words, these must stand literally, on one diagonal:
+their share says nothing in a long notice.
 
 Defined results: null and empty texts have 0 words and no labels; overlapping
 places count each; repeated rows get a result each; an empty table gives none.
@@ -23,43 +26,41 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copyledger.llm.common import python_ready, row_key, stage
+from copyledger.llm.license_texts import NOTICES
 from copyledger.llm.words import Membership, Words, chunks
 
-# The base phrases of the contract, and public license notices.
+# The base phrases of the contract.
 BASE_PHRASES = [
     ("mit", "under the mit license"),
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 ]
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-            "associated documentation files the software to deal in the software without restriction"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in "
-                 "compliance with the license"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as "
-            "published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
-            "provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("all-rights-reserved", "all rights reserved"),
-]
 K = 3
 NEAR = 2
 COVERED = 0.8
 BITS = 20
 
 
-def template_grams(k: int = K) -> list[tuple[int, str, bool, int, int, int, str]]:
-    """(template, label, base, words, position, hash, gram) of all templates."""
-    named = [(a, b, True) for a, b in BASE_PHRASES] + [(a, b, False) for a, b in TEMPLATES]
-    words = Words([t.encode() for _, t, _ in named])
+def _place(text: str, phrase: str, k: int) -> list[int]:
+    """Positions of the k-grams of a phrase that stands once in a text."""
+    words = Words([text.lower().encode(), phrase.lower().encode()])
+    if not (n := int(words.n[1])):
+        return []
+    want = words.gram(int(words.first[1]), n)
+    at = [i for i in range(int(words.n[0]) - n + 1) if words.gram(int(words.first[0]) + i, n) == want]
+    if len(at) != 1:
+        raise ValueError(f"{phrase!r} stands {len(at)} times in its notice")
+    return list(range(at[0], at[0] + n - k + 1))
+
+
+def template_grams(k: int = K) -> list[tuple[int, str, bool, int, list[int], int, int, str]]:
+    """(template, label, base, words, needed grams, position, hash, gram) of all templates."""
+    named = [(a, "", b, True) for a, b in BASE_PHRASES] + [(*notice, False) for notice in NOTICES]
+    words = Words([text.lower().encode() for _, _, text, _ in named])
+    needed = [_place(text, phrase, k) for _, phrase, text, _ in named]
     hashes, at = words.grams(k)
     doc = words.doc[at]
-    return [(int(d), named[d][0], named[d][2], int(words.n[d]), int(i - words.first[d]),
+    return [(int(d), named[d][0], named[d][3], int(words.n[d]), needed[d], int(i - words.first[d]),
              int(h), words.gram(int(i), k)) for d, i, h in zip(doc, at, hashes.view(np.int64))]
 
 
@@ -89,10 +90,10 @@ def _hits(k: int, packed: bytes):
 def votes(spark: SparkSession, texts: DataFrame, k: int = K) -> DataFrame:
     """``texts(id, key, hits)`` -> one row per (row, template, diagonal) with its template positions."""
     grams = spark.createDataFrame(template_grams(k), "template int, label string, base boolean, words int, "
-                                                     "tpos int, h long, g string")
+                                                     "needed array<int>, tpos int, h long, g string")
     hits = texts.where(F.size("hits") > 0).select("doc_id", "key", F.explode("hits").alias("hit"))
     met = hits.join(grams, (F.col("hit.hash") == F.col("h")) & (F.col("hit.gram") == F.col("g")))
-    return (met.groupBy("doc_id", "key", "template", "label", "base", "words",
+    return (met.groupBy("doc_id", "key", "template", "label", "base", "words", "needed",
                         (F.col("hit.pos") - F.col("tpos")).alias("diagonal"))
             .agg(F.collect_set("tpos").alias("tpos")))
 
@@ -102,7 +103,7 @@ def scan_licenses(docs: DataFrame, k: int = K, near: int = NEAR, covered: float
     base_labels, labels, score (largest covered share of a template)."""
     spark = python_ready(docs.sparkSession)
     member = np.zeros(1 << BITS, bool)
-    member[np.array([g[5] for g in template_grams(k)], np.int64).view(np.uint64) >> np.uint64(64 - BITS)] = True
+    member[np.array([g[6] for g in template_grams(k)], np.int64).view(np.uint64) >> np.uint64(64 - BITS)] = True
     packed = np.packbits(member, bitorder="little").tobytes()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
     texts = stage(rows.mapInArrow(_hits(k, packed),
@@ -113,18 +114,20 @@ def scan_licenses(docs: DataFrame, k: int = K, near: int = NEAR, covered: float
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > near
     bands = (found.withColumn("band", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(order))
              .groupBy("doc_id", "key", "template", "label", "base", "words", "band")
-             .agg(F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"),
+             .agg(F.max(F.size(F.array_except("needed", "tpos")) == 0).alias("settled"),
+                  F.array_distinct(F.flatten(F.collect_list("tpos"))).alias("tpos"),
                   F.collect_list(F.when(F.size("tpos") == F.col("words") - k + 1, F.col("diagonal"))).alias("whole")))
     spans = F.array_distinct(F.flatten(F.transform("tpos", lambda t: F.sequence(t, t + k - 1))))
     share = F.size(spans) / F.col("words")
     literal = F.col("base") & (F.size("whole") > 0)
-    judged = bands.select("doc_id", "key", "label", "whole", share.alias("share"), literal.alias("literal"))
+    judged = bands.select("doc_id", "key", "label", "whole", share.alias("share"), literal.alias("literal"),
+                          (literal | (F.col("settled") & (share >= covered))).alias("labelled"))
     of_doc = judged.groupBy("doc_id", "key").agg(
         F.sum(F.when(F.col("literal"), F.size("whole")).otherwise(0)).cast("long").alias("n_base"),
         F.min(F.when(F.col("literal"), F.array_min("whole"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("literal"), F.array_max("whole"))).cast("long").alias("last_word"),
         F.collect_set(F.when(F.col("literal"), F.col("label"))).alias("base_labels"),
-        F.collect_set(F.when(F.col("literal") | (F.col("share") >= covered), F.col("label"))).alias("labels"),
+        F.collect_set(F.when(F.col("labelled"), F.col("label"))).alias("labels"),
         F.max("share").alias("score"))
     of_doc = of_doc.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "n_base", "first_word", "last_word",
                            *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("base_labels", "labels")], "score")
