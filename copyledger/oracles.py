@@ -631,6 +631,9 @@ ORACLES["canonical_store"] = _with(PLAN_FRESH, """
 SELECT p.dst AS canonical_path, p.file_id, string_split(p.dst, '/')[-3] AS h1,
   string_split(p.dst, '/')[-2] AS h2, c.file_size_bytes, c.content_fp_full AS content_md5
 FROM plan p JOIN cat c ON p.file_id = c.id WHERE p.action IN ('keep', 'already_done')""")
+ORACLES["store_lookup"] = _with(PLAN_FRESH, """
+SELECT c.file_hash, p.dst AS canonical_path, p.file_id, c.file_size_bytes, c.content_fp_full AS content_md5
+FROM plan p JOIN cat c ON p.file_id = c.id WHERE p.action IN ('keep', 'already_done') AND c.file_hash < '8'""")
 ORACLES["alias_table"] = _with(PLAN_FRESH, """
 SELECT src AS path, dst AS canonical_path, file_id, 'self' AS kind FROM plan WHERE action IN ('keep', 'already_done')
 UNION ALL SELECT src, dst, file_id, 'link' FROM plan WHERE action = 'link'""")

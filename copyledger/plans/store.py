@@ -7,11 +7,14 @@ content-addressed layout and replacing copies by links).
   hot folder and no task writes 256 small files.
 * alias: every catalogued path -> its canonical path (kept files map to
   themselves, duplicates to their master's copy).
+* lookup: (hash, canonical path) -> the store file that holds the content, in
+  ranges of hash and path.  A condition on the hash reads a few row groups of
+  it and then only the store files they name; content is not moved for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
@@ -48,6 +51,30 @@ def write_store(canonical_with_content: DataFrame, path: str) -> str:
     return path
 
 
+def write_lookup(spark: SparkSession, store: str, path: str, row_group_bytes: int = 1 << 20) -> str:
+    """Write the lookup table of a store: narrow columns only, sorted by hash
+    and path over range partitions, so files without a hash (which share one)
+    are split by their paths."""
+    entries = spark.read.parquet(store).select(
+        "file_hash", "canonical_path", "file_id", "file_size_bytes", F.col("_metadata.file_name").alias("store_file"))
+    keys = ["file_hash", "canonical_path"]
+    (entries.repartitionByRange(*keys).sortWithinPartitions(*keys)
+     .write.option("parquet.block.size", row_group_bytes).mode("overwrite").parquet(path))
+    return path
+
+
+def find_copies(spark: SparkSession, store: str, lookup: str, where: Column) -> DataFrame:
+    """Store rows, with their content, for which ``where`` (a condition on
+    ``file_hash``, ``canonical_path``, ``file_id`` or ``file_size_bytes``)
+    holds.  The names of the store files that hold them come to the driver: no
+    more than the store has files."""
+    hits = spark.read.parquet(lookup).filter(where)
+    names = [r[0] for r in hits.select("store_file").distinct().collect()]
+    every = spark.read.parquet(store)
+    held = spark.read.schema(every.schema).parquet(*[f"{store}/{n}" for n in names]) if names else every.limit(0)
+    return held.filter(where)
+
+
 def rebuild_check(alias: DataFrame, store: DataFrame, originals: DataFrame) -> DataFrame:
     """Resolve every original path through alias -> store and compare the
     full-content fingerprint with the original's.  One row of counts."""

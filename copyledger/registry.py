@@ -751,6 +751,19 @@ def q_canonical_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fp.full_fingerprint("content").alias("content_md5"))
 
 
+@register("store_lookup")
+def q_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies looked up in the written store by a range of their hashes."""
+    files, plan = _store_rows(spark, sf_dir)
+    content = FX.documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"),
+                                                  fp.as_bytes("text").alias("content"))
+    path = ST.write_store(ST.canonical_table(plan, files).join(content, "file_id"), scratch_path(spark, "store"))
+    lookup = ST.write_lookup(spark, path, scratch_path(spark, "store-lookup"))
+    return ST.find_copies(spark, path, lookup, F.col("file_hash") < "8").select(
+        "file_hash", "canonical_path", "file_id", "file_size_bytes",
+        fp.full_fingerprint("content").alias("content_md5"))
+
+
 @register("alias_table")
 def q_alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, plan = _store_rows(spark, sf_dir)
