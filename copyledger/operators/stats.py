@@ -202,6 +202,29 @@ def status_breakdown(files: DataFrame) -> DataFrame:
     return files.groupBy("deduplication_status").agg(_count(files).alias("count"))
 
 
+SECTIONS = {"year": ("year",), "month": ("year", "month"), "project": ("project_name",),
+            "status": ("deduplication_status",)}
+
+
+def report_sections(files: DataFrame) -> DataFrame:
+    """All breakdowns in one aggregate over one scan: ``section``, the key
+    columns (NULL where the section has no such key) and the measures."""
+    keys = ["year", "month", "project_name", "deduplication_status"]
+    sets = files.groupingSets([[F.col(k) for k in own] for own in SECTIONS.values()], *keys).agg(
+        F.grouping_id(*keys).alias("_id"),
+        _count(files).alias("file_count"),
+        F.coalesce(F.sum("file_size_bytes"), F.lit(0)).cast("long").alias("total_size"),
+        F.coalesce(F.sum(_dup_int()), F.lit(0)).cast("long").alias("duplicate_count"))
+    section, kept = F.lit(None).cast("string"), F.lit(False)
+    for name, own in SECTIONS.items():
+        bits = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in own)
+        here, known = F.col("_id") == bits, F.lit(True)
+        for k in own if name != "status" else ():
+            known = known & F.col(k).isNotNull()
+        section, kept = F.when(here, F.lit(name)).otherwise(section), kept | (here & known)
+    return sets.filter(kept).select(section.alias("section"), *keys, "file_count", "total_size", "duplicate_count")
+
+
 def ordered_breakdowns(files: DataFrame) -> DataFrame:
     """The year, month and status breakdowns with ``place``, the row's position
     in its section's order.  The windows see one row per year, month or status."""

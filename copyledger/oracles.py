@@ -224,6 +224,15 @@ ORACLES["breakdown_month"] = _with(
                     "WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month")
 ORACLES["status_breakdown"] = _with(
     catalog_ctes(), "SELECT deduplication_status, count(*) AS count FROM cat GROUP BY deduplication_status")
+_SECTION = "SELECT '{}' AS section, {} AS year, {} AS month, {} AS project_name, {} AS deduplication_status, "
+ORACLES["report_sections"] = _with(catalog_ctes(), " UNION ALL ".join([
+    _SECTION.format("year", "year", "NULL", "NULL", "NULL") + f"{MEASURES} FROM cat WHERE year IS NOT NULL GROUP BY year",
+    _SECTION.format("month", "year", "month", "NULL", "NULL")
+    + f"{MEASURES} FROM cat WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month",
+    _SECTION.format("project", "NULL", "NULL", "project_name", "NULL")
+    + f"{MEASURES} FROM cat WHERE project_name IS NOT NULL GROUP BY project_name",
+    _SECTION.format("status", "NULL", "NULL", "NULL", "deduplication_status")
+    + f"{MEASURES} FROM cat GROUP BY deduplication_status"]))
 ORACLES["breakdowns_ordered"] = _with(catalog_ctes(), """
 SELECT 'year' AS section, row_number() OVER (ORDER BY year DESC) AS place, year AS label, count(*) AS file_count
 FROM cat GROUP BY year

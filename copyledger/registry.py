@@ -206,6 +206,12 @@ def q_status_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.status_breakdown(cat.fixture_catalog(spark, sf_dir))
 
 
+@register("report_sections")
+def q_report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year, month, project and status breakdowns from one grouping-sets pass."""
+    return stats.report_sections(cat.fixture_catalog(spark, sf_dir))
+
+
 @register("breakdowns_ordered")
 def q_breakdowns_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year, month and status breakdowns with each row's place in its order."""
