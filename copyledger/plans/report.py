@@ -39,6 +39,14 @@ PROJECT_HEADER = ("| Project Name | Files | Total Size | Duplicates |",
                   "|--------------|-------|------------|------------|")
 STATUS_TITLE = "## Files by Deduplication Status\n"
 STATUS_HEADER = ("| Status | Count |", "|--------|-------|")
+GENERATED = "*Generated: {}*\n"
+BULLET = "- **{}**: "
+SUMMARY_LABELS = ("Total Projects Scanned", "Total Videos Cataloged", "Unique Videos", "Duplicate Videos",
+                  "Total Storage", "Space Saved (Deduplication)", "Duplicate Groups", "Average File Size",
+                  "Files Consolidated", "Symlinks Created", "Files Deduplicated")
+OVERVIEW_LABELS = ("Total Videos", "Unique Videos", "Duplicate Videos", "Total Storage Size", "Average File Size")
+DEDUP_LABELS = ("Duplicate Groups", "Space Saved", "Space Saved Percentage", "Files Consolidated",
+                "Symlinks Created", "Files Deduplicated")
 
 
 def _lines(df: DataFrame, section: int, items: list[tuple[Column, Column | None]]) -> DataFrame:
@@ -88,42 +96,36 @@ def report_lines(files: DataFrame, groups: DataFrame, stats_table: DataFrame | N
     pct_saved = F.concat(fixed2("space_saved_percentage"), F.lit("%"))
     fc, sc, fd = (thousands(F.col(k)) for k in ("files_consolidated", "symlinks_created", "files_deduplicated"))
 
-    head = _lines(one, 0, [(F.lit(TITLE), None), (F.lit(f"*Generated: {generated_at}*\n"), None),
-                           (F.lit(RULE), None)])
-    summary = _lines(one, 1, [
-        (F.lit(SUMMARY_TITLE), None),
-        (F.concat(F.lit("- **Total Projects Scanned**: "), thousands("total_projects")), None),
-        (F.concat(F.lit("- **Total Videos Cataloged**: "), thousands(tv)), None),
-        (F.concat(F.lit("- **Unique Videos**: "), thousands(uq), F.lit(" ("), format_percentage(uq, tv), F.lit(")")), None),
-        (F.concat(F.lit("- **Duplicate Videos**: "), thousands(dp), F.lit(" ("), format_percentage(dp, tv), F.lit(")")), None),
-        (F.concat(F.lit("- **Total Storage**: "), format_bytes("total_size_bytes")), None),
-        (F.concat(F.lit("- **Space Saved (Deduplication)**: "), format_bytes("space_saved_bytes"),
-                  F.lit(" ("), pct_saved, F.lit(")")), None),
-        (F.concat(F.lit("- **Duplicate Groups**: "), thousands("duplicate_groups")), None),
-        (F.concat(F.lit("- **Average File Size**: "), format_bytes("average_file_size")), None),
-        (F.concat(F.lit("- **Files Consolidated**: "), fc), has_dedup),
-        (F.concat(F.lit("- **Symlinks Created**: "), sc), has_dedup),
-        (F.concat(F.lit("- **Files Deduplicated**: "), fd), has_dedup),
-        (F.lit(""), None),
-    ])
+    def with_share(value: Column, share: Column) -> Column:
+        return F.concat(value, F.lit(" ("), share, F.lit(")"))
+
+    def metrics(labels: tuple[str, ...], values: list[Column], last: str = " |") -> list[Column]:
+        ends = [" |"] * (len(labels) - 1) + [last]
+        return [F.concat(F.lit(f"| {label} | "), value, F.lit(end))
+                for label, value, end in zip(labels, values, ends, strict=True)]
+
+    def always(*lines) -> list[tuple[Column, Column | None]]:
+        return [(F.lit(x) if isinstance(x, str) else x, None) for x in lines]
+
+    unique, duplicates = (with_share(thousands(c), format_percentage(c, tv)) for c in (uq, dp))
+    stored, saved, mean = (format_bytes(c) for c in ("total_size_bytes", "space_saved_bytes", "average_file_size"))
+    n_groups, run = thousands("duplicate_groups"), [fc, sc, fd]
+    bullets = [F.concat(F.lit(BULLET.format(label)), value) for label, value in zip(SUMMARY_LABELS, [
+        thousands("total_projects"), thousands(tv), unique, duplicates, stored, with_share(saved, pct_saved),
+        n_groups, mean, *run], strict=True)]
+    savings = metrics(DEDUP_LABELS, [n_groups, saved, pct_saved, *run])
+
+    def of_run(lines: list[Column]) -> list[tuple[Column, Column | None]]:
+        """The counters of a run, last in their section, stand only after one."""
+        return [*always(*lines[:-len(run)]), *[(x, has_dedup) for x in lines[-len(run):]]]
+
+    head = _lines(one, 0, always(TITLE, GENERATED.format(generated_at), RULE))
+    summary = _lines(one, 1, [*always(SUMMARY_TITLE), *of_run(bullets), *always("")])
     detail = _lines(one, 2, [
-        (F.lit(DETAIL_TITLE), None), (F.lit(OVERVIEW_TITLE), None),
-        (F.lit(METRIC_HEADER[0]), None), (F.lit(METRIC_HEADER[1]), None),
-        (F.concat(F.lit("| Total Videos | "), thousands(tv), F.lit(" |")), None),
-        (F.concat(F.lit("| Unique Videos | "), thousands(uq), F.lit(" ("), format_percentage(uq, tv), F.lit(") |")), None),
-        (F.concat(F.lit("| Duplicate Videos | "), thousands(dp), F.lit(" ("), format_percentage(dp, tv), F.lit(") |")), None),
-        (F.concat(F.lit("| Total Storage Size | "), format_bytes("total_size_bytes"), F.lit(" |")), None),
-        (F.concat(F.lit("| Average File Size | "), format_bytes("average_file_size"), F.lit(" |\n")), None),
-        (F.lit(DEDUP_TITLE), None),
-        (F.lit(METRIC_HEADER[0]), None), (F.lit(METRIC_HEADER[1]), None),
-        (F.concat(F.lit("| Duplicate Groups | "), thousands("duplicate_groups"), F.lit(" |")), None),
-        (F.concat(F.lit("| Space Saved | "), format_bytes("space_saved_bytes"), F.lit(" |")), None),
-        (F.concat(F.lit("| Space Saved Percentage | "), pct_saved, F.lit(" |")), None),
-        (F.concat(F.lit("| Files Consolidated | "), fc, F.lit(" |")), has_dedup),
-        (F.concat(F.lit("| Symlinks Created | "), sc, F.lit(" |")), has_dedup),
-        (F.concat(F.lit("| Files Deduplicated | "), fd, F.lit(" |")), has_dedup),
-        (F.lit(""), None),
-    ])
+        *always(DETAIL_TITLE, OVERVIEW_TITLE, *METRIC_HEADER,
+                *metrics(OVERVIEW_LABELS, [thousands(tv), unique, duplicates, stored, mean], last=" |\n"),
+                DEDUP_TITLE, *METRIC_HEADER),
+        *of_run(savings), *always("")])
 
     def measure_cells(*keys):
         return [F.col(k) for k in keys] + [thousands("file_count"), format_bytes("total_size"),
