@@ -995,6 +995,15 @@ def q_media_listing_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")
 
 
+@register("media_listing_frontier")
+def q_media_listing_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree listed in rounds of bounded units (the driver lists the root only), then the same scan filters."""
+    root = _tree(spark, sf_dir)
+    rows = listing.catalog_rows(MF.list_tree_frontier(spark, root), root)
+    return rows.select(F.col("original_path").substr(len(root) + 2, 1 << 20).alias("rel_path"),
+                       "file_name", "file_size_bytes", "year", "month", "month_day", "project_name")
+
+
 @register("dedup_plan_hash_all")
 def q_dedup_plan_hash_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan with ``hash_scope='all'``: kept files without a gate hash are

@@ -33,6 +33,7 @@ takes each path once.
 
 from __future__ import annotations
 
+import collections
 import datetime as _dt
 import itertools
 import os
@@ -150,7 +151,8 @@ def _unless_changed(path: str, since: int | None) -> int | None:
         return None
 
 
-def walk_unit(unit: Unit):
+def walk_unit(unit: Unit, below: list[str] | None = None):
+    """The unit's rows; directories that it does not enter go to ``below``."""
     stack = [(unit.path, unit.since)]
     while stack:
         d, since = stack.pop()
@@ -166,6 +168,8 @@ def walk_unit(unit: Unit):
                 if not e.is_symlink() and e.is_dir(follow_symlinks=False):
                     if unit.recursive:
                         stack.append((e.path, since))
+                    elif below is not None:
+                        below.append(e.path)
                 elif e.is_symlink() or e.is_file(follow_symlinks=False):
                     if since is None or e.stat(follow_symlinks=False).st_ctime_ns > since:
                         yield _entry_row(e)
@@ -350,20 +354,24 @@ def _expand_days(expand_levels: int):
     return fn
 
 
-def _walk_units(batches):
+def _frames(found, extra: tuple[str, ...] = ()):
+    """Rows as data frames of at most ``WALK_ROWS`` rows."""
     import pandas as pd
 
-    cols = ("path", "size", "mtime", "is_link", "error")
-    found = (r for pdf in batches for u, rec in zip(pdf["unit"], pdf["recursive"])
-             for r in walk_unit(Unit(u, bool(rec))))
     while rows := list(itertools.islice(found, WALK_ROWS)):
-        out = pd.DataFrame(rows, columns=list(cols))
-        out["size"] = out["size"].astype("Int64")
+        out = pd.DataFrame(rows, columns=["path", "size", "mtime", "is_link", "error", *extra])
+        for name in ("size", *extra):
+            out[name] = out[name].astype("Int64")
         out["mtime"] = pd.to_datetime(out["mtime"])
         out["is_link"] = out["is_link"].astype(bool)
         yield out
 
 
+def _walk_units(batches):
+    yield from _frames(r for pdf in batches for u, rec in zip(pdf["unit"], pdf["recursive"])
+                       for r in walk_unit(Unit(u, bool(rec))))
+
+
 def list_tree_distributed(spark, root: str, subfolder: str | None = None, expand_levels: int = 1,
                           num_partitions: int | None = None):
     """Same rows as the ``media_files`` source, with project discovery and the
@@ -374,3 +382,78 @@ def list_tree_distributed(spark, root: str, subfolder: str | None = None, expand
     units = day_df.repartition(max(1, min(len(days), n))).mapInPandas(_expand_days(expand_levels), UNIT_SCHEMA)
     units = units.union(spark.createDataFrame([(d, False) for d in failed], UNIT_SCHEMA))
     return units.repartition(n).mapInPandas(_walk_units, SCHEMA)
+
+
+# ---------------------------------------------------------------------------
+# Listing by rounds: the driver lists the root only.  A round walks every unit
+# of the frontier up to a number of entries, level by level, and hands on the
+# directories it did not reach; they are dealt out anew as the next frontier.
+# A large subtree is so split wherever it is large, however deep, while a small
+# one ends in the round that meets it.  One directory is one listing call.
+# ---------------------------------------------------------------------------
+
+FRONTIER_SCHEMA = SCHEMA + ", unit_level long"
+UNIT_ENTRIES = 20_000     # entries of a unit after which its other directories are handed on
+
+
+def walk_up_to(path: str, level: int, entries: int):
+    """Rows below ``path`` (at ``level`` under the root), breadth first, until
+    ``entries`` were listed; directories left over come as rows with their level."""
+    queue, listed = collections.deque([(path, level)]), 0
+    while queue:
+        d, depth = queue.popleft()
+        if listed >= entries:
+            yield (d, None, None, False, None, depth)
+            continue
+        below: list[str] = []
+        if depth < len(LEVELS):
+            failed: list[str] = []
+            below = _visible_dirs(d, failed)
+            rows = (r for f in failed for r in walk_unit(Unit(f, recursive=False)))
+        else:
+            rows = walk_unit(Unit(d, recursive=False), below)
+        for row in rows:
+            listed += 1
+            yield (*row, None)
+        listed += len(below)
+        queue.extend((b, depth + 1) for b in below)
+
+
+def _walk_frontier(entries: int):
+    def fn(batches):
+        yield from _frames((r for pdf in batches for d, level in zip(pdf["path"], pdf["unit_level"])
+                            for r in walk_up_to(d, int(level), entries)), ("unit_level",))
+    return fn
+
+
+def list_tree_frontier(spark, root: str, subfolder: str | None = None, unit_entries: int = UNIT_ENTRIES,
+                       num_partitions: int | None = None):
+    """Same rows as the ``media_files`` source, listed in rounds.  Each round
+    is written to the shared folder, so a lost executor repeats its own units
+    only; there are no more rounds than the tree has levels, and the driver
+    holds the root's directories and a count per round."""
+    from pyspark.sql import functions as F
+
+    from copyledger.session import scratch_path
+
+    if unit_entries < 1:
+        raise ValueError("unit_entries must be at least 1")
+    tasks = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, depth = _start(root, subfolder)
+    failed: list[str] = []
+    if not depth:
+        level, depth = _visible_dirs(level[0], failed), 1
+    start = [(d, depth) for d in level] + [(d, 0) for d in failed]
+    frontier = spark.createDataFrame(start, "path string, unit_level long")
+    written, units = [], len(start)
+    while units:
+        written.append(scratch_path(spark, "frontier"))
+        (frontier.repartition(min(units, tasks)).mapInPandas(_walk_frontier(unit_entries), FRONTIER_SCHEMA)
+         .write.parquet(written[-1]))
+        frontier = (spark.read.schema(FRONTIER_SCHEMA).parquet(written[-1])
+                    .filter(F.col("unit_level").isNotNull()).select("path", "unit_level"))
+        units = frontier.count()
+    if not written:
+        return spark.createDataFrame([], SCHEMA)
+    rows = spark.read.schema(FRONTIER_SCHEMA).parquet(*written)
+    return rows.filter(F.col("unit_level").isNull()).drop("unit_level")
