@@ -797,6 +797,7 @@ WHERE year = '2024' AND month = 'march'""")
 ORACLES["incremental_paths"] = ORACLES["path_insert_ignore"]
 ORACLES["incremental_statistics"] = ORACLES["statistics_table"]
 ORACLES["media_listing_distributed"] = ORACLES["media_listing"]
+ORACLES["new_paths_bucketed"] = ORACLES["incremental_new_files"]
 ORACLES["media_listing_frontier"] = ORACLES["media_listing"]
 
 ORACLES["dedup_plan_hash_all"] = _with(plan_ctes(False, "coalesce(file_hash, content_fp)"),

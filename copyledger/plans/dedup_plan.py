@@ -15,7 +15,9 @@ phase 1 re-consolidates processed masters that lost their store entry.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from copyledger import constants as C
@@ -24,6 +26,7 @@ from copyledger.operators.collisions import resolve_counters
 from copyledger.operators import stats as S
 from copyledger.operators import upserts as U
 from copyledger.operators.groups import groups_for_processing
+from copyledger.sources import path_buckets as PB
 from copyledger.sources import snapshots as SNAP
 from copyledger.sources.snapshots import stage
 
@@ -190,14 +193,25 @@ def plan_coverage(files: DataFrame, plan: DataFrame) -> DataFrame:
         F.count("_id").alias("pending"), F.count_if(F.col("file_id").isNull()).alias("uncovered"))
 
 
+def _outcome() -> list:
+    return [F.count_if(F.col("action") == C.ACTION_KEEP).alias("files_consolidated"),
+            F.count_if(F.col("action") == C.ACTION_LINK).alias("symlinks_created"),
+            (F.count_if((F.col("action") == C.ACTION_KEEP) & (F.col("phase") == 0))
+             + F.count_if(F.col("action") == C.ACTION_LINK)).alias("files_deduplicated"),
+            F.count_if(is_error()).alias("errors")]
+
+
 def plan_outcome(plan: DataFrame) -> DataFrame:
     """Run counters: consolidated, linked, processed, errors (one row)."""
-    return plan.agg(
-        F.count_if(F.col("action") == C.ACTION_KEEP).alias("files_consolidated"),
-        F.count_if(F.col("action") == C.ACTION_LINK).alias("symlinks_created"),
-        (F.count_if((F.col("action") == C.ACTION_KEEP) & (F.col("phase") == 0))
-         + F.count_if(F.col("action") == C.ACTION_LINK)).alias("files_deduplicated"),
-        F.count_if(is_error()).alias("errors"))
+    return plan.agg(*_outcome())
+
+
+def stage_counted(plan: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The plan written and read back, and its ``plan_outcome``, counted by the
+    write itself (a task that is repeated counts once)."""
+    seen = Observation(f"plan-{uuid.uuid4().hex}")
+    staged = stage(plan.observe(seen, *_outcome()), "plan")
+    return staged, {name: int(n) for name, n in seen.get.items()}
 
 
 def plan_errors_top(plan: DataFrame, k: int = C.ERRORS_SHOWN) -> DataFrame:
@@ -248,13 +262,14 @@ def commit_dedup(spark: SparkSession, root: str, present: DataFrame, store_root:
     ``options`` go to ``dedup_plan``."""
     version = SNAP.next_version(spark, root)
     old = SNAP.read_catalog(spark, root)
-    plan = stage(dedup_plan(old["files"], old["duplicate_groups"], old["paths"], present, store_root, **options),
-                 "plan")
+    plan, counted = stage_counted(
+        dedup_plan(old["files"], old["duplicate_groups"], old["paths"], present, store_root, **options))
     tables = applied(old["files"], old["duplicate_groups"], old["paths"], plan, run_ts)
     new = {name: SNAP.write_table(table, root, name, version)
            for name, table in zip(("files", "duplicate_groups", "paths"), tables)}
     files = SNAP.read_entry(spark, root, "files", new["files"])
-    if "cells" in SNAP.manifest(spark, root)["tables"]:
+    held = SNAP.manifest(spark, root)["tables"]
+    if "cells" in held:
         # only rows of the plan changed, and of a group nothing that is counted
         ids = plan.select(F.col("file_id").alias("id")).distinct()
         before, after = (S.statistic_cells(f.join(ids, "id", "left_semi")) for f in (old["files"], files))
@@ -264,15 +279,14 @@ def commit_dedup(spark: SparkSession, root: str, present: DataFrame, store_root:
     new["cells"] = SNAP.write_table(cells, root, "cells", version)
     cells = SNAP.read_entry(spark, root, "cells", new["cells"])
     new["statistics"] = SNAP.write_table(
-        S.upsert_stats(old["statistics"], S.statistics_from_cells(cells, plan_counters(plan), run_ts)),
+        S.upsert_stats(old["statistics"], S.statistics_from_cells(cells, plan_counters(spark, counted), run_ts)),
         root, "statistics", version)
+    new |= {name: entry for name, entry in held.items() if name == PB.ENTRY}    # the run adds no files
     SNAP.commit(spark, root, version, entries=new)
     return version
 
 
-def plan_counters(plan: DataFrame) -> DataFrame:
+def plan_counters(spark: SparkSession, counted: dict[str, int]) -> DataFrame:
     """The run's counters as statistics rows (``stat_name, stat_value``)."""
-    return plan_outcome(plan).select(F.expr(
-        "stack(3, 'files_consolidated', cast(files_consolidated as string), "
-        "'symlinks_created', cast(symlinks_created as string), "
-        "'files_deduplicated', cast(files_deduplicated as string)) as (stat_name, stat_value)"))
+    return spark.createDataFrame([(name, str(counted[name])) for name in C.DEDUP_COUNTER_KEYS],
+                                 "stat_name string, stat_value string")

@@ -24,6 +24,7 @@ from copyledger.operators import stats as S
 from copyledger.operators import upserts as U
 from copyledger.operators.groups import apply_flags, groups_from_hashed
 from copyledger.operators.ids import assign_ids, max_id
+from copyledger.sources import path_buckets as PB
 from copyledger.sources import snapshots as SNAP
 from copyledger.sources.snapshots import stage
 
@@ -39,6 +40,18 @@ def new_paths(scanned: DataFrame, prior_files: DataFrame) -> DataFrame:
     return scanned.join(known, "original_path", "left_anti")
 
 
+def new_paths_bucketed(scanned: DataFrame, root: str, entry: dict) -> DataFrame:
+    """``new_paths`` from the catalog's bucketed paths: a large batch moves, the catalog does not."""
+    return scanned.join(PB.known_among(scanned, root, entry), "original_path", "left_anti")
+
+
+def new_to_catalog(scanned: DataFrame, prior_files: DataFrame, root: str, tables: dict) -> DataFrame:
+    """New rows by the bucketed paths if the version (``tables`` of its marker) has them, else by its files."""
+    if PB.ENTRY in tables:
+        return new_paths_bucketed(scanned, root, tables[PB.ENTRY])
+    return new_paths(scanned, prior_files)
+
+
 def with_ids(new_rows: DataFrame, prior_files: DataFrame) -> DataFrame:
     if "id" in new_rows.columns:
         return stage(new_rows, "fresh")  # several tables are derived from it
@@ -75,13 +88,13 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
     ``recompute="full"`` rebuilds the gate and all groups from the whole catalog.
     ``skip_hash`` records the new rows only (no gate, groups unchanged).
     """
-    files, groups, _, _ = _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode,
-                             recompute, skip_hash)
+    files, groups, _, _ = _scan(prior_files, prior_groups, scanned, new_paths(scanned, prior_files), run_ts,
+                                hasher, scope, mode, recompute, skip_hash)
     return files, groups
 
 
-def _scan(prior_files, prior_groups, scanned, run_ts, hasher, scope, mode, recompute, skip_hash):
-    fresh = with_ids(new_paths(scanned, prior_files), prior_files)
+def _scan(prior_files, prior_groups, scanned, new, run_ts, hasher, scope, mode, recompute, skip_hash):
+    fresh = with_ids(new, prior_files)
     if mode == "skip_known":
         added = U.new_file_rows(fresh, run_ts).select(*schemas.FILES.fieldNames())
         files = prior_files.select(*schemas.FILES.fieldNames()).unionByName(added)
@@ -170,8 +183,9 @@ def scan_batch(catalog: dict[str, DataFrame], scanned: DataFrame, run_ts: str, h
     """One complete scan run over a stored catalog: files and groups, the
     'original' alias row of every new file (insert-or-ignore), and the
     statistics refreshed with the deduplication counters carried over."""
-    files, groups, fresh = _scan(catalog["files"], catalog["duplicate_groups"], scanned, run_ts,
-                                 hasher, scope, mode, recompute, skip_hash)
+    files, groups, fresh, _ = _scan(catalog["files"], catalog["duplicate_groups"], scanned,
+                                    new_paths(scanned, catalog["files"]), run_ts,
+                                    hasher, scope, mode, recompute, skip_hash)
     paths = U.insert_paths(catalog["paths"], path_rows(fresh, run_ts), run_ts)
     fresh_stats = S.statistics_table(files, groups, catalog["statistics"], run_ts)
     stats = S.upsert_stats(catalog["statistics"], fresh_stats)
@@ -180,17 +194,19 @@ def scan_batch(catalog: dict[str, DataFrame], scanned: DataFrame, run_ts: str, h
 
 def commit_scan(root: str, scanned: DataFrame, run_ts: str, hasher: Hasher,
                 scope: str = "catalog", mode: str = "skip_known", skip_hash: bool = False,
-                recompute: str = "affected", source: str | None = None) -> int:
+                recompute: str = "affected", source: str | None = None, bucket_paths: bool = False) -> int:
     """One scan run over the catalog stored at ``root``, committed as the next
     version; ``source`` is noted in its commit marker.  ``files`` and
     ``groups`` are written first; the alias rows and
     statistics are then derived from the stored tables, so the scan itself
-    (fingerprint reads included) runs once."""
+    (fingerprint reads included) runs once.  ``bucket_paths`` stores the
+    catalog's paths in buckets too; later runs keep and use them."""
     spark = scanned.sparkSession
     version = SNAP.next_version(spark, root)
     prior = SNAP.read_catalog(spark, root, version - 1)
-    had_cells = "cells" in SNAP.manifest(spark, root, version - 1)["tables"]
-    files, groups, fresh, change = _scan(prior["files"], prior["duplicate_groups"], scanned, run_ts, hasher,
+    held = SNAP.manifest(spark, root, version - 1)["tables"]
+    files, groups, fresh, change = _scan(prior["files"], prior["duplicate_groups"], scanned,
+                                         new_to_catalog(scanned, prior["files"], root, held), run_ts, hasher,
                                          scope, mode, recompute, skip_hash)
     new: dict[str, dict] = {}
 
@@ -202,7 +218,9 @@ def commit_scan(root: str, scanned: DataFrame, run_ts: str, hasher: Hasher,
     new_rows = files_s.join(fresh.select("original_path"), "original_path", "left_semi")
     write("paths", U.insert_paths(prior["paths"], path_rows(new_rows, run_ts), run_ts))
     # the statistics move with the rows that changed; neither files nor groups are read for them
-    cells = write("cells", change.cells(prior["cells"]) if change and had_cells else S.statistic_cells(files_s, groups_s))
+    cells = write("cells", change.cells(prior["cells"]) if change and "cells" in held else S.statistic_cells(files_s, groups_s))
     write("statistics", S.upsert_stats(prior["statistics"], S.statistics_from_cells(cells, prior["statistics"], run_ts)))
+    if PB.ENTRY in held or bucket_paths:
+        new[PB.ENTRY] = PB.add_paths(fresh if PB.ENTRY in held else files_s, root, held.get(PB.ENTRY))
     SNAP.commit(spark, root, version, source, new)
     return version

@@ -31,6 +31,7 @@ from copyledger.plans import store as ST
 from copyledger.session import scratch_path, ship_package
 from copyledger.sources import fixture as FX
 from copyledger.sources import media_files as MF
+from copyledger.sources import path_buckets as PB
 from copyledger.sources import sampled_read as SR
 from copyledger.sources import snapshots as SNAP
 from copyledger.sources import tree_writer as TW
@@ -306,6 +307,16 @@ def q_incremental_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return INC.new_paths(_all_rows(spark, sf_dir), files1).select("id", "original_path")
 
 
+@register("new_paths_bucketed")
+def q_new_paths_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New paths by the catalog's paths in buckets, added in two runs."""
+    files1, _ = _batch1(spark, sf_dir)
+    root = scratch_path(spark, "path-buckets")
+    entry = PB.add_paths(files1.filter(F.col("id") % 4 != 0), root, per_bucket=100)
+    entry = PB.add_paths(files1.filter(F.col("id") % 4 == 0), root, entry, per_bucket=100)
+    return INC.new_paths_bucketed(_all_rows(spark, sf_dir), root, entry).select("id", "original_path")
+
+
 @register("cross_batch_candidates")
 def q_cross_batch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch 2 also brings every fifth file of batch 1 twice, elsewhere and in capitals."""
@@ -865,7 +876,8 @@ def q_media_sampled_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _after_dedup(spark: SparkSession, sf_dir: str):
     files2, groups2, _, _, plan = _applied(spark, sf_dir)
-    stats2 = stats.statistics_table(files2, groups2, DP.plan_counters(plan), PLAN_TS)
+    counted = DP.plan_outcome(plan).first().asDict()
+    stats2 = stats.statistics_table(files2, groups2, DP.plan_counters(spark, counted), PLAN_TS)
     # Commit the run as a new catalog version; the report reads the stored
     # tables (pruned columns), not the plan lineage.
     root = scratch_path(spark, "catalog")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from copyledger import schemas
 from copyledger.session import scratch_path
+from copyledger.sources.path_buckets import ENTRY as PATHS_ENTRY
 
 COMMITS = "_commits"
 PARTITION_COLS = {"files": ("year",)}
@@ -125,12 +126,15 @@ def commit(spark: SparkSession, root: str, version: int, source: str | None = No
            entries: dict[str, dict] | None = None) -> None:
     """Publish a version: readers see all its tables at once, or none.  The
     marker holds ``source`` (``stream#batch`` for a micro-batch) and all tables'
-    entries, those not in ``entries`` as before; a second writer of the same
-    version fails."""
+    entries, those not in ``entries`` as before (bucketed paths only as long as
+    ``files`` is); a second writer of the same version fails."""
     old = manifest(spark, root, version - 1)
+    tables = dict(old["tables"])
+    if "files" in (entries or {}):
+        tables.pop(PATHS_ENTRY, None)
     stream, _, batch = (source or "").rpartition("#")
     streams = old["streams"] | ({stream: int(batch)} if stream else {})
-    text = json.dumps({"source": source or "", "tables": old["tables"] | (entries or {}), "streams": streams})
+    text = json.dumps({"source": source or "", "tables": tables | (entries or {}), "streams": streams})
     fs, jpath = _fs(spark, f"{root}/{COMMITS}/v={version}")
     out = fs.create(jpath, False)
     out.write(text.encode())

@@ -41,11 +41,12 @@ def last_batch(spark: SparkSession, catalog_root: str, stream: str) -> int:
     return SNAP.manifest(spark, catalog_root)["streams"].get(stream, -1)
 
 
-def numbered(rows: DataFrame, prior: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, prior: DataFrame, catalog_root: str) -> DataFrame:
     """Rows with a caller's id keep it; the others get ids above all of these
     and the catalog's, new paths first counted in path order."""
     given = rows.filter(F.col("id").isNotNull())
-    blank = INC.new_paths(rows.filter(F.col("id").isNull()).drop("id"), prior)
+    tables = SNAP.manifest(rows.sparkSession, catalog_root)["tables"]
+    blank = INC.new_to_catalog(rows.filter(F.col("id").isNull()).drop("id"), prior, catalog_root, tables)
     if blank.isEmpty():
         return given
     base = max(max_id(prior), max_id(given))
@@ -60,7 +61,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_root: str, root: str,
     if "id" not in batch.columns:
         batch = batch.withColumn("id", F.lit(None).cast("long"))
     rows = SNAP.stage(catalog_rows(batch, root, keep=("id",)), "micro-batch")
-    rows = numbered(rows, SNAP.read_table(spark, catalog_root, "files"))
+    rows = numbered(rows, SNAP.read_table(spark, catalog_root, "files"), catalog_root)
     if rows.isEmpty():      # nothing new: no version
         return
     INC.commit_scan(catalog_root, rows, batch_run_ts(base_ts, batch_id), hasher, scope=scope,
