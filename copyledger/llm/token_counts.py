@@ -179,7 +179,8 @@ class Counting:
     def __init__(self, vocabulary: Vocabulary):
         self.merger = Merger(vocabulary)
         self.split = regex.compile(vocabulary.split)
-        self.special = regex.compile("|".join(map(regex.escape, vocabulary.specials)) or r"(?!)")
+        specials = sorted(vocabulary.specials, key=len, reverse=True)     # the longest that fits is taken
+        self.special = regex.compile("|".join(map(regex.escape, specials)) or r"(?!)")
         self.rare = re.compile(f"[{vocabulary.rare}]" if vocabulary.rare else r"(?!)")
         self.rare_split = regex.compile(vocabulary.rare_split)
         self.known: dict[str, int] = {}
@@ -188,7 +189,7 @@ class Counting:
         """Special tokens of the text, and the pre-tokens between them.
 
         No pre-token holds white space, so folding it changes nothing."""
-        parts = self.special.split(text) if "<|" in text else [text]
+        parts = self.special.split(text) if any(s in text for s in self.merger.v.specials) else [text]
         out: list[str] = []
         for p in parts:
             if p.isascii():

@@ -120,6 +120,19 @@ def test_token_counts_equal_the_library(spark):
         assert (got[d]["n_bytes"], got[d]["n_tokens"], got[d]["over_limit"]) == (len(t.encode()), n, n > 2048)
 
 
+def test_other_special_strings(tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    library.add_special_tokens(["[SEP]", "[SEP]+", "~"])
+    library.save(str(tmp_path / "v.json"))
+    counting = token_counts.Counting(token_counts.load_vocabulary(str(tmp_path / "v.json")))
+    rng = random.Random(4)
+    pool = ["[SEP]", "[SEP]+", "[SEP", "+", "~", "[sep]", "<|endoftext|>", "<|", "é", "ab", " "]
+    some = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(800)]
+    assert counting.count(some) == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_licenses(spark):
     phrases = [(label, p.split()) for label, p in license_scan.BASE_PHRASES]
     own = "Code UNDER the MIT License, under the mit license; CC BY-NC 4.0 Apache License, Version 2.0"
