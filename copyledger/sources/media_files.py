@@ -3,7 +3,8 @@ month_day/project/**`` tree (metadata only, never file bytes).
 
 The driver lists only the four fixed directory levels (and, with
 ``expand_levels``, the first levels below each project) to build work units;
-units are packed into input partitions, so a project holding a third of all
+units are packed into input partitions (``read_tree``: as many as a shuffle
+has, however many directories there are), so a project holding a third of all
 files is split across tasks by its subdirectories.  Executors walk their
 units recursively without following directory links and yield one row per
 regular file or link: ``path, size, mtime, is_link, error``.
@@ -285,7 +286,10 @@ def _with_options(reader, root: str, subfolder: str | None, options: dict):
 
 
 def read_tree(spark, root: str, subfolder: str | None = None, **options):
+    """The tree as a table, walked anew by every reader of it; as many tasks
+    as a shuffle, or ``num_partitions``."""
     register(spark)
+    options.setdefault("num_partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return _with_options(spark.read, root, subfolder, options)
 
 
