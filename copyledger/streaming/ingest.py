@@ -25,6 +25,7 @@ from copyledger.plans import incremental as INC
 from copyledger.sources import media_files as MF
 from copyledger.sources import snapshots as SNAP
 
+BATCH_BYTES = 1 << 30      # of listing files in a micro-batch
 LISTING_STREAM = T.StructType(schemas.LISTING.fields + [T.StructField("id", T.LongType(), True)])
 
 
@@ -69,10 +70,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, catalog_root: str, root: str,
 
 
 def run_ingest(spark: SparkSession, listing_dir: str, catalog_root: str, checkpoint: str, root: str,
-               hasher, base_ts: str, scope: str = "catalog", files_per_batch: int = 1) -> None:
-    """Process every listing file now in ``listing_dir`` (availableNow)."""
-    stream = (spark.readStream.schema(LISTING_STREAM)
-              .option("maxFilesPerTrigger", files_per_batch).parquet(listing_dir))
+               hasher, base_ts: str, scope: str = "catalog", files_per_batch: int | None = None) -> None:
+    """Process every listing file now in ``listing_dir`` (availableNow).  A
+    micro-batch takes files of ``BATCH_BYTES`` in all, or ``files_per_batch``
+    files: each commits a version of the catalog, so their number should follow
+    the bytes that arrived, not the files they came in."""
+    limit = ("maxBytesPerTrigger", BATCH_BYTES) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
+    stream = spark.readStream.schema(LISTING_STREAM).option(*limit).parquet(listing_dir)
     _ingest(stream, catalog_root, checkpoint, root, hasher, base_ts, scope)
 
 

@@ -4,7 +4,12 @@ import os
 import tempfile
 
 from copyledger import registry as R
+from copyledger.operators.listing import catalog_rows
+from copyledger.session import scratch_path
+from copyledger.sources import fixture as FX
 from copyledger.sources import media_files as MF
+from copyledger.sources import snapshots as SNAP
+from copyledger.streaming import ingest as STR
 
 from conftest import SMALL
 
@@ -25,3 +30,14 @@ def test_tasks_of_a_listing_do_not_follow_its_directories(spark):
 def test_queries_over_a_tree_walk_it_once(spark):
     rows, _ = R._tree_rows(spark, SMALL)
     assert "media_files" not in rows._jdf.queryExecution().toString() and rows.inputFiles()
+
+
+def test_versions_follow_the_bytes_that_arrived_not_the_files(spark):
+    base = scratch_path(spark, "stream")
+    rows = FX.fixture_listing(spark, SMALL).select(*STR.LISTING_STREAM.fieldNames())
+    rows.filter("id < 100").repartition(6).write.parquet(f"{base}/in")
+    STR.run_ingest(spark, f"{base}/in", f"{base}/catalog", f"{base}/checkpoint", FX.FIXTURE_ROOT,
+                   R._fixture_hasher(spark, SMALL), R.RUN1)
+    assert SNAP.committed_versions(spark, f"{base}/catalog") == [1]
+    want = {r["original_path"] for r in catalog_rows(rows.filter("id < 100"), FX.FIXTURE_ROOT).collect()}
+    assert {r["original_path"] for r in SNAP.read_table(spark, f"{base}/catalog", "files").collect()} == want
