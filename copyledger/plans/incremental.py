@@ -29,6 +29,14 @@ from copyledger.sources import snapshots as SNAP
 from copyledger.sources.snapshots import stage
 
 Hasher = Callable[[DataFrame], DataFrame]
+BROADCAST_ROWS = 50_000
+
+
+def merged_if_large(df: DataFrame) -> DataFrame:
+    """A stored frame whose joins shuffle if it has more than ``BROADCAST_ROWS``
+    rows: by the size of its compressed columns Spark would send millions of
+    rows through the driver."""
+    return df.hint("merge") if df.count() > BROADCAST_ROWS else df
 
 
 def new_paths(scanned: DataFrame, prior_files: DataFrame) -> DataFrame:
@@ -36,6 +44,7 @@ def new_paths(scanned: DataFrame, prior_files: DataFrame) -> DataFrame:
 
     The known paths among them are found with the batch as the build side, so
     a small batch never shuffles the catalog."""
+    scanned = merged_if_large(scanned)
     known = prior_files.select("original_path").join(scanned.select("original_path"), "original_path", "left_semi")
     return scanned.join(known, "original_path", "left_anti")
 
@@ -94,7 +103,7 @@ def scan_increment(prior_files: DataFrame, prior_groups: DataFrame, scanned: Dat
 
 
 def _scan(prior_files, prior_groups, scanned, new, run_ts, hasher, scope, mode, recompute, skip_hash):
-    fresh = with_ids(new, prior_files)
+    fresh = merged_if_large(with_ids(new, prior_files))
     if mode == "skip_known":
         added = U.new_file_rows(fresh, run_ts).select(*schemas.FILES.fieldNames())
         files = prior_files.select(*schemas.FILES.fieldNames()).unionByName(added)
@@ -151,13 +160,14 @@ def _affected_update(prior_files: DataFrame, files: DataFrame, prior_groups: Dat
     sizes = added.filter(F.col("file_size_bytes").isNotNull()).select("file_size_bytes").distinct()
     touched = files.join(sizes, "file_size_bytes", "left_semi")
     need = G.backfill_candidates(touched).select("id", "original_path", "file_size_bytes")
-    hashes = _fingerprints(hasher, need).filter(F.col("file_hash").isNotNull() & (F.col("file_hash") != ""))
+    hashes = merged_if_large(_fingerprints(hasher, need)).filter(F.col("file_hash").isNotNull() & (F.col("file_hash") != ""))
     # Hashes fingerprinted now: only their groups can change.  Their members
     # are written once: files, groups and statistics are all derived from them.
     affected = hashes.select(F.col("file_hash").alias("group_hash")).distinct()
     hashed = U.set_hashes(files, hashes, run_ts)
     members = hashed.join(affected, hashed["file_hash"] == affected["group_hash"], "left_semi")
-    members = stage(apply_flags(members, groups_from_hashed(members)).select(*schemas.FILES.fieldNames()), "members")
+    members = merged_if_large(
+        stage(apply_flags(members, groups_from_hashed(members)).select(*schemas.FILES.fieldNames()), "members"))
     changed = members.unionByName(added.join(members.select("id"), "id", "left_anti").select(*members.columns))
     ids = members.select("id")
     kept_files = prior_files.select(*schemas.FILES.fieldNames()).join(ids, "id", "left_anti")
@@ -215,7 +225,7 @@ def commit_scan(root: str, scanned: DataFrame, run_ts: str, hasher: Hasher,
         return SNAP.read_entry(spark, root, table, new[table])
     files_s = write("files", files, changed=change.years() if change else None)
     groups_s = write("duplicate_groups", groups)
-    new_rows = files_s.join(fresh.select("original_path"), "original_path", "left_semi")
+    new_rows = merged_if_large(files_s.join(fresh.select("original_path"), "original_path", "left_semi"))
     write("paths", U.insert_paths(prior["paths"], path_rows(new_rows, run_ts), run_ts))
     # the statistics move with the rows that changed; neither files nor groups are read for them
     cells = write("cells", change.cells(prior["cells"]) if change and "cells" in held else S.statistic_cells(files_s, groups_s))

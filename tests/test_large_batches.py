@@ -5,6 +5,7 @@ import tempfile
 
 from copyledger import registry as R
 from copyledger.operators.listing import catalog_rows
+from copyledger.plans import incremental as INC
 from copyledger.session import scratch_path
 from copyledger.sources import fixture as FX
 from copyledger.sources import media_files as MF
@@ -41,3 +42,15 @@ def test_versions_follow_the_bytes_that_arrived_not_the_files(spark):
     assert SNAP.committed_versions(spark, f"{base}/catalog") == [1]
     want = {r["original_path"] for r in catalog_rows(rows.filter("id < 100"), FX.FIXTURE_ROOT).collect()}
     assert {r["original_path"] for r in SNAP.read_table(spark, f"{base}/catalog", "files").collect()} == want
+
+
+def test_joins_of_a_large_batch_send_no_rows_through_the_driver(spark, monkeypatch):
+    files1, _ = R._batch1(spark, SMALL)
+    rows = R._all_rows(spark, SMALL)
+    want = {r["id"] for r in INC.new_paths(rows, files1).collect()}
+    monkeypatch.setattr(INC, "BROADCAST_ROWS", 10)
+    got = INC.new_paths(rows, files1)
+    assert {r["id"] for r in got.collect()} == want and want
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    few = INC.new_paths(rows.limit(5), files1)
+    assert "Broadcast" in few._jdf.queryExecution().toString()
